@@ -26,7 +26,10 @@ def pad_array(values: Column, length: Column | int, fill: int) -> Column:
 def attention_mask(ids: Column, length: Column | int | None = None) -> Column:
     """1 for every token, 0 for the padding up to ``length``."""
     ones = _fill(1, F.size(ids))
-    return ones if length is None else pad_array(ones, length, 0)
+    if length is None:
+        return ones
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.concat(ones, _fill(0, length - F.size(ids)))
 
 
 def mask_labels(

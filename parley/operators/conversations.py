@@ -13,7 +13,7 @@ from .layout import Layout, UnsupportedLayout, detect_layout
 CONVERSATIONS = "conversations"
 
 # Longest run of turns kept in one row, and the most rows ever broadcast by fold_turns.
-PART_TURNS = 4096
+PART_TURNS = 1024
 BROADCAST_ROWS = 1_000_000
 
 _MESSAGES = T.ArrayType(
@@ -117,7 +117,9 @@ def fold_turns(
     (id, part, is_first, is_last, conversations); ``turn`` is a whole number that
     orders the turns and is unique in a conversation. A conversation of more than
     ``part_turns`` turns is kept as several parts, so no row and no task ever holds
-    an unbounded group, and no turn is lost; ``head_only`` keeps the first parts.
+    an unbounded group, and no turn is lost. ``head_only`` keeps the first parts, which
+    is all that truncated token rows need: a rendered message is 30 characters or more,
+    so a first part fills the longest limit.
 
     Long conversations are found by counting turns, which reads only ``id_col`` and
     ``turn`` and is pre-aggregated in every task. There are at most

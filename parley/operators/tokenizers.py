@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +89,8 @@ class LibraryTokenizer:
     def encode(self, text: Column, max_length: int | None) -> Column:
         file_name = self.file_name
 
-        @F.pandas_udf("input_ids array<int>, special_mask array<int>")
-        def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("input_ids array<int>, special_mask array<int>")
+        def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(SparkFiles.get(file_name))
@@ -99,13 +99,13 @@ class LibraryTokenizer:
                 tokenizer.no_truncation()
             else:
                 tokenizer.enable_truncation(max_length)
-            for texts in batches:
-                encoded = tokenizer.encode_batch(texts.tolist())
-                yield pd.DataFrame(
-                    {
-                        "input_ids": [e.ids for e in encoded],
-                        "special_mask": [e.special_tokens_mask for e in encoded],
-                    }
-                )
+            tokens = pa.list_(pa.int32())
+            for batch in batches:
+                texts = batch.to_pylist()
+                encoded = iter(tokenizer.encode_batch([t for t in texts if t is not None]))
+                rows = [None if t is None else next(encoded) for t in texts]
+                ids = pa.array([r and r.ids for r in rows], tokens)
+                special = pa.array([r and r.special_tokens_mask for r in rows], tokens)
+                yield pa.StructArray.from_arrays([ids, special], ["input_ids", "special_mask"])
 
         return encode_batches(text)

@@ -59,7 +59,7 @@ def _pad(df: DataFrame, length, pad_id: int) -> DataFrame:
     """Pad the token columns that are there and add the attention mask."""
     fills = {"input_ids": pad_id, "labels": fixed.IGNORED_LABEL, "special_mask": 1}
     padded = {c: pad_array(F.col(c), length, f) for c, f in fills.items() if c in df.columns}
-    padded["attention_mask"] = pad_array(attention_mask(F.col("input_ids")), length, 0)
+    padded["attention_mask"] = attention_mask(F.col("input_ids"), length)
     return df.withColumns(padded)
 
 

@@ -8,13 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import route_task
+from .. import fixed
+from ..functions.names import formatted_name, route_task
 from ..operators.conversations import to_conversations
 from ..operators.layout import UnsupportedLayout
 from ..operators.tokenizers import CodePointTokenizer
 from ..operators.training import EmptyDataset, prepare_dataset
 from ..operators.union import TypeClash, column_set, union_datasets
-from ..sources.datasets import read_dataset, read_formatted, write_formatted
+from ..sources.datasets import read_dataset, write_formatted
 
 # A card names datasets, one Spark job each; more than this is not a card.
 MAX_CARD_ENTRIES = 100_000
@@ -111,16 +112,20 @@ def prepare_all(
 
 
 def training_inputs(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """(model, dataset, task, train_rows) of the prepared datasets of a manifest."""
-    prepared = manifest.where(F.col("status") == "prepared").withColumn(
-        "task", route_task(F.col("columns"))
+    """(model, dataset, task, train_rows) of the prepared datasets of a manifest.
+
+    One scan counts the rows of all prepared datasets by their directory; it reads no
+    column.
+    """
+    prepared = manifest.where(F.col("status") == "prepared").select(
+        "model",
+        "dataset",
+        route_task(F.col("columns")).alias("task"),
+        formatted_name(F.col("dataset")).alias("_directory"),
+    )
+    rows = spark.read.parquet(f"{root.rstrip('/')}/*{fixed.FORMATTED_SUFFIX}")
+    directory = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    counts = rows.groupBy(directory.alias("_directory")).agg(
+        F.count(F.lit(1)).alias("train_rows")
     )
-    names = prepared.select("dataset").distinct().limit(MAX_CARD_ENTRIES).collect()
-    counts = None
-    for (name,) in names:
-        rows = read_formatted(spark, root, name).agg(F.count(F.lit(1)).alias("train_rows"))
-        rows = rows.withColumn("dataset", F.lit(name))
-        counts = rows if counts is None else counts.unionByName(rows)
-    if counts is None:
-        return prepared.select("model", "dataset", "task", F.lit(0).alias("train_rows"))
-    return prepared.join(counts, "dataset").select("model", "dataset", "task", "train_rows")
+    return prepared.join(counts, "_directory", "left").drop("_directory")

@@ -1104,8 +1104,8 @@ def media_listing(spark, sf_dir):
 # --- flows ---------------------------------------------------------------------
 
 
-def prepared(spark, sf_dir) -> tuple[DataFrame, str]:
-    """A card of three datasets and an unreadable one, prepared into a new folder."""
+def prepared(spark, sf_dir, *names: str, pad: str = "max") -> tuple[DataFrame, str]:
+    """A card of the named datasets, prepared into a new folder."""
     sources = {
         "talks/turns": table(spark, sf_dir, "conversations").select(
             F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text"
@@ -1115,13 +1115,13 @@ def prepared(spark, sf_dir) -> tuple[DataFrame, str]:
         .withColumnRenamed("p_partkey", "id"),
         "talks/regions": table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "id"),
     }
-    names = ["talks/turns", "talks/captions", "talks/parts", "talks/regions", "talks/none"]
     card = spark.createDataFrame(
         [("some/model", name, "", i) for i, name in enumerate(names)],
         "model string, dataset string, info string, position int",
     )
     root = scratch(spark, "prepared")
-    return prepare_all(spark, card, root, lambda name, config: sources.get(name)), root
+    manifest = prepare_all(spark, card, root, lambda name, config: sources.get(name), pad=pad)
+    return manifest, root
 
 
 @query(
@@ -1138,7 +1138,8 @@ def prepared(spark, sf_dir) -> tuple[DataFrame, str]:
     ) v(dataset, status, columns, task, train_rows)"""
 )
 def prepare_card(spark, sf_dir):
-    manifest, root = prepared(spark, sf_dir)
+    names = ["turns", "captions", "parts", "regions", "none"]
+    manifest, root = prepared(spark, sf_dir, *[f"talks/{n}" for n in names], pad="multiple")
     inputs = training_inputs(spark, manifest, root).drop("model")
     return manifest.join(inputs, "dataset", "left").select(
         "dataset", "status", F.array_join("columns", " ").alias("columns"), "task",
@@ -1163,7 +1164,7 @@ def prepare_card(spark, sf_dir):
     FROM t, m"""
 )
 def formatted_union(spark, sf_dir):
-    _, root = prepared(spark, sf_dir)
+    _, root = prepared(spark, sf_dir, "talks/turns", "talks/parts")
     rows = io.read_formatted(spark, root, "talks/parts", union=True)
     return rows.select(
         "dataset", "id", text(F.col("input_ids")).alias("ids"), text(F.col("labels")).alias("labels")

@@ -7,6 +7,7 @@ from .manifest import (
     parse_card,
     read_configs,
     read_manifest,
+    single_document,
     write_configs,
     write_manifest,
 )
@@ -19,6 +20,7 @@ __all__ = [
     "read_dataset",
     "read_formatted",
     "read_manifest",
+    "single_document",
     "write_configs",
     "write_formatted",
     "write_manifest",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CARD = "model map<string, map<string, string>>"
+# A single document is held by one task; a larger card is kept as lines.
+MAX_DOCUMENT_ENTRIES = 100_000
 _EMPTY_CARD = "model string, dataset string, info string"
 _EMPTY_CONFIGS = "dataset string, config string"
 
@@ -19,18 +21,30 @@ def parse_card(documents: DataFrame, col: str = "value") -> DataFrame:
 
 
 def card_documents(card: DataFrame) -> DataFrame:
-    """One JSON card per model, (model, value). Together they are the whole card."""
+    """One small JSON card per entry, in ``value``. Together they are the whole card."""
+    none = F.create_map().cast("map<string, string>")
+    info = F.coalesce("info", F.lit(""))
+    datasets = F.when(F.col("dataset").isNotNull(), F.create_map("dataset", info)).otherwise(none)
+    document = F.struct(F.create_map(F.col("model"), datasets).alias("model"))
+    return card.select(F.to_json(document).alias("value"))
+
+
+def single_document(card: DataFrame) -> DataFrame:
+    """The card as one JSON document, for readers that expect one.
+
+    One document is one row, so the number of entries is checked first; a larger
+    card is written as lines.
+    """
+    if card.limit(MAX_DOCUMENT_ENTRIES + 1).count() > MAX_DOCUMENT_ENTRIES:
+        raise ValueError(f"more than {MAX_DOCUMENT_ENTRIES} entries, write the card as lines")
     entry = F.when(
         F.col("dataset").isNotNull(),
         F.struct("dataset", F.coalesce("info", F.lit("")).alias("info")),
     )
     datasets = F.map_from_entries(F.array_sort(F.collect_set(entry)))
-    return card.groupBy("model").agg(datasets.alias("datasets")).select(
-        "model",
-        F.to_json(
-            F.struct(F.create_map(F.col("model"), F.col("datasets")).alias("model"))
-        ).alias("value"),
-    )
+    models = card.groupBy("model").agg(datasets.alias("datasets"))
+    model = F.map_from_entries(F.collect_list(F.struct("model", "datasets")))
+    return models.agg(F.to_json(F.struct(model.alias("model"))).alias("value"))
 
 
 def _readable(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
@@ -51,9 +65,10 @@ def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return parse_card(documents)
 
 
-def write_manifest(card: DataFrame, path: str) -> None:
-    """Write the card, one document per model and line."""
-    card_documents(card).select("value").write.mode("overwrite").text(path)
+def write_manifest(card: DataFrame, path: str, lines: bool = True) -> None:
+    """Write the card, one small document per entry and line, or as one document."""
+    documents = card_documents(card) if lines else single_document(card)
+    documents.write.mode("overwrite").text(path)
 
 
 def read_configs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

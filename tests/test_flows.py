@@ -1,0 +1,167 @@
+import json
+
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+from parley import functions as fn
+from parley import operators as op
+from parley import sources as io
+from parley.plans import directory_source, prepare_all, training_inputs
+from parley.streaming import training_stream, write_stream
+
+CARD = "model STRING, dataset STRING, info STRING, position INT"
+
+
+@pytest.fixture(scope="module")
+def raw(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("raw")
+
+    def save(name, rows, schema, fmt="parquet"):
+        spark.createDataFrame(rows, schema).write.format(fmt).save(str(root / name))
+
+    save("bad", [(1, "x")], "id INT, foo STRING")
+    save("qa", [(1, "q", "a"), (2, "q2", "a2"), (3, None, "x")], "id INT, question STRING, answer STRING")
+    save("empty", [(1, None, "x")], "id INT, question STRING, answer STRING")
+    save(
+        "talks/main",
+        [(7, [("system", "s"), ("user", "u")], "web")],
+        "id BIGINT, conversations ARRAY<STRUCT<role: STRING, content: STRING>>, origin STRING",
+    )
+    save("cats", [("c1", "cat", "a.jpg"), ("c2", "dog", None)], "id STRING, caption STRING, image STRING")
+    return str(root)
+
+
+def ids_to_text(ids):
+    return "".join(map(chr, ids)).rstrip("\0")
+
+
+def test_prepare_all(spark, raw, tmp_path):
+    names = ["org/bad", "org/none", "org/qa", "org/empty", "org/talks", "org/cats"]
+    card = spark.createDataFrame([("m", n, "", i) for i, n in enumerate(names)], CARD)
+    saved = spark.createDataFrame([("org/talks", "main")], "dataset STRING, config STRING")
+    root = str(tmp_path)
+    manifest = prepare_all(spark, card, root, directory_source(spark, raw), saved=saved)
+    got = {r.dataset: (r.status, r.columns) for r in manifest.collect()}
+    assert got == {
+        "org/bad": ("UnsupportedLayout", None),
+        "org/none": ("unreadable", None),
+        "org/qa": ("prepared", ["conversations"]),
+        "org/empty": ("EmptyDataset", None),
+        "org/talks": ("prepared", ["conversations", "origin"]),
+        "org/cats": ("prepared", ["conversations", "image"]),
+    }
+
+    qa = {r.id: r for r in io.read_formatted(spark, root, "org/qa").collect()}
+    assert sorted(qa) == [1, 2]
+    assert ids_to_text(qa[2].input_ids) == oracle.render([("user", "q2"), ("assistant", "a2")])
+
+    # A union is always of the first usable dataset and the current one.
+    both = io.read_formatted(spark, root, "org/talks", union=True).collect()
+    assert sorted((r.dataset, r.id) for r in both) == [
+        ("org/qa", "1"), ("org/qa", "2"), ("org/talks", "7")
+    ]
+    assert len({len(r.input_ids) for r in both}) == 1
+    # With a media column only rows that have a medium are training rows.
+    with_media = io.read_formatted(spark, root, "org/cats", union=True)
+    assert [(r.id, r.image) for r in with_media.collect()] == [("c1", "a.jpg")]
+
+    inputs = {r.dataset: (r.task, r.train_rows) for r in training_inputs(spark, manifest, root).collect()}
+    assert inputs == {
+        "org/qa": ("text-generation", 2),
+        "org/talks": ("text-generation", 1),
+        "org/cats": ("text-vision-text-generation", 1),
+    }
+
+
+def test_each_model_starts_anew(spark, raw, tmp_path):
+    card = spark.createDataFrame(
+        [("m1", "qa", "", 0), ("m1", "cats", "", 1), ("m2", "cats", "", 0)], CARD
+    )
+    manifest = prepare_all(
+        spark, card, str(tmp_path), directory_source(spark, raw), pad="multiple",
+        tokenizer_for=lambda model: op.CodePointTokenizer(eos_id=2 if model == "m2" else None),
+    )
+    got = {(r.model, r.dataset): r.columns for r in manifest.collect()}
+    assert got == {
+        ("m1", "qa"): ["conversations"],
+        ("m1", "cats"): ["conversations", "image"],
+        ("m2", "cats"): ["conversations", "image"],
+    }
+    row = io.read_formatted(spark, str(tmp_path), "cats").first()
+    assert len(row.input_ids) % 8 == 0 and 2 in row.input_ids
+
+
+def test_reading_formats(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b",\nc'), (2, "é")], "id INT, t STRING")
+    for fmt in ("json", "parquet"):
+        path = str(tmp_path / fmt)
+        df.write.format(fmt).save(path)
+        assert io.read_dataset(spark, path, fmt).orderBy("id").select("id", "t").collect() == df.collect()
+    path = str(tmp_path / "csv")
+    df.write.csv(path, header=True, escape='"')
+    assert io.read_dataset(spark, path, "csv", schema=df.schema).orderBy("id").collect() == df.collect()
+    assert io.read_dataset(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        io.read_dataset(spark, path, "xml")
+
+
+def test_saved_names(spark, tmp_path):
+    df = spark.range(3)
+    path = io.write_formatted(df, str(tmp_path), "a/b")
+    assert path.endswith("/a_b_formatted")
+    assert io.write_formatted(df, str(tmp_path), "a/b", union=True).endswith("/concat_a_b_formatted")
+    assert io.read_formatted(spark, str(tmp_path), "a/b").count() == 3
+
+
+def test_stream_gives_the_batch_rows(spark, turns, tmp_path):
+    source = tmp_path / "in"
+    turns.repartition(3).write.parquet(str(source))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    rows = training_stream(stream, ["conv_id", "turn"])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    write_stream(rows, out, state).awaitTermination()
+    # A restart after new files arrive processes only those.
+    turns.limit(5).withColumn("conv_id", F.col("conv_id") + 10_000).write.mode("append").parquet(str(source))
+    write_stream(rows, out, state).awaitTermination()
+    written = spark.read.schema(rows.schema).parquet(out)
+    assert written.count() == turns.count() + 5
+    batch = op.prepare_dataset(turns, ["conv_id", "turn"], pad="multiple")
+    old = written.where("conv_id < 10000")
+    assert old.exceptAll(batch).count() == batch.exceptAll(old).count() == 0
+
+
+def test_streaming_expressions(spark, turns, tmp_path):
+    """Prompts, vectors and image slots also need no state."""
+    source = str(tmp_path / "in")
+    turns.write.parquet(source)
+    stream = spark.readStream.schema(turns.schema).parquet(source)
+    ids = F.array(F.lit(1), F.lit(2))
+    out = stream.select(
+        "conv_id", "turn",
+        fn.format_chat(fn.build_prompt(F.col("text"))).alias("prompt"),
+        fn.prefix_labels(ids).alias("labels"),
+        fn.extend_attention(ids).alias("mask"),
+        fn.l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("unit"),
+    )
+    path = str(tmp_path / "out")
+    write_stream(out, path, str(tmp_path / "state")).awaitTermination()
+    row = spark.read.schema(out.schema).parquet(path).first()
+    assert row.unit == [0.6, 0.8] and len(row.labels) == 259
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],)], "v ARRAY<FLOAT>")
+    got = [r[0] for r in df.select(fn.l2_normalize(F.col("v"))).collect()]
+    assert got == [[0.6, 0.8], [0.0, 0.0], []]
+    data = spark.createDataFrame([(bytearray("é😀", "utf-8"),)], "b BINARY")
+    assert data.select(fn.decode_text(F.col("b"))).first()[0] == "é😀"
+
+
+def test_manifest_of_a_preparation_can_be_kept(spark, raw, tmp_path):
+    card = spark.createDataFrame([("m", "qa", "", 0)], CARD)
+    manifest = prepare_all(spark, card, str(tmp_path / "out"), directory_source(spark, raw))
+    kept = manifest.select("model", "dataset", F.to_json("columns").alias("info"))
+    io.write_manifest(kept, str(tmp_path / "config"))
+    back = io.read_manifest(spark, str(tmp_path / "config"), lines=True).first()
+    assert json.loads(back.info) == ["conversations"]

@@ -36,10 +36,8 @@ def render_chat(
     is_first = F.lit(True) if is_first is None else is_first
     is_last = F.lit(True) if is_last is None else is_last
 
-    def turn(m: Column, i: Column) -> Column:
-        content = m["content"]
-        if images is not None:
-            content = F.concat(content, _image_tags(F.get(images, i)))
+    def turn(m: Column, tags: Column | None = None) -> Column:
+        content = m["content"] if tags is None else F.concat(m["content"], _image_tags(tags))
         return F.concat(
             F.lit("\n" + fixed.MESSAGE_START),
             m["role"],
@@ -48,12 +46,16 @@ def render_chat(
             F.lit(fixed.MESSAGE_END + "\n\n"),
         )
 
+    if images is None:
+        turns = F.transform(messages, lambda m: turn(m))
+    else:
+        turns = F.zip_with(messages, images, turn)
     opening = F.when(
         is_first & (F.get(messages, F.lit(0))["role"] != "system"),
         _GAP + _DEFAULT_SYSTEM_TURN,
     ).otherwise(_GAP)
     body = F.when(F.size(messages) == 0, "").otherwise(
-        F.concat(opening, F.array_join(F.transform(messages, turn), _GAP))
+        F.concat(opening, F.array_join(turns, _GAP))
     )
     closing = "\n"
     if add_generation_prompt:

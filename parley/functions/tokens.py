@@ -36,16 +36,13 @@ def mask_labels(
     ids: Column, attention: Column | None = None, special: Column | None = None
 ) -> Column:
     """Labels: the ids, but ignored at special tokens and at padding."""
-
-    def label(token: Column, i: Column) -> Column:
-        ignored = F.lit(False)
-        if attention is not None:
-            ignored = ignored | (F.get(attention, i) == 0)
-        if special is not None:
-            ignored = ignored | (F.get(special, i) == 1)
-        return F.when(ignored, F.lit(fixed.IGNORED_LABEL)).otherwise(token)
-
-    return F.transform(ids, label)
+    ignored = F.lit(fixed.IGNORED_LABEL)
+    labels = ids
+    if attention is not None:
+        labels = F.zip_with(labels, attention, lambda x, a: F.when(a == 0, ignored).otherwise(x))
+    if special is not None:
+        labels = F.zip_with(labels, special, lambda x, s: F.when(s == 1, ignored).otherwise(x))
+    return labels
 
 
 def prefix_labels(

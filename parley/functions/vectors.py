@@ -13,7 +13,9 @@ def l2_normalize(vector: Column, eps: float = fixed.NORM_EPS) -> Column:
     vector = vector.cast("array<double>")
     squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
     length = F.greatest(F.sqrt(squares), F.lit(eps))
-    return F.transform(vector, lambda x: x / length)
+    # The outer transform names the length, or it would be computed for every element.
+    scaled = F.transform(F.array(length), lambda n: F.transform(vector, lambda x: x / n))
+    return F.get(scaled, F.lit(0))
 
 
 def decode_text(data: Column) -> Column:

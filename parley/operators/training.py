@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.prompts import render_chat
 from ..functions.tokens import attention_mask, mask_labels, pad_array
 from ..session import checkpointed
 from .conversations import CONVERSATIONS, _as_list, to_conversations, valid_conversations
-from .layout import detect_media
+from .layout import detect_layout
 from .media import keep_readable
 from .tokenizers import CodePointTokenizer
 
@@ -119,21 +120,29 @@ def prepare_dataset(
     give input_ids, attention_mask and the media columns, without labels. ``pad`` is
     "max" (longest row of the dataset), "multiple" (each row for itself, the choice
     for large data) or "none". ``check`` raises ``EmptyDataset`` when no row or no
-    label is left; it stops at the first row that has one. With a media ``listing``
-    only rows whose media can be read are kept.
+    label is left; it stops at the first row that has one. Rows without a medium are
+    no training rows of a dataset with media, and with a media ``listing`` neither are
+    rows whose media cannot be read.
     """
     ids = _as_list(id_cols)
     tokenizer = tokenizer or CodePointTokenizer()
+    layout = detect_layout(df.schema, tuple(ids))
+    media = list(layout.media)
+    if layout.is_native and not media:
+        if not isinstance(df.schema[layout.columns[0]].dataType, T.ArrayType):
+            raise EmptyDataset("text conversations have to be lists of messages")
+
     conversations = valid_conversations(to_conversations(df, ids))
-    media = list(detect_media(conversations.drop(*ids).schema))
+    limit = max_length or (fixed.MAX_MEDIA_TOKENS if media else fixed.MAX_TEXT_TOKENS)
     if media:
+        if check and conversations.isEmpty():
+            raise EmptyDataset("no conversation of the dataset can be rendered")
         present = F.lit(False)
         for column in media:
             present = present | F.col(f"`{column}`").isNotNull()
         conversations = conversations.where(present)
-    if media and listing is not None:
-        conversations = keep_readable(conversations, ids, media, listing)
-    limit = max_length or (fixed.MAX_MEDIA_TOKENS if media else fixed.MAX_TEXT_TOKENS)
+        if listing is not None:
+            conversations = keep_readable(conversations, ids, media, listing)
 
     text = render_chat(F.col(CONVERSATIONS)).alias("_text")
     rows = tokenize(conversations.select(*ids, *media, text), "_text", tokenizer, limit)
@@ -141,12 +150,9 @@ def prepare_dataset(
     if not media:
         rows = label_tokens(rows, tokenizer.marks_special)
         outputs.append("labels")
-    if check:
-        usable = rows
-        if not media:
-            usable = rows.where(F.exists("labels", lambda x: x != fixed.IGNORED_LABEL))
-        if usable.isEmpty():
-            raise EmptyDataset("no row of the dataset can be trained on")
+        counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
+        if check and rows.where(counts).isEmpty():
+            raise EmptyDataset("no label of the dataset counts")
 
     if pad == "max":
         if tokenizer.count(F.lit(""), limit) is None:

@@ -205,18 +205,23 @@ def layout_label(spark, sf_dir):
     return messages_flat(built, "vec_id")
 
 
+# The word of a page's link; pages name their files after their links.
+_LINK = 'href="/([^"]*)"'
+
+
 def captioned_pages(spark, sf_dir) -> DataFrame:
-    """Pages whose address names a file, as image and caption; others have no image."""
-    name = F.regexp_extract("url", r"/([0-9]+)\.html", 1)
-    image = F.when(name != "", F.concat(name, F.lit(".jpg")))
+    """Pages as caption and image, named after the last link; some have no image."""
+    word = F.try_element_at(F.regexp_extract_all("html", F.lit(_LINK), 1), F.lit(-1))
+    image = F.when(~F.col("url").contains("#"), F.concat(word, F.lit(".jpg")))
     return table(spark, sf_dir, "pages").select(
         "page_id", image.alias("image"), F.col("html").alias("caption")
     )
 
 
-_CAPTIONED = r"""
-    SELECT page_id, regexp_extract(url, '/([0-9]+)\.html', 1) || '.jpg' AS image, html
-    FROM pages WHERE regexp_extract(url, '/([0-9]+)\.html', 1) <> ''"""
+_CAPTIONED = f"""
+    SELECT page_id, regexp_extract_all(html, '{_LINK}', 1)[-1] || '.jpg' AS image, html
+    FROM pages WHERE NOT contains(url, '#')
+      AND len(regexp_extract_all(html, '{_LINK}', 1)) > 0"""
 
 
 @query(
@@ -665,7 +670,6 @@ def prepare_text(spark, sf_dir):
 
 # A page refers to the files its links name; files come from the pages' own links too:
 # the place depends on the address, so one name is found in several places.
-_LINK = 'href="/([^"]*)"'
 
 
 def page_links(spark, sf_dir) -> DataFrame:
@@ -679,19 +683,17 @@ def page_links(spark, sf_dir) -> DataFrame:
 
 
 def page_listing(spark, sf_dir) -> DataFrame:
-    """The first link of each page exists, as an image or, for other pages, as audio."""
+    """What a page links to, as images or audio; files of some addresses are not kept."""
     place = (
         F.when(F.col("url").startswith("https://m."), "top")
-        .when(F.col("url").startswith("https://blog."), "folder")
-        .otherwise("zip")
+        .when(F.col("url").startswith("http://blog."), "folder")
+        .when(F.col("url").endswith(".html"), "zip")
     )
-    audio = F.col("url").contains("?")
-    name = F.get(F.when(audio, F.col("audios")).otherwise(F.col("images")), F.lit(0))
-    return (
-        page_links(spark, sf_dir)
-        .select(place.alias("place"), F.concat_ws("/", "url", name).alias("path"), name.alias("name"))
-        .where(F.col("name").isNotNull())
+    names = F.when(F.col("url").contains("?"), F.col("audios")).otherwise(F.col("images"))
+    links = page_links(spark, sf_dir).select(
+        place.alias("place"), "url", F.explode(names).alias("name")
     )
+    return links.select("place", F.concat_ws("/", "url", "name").alias("path"), "name")
 
 
 _REFS = f"""
@@ -700,12 +702,12 @@ _REFS = f"""
            generate_series(1, len(links)) g(pos))"""
 _FILES = f"""
     listing AS (SELECT url,
-        CASE WHEN url LIKE 'https://m.%' THEN 'top' WHEN url LIKE 'https://blog.%' THEN 'folder'
-             ELSE 'zip' END AS place,
+        CASE WHEN url LIKE 'https://m.%' THEN 'top' WHEN url LIKE 'http://blog.%' THEN 'folder'
+             WHEN url LIKE '%.html' THEN 'zip' END AS place,
         word || CASE WHEN contains(url, '?') THEN '.wav' ELSE '.jpg' END AS name
-      FROM (SELECT url, regexp_extract_all(html, '{_LINK}', 1)[1] AS word FROM pages)
-      WHERE word IS NOT NULL),
+      FROM (SELECT url, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS word FROM pages)),
     files AS (SELECT name, place, url || '/' || name AS path FROM listing
+      WHERE place IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY name ORDER BY
         CASE place WHEN 'top' THEN 0 WHEN 'folder' THEN 1 ELSE 2 END, url || '/' || name) = 1)"""
 
@@ -789,23 +791,17 @@ _CAPTION_TEXT = """
 
 @query(
     rf"""
-    WITH p AS ({_CAPTIONED}),
-      listing AS (SELECT DISTINCT regexp_extract(url, '/([0-9]+)', 1) || '.jpg' AS name FROM pages
-                  WHERE url NOT LIKE '%.html'),
+    WITH p AS ({_CAPTIONED}), {_FILES},
       t AS (SELECT page_id, image, {_IDS.format(f"left({_CAPTION_TEXT}, 10000)")} AS ids
-            FROM p WHERE image IN (SELECT name FROM listing)),
+            FROM p WHERE image IN (SELECT name FROM files)),
       m AS (SELECT max(len(ids)) AS mx FROM t)
     SELECT page_id, image, {_join(f"list_concat(ids, {_repeat(0, 'mx - len(ids)')})")} AS ids,
       {_join(f"list_concat({_repeat(1, 'len(ids)')}, {_repeat(0, 'mx - len(ids)')})")} AS mask
     FROM t, m"""
 )
 def prepare_media(spark, sf_dir):
-    name = F.concat(F.regexp_extract("url", "/([0-9]+)", 1), F.lit(".jpg"))
-    listing = table(spark, sf_dir, "pages").where(~F.col("url").endswith(".html")).select(
-        F.lit("folder").alias("place"), F.concat_ws("/", "url", name).alias("path"),
-        name.alias("name"),
-    )
-    rows = op.prepare_dataset(captioned_pages(spark, sf_dir), "page_id", listing=listing)
+    pages, listing = captioned_pages(spark, sf_dir), page_listing(spark, sf_dir)
+    rows = op.prepare_dataset(pages, "page_id", listing=listing)
     return rows.select(
         "page_id", "image", text(F.col("input_ids")).alias("ids"),
         text(F.col("attention_mask")).alias("mask"),
@@ -1125,12 +1121,12 @@ def prepared(spark, sf_dir, *names: str, pad: str = "max") -> tuple[DataFrame, s
 
 
 @query(
-    """
+    f"""
     SELECT dataset, status, columns, task, train_rows::VARCHAR AS train_rows FROM (VALUES
       ('talks/turns', 'prepared', 'conversations', 'text-generation',
         (SELECT count(*) FROM conversations)),
       ('talks/captions', 'prepared', 'conversations image', 'text-vision-text-generation',
-        (SELECT count(*) FROM pages WHERE url LIKE '%.html')),
+        (SELECT count(*) FROM ({_CAPTIONED}))),
       ('talks/parts', 'prepared', 'conversations', 'text-generation',
         (SELECT count(*) FROM part)),
       ('talks/regions', 'UnsupportedLayout', NULL, NULL, NULL),

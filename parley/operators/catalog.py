@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .skew import splittable
 
-# Listed datasets are spread over this many keys when they meet the listed models.
-CARD_BUCKETS = 64
+# Cells in which listed models and datasets meet.
+GRID_ROWS = 128
+GRID_COLUMNS = 8
 
 
 def select_split(catalog: DataFrame, default: str = "train") -> DataFrame:
@@ -67,18 +69,27 @@ def upsert_manifest(card: DataFrame, models: DataFrame, datasets: DataFrame) ->
     a null dataset.
 
     Every listed model gets every listed dataset, so the result has models x datasets
-    new rows. They are made by an equi-join on a bucket of the dataset name, which
-    shares the work out evenly whatever the sizes; nothing is broadcast or collected.
+    new rows. They are made in a grid: a model belongs to one row of cells and a
+    dataset to one column, each is sent along its line, and every pair meets in exactly
+    one cell by an equi-join. The cells are alike in size whatever the two counts are.
     """
-    models = models.select("model").distinct()
+    models = models.select("model", splittable("model")).distinct().select("model")
     names = datasets.select("dataset").where(F.col("dataset").isNotNull()).distinct()
 
-    bucketed = names.withColumn("_bucket", F.pmod(F.xxhash64("dataset"), F.lit(CARD_BUCKETS)))
-    buckets = F.sequence(F.lit(0).cast("long"), F.lit(CARD_BUCKETS - 1).cast("long"))
-    entries = (
-        models.withColumn("_bucket", F.explode(buckets))
-        .join(bucketed, "_bucket")
-        .select("model", "dataset", F.lit("").alias("info"))
+    def line(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    def cell(name: str, count: int) -> Column:
+        return F.pmod(F.hash(name), F.lit(count))
+
+    placed_models = models.select(
+        "model", cell("model", GRID_ROWS).alias("_row"), line(GRID_COLUMNS).alias("_column")
+    )
+    placed_names = names.select(
+        "dataset", cell("dataset", GRID_COLUMNS).alias("_column"), line(GRID_ROWS).alias("_row")
+    )
+    entries = placed_models.join(placed_names, ["_row", "_column"]).select(
+        "model", "dataset", F.lit("").alias("info")
     )
     n_names = names.agg(F.count(F.lit(1)))
     empty = models.where(n_names.scalar() == 0).select(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.messages import message, reject_reason
 from .layout import Layout, UnsupportedLayout, detect_layout
+from .skew import splittable
 
 CONVERSATIONS = "conversations"
 
@@ -127,12 +128,12 @@ def fold_turns(
     one plain shuffle. Their list is broadcast only when counted to be small.
     """
     key = F.col(id_col)
-    spans = df.groupBy(key.alias("_id")).agg(
+    spans = df.groupBy(key.alias("_id"), splittable(key)).agg(
         F.count(F.lit(1)).alias("_turns"),
         F.min(turn).alias("_first"),
         F.max(turn).alias("_last"),
     )
-    long_ones = spans.where(F.col("_turns") > part_turns).drop("_turns")
+    long_ones = spans.where(F.col("_turns") > part_turns).drop("_turns", "_follows")
     n_long = long_ones.limit(broadcast_rows + 1).count()
 
     folded = F.sort_array(F.collect_list(F.struct(turn, role, content)))

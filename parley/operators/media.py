@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import media_kind
+from .skew import splittable
 
 # Where a file of the wanted name is looked for, in order.
 PLACES = ("top", "folder", "zip")
@@ -28,15 +29,15 @@ def resolve_media(refs: DataFrame, listing: DataFrame, how: str = "inner") -> Da
 
     ``listing`` has (place, path, name). Of several files of one name the first
     place wins, then the first path. The listing is reduced to one row per name
-    before the join, so the join never multiplies rows; a name that many rows refer
-    to is a skewed but one-to-one join, which adaptive execution splits.
+    before the join, so the join never multiplies rows, and a name that many rows
+    refer to is split by adaptive execution.
     """
     order = F.lit(len(PLACES))
     for i, place in enumerate(PLACES):
         order = F.when(F.col("place") == place, i).otherwise(order)
     best = (
         listing.where(F.col("place").isin(*PLACES))
-        .groupBy(F.col("name").alias("ref"))
+        .groupBy(F.col("name").alias("ref"), splittable("name"))
         .agg(F.min(F.struct(order.alias("order"), "path", "place")).alias("_file"))
     )
     return refs.join(best, "ref", how).select(

@@ -13,6 +13,7 @@ from ..session import checkpointed
 from .conversations import CONVERSATIONS, _as_list, to_conversations, valid_conversations
 from .layout import detect_layout
 from .media import keep_readable
+from .skew import splittable
 from .tokenizers import CodePointTokenizer
 
 
@@ -79,7 +80,7 @@ def pad_to_multiple(
     """Pad to the next multiple: of the row itself, or of the longest row in its batch.
 
     Row padding needs no shuffle. Batch lengths are aggregated before they are
-    joined back, so a large batch never sits in one task.
+    joined back, so a large batch is never held as one group.
     """
 
     def rounded(length):
@@ -87,8 +88,11 @@ def pad_to_multiple(
 
     if batch_col is None:
         return _pad(df, rounded(F.col("n_tokens")), pad_id)
-    longest = df.groupBy(batch_col).agg(rounded(F.max("n_tokens")).alias("_length"))
-    return _pad(df.join(longest, batch_col), F.col("_length"), pad_id).drop("_length")
+    longest = df.groupBy(batch_col, splittable(batch_col)).agg(
+        rounded(F.max("n_tokens")).alias("_length")
+    )
+    joined = df.join(longest.drop("_follows"), batch_col)
+    return _pad(joined, F.col("_length"), pad_id).drop("_length")
 
 
 def has_unmasked(df: DataFrame) -> DataFrame:

@@ -122,19 +122,27 @@ def fold_turns(
     is all that truncated token rows need: a rendered message is 30 characters or more,
     so a first part fills the longest limit.
 
-    Long conversations are found by counting turns, which reads only ``id_col`` and
-    ``turn`` and is pre-aggregated in every task. There are at most
-    (rows / part_turns) of them. Without any, which is the usual case, the fold is
-    one plain shuffle. Their list is broadcast only when counted to be small.
+    When the turn numbers of the whole table span less than ``part_turns``, no
+    conversation can be longer, and the fold is one plain shuffle. Otherwise the long
+    ones, at most (rows / part_turns), are found by counting turns, pre-aggregated in
+    every task; both checks read only ``id_col`` and ``turn``. The list of long ones is
+    broadcast only when counted to be small.
     """
     key = F.col(id_col)
-    spans = df.groupBy(key.alias("_id"), splittable(key)).agg(
-        F.count(F.lit(1)).alias("_turns"),
-        F.min(turn).alias("_first"),
-        F.max(turn).alias("_last"),
+    long_ones = (
+        df.groupBy(key.alias("_id"), splittable(key))
+        .agg(
+            F.count(F.lit(1)).alias("_turns"),
+            F.min(turn).alias("_first"),
+            F.max(turn).alias("_last"),
+        )
+        .where(F.col("_turns") > part_turns)
+        .select("_id", "_first", "_last")
     )
-    long_ones = spans.where(F.col("_turns") > part_turns).drop("_turns", "_follows")
-    n_long = long_ones.limit(broadcast_rows + 1).count()
+    first, last = df.agg(F.min(turn), F.max(turn)).first()
+    n_long = 0
+    if first is not None and last - first >= part_turns:
+        n_long = long_ones.limit(broadcast_rows + 1).count()
 
     folded = F.sort_array(F.collect_list(F.struct(turn, role, content)))
     messages = F.transform(folded, lambda m: message(m[role], m[content]))

@@ -66,20 +66,34 @@ def keep_readable(
 ) -> DataFrame:
     """Rows with a media column that can be read.
 
-    A column can be read when ``require`` ("all" or "any") of its references
-    resolve to an image.
+    A column can be read when ``require`` ("all" or "any") of its references name an
+    image file of the listing. Whether a file exists does not depend on which of several
+    is taken, so names are enough here. A single column of single references is one
+    semi join; lists are first decided per row on the references alone.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    names = (
+        listing.where(F.col("place").isin(*PLACES))
+        .select(F.col("name").alias("ref"), splittable("name"))
+        .distinct()
+        .select("ref")
+    )
+    is_list = [isinstance(df.schema[c].dataType, T.ArrayType) for c in media_cols]
+    if is_list == [False]:
+        column = F.col(f"`{media_cols[0]}`")
+        images = df.where(media_kind(column) == "image")
+        return images.join(names, column == F.col("ref"), "left_semi")
+
     refs = None
-    for column in media_cols:
-        part = explode_media(df, ids, column).withColumn("_column", F.lit(column))
+    for name in media_cols:
+        part = explode_media(df, ids, name).withColumn("_column", F.lit(name))
         refs = part if refs is None else refs.unionByName(part)
-    is_image = F.coalesce(F.col("kind") == "image", F.lit(False))
+    found = refs.join(names.withColumn("_found", F.lit(True)), "ref", "left")
+    is_image = F.col("_found").isNotNull() & (media_kind(F.col("ref")) == "image")
     agree = F.bool_and if require == "all" else F.bool_or
     readable = (
-        resolve_media(refs, listing, "left")
-        .groupBy(*ids, "_column")
-        .agg(agree(is_image).alias("_readable"))
+        found.groupBy(*ids, "_column")
+        .agg(agree(F.coalesce(is_image, F.lit(False))).alias("_readable"))
         .where("_readable")
     )
     return df.join(readable, ids, "left_semi")

@@ -27,19 +27,26 @@ def tokenize(
     """Replace ``text_col`` by input_ids, special_mask and n_tokens.
 
     n_tokens does not depend on the ids when the tokenizer can count, so a plan that
-    needs only lengths never builds a token.
+    needs only lengths never builds a token. An n_tokens column that is there is kept.
     """
     tokenizer = tokenizer or CodePointTokenizer()
-    text = F.col(text_col)
-    count = tokenizer.count(text, max_length)
-    kept = [c for c in df.columns if c != text_col]
-    columns = [tokenizer.encode(text, max_length).alias("_encoded")]
-    if count is not None:
-        columns.append(count.alias("n_tokens"))
-    encoded = df.select(*kept, *columns)
-    ids = F.col("_encoded.input_ids")
-    length = F.size(ids).alias("n_tokens") if count is None else F.col("n_tokens")
-    return encoded.select(*kept, ids, F.col("_encoded.special_mask"), length)
+    counted = count_tokens(df, text_col, tokenizer, max_length)
+    kept = [c for c in counted.columns if c != text_col]
+    encoded = counted.select(
+        *kept, tokenizer.encode(F.col(text_col), max_length).alias("_encoded")
+    )
+    rows = encoded.select(*kept, "_encoded.input_ids", "_encoded.special_mask")
+    if "n_tokens" not in kept:
+        rows = rows.withColumn("n_tokens", F.size("input_ids"))
+    return rows
+
+
+def count_tokens(df: DataFrame, text_col: str, tokenizer, max_length: int | None) -> DataFrame:
+    """Add n_tokens, if the tokenizer can count without encoding."""
+    count = tokenizer.count(F.col(text_col), max_length)
+    if count is None or "n_tokens" in df.columns:
+        return df
+    return df.withColumn("n_tokens", count)
 
 
 def label_tokens(df: DataFrame, marks_special: bool = True) -> DataFrame:
@@ -143,24 +150,33 @@ def prepare_dataset(
             raise EmptyDataset("no conversation of the dataset can be rendered")
         present = F.lit(False)
         for column in media:
-            present = present | F.col(f"`{column}`").isNotNull()
+            some = F.col(f"`{column}`").isNotNull()
+            if isinstance(df.schema[column].dataType, T.ArrayType):
+                some = F.size(F.col(f"`{column}`")) > 0
+            present = present | some
         conversations = conversations.where(present)
-        if listing is not None:
-            conversations = keep_readable(conversations, ids, media, listing)
 
+    # Counted before the join with the listing, so that the longest row can be found
+    # without sending any text through it.
     text = render_chat(F.col(CONVERSATIONS)).alias("_text")
-    rows = tokenize(conversations.select(*ids, *media, text), "_text", tokenizer, limit)
+    texts = conversations.select(*ids, *media, text)
+    texts = count_tokens(texts, "_text", tokenizer, limit)
+    if media and listing is not None:
+        texts = keep_readable(texts, ids, media, listing)
+    rows = tokenize(texts, "_text", tokenizer, limit)
     outputs = ["input_ids", "attention_mask"]
     if not media:
         rows = label_tokens(rows, tokenizer.marks_special)
         outputs.append("labels")
+    # Tokens that cost much and are read twice are kept.
+    if pad == "max" and tokenizer.count(F.lit(""), limit) is None:
+        rows = checkpointed(rows)
+    if not media and check:
         counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
-        if check and rows.where(counts).isEmpty():
+        if rows.where(counts).isEmpty():
             raise EmptyDataset("no label of the dataset counts")
 
     if pad == "max":
-        if tokenizer.count(F.lit(""), limit) is None:
-            rows = checkpointed(rows)
         rows = pad_to_max(rows, tokenizer.pad_id)
     elif pad == "multiple":
         rows = pad_to_multiple(rows, tokenizer.pad_id)

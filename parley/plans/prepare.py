@@ -123,7 +123,10 @@ def training_inputs(spark: SparkSession, manifest: DataFrame, root: str) -> Data
         route_task(F.col("columns")).alias("task"),
         formatted_name(F.col("dataset")).alias("_directory"),
     )
-    rows = spark.read.parquet(f"{root.rstrip('/')}/*{fixed.FORMATTED_SUFFIX}")
+    try:
+        rows = spark.read.parquet(f"{root.rstrip('/')}/*{fixed.FORMATTED_SUFFIX}")
+    except AnalysisException:  # nothing was prepared
+        return prepared.drop("_directory").withColumn("train_rows", F.lit(0).cast("long"))
     directory = F.element_at(F.split("_metadata.file_path", "/"), -2)
     counts = rows.groupBy(directory.alias("_directory")).agg(
         F.count(F.lit(1)).alias("train_rows")

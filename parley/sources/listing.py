@@ -19,6 +19,9 @@ def _open(path: str):
 
     if path.startswith("file://"):
         return fs.LocalFileSystem().open_input_file(path.removeprefix("file://"))
+    # Hadoop's names for the same store.
+    for scheme in ("s3a://", "s3n://"):
+        path = path.replace(scheme, "s3://", 1) if path.startswith(scheme) else path
     system, inner = fs.FileSystem.from_uri(path)
     return system.open_input_file(inner)
 

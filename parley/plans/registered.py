@@ -50,7 +50,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def text(values: Column) -> Column:
-    return F.array_join(values.cast("array<string>"), " ")
+    return F.to_json(values)
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +388,8 @@ def whitespace_rules(spark, sf_dir):
       FROM documents),
       n AS (SELECT doc_id, {_normalized_sql("prompt")} AS prompt FROM p)
     SELECT doc_id, length(prompt)::INT AS n_tokens,
-      array_to_string(list_transform(string_split(prompt, ''), lambda x: unicode(x)), ' ') AS ids
+      '[' || array_to_string(list_transform(string_split(prompt, ''), lambda x: unicode(x)), ',') || ']'
+        AS ids
     FROM n"""
 )
 def prompt_tokens(spark, sf_dir):
@@ -453,7 +454,7 @@ def _repeat(value: int | str, count: str) -> str:
 
 
 def _join(values: str) -> str:
-    return f"array_to_string({values}, ' ')"
+    return f"'[' || array_to_string({values}, ',') || ']'"
 
 
 @query(f"SELECT conv_id, len(ids)::INT AS n_tokens, {_join('ids')} AS ids FROM ({_CUT})")

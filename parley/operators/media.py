@@ -69,9 +69,22 @@ def keep_readable(
     A column can be read when ``require`` ("all" or "any") of its references name an
     image file of the listing. Whether a file exists does not depend on which of several
     is taken, so names are enough here. A single column of single references is one
-    semi join; lists are first decided per row on the references alone.
+    semi join; lists are first decided per row on the references alone. Media whose
+    bytes are in the table need no file.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    embedded = [c for c in media_cols if isinstance(df.schema[c].dataType, T.BinaryType)]
+    if embedded:
+        inside = F.lit(False)
+        for name in embedded:
+            inside = inside | F.col(f"`{name}`").isNotNull()
+        there = df.where(inside)
+        others = [c for c in media_cols if c not in embedded]
+        if not others:
+            return there
+        found = keep_readable(df.where(~inside), ids, others, listing, require)
+        return there.unionByName(found)
+
     names = (
         listing.where(F.col("place").isin(*PLACES))
         .select(F.col("name").alias("ref"), splittable("name"))

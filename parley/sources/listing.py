@@ -49,8 +49,11 @@ def _uri(path: Column) -> Column:
 def media_listing(spark: SparkSession, root: str) -> DataFrame:
     """(place, path, name) of top-level files, files in sub-folders and zip entries.
 
-    File contents are never read: only ``path`` is projected. A listing that exists
-    as a table (an inventory of the store) can be used in its place.
+    ``name`` is what a reference may call the file. A file in a sub-folder goes by its
+    own name and by the ends of its path inside that folder, one row each: x/a/b.jpg is
+    found as b.jpg and as a/b.jpg. File contents are never read: only ``path`` is
+    projected. A listing that exists as a table (an inventory of the store) can be used
+    in its place.
     """
     files = (
         spark.read.format("binaryFile")
@@ -61,10 +64,15 @@ def media_listing(spark: SparkSession, root: str) -> DataFrame:
     # Paths come back with scheme and host; what follows the root starts after it.
     base = "/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
     inside = F.substr("path", F.locate(base, F.col("path")) + F.lit(len(base)))
-    listed = files.select(
-        F.when(inside.contains("/"), "folder").otherwise("top").alias("place"),
+    parts = F.col("_parts")
+    ends = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda n: F.array_join(F.slice(parts, -n, n), "/"),
+    )
+    listed = files.withColumn("_parts", F.split(inside, "/")).select(
+        F.when(F.size(parts) > 1, "folder").otherwise("top").alias("place"),
         "path",
-        F.substring_index("path", "/", -1).alias("name"),
+        F.explode(ends).alias("name"),
     )
     archives = listed.where((F.col("place") == "top") & F.col("name").endswith(".zip"))
     entries = archives.select("path").mapInPandas(_zip_entries, _SCHEMA)

@@ -99,6 +99,33 @@ def test_pairs_are_matched_by_id(spark):
     assert got == [(1, 1, "/d/b.png", "one"), (2, 0, "/d/x/a.jpg", "two")]
 
 
+def test_embedded_media_need_no_file(spark):
+    df = spark.createDataFrame(
+        [(1, bytearray(b"x"), None), (2, None, "s.wav"), (3, None, "none"), (4, None, None)],
+        "id INT, image BINARY, images STRING",
+    ).withColumn("images", F.when(F.col("id") == 2, "b.png").otherwise(F.col("images")))
+    out = op.keep_readable(df, "id", ["image", "images"], listing(spark))
+    assert sorted(r.id for r in out.collect()) == [1, 2]
+    assert [r.id for r in op.keep_readable(df, "id", ["image"], listing(spark)).collect()] == [1]
+
+
+def test_references_with_folders(spark, tmp_path):
+    (tmp_path / "train" / "images").mkdir(parents=True)
+    (tmp_path / "test" / "images").mkdir(parents=True)
+    for name in ("train/images/1.jpg", "test/images/1.jpg", "test/images/2.jpg"):
+        (tmp_path / name).write_bytes(b"x")
+    names = ["images/1.jpg", "images/2.jpg", "1.jpg", "train/images/1.jpg", "ages/1.jpg"]
+    refs = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "id INT, pos INT, ref STRING")
+    resolved = op.resolve_media(refs, io.media_listing(spark, str(tmp_path)))
+    got = {r.ref: r.path.removeprefix(f"file://{tmp_path}/") for r in resolved.collect()}
+    # As in the folders themselves: a reference does not repeat the top folder's name.
+    assert got == {
+        "images/1.jpg": "test/images/1.jpg",
+        "images/2.jpg": "test/images/2.jpg",
+        "1.jpg": "test/images/1.jpg",
+    }
+
+
 def test_media_training_rows(spark):
     df = spark.createDataFrame(
         [(1, "cat", "a.jpg"), (2, "dog", "none.jpg"), (3, "cow", None)],
@@ -140,6 +167,7 @@ def test_listing(spark, tmp_path):
         ("top", "pack.zip"),
         ("folder", "a.jpg"),
         ("folder", "b.jpg"),
+        ("folder", "deep/b.jpg"),
         ("folder", "c.jpg"),
         ("folder", "inner.zip"),
         ("zip", "in/d.jpg"),

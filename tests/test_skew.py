@@ -49,6 +49,30 @@ def test_hot_media_name(spark, small_limits):
     assert len({r.path for r in rows if r.ref == "hot.jpg"}) == 1
 
 
+def test_hot_readable_name(spark, small_limits):
+    df = hot_rows(spark).select("id", F.concat("key", F.lit(".jpg")).alias("image"))
+    listing = df.where("id % 3 <> 1").select(
+        F.lit("zip").alias("place"), F.col("image").alias("path"), F.col("image").alias("name")
+    )
+    rows, plan = final_plan(op.keep_readable(df, "id", ["image"], listing))
+    assert "skew=true" in plan
+    known = {r.name for r in listing.select("name").distinct().collect()}
+    assert len(rows) == df.where(F.col("image").isin(*known)).count()
+
+
+def test_hot_row_of_media(spark, small_limits):
+    """One conversation has half of all images."""
+    images = hot_rows(spark).select(
+        F.col("key").alias("c"), F.col("id").alias("pos"),
+        F.concat(F.lit("/d/"), "id").alias("path"), F.lit("image").alias("kind"),
+    )
+    talks = images.select("c").distinct().withColumn("conversations", F.array())
+    talks = spark.createDataFrame(talks.collect(), talks.schema)
+    rows, plan = final_plan(op.pair_media(talks, "c", images))
+    assert "skew=true" in plan
+    assert len({r.image for r in rows}) == len(rows) == 60_000
+
+
 def test_hot_batch(spark, small_limits):
     df = hot_rows(spark).withColumn("t", F.repeat(F.lit("x"), (F.col("id") % 13).cast("int")))
     rows, plan = final_plan(op.pad_to_multiple(op.tokenize(df, "t"), 0, batch_col="key"))

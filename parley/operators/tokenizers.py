@@ -79,7 +79,13 @@ class LibraryTokenizer:
     marks_special: bool = True
 
     @classmethod
-    def ship(cls, spark: SparkSession, path: str, pad_id: int) -> LibraryTokenizer:
+    def ship(
+        cls, spark: SparkSession, path: str, pad_id: int | None = None, eos_id: int | None = None
+    ) -> LibraryTokenizer:
+        """Send the file along with the job. The pad token is the end token if not given."""
+        pad_id = eos_id if pad_id is None else pad_id
+        if pad_id is None:
+            raise ValueError("a pad or an end token is needed")
         spark.sparkContext.addFile(path)
         return cls(path.rsplit("/", 1)[-1], pad_id)
 

@@ -71,6 +71,8 @@ def prepare_all(
     Per model the first usable dataset is written alone; each later one is written
     alone and once more together with the first, under the union name. A dataset
     that cannot be read, recognised or trained on is skipped and the rest goes on.
+    Directories are named by dataset only, so of two models with the same dataset the
+    later one's rows stay; give each model its own ``root`` to keep both.
     The manifest (model, dataset, status, columns) records the columns of the first
     and the current dataset together.
     """
@@ -111,23 +113,37 @@ def prepare_all(
     return spark.createDataFrame(report, _REPORT)
 
 
-def training_inputs(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """(model, dataset, task, train_rows) of the prepared datasets of a manifest.
+def training_card(manifest: DataFrame) -> DataFrame:
+    """The manifest as a card (model, dataset, info), to be kept with ``write_manifest``.
+
+    ``info`` lists the columns as JSON. A model without a prepared dataset is an empty
+    entry.
+    """
+    prepared = manifest.where(F.col("status") == "prepared")
+    entries = prepared.select("model", "dataset", F.to_json("columns").alias("info"))
+    models = manifest.select("model").distinct().join(prepared, "model", "left_anti")
+    return entries.unionByName(models, allowMissingColumns=True)
+
+
+def training_inputs(spark: SparkSession, card: DataFrame, root: str) -> DataFrame:
+    """(model, dataset, task, train_rows) of the prepared datasets of a training card.
 
     One scan counts the rows of all prepared datasets by their directory; it reads no
     column.
     """
-    prepared = manifest.where(F.col("status") == "prepared").select(
+    prepared = card.where(F.col("dataset").isNotNull()).select(
         "model",
         "dataset",
-        route_task(F.col("columns")).alias("task"),
+        route_task(F.from_json("info", "array<string>")).alias("task"),
         formatted_name(F.col("dataset")).alias("_directory"),
     )
     try:
         rows = spark.read.parquet(f"{root.rstrip('/')}/*{fixed.FORMATTED_SUFFIX}")
     except AnalysisException:  # nothing was prepared
         return prepared.drop("_directory").withColumn("train_rows", F.lit(0).cast("long"))
-    directory = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    # Spark reports file paths as URIs, where a plus sign stands for itself.
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    directory = F.element_at(F.split(path, "/"), -2)
     counts = rows.groupBy(directory.alias("_directory")).agg(
         F.count(F.lit(1)).alias("train_rows")
     )

@@ -20,7 +20,7 @@ from ..operators.conversations import CONVERSATIONS
 from ..operators.union import union_columns
 from ..session import shared_dir
 from ..streaming import training_stream, write_stream
-from .prepare import prepare_all, training_inputs
+from .prepare import prepare_all, training_card, training_inputs
 from .prompting import inference_prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1137,7 +1137,9 @@ def prepared(spark, sf_dir, *names: str, pad: str = "max") -> tuple[DataFrame, s
 def prepare_card(spark, sf_dir):
     names = ["turns", "captions", "parts", "regions", "none"]
     manifest, root = prepared(spark, sf_dir, *[f"talks/{n}" for n in names], pad="multiple")
-    inputs = training_inputs(spark, manifest, root).drop("model")
+    io.write_manifest(training_card(manifest), f"{root}/config")
+    kept = io.read_manifest(spark, f"{root}/config", lines=True)
+    inputs = training_inputs(spark, kept, root).drop("model")
     return manifest.join(inputs, "dataset", "left").select(
         "dataset", "status", F.array_join("columns", " ").alias("columns"), "task",
         F.col("train_rows").cast("string").alias("train_rows"),

@@ -9,36 +9,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCHEMA = "place string, path string, name string"
-# Zip entries handed to Spark at a time.
-_BATCH = 10_000
 
 
-def _open(path: str):
-    """The file behind a path of the listing, for reading at any position."""
-    from pyarrow import fs
+def _zip_reader():
+    """A function for ``mapInPandas``: the entries of each archive.
 
-    if path.startswith("file://"):
-        return fs.LocalFileSystem().open_input_file(path.removeprefix("file://"))
-    # Hadoop's names for the same store.
-    for scheme in ("s3a://", "s3n://"):
-        path = path.replace(scheme, "s3://", 1) if path.startswith(scheme) else path
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    It reads only the archive's directory, at its end. It is made here, inside another
+    function, so that executors get its code with the task and need not have this
+    package.
+    """
+    batch_size = 10_000
+
+    def open_file(path: str):
+        from pyarrow import fs
+
+        if path.startswith("file://"):
+            return fs.LocalFileSystem().open_input_file(path.removeprefix("file://"))
+        # Hadoop's names for the same store.
+        for scheme in ("s3a://", "s3n://"):
+            path = path.replace(scheme, "s3://", 1) if path.startswith(scheme) else path
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.open_input_file(inner)
 
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zipfile
 
-def _zip_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each archive; reads only the archive's directory at its end."""
-    import zipfile
+        for batch in batches:
+            for path in batch["path"]:
+                with open_file(path) as file, zipfile.ZipFile(file) as archive:
+                    names = archive.namelist()
+                for start in range(0, len(names), batch_size):
+                    part = names[start : start + batch_size]
+                    yield pd.DataFrame(
+                        {"place": "zip", "path": [f"{path}/{n}" for n in part], "name": part}
+                    )
 
-    for batch in batches:
-        for path in batch["path"]:
-            with _open(path) as file, zipfile.ZipFile(file) as archive:
-                names = archive.namelist()
-            for start in range(0, len(names), _BATCH):
-                part = names[start : start + _BATCH]
-                yield pd.DataFrame(
-                    {"place": "zip", "path": [f"{path}/{n}" for n in part], "name": part}
-                )
+    return entries
 
 
 def _uri(path: Column) -> Column:
@@ -75,5 +81,5 @@ def media_listing(spark: SparkSession, root: str) -> DataFrame:
         F.explode(ends).alias("name"),
     )
     archives = listed.where((F.col("place") == "top") & F.col("name").endswith(".zip"))
-    entries = archives.select("path").mapInPandas(_zip_entries, _SCHEMA)
+    entries = archives.select("path").mapInPandas(_zip_reader(), _SCHEMA)
     return listed.unionByName(entries)

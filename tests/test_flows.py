@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley import functions as fn
 from parley import operators as op
 from parley import sources as io
-from parley.plans import directory_source, prepare_all, training_inputs
+from parley.plans import directory_source, prepare_all, training_card, training_inputs
 from parley.streaming import training_stream, write_stream
 
 CARD = "model STRING, dataset STRING, info STRING, position INT"
@@ -66,7 +66,7 @@ def test_prepare_all(spark, raw, tmp_path):
     with_media = io.read_formatted(spark, root, "org/cats", union=True)
     assert [(r.id, r.image) for r in with_media.collect()] == [("c1", "a.jpg")]
 
-    inputs = {r.dataset: (r.task, r.train_rows) for r in training_inputs(spark, manifest, root).collect()}
+    inputs = {r.dataset: (r.task, r.train_rows) for r in training_inputs(spark, training_card(manifest), root).collect()}
     assert inputs == {
         "org/qa": ("text-generation", 2),
         "org/talks": ("text-generation", 1),
@@ -158,10 +158,20 @@ def test_vectors(spark):
     assert data.select(fn.decode_text(F.col("b"))).first()[0] == "é😀"
 
 
-def test_manifest_of_a_preparation_can_be_kept(spark, raw, tmp_path):
-    card = spark.createDataFrame([("m", "qa", "", 0)], CARD)
-    manifest = prepare_all(spark, card, str(tmp_path / "out"), directory_source(spark, raw))
-    kept = manifest.select("model", "dataset", F.to_json("columns").alias("info"))
-    io.write_manifest(kept, str(tmp_path / "config"))
-    back = io.read_manifest(spark, str(tmp_path / "config"), lines=True).first()
-    assert json.loads(back.info) == ["conversations"]
+def test_training_card(spark, raw, tmp_path):
+    card = spark.createDataFrame([("m", "qa", "", 0), ("m2", "bad", "", 0)], CARD)
+    root = str(tmp_path / "out")
+    manifest = prepare_all(spark, card, root, directory_source(spark, raw))
+    io.write_manifest(training_card(manifest), str(tmp_path / "config"))
+    back = io.read_manifest(spark, str(tmp_path / "config"), lines=True)
+    assert {(r.model, r.dataset): r.info for r in back.collect()} == {
+        ("m", "qa"): json.dumps(["conversations"]),
+        ("m2", None): None,
+    }
+    assert [r.train_rows for r in training_inputs(spark, back, root).collect()] == [2]
+    for name in ("a b+c", "100%é"):
+        io.write_formatted(spark.range(3), root, name)
+    odd = spark.createDataFrame([("m", "a b+c", "[]"), ("m", "100%é", "[]")], back.schema)
+    assert [r.train_rows for r in training_inputs(spark, odd, root).collect()] == [3, 3]
+    nothing = training_inputs(spark, back, str(tmp_path / "none")).collect()
+    assert [r.train_rows for r in nothing] == [0]

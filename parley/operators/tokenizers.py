@@ -1,7 +1,9 @@
 """Tokenizers: text in, STRUCT<input_ids, special_mask> and a token count out.
 
 ``encode(text, max_length)`` returns the struct column, ``count(text, max_length)``
-the number of tokens or None when only encoding tells. ``pad_id`` fills padding.
+the number of tokens or None when only encoding tells. ``pad_id`` fills padding,
+``marks_special`` says whether special tokens are added, and a tokenizer that counts
+says how many (``n_special``).
 """
 
 from __future__ import annotations
@@ -9,23 +11,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def _code_points_in_arrow(text: Column) -> Column:
+    """Code points by one UTF-32 conversion per Arrow batch."""
+
+    @F.arrow_udf("array<int>")
+    def code_points(batch: pa.Array) -> pa.Array:
+        texts = batch.fill_null("").to_pylist()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.int32)
+        ends = np.cumsum([0, *map(len, texts)], dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, codes, mask=batch.is_null())
+
+    return code_points(text)
+
+
+def _code_points_in_jvm(text: Column) -> Column:
+    """Code points by splitting into characters; an empty text would give one part."""
+    none = F.array().cast("array<int>")
+    return F.when(text == "", none).otherwise(F.transform(F.split(text, ""), F.ascii))
+
+
 @dataclass(frozen=True)
 class CodePointTokenizer:
-    """One token per Unicode code point, built from JVM expressions only.
+    """One token per Unicode code point.
 
     ``bos_id`` and ``eos_id`` add a special token in front and at the end. The pad
     token is the end token when none is given.
+
+    The JVM has no function from a string to its code points. Splitting it makes one
+    object per character: 206 million characters took 6.7 s on eight cores, in Arrow
+    batches 0.3 s. ``in_jvm`` takes the slower way, for clusters without Python workers.
     """
 
     bos_id: int | None = None
     eos_id: int | None = None
     pad_token: int | None = None
+    in_jvm: bool = False
 
     @property
     def pad_id(self) -> int:
@@ -35,23 +62,22 @@ class CodePointTokenizer:
         return 0
 
     @property
-    def _n_special(self) -> int:
+    def n_special(self) -> int:
         return (self.bos_id is not None) + (self.eos_id is not None)
 
     def _kept(self, text: Column, max_length: int | None) -> Column:
         # One character is one token, so cutting the text cuts the tokens.
+        text = F.make_valid_utf8(text)
         if max_length is None:
             return text
-        return F.left(text, F.lit(max(max_length - self._n_special, 0)))
+        return F.left(text, F.lit(max(max_length - self.n_special, 0)))
 
     def count(self, text: Column, max_length: int | None) -> Column:
-        return F.char_length(self._kept(text, max_length)) + F.lit(self._n_special)
+        return F.char_length(self._kept(text, max_length)) + F.lit(self.n_special)
 
     def encode(self, text: Column, max_length: int | None) -> Column:
         kept = self._kept(text, max_length)
-        none = F.array().cast("array<int>")
-        # An empty string would split into one empty part.
-        ids = F.when(kept == "", none).otherwise(F.transform(F.split(kept, ""), F.ascii))
+        ids = _code_points_in_jvm(kept) if self.in_jvm else _code_points_in_arrow(kept)
         mask = F.array_repeat(F.lit(0), F.char_length(kept))
         one = F.array(F.lit(1))
         if self.bos_id is not None:
@@ -64,7 +90,7 @@ class CodePointTokenizer:
 
     @property
     def marks_special(self) -> bool:
-        return self._n_special > 0
+        return self.n_special > 0
 
 
 @dataclass(frozen=True)

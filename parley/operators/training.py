@@ -172,7 +172,10 @@ def prepare_dataset(
     if pad == "max" and tokenizer.count(F.lit(""), limit) is None:
         rows = checkpointed(rows)
     if not media and check:
-        counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
+        if tokenizer.count(F.lit(""), limit) is None:
+            counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
+        else:  # the same, without building a token
+            counts = F.col("n_tokens") > tokenizer.n_special
         if rows.where(counts).isEmpty():
             raise EmptyDataset("no label of the dataset counts")
 

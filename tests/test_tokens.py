@@ -16,8 +16,9 @@ def frame(spark, texts=TEXTS):
 
 @pytest.mark.parametrize("bos, eos", [(None, None), (1, None), (None, 2), (1, 2)])
 @pytest.mark.parametrize("limit", [None, 5, 1])
-def test_code_points(spark, bos, eos, limit):
-    tokenizer = op.CodePointTokenizer(bos_id=bos, eos_id=eos)
+@pytest.mark.parametrize("in_jvm", [False, True])
+def test_code_points(spark, bos, eos, limit, in_jvm):
+    tokenizer = op.CodePointTokenizer(bos_id=bos, eos_id=eos, in_jvm=in_jvm)
     n_special = (bos is not None) + (eos is not None)
     rows = op.label_tokens(op.tokenize(frame(spark), "t", tokenizer, limit)).collect()
     for row in rows:
@@ -31,6 +32,16 @@ def test_code_points(spark, bos, eos, limit):
         assert row.labels == [-100] * len(head) + codes + [-100] * len(tail)
 
 
+@pytest.mark.parametrize("in_jvm", [False, True])
+def test_odd_texts(spark, in_jvm):
+    df = frame(spark, [None, "a"]).select("id", "t", F.lit(b"a\xffb\xc3").cast("string").alias("broken"))
+    tokenizer = op.CodePointTokenizer(in_jvm=in_jvm)
+    nulls = op.tokenize(df, "t", tokenizer).orderBy("id").collect()
+    assert [r.input_ids for r in nulls] == [None, [97]]
+    row = op.tokenize(df, "broken", tokenizer).first()
+    assert row.input_ids == [97, 0xFFFD, 98, 0xFFFD] and row.n_tokens == 4
+
+
 def test_pad_to_max(spark):
     tokenizer = op.CodePointTokenizer(bos_id=1, eos_id=2)
     rows = op.pad_to_max(op.label_tokens(op.tokenize(frame(spark), "t", tokenizer)), 2).collect()
@@ -168,3 +179,12 @@ def test_inference_prompts(spark):
     row = inference_prompts(frame(spark, ["why?"]), "id", "t").first()
     assert row.n_tokens == len(row.prompt) == len(row.input_ids)
     assert row.prompt.endswith("why?<|im_end|>")
+
+
+def test_only_special_tokens_are_nothing_to_train_on(spark):
+    df = spark.createDataFrame([(1, "q", "a")], "id INT, question STRING, answer STRING")
+    tokenizer = op.CodePointTokenizer(bos_id=1, eos_id=2)
+    with pytest.raises(EmptyDataset):
+        op.prepare_dataset(df, "id", tokenizer, max_length=2)
+    row = op.prepare_dataset(df, "id", tokenizer, max_length=3).first()
+    assert row.labels == [-100, 10, -100]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.messages import message, reject_reason
+from ..session import checkpointed
 from .layout import Layout, UnsupportedLayout, detect_layout
 from .skew import splittable
 
@@ -115,73 +116,90 @@ def fold_turns(
 ) -> DataFrame:
     """One row per conversation from a table with one row per turn.
 
-    (id, part, is_first, is_last, conversations); ``turn`` is a whole number that
-    orders the turns and is unique in a conversation. A conversation of more than
-    ``part_turns`` turns is kept as several parts, so no row and no task ever holds
-    an unbounded group, and no turn is lost. ``head_only`` keeps the first parts, which
-    is all that truncated token rows need: a rendered message is 30 characters or more,
-    so a first part fills the longest limit.
-
-    When the turn numbers of the whole table span less than ``part_turns``, no
-    conversation can be longer, and the fold is one plain shuffle. Otherwise the long
-    ones, at most (rows / part_turns), are found by counting turns, pre-aggregated in
-    every task; both checks read only ``id_col`` and ``turn``. The list of long ones is
-    broadcast only when counted to be small.
+    (id, part, is_first, is_last, conversations); ``turn`` orders the turns. A
+    conversation of more than ``part_turns`` turns is kept as several parts, so no row
+    and no task ever holds an unbounded group, and no turn is lost, not even where one
+    turn number has many copies. Parts are ordered by ``part``; the numbers have gaps.
+
+    ``head_only`` keeps the first ``part_turns`` turns of each conversation, which is all
+    that truncated token rows need: a rendered message is 30 characters or more, so they
+    fill the longest limit.
+
+    Long conversations, at most (rows / part_turns), are found by counting, which reads
+    only ``id_col`` and is pre-aggregated in every task. Without any, which is the usual
+    case, the fold is one plain shuffle. The list of long ones is broadcast only when
+    counted to be small.
     """
     key = F.col(id_col)
-    long_ones = (
+    long_ids = (
         df.groupBy(key.alias("_id"), splittable(key))
-        .agg(
-            F.count(F.lit(1)).alias("_turns"),
-            F.min(turn).alias("_first"),
-            F.max(turn).alias("_last"),
-        )
+        .agg(F.count(F.lit(1)).alias("_turns"))
         .where(F.col("_turns") > part_turns)
-        .select("_id", "_first", "_last")
+        .select("_id")
     )
-    first, last = df.agg(F.min(turn), F.max(turn)).first()
-    n_long = 0
-    if first is not None and last - first >= part_turns:
-        n_long = long_ones.limit(broadcast_rows + 1).count()
+    n_long = long_ids.limit(broadcast_rows + 1).count()
 
-    folded = F.sort_array(F.collect_list(F.struct(turn, role, content)))
-    messages = F.transform(folded, lambda m: message(m[role], m[content]))
+    def collected(*order: str) -> Column:
+        turns = F.sort_array(F.collect_list(F.struct(*order, role, content)))
+        return F.transform(turns, lambda m: message(m[role], m[content])).alias(CONVERSATIONS)
 
-    if n_long == 0:
-        return df.groupBy(id_col).agg(messages.alias(CONVERSATIONS)).select(
+    def one_part(rows: DataFrame, is_last: bool) -> DataFrame:
+        return rows.groupBy(id_col).agg(collected(turn)).select(
             id_col,
             F.lit(0).cast("long").alias("part"),
             F.lit(True).alias("is_first"),
-            F.lit(True).alias("is_last"),
+            F.lit(is_last).alias("is_last"),
             CONVERSATIONS,
         )
 
-    if n_long <= broadcast_rows:
-        long_ones = F.broadcast(long_ones)
-    marked = df.join(long_ones, key.eqNullSafe(F.col("_id")), "left")
-    offset = F.floor((F.col(turn) - F.col("_first")) / part_turns)
-    last_part = F.floor((F.col("_last") - F.col("_first")) / part_turns)
-    marked = marked.select(
-        id_col,
-        F.coalesce(offset, F.lit(0)).cast("long").alias("part"),
-        F.coalesce(last_part, F.lit(0)).cast("long").alias("_last_part"),
-        turn,
-        role,
-        content,
-    )
+    if n_long == 0:
+        return one_part(df, is_last=True)
+
+    is_small = n_long <= broadcast_rows
+    if is_small:
+        long_ids = F.broadcast(long_ids)
+    same = key.eqNullSafe(F.col("_id"))
+    short_rows = df.join(long_ids, same, "left_anti")
+    if not is_small:
+        # Grouped straight after a join by id, the join could not split its hot ids.
+        short_rows = short_rows.repartition(key)
+    short_ones = one_part(short_rows, is_last=True)
+    long_rows = df.join(long_ids, same, "left_semi").select(id_col, turn, role, content)
+
     if head_only:
-        marked = marked.where(F.col("part") == 0)
-    # After a join shuffled by id the aggregate would stay in the tasks of the hot ids.
-    spread = marked.repartition(F.col(id_col), F.col("part")) if n_long > broadcast_rows else marked
-    return spread.groupBy(id_col, "part").agg(
-        messages.alias(CONVERSATIONS), F.max("_last_part").alias("_last_part")
-    ).select(
-        id_col,
-        "part",
-        (F.col("part") == 0).alias("is_first"),
-        (F.col("part") == F.col("_last_part")).alias("is_last"),
-        CONVERSATIONS,
+        # Every task keeps its own first turns before they are shuffled.
+        position = F.row_number().over(Window.partitionBy(id_col).orderBy(turn))
+        heads = long_rows.withColumn("_n", position).where(F.col("_n") <= part_turns)
+        return short_ones.unionByName(one_part(heads, is_last=False))
+
+    # A row number splits copies of a turn. Sorted as a whole, the rows are numbered
+    # and every run of part_turns numbers is a part.
+    order = [id_col, turn, "_copy"]
+    ordered = (
+        long_rows.withColumn("_copy", F.monotonically_increasing_id())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_number", F.monotonically_increasing_id())
+    )
+    numbered = checkpointed(ordered.select(id_col, role, content, "_number"))
+    run = F.floor(F.col("_number") / part_turns)
+    ends = numbered.groupBy(key.alias("_id"), splittable(key)).agg(
+        F.min(run).alias("_first"), F.max(run).alias("_last")
+    )
+    ends = F.broadcast(ends) if is_small else ends
+    long_ones = (
+        numbered.groupBy(id_col, run.alias("_run"))
+        .agg(collected("_number"))
+        .join(ends, same)
+        .select(
+            id_col,
+            (F.col("_run") - F.col("_first")).alias("part"),
+            (F.col("_run") == F.col("_first")).alias("is_first"),
+            (F.col("_run") == F.col("_last")).alias("is_last"),
+            CONVERSATIONS,
+        )
     )
+    return short_ones.unionByName(long_ones)
 
 
 def valid_conversations(df: DataFrame, col: str = CONVERSATIONS) -> DataFrame:

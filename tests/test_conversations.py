@@ -115,7 +115,9 @@ def test_parts_add_up(spark, turns, part_turns, broadcast_rows):
     heads = op.fold_turns(
         turns, "conv_id", "turn", "role", "text", part_turns, True, broadcast_rows
     )
-    assert {r.conv_id: r.part for r in heads.select("conv_id", "part").collect()} == dict.fromkeys(want, 0)
+    got = {r.conv_id: (r.part, r.is_first, pairs(r.conversations)) for r in heads.collect()}
+    full = {r.conv_id: pairs(r.conversations) for r in whole.collect()}
+    assert got == {c: (0, True, ms[:part_turns]) for c, ms in full.items()}
 
 
 def test_a_hot_conversation_is_spread(spark):
@@ -127,14 +129,39 @@ def test_a_hot_conversation_is_spread(spark):
         {"role": F.lit("user"), "text": F.col("turn").cast("string")}
     )
     out = op.fold_turns(df, "c", "turn", "role", "text", part_turns=1000)
-    rows = out.select("c", "part", "is_first", "is_last", F.size("conversations").alias("n")).collect()
-    assert sum(r.n for r in rows) == 18000
-    assert max(r.n for r in rows) <= 1000
-    for key, n_parts in ((7, 15), (None, 3)):
+    rows = out.select("c", "part", "is_first", "is_last", "conversations").collect()
+    assert sum(len(r.conversations) for r in rows) == 18000
+    assert max(len(r.conversations) for r in rows) <= 1000
+    for key, want in ((7, range(100, 15100, 3)), (None, range(3000))):
         mine = sorted((r for r in rows if r.c == key), key=lambda r: r.part)
-        assert len(mine) == n_parts
-        assert [r.is_first for r in mine] == [True] + [False] * (n_parts - 1)
-        assert [r.is_last for r in mine] == [False] * (n_parts - 1) + [True]
+        assert [r.is_first for r in mine] == [True] + [False] * (len(mine) - 1)
+        assert [r.is_last for r in mine] == [False] * (len(mine) - 1) + [True]
+        assert [int(m.content) for r in mine for m in r.conversations] == list(want)
+    cold_rows = [r for r in rows if r.c not in (7, None)]
+    assert len(cold_rows) == 2500 and all(r.is_first and r.is_last for r in cold_rows)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_copies_of_a_turn_are_spread(spark, broadcast_rows):
+    """A third of all rows are copies of one turn."""
+    copies = spark.range(0, 5000, 1, 4).select(F.lit(7).alias("c"), F.lit(1).alias("turn"))
+    rest = spark.range(10_000).select((F.col("id") % 2500).cast("int").alias("c"), F.floor(F.col("id") / 2500).cast("int").alias("turn"))
+    df = copies.union(rest).withColumns({"role": F.lit("user"), "text": F.col("turn").cast("string")})
+
+    def fold(**options):
+        out = op.fold_turns(
+            df, "c", "turn", "role", "text", part_turns=1000, broadcast_rows=broadcast_rows, **options
+        )
+        return out.collect()
+
+    rows = fold()
+    assert sum(len(r.conversations) for r in rows) == 15_000
+    assert max(len(r.conversations) for r in rows) <= 1000
+    mine = sorted((r for r in rows if r.c == 7), key=lambda r: r.part)
+    assert [m.content for r in mine for m in r.conversations] == ["0"] + ["1"] * 5001 + ["2", "3"]
+    assert [r.is_last for r in mine] == [False] * (len(mine) - 1) + [True]
+    (head,) = [r for r in fold(head_only=True) if r.c == 7]
+    assert [m.content for m in head.conversations] == ["0"] + ["1"] * 999
 
 
 def test_canonical_role(spark):

@@ -18,6 +18,7 @@ from .layout import Layout, UnsupportedLayout, detect_layout
 from .media import explode_media, keep_readable, pair_media, resolve_media
 from .tokenizers import CodePointTokenizer, LibraryTokenizer
 from .training import (
+    EmptyDataset,
     has_unmasked,
     label_tokens,
     max_tokens,
@@ -31,6 +32,7 @@ from .union import TypeClash, column_set, union_datasets
 
 __all__ = [
     "CodePointTokenizer",
+    "EmptyDataset",
     "Layout",
     "LibraryTokenizer",
     "TypeClash",

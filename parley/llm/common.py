@@ -43,7 +43,7 @@ def restored(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
 
 def typed(columns: str, **more: T.DataType) -> T.StructType:
     """A schema from DDL and further columns of given types."""
-    schema = T._parse_datatype_string(columns)
+    schema = T.StructType.fromDDL(columns) if columns else T.StructType()
     for name, kind in more.items():
         schema = schema.add(name, kind)
     return schema

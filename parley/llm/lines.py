@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm import bloom
+from parley.llm.bloom import WORD_BITS, contains, seen_twice
 from parley.llm.common import LOWER, SPACE, doc_id, keyed, texts_of, typed, written
 
 #: Shorter keys, in code points, are never dropped.
@@ -45,7 +45,7 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_key: int = MIN_KEY,
-    word_bits: int = bloom.WORD_BITS,
+    word_bits: int = WORD_BITS,
 ) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped, row (the other columns of the input)."""
     rows = keyed(docs, id_col, text_col)
@@ -53,7 +53,7 @@ def dedup_lines(
     def occurrences(batch: pa.RecordBatch) -> np.ndarray:
         return _hashes([k for text in texts_of(batch.column(0)) for k in _keys(text, min_key)])
 
-    twice = bloom.seen_twice(rows.select("text"), occurrences, word_bits)
+    twice = seen_twice(rows.select("text"), occurrences, word_bits)
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +62,7 @@ def dedup_lines(
                 own = _keys(text, min_key)
                 keys += own
                 at += [i] * len(own)
-            held = bloom.contains(twice.value, _hashes(keys))
+            held = contains(twice.value, _hashes(keys))
             at = pa.array(np.asarray(at, np.int64)[held])
             yield pa.record_batch(
                 {

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import table
+from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
+from parley.llm.packing import pack_documents
+from parley.llm.tokens import length_histogram, suffix_sums
+
+#: The vocabulary that token counts and packing use.
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +61,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_sums(length_histogram(docs, public_tokenizers.path(VOCABULARY)))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), docs.filter(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The array of ids replaced by the CRC-32 of its little-endian unsigned 32-bit integers."""
+    for batch in batches:
+        ids = batch.column("input_ids")
+        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        rest = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length", "sequence_id", "offset")}
+        yield pa.record_batch(rest | {"ids_crc32": pa.array(crc, pa.int64())})
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return packed.mapInArrow(
+        _ids_digest,
+        "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long",
+    )

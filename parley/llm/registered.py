@@ -14,6 +14,7 @@ from parley.llm.common import table
 from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
 from parley.llm.packing import pack_documents
+from parley.llm.substrings import dedup_substrings
 from parley.llm.tokens import length_histogram, suffix_sums
 
 #: The vocabulary that token counts and packing use.
@@ -93,3 +94,36 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ids_digest,
         "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long",
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 34], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM texts WHERE len(words) >= 35)
+),
+again AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+starts AS (SELECT DISTINCT doc_id, pos, true AS hit FROM windows SEMI JOIN again USING (win)),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+judged AS (
+  SELECT doc_id, pos, word, coalesce(bool_or(hit) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM placed LEFT JOIN starts USING (doc_id, pos)
+),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""

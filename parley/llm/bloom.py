@@ -111,3 +111,8 @@ def seen_twice(
     for piece, at, found in pieces.mapInArrow(_united, "piece int, at binary, words binary").toLocalIterator():
         words[(piece << piece_bits) + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(found, np.uint64)
     return df.sparkSession.sparkContext.broadcast(words)
+
+
+def seen(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], word_bits: int = WORD_BITS) -> Broadcast:
+    """The broadcast filter of keys that occur in ``df`` at all: every occurrence is put in twice."""
+    return seen_twice(df, lambda batch: np.repeat(hashes_of(batch), 2), word_bits)

@@ -14,6 +14,7 @@ from parley.llm.common import table
 from parley.llm.jaccard import similar_documents
 from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
+from parley.llm.neighbours import nearest_neighbours
 from parley.llm.packing import pack_documents
 from parley.llm.substrings import dedup_substrings
 from parley.llm.tokens import length_histogram, suffix_sums
@@ -30,6 +31,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

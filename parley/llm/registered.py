@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import table
+from parley.llm.decontamination import contaminated
 from parley.llm.jaccard import similar_documents
 from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
 from parley.llm.neighbours import nearest_neighbours
 from parley.llm.packing import pack_documents
+from parley.llm.rendering import extract_text
 from parley.llm.substrings import dedup_substrings
 from parley.llm.tokens import length_histogram, suffix_sums
+from parley.llm.urls import Rule, filter_urls
 
 #: The vocabulary that token counts and packing use.
 VOCABULARY = "word_bpe_49k.json"
@@ -94,6 +97,31 @@ def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(rest | {"ids_crc32": pa.array(crc, pa.int64())})
 
 
+#: Hosts, with their subdomains, and paths that are decided without a model.
+URL_RULES = (
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+)
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "end_word")
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,13 @@ def doc_id() -> Column:
     return F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds less at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of an Arrow column."""
     return column.cast(pa.large_binary()).to_pylist()

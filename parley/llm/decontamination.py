@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parley.llm.common import mixed, texts_of, typed
 from parley.llm.words import WordHashes, lower_words
@@ -175,6 +176,41 @@ class Items:
         return best
 
 
+    def found(self, texts: list[bytes | None], hashes: CoreHashes) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, distance, end) of all matches; many texts are walked at once."""
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            own = words_of(text, hashes)
+            held.append((i, own))
+            size += len(own) + 1
+            if size < AT_ONCE and i + 1 < len(texts):
+                continue
+            flat = np.concatenate([x for _, words in held for x in (words, np.array([_PAD]))])
+            ends = np.cumsum([len(words) + 1 for _, words in held])
+            hits = self.hits(flat)
+            owner = np.searchsorted(ends, np.maximum(hits[:, 1], 0), "right")
+            order = np.lexsort((hits[:, 1], hits[:, 0], owner))
+            hits, owner = hits[order], owner[order]
+            for n, (row, words) in enumerate(held):
+                a, b = np.searchsorted(owner, [n, n + 1])
+                if a == b and not self.short:
+                    continue
+                mine = hits[a:b] - np.array([0, ends[n] - len(words) - 1])
+                for k, (edits, behind) in sorted(self.matches(words, mine).items()):
+                    yield row, k, edits, behind
+            held, size = [], 0
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in blocks of about ``size``, one after the other on the driver."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    blocks = max(1, -(-items.count() // size))
+    for number in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        yield [(r.item_id, r.text.encode("utf-8", "replace")) for r in own.collect()]
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -185,62 +221,53 @@ def contaminated(
     similarity: float = SIMILARITY,
     items_at_once: int = ITEMS,
 ) -> DataFrame:
-    """doc_id, item_id, distance (edits), end_word (behind the window), text_hash: one row per document and item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // items_at_once))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
-    )
-    schema = typed("", doc_id=rows.schema["doc_id"].dataType, item_id=items.schema["item_id"].dataType)
-    schema = schema.add("distance", "integer").add("end_word", "integer").add("text_hash", "long")
-    out = None
-    for number in range(blocks):
-        own = [(r.item_id, r.text.encode("utf-8", "replace")) for r in items.filter(block == number).collect()]
+    """doc_id, item_id, distance (edits), end_word (behind the best window): one row per document and item."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    item_type = benchmark.schema[item_col].dataType
+    schema = typed("", doc_id=rows.schema["doc_id"].dataType, item_id=item_type)
+    schema = schema.add("distance", "integer").add("end_word", "integer")
+    out = docs.sparkSession.createDataFrame([], schema)
+    for own in _blocks(benchmark, item_col, item_text_col, items_at_once):
         shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, hashes = Items(shared.value, similarity), CoreHashes()
+            arrow_type = to_arrow_type(item_type)
             for batch in batches:
-                at, item, distance, end = [], [], [], []
-                texts = texts_of(batch.column("text"))
-                held: list[tuple[int, np.ndarray]] = []
-                size = 0
-                for i, text in enumerate([*texts, None]):
-                    if i < len(texts):
-                        own = words_of(text, hashes)
-                        held.append((i, own))
-                        size += len(own) + 1
-                    if size < AT_ONCE and i < len(texts):
-                        continue
-                    flat = np.concatenate([x for _, w in held for x in (w, [_PAD])] or [np.empty(0, np.uint64)])
-                    ends = np.cumsum([len(w) + 1 for _, w in held])
-                    hits = block.hits(flat.astype(np.uint64))
-                    owner = np.searchsorted(ends, np.clip(hits[:, 1], 0, None), "right")
-                    order = np.lexsort((hits[:, 1], hits[:, 0], owner))
-                    hits, owner = hits[order], owner[order]
-                    for n, (row, words) in enumerate(held):
-                        a, b = np.searchsorted(owner, [n, n + 1])
-                        if a == b and not block.short:
-                            continue
-                        mine = hits[a:b] - np.array([0, ends[n] - len(words) - 1])
-                        for k, (edits, behind) in sorted(block.matches(words, mine).items()):
-                            at.append(row)
-                            item.append(block.names[k])
-                            distance.append(edits)
-                            end.append(behind)
-                    held, size = [], 0
-                at = pa.array(at, pa.int64())
+                found = list(block.found(texts_of(batch.column("text")), hashes))
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column("doc_id").take(at),
-                        "item_id": pa.array(item, pa.int64() if not item or isinstance(item[0], int) else None),
-                        "distance": pa.array(distance, pa.int32()),
-                        "end_word": pa.array(end, pa.int32()),
-                        "text_hash": batch.column("text_hash").take(at),
+                        "doc_id": batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())),
+                        "item_id": pa.array([block.names[x[1]] for x in found], arrow_type),
+                        "distance": pa.array([x[2] for x in found], pa.int32()),
+                        "end_word": pa.array([x[3] for x in found], pa.int32()),
                     }
                 )
 
-        found = rows.mapInArrow(matched, schema)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(rows.mapInArrow(matched, schema))
     return out
+
+
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    similarity: float = SIMILARITY,
+    items_at_once: int = ITEMS,
+) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    for own in _blocks(benchmark, item_col, item_text_col, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(own)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, hashes = Items(shared.value, similarity), CoreHashes()
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
+                stays[[row for row, *_ in block.found(texts, hashes)]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

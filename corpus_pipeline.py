@@ -2,27 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import restored, table, written
+from parley.llm.common import LAST_ID, keyed, restored, table, written
+from parley.llm.decontamination import decontaminated
+from parley.llm.jaccard import similar_documents
+from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
+from parley.llm.packing import pack_documents
+
+#: Near duplicates: runs of five words, and hundredths of the union in common.
+WORDS, PERCENT = 5, 80
+VOCABULARY = "word_bpe_49k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go; lang becomes the predicted language."""
+    found = identify(docs, docs.filter(~held_out())).filter("accepted")
+    return restored(found, docs, text=F.col("text"), lang=F.col("lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, but where the smallest id has them."""
+    """Repeated lines go, but where the smallest id has them. Documents stay, also those that have no line left."""
     return restored(dedup_lines(docs), docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one with the smallest id stays; of equal rows of one id, one."""
+    found = similar_documents(docs.select("doc_id", "text"), PERCENT, WORDS)
+    id_or_last = F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc")
+    stays = found.filter("is_first").select(id_or_last, "text_hash").distinct()
+    joined = keyed(docs).join(stays, ["doc", "text_hash"], "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc", "text_hash").orderBy("doc"))
+    return restored(joined.withColumn("copy", copy).filter("copy = 1"), docs, text=F.col("text"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: the pieces of all documents with their ids, sequence and place."""
+    return pack_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
 STAGES = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each on the written rows of the one before."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 

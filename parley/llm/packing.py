@@ -18,19 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import doc_id, keyed, texts_of
-from parley.llm.tokens import WordEncoder, vocabulary
+from parley.llm.common import doc_id, keyed, sliced, texts_of
+from parley.llm.tokens import vocabulary, worker_encoder
 
 #: Tokens of a sequence; the id that ends a document.
 SEQUENCE = 2048
 END_ID = 0
 #: Characters of text that are packed as one group, about.
-GROUP_CHARS = 32_000_000
+GROUP_CHARS = 16_000_000
 #: Times that the local search goes over all sequences that are not full.
 PASSES = 12
+#: Documents whose ids a task holds at once.
+AT_ONCE = 500
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -157,7 +160,10 @@ def pack_documents(
     end_id: int = END_ID,
     group_chars: int = GROUP_CHARS,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, input_ids, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset.
+
+    ``ids`` are packed little-endian unsigned 32-bit integers.
+    """
     spark = docs.sparkSession
     rows = keyed(docs.select(id_col, text_col), id_col, text_col).select("doc", "text_hash", "text")
     n_chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
@@ -166,8 +172,8 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
-        for batch in batches:
+        encoder = worker_encoder(shared.value)
+        for batch in sliced(batches, AT_ONCE):
             at, piece, start, ids = [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 own = encoder.ids(text) + end
@@ -177,24 +183,22 @@ def pack_documents(
                     start.append(begin // 4)
                     ids.append(own[begin : begin + 4 * size])
             at = pa.array(at, pa.int64())
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             yield pa.record_batch(
                 {
                     "doc": batch.column("doc").take(at),
                     "text_hash": batch.column("text_hash").take(at),
                     "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()),
-                    "input_ids": pa.ListArray.from_arrays(pa.array(ends), values),
+                    "ids": pa.array(ids, pa.binary()),
                 }
             )
 
-    pieces = rows.mapInArrow(cut, "doc long, text_hash long, piece int, start long, input_ids array<int>")
+    pieces = rows.mapInArrow(cut, "doc long, text_hash long, piece int, start long, ids binary")
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc", "text_hash", "piece"), F.lit(n_groups)))
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc", "ascending"), ("text_hash", "ascending"), ("piece", "ascending")])
-        lengths = pa.compute.list_value_length(group.column("input_ids").combine_chunks()).to_numpy().astype(np.int64)
+        lengths = pc.binary_length(group.column("ids")).to_numpy().astype(np.int64) // 4
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, items in enumerate(pack(lengths, size)):
             sequence[items] = k
@@ -206,15 +210,15 @@ def pack_documents(
                 "piece": group.column("piece"),
                 "start": group.column("start"),
                 "length": lengths,
-                "input_ids": group.column("input_ids"),
+                "ids": group.column("ids"),
                 "sequence_id": sequence + (part << 32),
                 "offset": offset,
             }
         )
 
-    schema = "doc long, piece int, start long, length long, input_ids array<int>, sequence_id long, offset long"
+    schema = "doc long, piece int, start long, length long, ids binary, sequence_id long, offset long"
     return (
         dealt.groupBy("part")
         .applyInArrow(packed, schema)
-        .select(doc_id(), "piece", "start", "length", "input_ids", "sequence_id", "offset")
+        .select(doc_id(), "piece", "start", "length", "ids", "sequence_id", "offset")
     )

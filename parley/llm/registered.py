@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,47 +85,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
-def _ids_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The array of ids replaced by the CRC-32 of its little-endian unsigned 32-bit integers."""
-    for batch in batches:
-        ids = batch.column("input_ids")
-        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-        rest = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length", "sequence_id", "offset")}
-        yield pa.record_batch(rest | {"ids_crc32": pa.array(crc, pa.int64())})
-
-
-#: Hosts, with their subdomains, and paths that are decided without a model.
-URL_RULES = (
-    Rule("net", "/", "block"),
-    Rule("example.net", "/en/", "allow"),
-    Rule("example.com", "/de/", "block"),
-    Rule("org", "/fr/", "allow"),
-)
-
-
-@query
-def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
-
-
-@query
-def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
-
-
-@query
-def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "distance", "end_word")
-
-
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return packed.mapInArrow(
-        _ids_digest,
-        "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids_crc32 long",
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
     )
 
 

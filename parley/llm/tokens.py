@@ -11,44 +11,90 @@ table has an empty histogram.
 
 from __future__ import annotations
 
+import string
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from types import ModuleType
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parley.llm.common import texts_of
+from parley.llm.common import texts_of, written
 
-#: Words that a task remembers the ids of; a longer word than this, in bytes, is encoded each time.
-CACHED_WORDS = 200_000
+#: Runs, and pre-tokens, that a task remembers the ids of; longer ones, in bytes, are encoded each time.
+CACHED_WORDS = 350_000
 CACHED_BYTES = 64
+#: Marks that end a word, and the first letter behind Latin-1.
+MARKS = string.punctuation.replace("'", "")
+LATIN_END = chr(256)
+#: Bytes as characters: those that are printable in Latin-1 are themselves, the others follow behind it in their order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Lengths that are summed together.
 BLOCK = 1024
 
 
 class WordEncoder(dict):
-    """Ids of a vocabulary that drops white space, as little-endian unsigned 32-bit integers.
+    """Ids of a vocabulary that drops white space, as packed unsigned 32-bit integers.
 
-    Such a vocabulary encodes every run between white space on its own, so ids are kept by run.
+    Such a vocabulary encodes every run between white space on its own, and every pre-token of a run on its own, so ids
+    of both are kept, of the first ones that come; frequent words are among them. Words of Latin letters skip the rest of the tokenizer; texts that hold a special token do not.
     """
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a run of letters, or of marks, that is normal already."""
+        packed = self.pieces.get(piece)
+        if packed is None:
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            packed = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(self.pieces) < CACHED_WORDS and len(piece) <= CACHED_BYTES:
+                self.pieces[piece] = packed
+        return packed
 
     def __missing__(self, run: bytes) -> bytes:
-        ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(run) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+        text = run.decode("utf-8", "replace")
+        packed = None
+        if text.isascii() or max(text) < LATIN_END:  # where lower case is by character and nothing composes
+            lower = text.lower()
+            if lower.isalpha():
+                packed = self._piece(lower)
+            else:
+                body = lower.rstrip(MARKS)
+                if body.isalpha():  # letters are one pre-token, what stands behind them another
+                    packed = self._piece(body) + self._piece(lower[len(body) :])
+        if packed is None:
+            packed = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHED_WORDS and len(run) <= CACHED_BYTES:
             self[run] = packed
         return packed
 
     def ids(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        text = text or b""
+        runs = text.split()
+        if any(token in text for token in self.special):
+            return b"".join(
+                array("I", self.tokenizer.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+                for r in runs
+            )
+        return b"".join(map(self.__getitem__, runs))
+
+
+def worker_encoder(vocabulary: str) -> WordEncoder:
+    """One encoder for each worker process, so that what it remembers serves all tasks there."""
+    kept = sys.modules.setdefault("_parley_worker", ModuleType("_parley_worker")).__dict__
+    if kept.get("vocabulary") != vocabulary:
+        kept["vocabulary"], kept["encoder"] = vocabulary, WordEncoder(vocabulary)
+    return kept["encoder"]
 
 
 def vocabulary(path: str | Path) -> str:
@@ -61,7 +107,7 @@ def length_histogram(docs: DataFrame, vocabulary_path: str, text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for batch in batches:
             own = [len(encoder.ids(text)) // 4 for text in texts_of(batch.column(0))]
             yield pa.record_batch({"length": pa.array(own, pa.int64())})
@@ -76,8 +122,11 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     length, n_docs, docs_below (shorter ones), docs_from (this long or longer), tokens_from (theirs), n_longer (cut at
     this limit), tokens_kept (of all documents, if longer ones are cut), tokens_total, docs_total.
     """
-    counts = histogram.select(
-        "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block")
+    counts = written(histogram).select(  # it is read twice, and its texts must not be
+        "length",
+        "n_docs",
+        (F.col("length") * F.col("n_docs")).alias("n_tokens"),
+        F.floor(F.col("length") / BLOCK).alias("block"),
     )
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     all_blocks = Window.partitionBy()

@@ -67,3 +67,6 @@ WHITESPACE = "".join(
 WHITESPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+
+# Characters of a rendered turn besides its role and content.
+LEAST_TURN = 30

@@ -29,9 +29,9 @@ def render_chat(
     """Chat text of ARRAY<STRUCT<role, content>>.
 
     ``images``, an ARRAY<ARRAY<STRING>> aligned with the messages, appends image
-    tags to each content. ``is_first`` / ``is_last`` are for a conversation kept
-    as several parts (see ``fold_turns``): the texts of the parts, in order, add
-    up to the text of the whole conversation.
+    tags to each content. ``is_first`` / ``is_last`` are for single turns (see
+    ``render_turns``): their texts, in order, add up to the text of the whole
+    conversation.
     """
     is_first = F.lit(True) if is_first is None else is_first
     is_last = F.lit(True) if is_last is None else is_last
@@ -65,7 +65,8 @@ def render_chat(
 
 def strip_line_ends(text: Column) -> Column:
     """Drop blanks and tabs at the end of every line."""
-    return F.regexp_replace(text, r"(?md)[ \t]+$", "")
+    # A run is tried once, at its start, and never given back: linear in any text.
+    return F.regexp_replace(text, r"(?md)(?<![ \t])[ \t]++$", "")
 
 
 def collapse_blank_lines(text: Column) -> Column:

@@ -9,6 +9,9 @@ from .catalog import (
 )
 from .conversations import (
     fold_turns,
+    reject_turns,
+    render_turns,
+    turns_needed,
     normalize_messages,
     split_rejects,
     to_conversations,
@@ -42,6 +45,9 @@ __all__ = [
     "explode_media",
     "filter_files",
     "fold_turns",
+    "reject_turns",
+    "render_turns",
+    "turns_needed",
     "has_unmasked",
     "keep_readable",
     "label_tokens",

@@ -8,16 +8,12 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.messages import message, reject_reason
-from ..session import checkpointed
+from ..functions.prompts import render_chat
 from .layout import Layout, UnsupportedLayout, detect_layout
 from .skew import splittable
 
 CONVERSATIONS = "conversations"
 
-# Longest run of turns kept in one row, and the most rows ever broadcast by fold_turns.
-PART_TURNS = 1024
-BROADCAST_ROWS = 1_000_000
-
 _MESSAGES = T.ArrayType(
     T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 )
@@ -104,102 +100,74 @@ def to_conversations(
     return built.select(*ids, _messages_of(layout).alias(CONVERSATIONS), *layout.media)
 
 
+def turns_needed(max_length: int, least_tokens: int = 1) -> int:
+    """How many turns hold the first ``max_length`` tokens, if none has fewer than ``least_tokens``."""
+    return max(1, -(-max_length // least_tokens))
+
+
 def fold_turns(
     df: DataFrame,
     id_col: str,
     turn: str,
     role: str,
     content: str,
-    part_turns: int = PART_TURNS,
-    head_only: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    max_turns: int | None = None,
 ) -> DataFrame:
-    """One row per conversation from a table with one row per turn.
+    """(id, conversations): one row per conversation from a table with one row per turn.
 
-    (id, part, is_first, is_last, conversations); ``turn`` orders the turns. A
-    conversation of more than ``part_turns`` turns is kept as several parts, so no row
-    and no task ever holds an unbounded group, and no turn is lost, not even where one
-    turn number has many copies. Parts are ordered by ``part``; the numbers have gaps.
+    ``turn`` orders the turns, role and content those of one number. The plan is the same
+    for every size: one shuffle by id.
 
-    ``head_only`` keeps the first ``part_turns`` turns of each conversation, which is all
-    that truncated token rows need: a rendered message is 30 characters or more, so they
-    fill the longest limit.
-
-    Long conversations, at most (rows / part_turns), are found by counting, which reads
-    only ``id_col`` and is pre-aggregated in every task. Without any, which is the usual
-    case, the fold is one plain shuffle. The list of long ones is broadcast only when
-    counted to be small.
+    ``max_turns`` keeps the first turns of each conversation, which token rows of a limited
+    length need (``turns_needed``). Every task drops the others before the shuffle, so a
+    conversation with a third of all turns is no hot key. Without it a row holds its whole
+    conversation; for conversations that fit no row, see ``render_turns`` and
+    ``reject_turns``, which never bring a conversation together.
     """
-    key = F.col(id_col)
-    long_ids = (
-        df.groupBy(key.alias("_id"), splittable(key))
-        .agg(F.count(F.lit(1)).alias("_turns"))
-        .where(F.col("_turns") > part_turns)
-        .select("_id")
-    )
-    n_long = long_ids.limit(broadcast_rows + 1).count()
-
-    def collected(*order: str) -> Column:
-        turns = F.sort_array(F.collect_list(F.struct(*order, role, content)))
-        return F.transform(turns, lambda m: message(m[role], m[content])).alias(CONVERSATIONS)
-
-    def one_part(rows: DataFrame, is_last: bool) -> DataFrame:
-        return rows.groupBy(id_col).agg(collected(turn)).select(
-            id_col,
-            F.lit(0).cast("long").alias("part"),
-            F.lit(True).alias("is_first"),
-            F.lit(is_last).alias("is_last"),
-            CONVERSATIONS,
-        )
+    rows = df.select(id_col, turn, role, content)
+    if max_turns is not None:
+        position = F.row_number().over(Window.partitionBy(id_col).orderBy(turn, role, content))
+        rows = rows.withColumn("_n", position).where(F.col("_n") <= max_turns)
+    turns = F.sort_array(F.collect_list(F.struct(turn, role, content)))
+    messages = F.transform(turns, lambda m: message(m[role], m[content]))
+    return rows.groupBy(id_col).agg(messages.alias(CONVERSATIONS))
+
+
+def render_turns(
+    df: DataFrame,
+    id_col: str,
+    turn: str,
+    role: str,
+    content: str,
+    add_generation_prompt: bool = False,
+) -> DataFrame:
+    """(id, turn, text): what each turn adds to the rendered text of its conversation.
 
-    if n_long == 0:
-        return one_part(df, is_last=True)
-
-    is_small = n_long <= broadcast_rows
-    if is_small:
-        long_ids = F.broadcast(long_ids)
-    same = key.eqNullSafe(F.col("_id"))
-    short_rows = df.join(long_ids, same, "left_anti")
-    if not is_small:
-        # Grouped straight after a join by id, the join could not split its hot ids.
-        short_rows = short_rows.repartition(key)
-    short_ones = one_part(short_rows, is_last=True)
-    long_rows = df.join(long_ids, same, "left_semi").select(id_col, turn, role, content)
-
-    if head_only:
-        # Every task keeps its own first turns before they are shuffled.
-        position = F.row_number().over(Window.partitionBy(id_col).orderBy(turn))
-        heads = long_rows.withColumn("_n", position).where(F.col("_n") <= part_turns)
-        return short_ones.unionByName(one_part(heads, is_last=False))
-
-    # A row number splits copies of a turn. Sorted as a whole, the rows are numbered
-    # and every run of part_turns numbers is a part.
-    order = [id_col, turn, "_copy"]
-    ordered = (
-        long_rows.withColumn("_copy", F.monotonically_increasing_id())
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_number", F.monotonically_increasing_id())
+    In the order of turns the texts add up to ``render_chat`` of the whole conversation. A
+    conversation is known by its first and last turn, which are aggregated in every task
+    first and joined back, so there is no limit to its length. Turn numbers are unique in a
+    conversation.
+    """
+    ends = df.groupBy(F.col(id_col).alias("_id"), splittable(id_col)).agg(
+        F.min(turn).alias("_first"), F.max(turn).alias("_last")
     )
-    numbered = checkpointed(ordered.select(id_col, role, content, "_number"))
-    run = F.floor(F.col("_number") / part_turns)
-    ends = numbered.groupBy(key.alias("_id"), splittable(key)).agg(
-        F.min(run).alias("_first"), F.max(run).alias("_last")
+    joined = df.join(ends, F.col(id_col).eqNullSafe(F.col("_id")))
+    is_first, is_last = F.col(turn) == F.col("_first"), F.col(turn) == F.col("_last")
+    single = F.array(message(F.col(role), F.col(content)))
+    text = render_chat(
+        single, add_generation_prompt=add_generation_prompt, is_first=is_first, is_last=is_last
     )
-    ends = F.broadcast(ends) if is_small else ends
-    long_ones = (
-        numbered.groupBy(id_col, run.alias("_run"))
-        .agg(collected("_number"))
-        .join(ends, same)
-        .select(
-            id_col,
-            (F.col("_run") - F.col("_first")).alias("part"),
-            (F.col("_run") == F.col("_first")).alias("is_first"),
-            (F.col("_run") == F.col("_last")).alias("is_last"),
-            CONVERSATIONS,
-        )
+    return joined.select(id_col, turn, text.alias("text"))
+
+
+def reject_turns(df: DataFrame, id_col: str, role: str, content: str) -> DataFrame:
+    """(id, reject_reason) of conversations that cannot be rendered, from single turns."""
+    single = F.array(message(F.col(role), F.col(content)))
+    return (
+        df.groupBy(id_col)
+        .agg(F.max(reject_reason(single)).alias("reject_reason"))
+        .where(F.col("reject_reason").isNotNull())
     )
-    return short_ones.unionByName(long_ones)
 
 
 def valid_conversations(df: DataFrame, col: str = CONVERSATIONS) -> DataFrame:

@@ -1,6 +1,8 @@
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from parley import fixed
 from parley import functions as fn
 from parley import operators as op
 
@@ -90,78 +92,62 @@ def test_rejects(spark):
     }
 
 
-@pytest.mark.parametrize("part_turns", [1, 2, 3, 1024])
-@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
-def test_parts_add_up(spark, turns, part_turns, broadcast_rows):
-    """Long conversations in parts render to the same text, whichever join is used."""
+def test_turns_add_up(spark, turns):
+    """Texts of single turns, in order, are the text of the conversation."""
     whole = op.fold_turns(turns, "conv_id", "turn", "role", "text")
-    want = {
-        r.conv_id: r.t
-        for r in whole.select("conv_id", fn.render_chat(F.col("conversations")).alias("t")).collect()
-    }
-    parts = op.fold_turns(
-        turns, "conv_id", "turn", "role", "text", part_turns, broadcast_rows=broadcast_rows
-    )
-    text = fn.render_chat(
-        F.col("conversations"), is_first=F.col("is_first"), is_last=F.col("is_last")
-    )
-    rows = parts.select("conv_id", "part", F.size("conversations").alias("n"), text.alias("t"))
-    got = {}
-    for row in sorted(rows.collect(), key=lambda r: (r.conv_id, r.part)):
-        assert row.n <= part_turns
-        got[row.conv_id] = got.get(row.conv_id, "") + row.t
-    assert got == want
-
-    heads = op.fold_turns(
-        turns, "conv_id", "turn", "role", "text", part_turns, True, broadcast_rows
-    )
-    got = {r.conv_id: (r.part, r.is_first, pairs(r.conversations)) for r in heads.collect()}
+    for prompt in (False, True):
+        text = fn.render_chat(F.col("conversations"), add_generation_prompt=prompt).alias("t")
+        want = {r.conv_id: r.t for r in whole.select("conv_id", text).collect()}
+        single = op.render_turns(turns, "conv_id", "turn", "role", "text", prompt).collect()
+        got = {}
+        for row in sorted(single, key=lambda r: (r.conv_id, r.turn)):
+            got[row.conv_id] = got.get(row.conv_id, "") + row.text
+        assert got == want
+
+
+@pytest.mark.parametrize("max_turns", [1, 2, 3, 1000])
+def test_first_turns(spark, turns, max_turns):
+    whole = op.fold_turns(turns, "conv_id", "turn", "role", "text")
+    heads = op.fold_turns(turns, "conv_id", "turn", "role", "text", max_turns=max_turns)
+    got = {r.conv_id: pairs(r.conversations) for r in heads.collect()}
     full = {r.conv_id: pairs(r.conversations) for r in whole.collect()}
-    assert got == {c: (0, True, ms[:part_turns]) for c, ms in full.items()}
-
-
-def test_a_hot_conversation_is_spread(spark):
-    """A third of all turns in one conversation, one of them with a null id."""
-    hot = spark.range(5000).select(F.lit(7).alias("c"), (F.col("id") * 3 + 100).alias("turn"))
-    null = spark.range(3000).select(F.lit(None).cast("int").alias("c"), F.col("id").alias("turn"))
-    cold = spark.range(10000).select((F.col("id") / 4 + 10).cast("int").alias("c"), F.col("id").alias("turn"))
-    df = hot.union(null).union(cold).withColumns(
-        {"role": F.lit("user"), "text": F.col("turn").cast("string")}
-    )
-    out = op.fold_turns(df, "c", "turn", "role", "text", part_turns=1000)
-    rows = out.select("c", "part", "is_first", "is_last", "conversations").collect()
-    assert sum(len(r.conversations) for r in rows) == 18000
-    assert max(len(r.conversations) for r in rows) <= 1000
-    for key, want in ((7, range(100, 15100, 3)), (None, range(3000))):
-        mine = sorted((r for r in rows if r.c == key), key=lambda r: r.part)
-        assert [r.is_first for r in mine] == [True] + [False] * (len(mine) - 1)
-        assert [r.is_last for r in mine] == [False] * (len(mine) - 1) + [True]
-        assert [int(m.content) for r in mine for m in r.conversations] == list(want)
-    cold_rows = [r for r in rows if r.c not in (7, None)]
-    assert len(cold_rows) == 2500 and all(r.is_first and r.is_last for r in cold_rows)
-
-
-@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
-def test_copies_of_a_turn_are_spread(spark, broadcast_rows):
-    """A third of all rows are copies of one turn."""
-    copies = spark.range(0, 5000, 1, 4).select(F.lit(7).alias("c"), F.lit(1).alias("turn"))
-    rest = spark.range(10_000).select((F.col("id") % 2500).cast("int").alias("c"), F.floor(F.col("id") / 2500).cast("int").alias("turn"))
-    df = copies.union(rest).withColumns({"role": F.lit("user"), "text": F.col("turn").cast("string")})
-
-    def fold(**options):
-        out = op.fold_turns(
-            df, "c", "turn", "role", "text", part_turns=1000, broadcast_rows=broadcast_rows, **options
+    assert got == {c: ms[:max_turns] for c, ms in full.items()}
+
+
+def test_a_long_conversation_stays_one(spark):
+    """3,000 turns, one null late, next to short ones and one with a null id."""
+    hot = spark.range(3000).select(F.lit(7).alias("c"), F.col("id").alias("turn"))
+    null = spark.range(2000).select(F.lit(None).cast("int").alias("c"), F.col("id").alias("turn"))
+    cold = spark.range(400).select((F.col("id") / 4 + 10).cast("int").alias("c"), F.col("id").alias("turn"))
+    content = F.when((F.col("c") == 7) & (F.col("turn") == 2900), None).otherwise(F.col("turn").cast("string"))
+    df = hot.union(null).union(cold).withColumns({"role": F.lit("user"), "text": content})
+    folded = op.fold_turns(df, "c", "turn", "role", "text")
+    sizes = {r.c: len(r.conversations) for r in folded.collect()}
+    assert sizes.pop(7) == 3000 and sizes.pop(None) == 2000 and set(sizes.values()) == {4}
+
+    good, bad = op.split_rejects(folded)
+    assert [r.c for r in bad.collect()] == [7] and good.count() == 101
+    assert [tuple(r) for r in op.reject_turns(df, "c", "role", "text").collect()] == [(7, "null role or content")]
+
+    text = oracle.render([("user", str(i)) for i in range(2000)])
+    rendered = op.render_turns(df.where("c IS NULL"), "c", "turn", "role", "text").orderBy("turn").collect()
+    assert "".join(r.text for r in rendered) == text
+    for limit in (10, 1000, 100_000):
+        heads = op.fold_turns(
+            df.where("c IS NULL"), "c", "turn", "role", "text", max_turns=op.turns_needed(limit, fixed.LEAST_TURN)
         )
-        return out.collect()
-
-    rows = fold()
-    assert sum(len(r.conversations) for r in rows) == 15_000
-    assert max(len(r.conversations) for r in rows) <= 1000
-    mine = sorted((r for r in rows if r.c == 7), key=lambda r: r.part)
-    assert [m.content for r in mine for m in r.conversations] == ["0"] + ["1"] * 5001 + ["2", "3"]
-    assert [r.is_last for r in mine] == [False] * (len(mine) - 1) + [True]
-    (head,) = [r for r in fold(head_only=True) if r.c == 7]
-    assert [m.content for m in head.conversations] == ["0"] + ["1"] * 999
+        chat = heads.select("c", fn.render_chat(F.col("conversations")).alias("t"))
+        assert op.tokenize(chat, "t", max_length=limit).first().input_ids == [ord(c) for c in text[:limit]]
+
+
+def test_first_turns_are_cut_before_the_shuffle(spark, turns):
+    heads = op.fold_turns(turns, "conv_id", "turn", "role", "text", max_turns=34)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")  # a plan is printed from its end
+    copies = spark.range(0, 50_000, 1, 8).select(F.lit(7).alias("c"), F.lit(1).alias("turn"))
+    df = copies.withColumns({"role": F.lit("user"), "text": F.col("turn").cast("string")})
+    (row,) = op.fold_turns(df, "c", "turn", "role", "text", max_turns=34).collect()
+    assert len(row.conversations) == 34
 
 
 def test_canonical_role(spark):

@@ -86,3 +86,16 @@ def test_prompt_for_a_question(spark):
         oracle.render([("system", fixed.PROMPT_SYSTEM), ("user", "why?  \n\n\n")])
     )
     assert got == want
+
+
+@pytest.mark.parametrize("text", [" " * 200_000 + "x", "a\n" + " " * 200_000 + "x", "a" + " \t" * 100_000 + "\nb", "\n" * 200_000 + "x"])
+def test_whitespace_rules_are_linear(spark, text):
+    import time
+
+    df = spark.createDataFrame([("x",), (text,)], "t STRING")
+    rules = prompts.collapse_blank_lines(prompts.strip_line_ends(F.col("t")))
+    df.limit(1).select(rules).collect()
+    start = time.perf_counter()
+    got = df.select(rules.alias("t")).collect()[1].t
+    assert time.perf_counter() - start < 5
+    assert got.endswith(text[-1]) and "x\n\n\n" not in got

@@ -91,13 +91,12 @@ def test_hot_model(spark, small_limits):
     assert len(rows) == 30_000 + 2000 * 30
 
 
-def test_hot_conversation_without_broadcast(spark, small_limits):
+def test_hot_conversation(spark, small_limits):
     df = hot_rows(spark).select(
         F.col("key").alias("c"), F.col("id").alias("turn"), F.lit("user").alias("role"),
         F.col("id").cast("string").alias("text"),
     )
-    out = op.fold_turns(df, "c", "turn", "role", "text", part_turns=20, broadcast_rows=1)
-    rows, plan = final_plan(out.select("c", "part", F.size("conversations").alias("n")))
+    rows, plan = final_plan(op.render_turns(df, "c", "turn", "role", "text"))
     assert "skew=true" in plan
-    assert sum(r.n for r in rows) == 60_000
-    assert max(r.n for r in rows) <= 20
+    assert len(rows) == 60_000
+    assert sum(r.text.endswith("\n\n\n") for r in rows) == len({r.c for r in rows})

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .skew import splittable
 
-# Cells in which listed models and datasets meet.
-GRID_ROWS = 128
-GRID_COLUMNS = 8
-
 
 def select_split(catalog: DataFrame, default: str = "train") -> DataFrame:
     """(dataset, config, split): train if listed, else test, else ``default``."""
@@ -69,31 +65,15 @@ def upsert_manifest(card: DataFrame, models: DataFrame, datasets: DataFrame) ->
     a null dataset.
 
     Every listed model gets every listed dataset, so the result has models x datasets
-    new rows. They are made in a grid: a model belongs to one row of cells and a
-    dataset to one column, each is sent along its line, and every pair meets in exactly
-    one cell by an equi-join. The cells are alike in size whatever the two counts are.
+    new rows. The names of the datasets are gathered once, as one array, which goes to
+    every listed model and is expanded there: they are as many as someone lists in one
+    call.
     """
     models = models.select("model", splittable("model")).distinct().select("model")
-    names = datasets.select("dataset").where(F.col("dataset").isNotNull()).distinct()
-
-    def line(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    def cell(name: str, count: int) -> Column:
-        return F.pmod(F.hash(name), F.lit(count))
-
-    placed_models = models.select(
-        "model", cell("model", GRID_ROWS).alias("_row"), line(GRID_COLUMNS).alias("_column")
-    )
-    placed_names = names.select(
-        "dataset", cell("dataset", GRID_COLUMNS).alias("_column"), line(GRID_ROWS).alias("_row")
-    )
-    entries = placed_models.join(placed_names, ["_row", "_column"]).select(
-        "model", "dataset", F.lit("").alias("info")
-    )
-    n_names = names.agg(F.count(F.lit(1)))
-    empty = models.where(n_names.scalar() == 0).select(
-        "model", F.lit(None).cast("string").alias("dataset"), F.lit("").alias("info")
+    names = datasets.select("dataset").where(F.col("dataset").isNotNull())
+    listed = names.agg(F.sort_array(F.collect_set("dataset")))
+    entries = models.withColumn("_names", listed.scalar()).select(
+        "model", F.explode_outer("_names").alias("dataset"), F.lit("").alias("info")
     )
     kept = card.join(models, "model", "left_anti").select("model", "dataset", "info")
-    return kept.unionByName(entries).unionByName(empty)
+    return kept.unionByName(entries)

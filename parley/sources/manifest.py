@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CARD = "model map<string, map<string, string>>"
-# A single document is held by one task; a larger card is kept as lines.
-MAX_DOCUMENT_ENTRIES = 100_000
 _EMPTY_CARD = "model string, dataset string, info string"
 _EMPTY_CONFIGS = "dataset string, config string"
+_UNPARSED = "file string, value string"
 
 
 def parse_card(documents: DataFrame, col: str = "value") -> DataFrame:
@@ -32,11 +32,9 @@ def card_documents(card: DataFrame) -> DataFrame:
 def single_document(card: DataFrame) -> DataFrame:
     """The card as one JSON document, for readers that expect one.
 
-    One document is one row, so the number of entries is checked first; a larger
-    card is written as lines.
+    One document is one row, which one task makes; a card of any size is written as
+    lines.
     """
-    if card.limit(MAX_DOCUMENT_ENTRIES + 1).count() > MAX_DOCUMENT_ENTRIES:
-        raise ValueError(f"more than {MAX_DOCUMENT_ENTRIES} entries, write the card as lines")
     entry = F.when(
         F.col("dataset").isNotNull(),
         F.struct("dataset", F.coalesce("info", F.lit("")).alias("info")),
@@ -47,22 +45,45 @@ def single_document(card: DataFrame) -> DataFrame:
     return models.agg(F.to_json(F.struct(model.alias("model"))).alias("value"))
 
 
-def _readable(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
+def _documents(spark: SparkSession, path: str, parsed: Column) -> DataFrame | None:
+    """(file, value, good): the JSON documents in ``path``; None when there is nothing.
+
+    A file with a line that is a document is read by lines, any other file as one document,
+    which a single task holds. ``parsed`` is null where ``value`` is no document.
+    """
     try:
-        return spark.read.text(path, wholetext=whole)
-    except Exception:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        lines = lines.where(F.trim("value") != "").withColumn("good", parsed.isNotNull())
+        whole = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("file"), "value"
+        )
+    except AnalysisException:
         return None
+    by_line = lines.groupBy("file").agg(F.bool_or("good").alias("by_line"))
+    files = by_line.where("by_line").select("file")
+    others = by_line.where("NOT by_line").select("file")
+    single = whole.join(others, "file", "left_semi").withColumn("good", parsed.isNotNull())
+    return lines.join(files, "file", "left_semi").unionByName(single)
 
 
-def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The card in ``path``; empty when there is none or it is not JSON.
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The card in ``path``; empty when there is none.
 
-    One indented document, or with ``lines`` one document per line.
+    Documents may stand one per line or fill a file, indented or not, in any number of
+    files. What is no card is left out here and listed by ``unparsed_manifest``.
     """
-    documents = _readable(spark, path, whole=not lines)
+    documents = _documents(spark, path, F.from_json("value", _CARD)["model"])
     if documents is None:
         return spark.createDataFrame([], _EMPTY_CARD)
-    return parse_card(documents)
+    return parse_card(documents.where("good"))
+
+
+def unparsed_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the documents in ``path`` that are no card."""
+    documents = _documents(spark, path, F.from_json("value", _CARD)["model"])
+    if documents is None:
+        return spark.createDataFrame([], _UNPARSED)
+    return documents.where("NOT good").select("file", "value")
 
 
 def write_manifest(card: DataFrame, path: str, lines: bool = True) -> None:
@@ -71,13 +92,21 @@ def write_manifest(card: DataFrame, path: str, lines: bool = True) -> None:
     documents.write.mode("overwrite").text(path)
 
 
-def read_configs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(dataset, config) of saved choices; empty when unreadable."""
-    documents = _readable(spark, path, whole=not lines)
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, config) of saved choices, in the same forms as a card; empty when there are none."""
+    saved = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    documents = _documents(spark, path, saved)
     if documents is None:
         return spark.createDataFrame([], _EMPTY_CONFIGS)
-    saved = T.MapType(T.StringType(), T.StringType())
-    return documents.select(F.explode(F.from_json("value", saved)).alias("dataset", "config"))
+    return documents.where("good").select(F.explode(saved).alias("dataset", "config"))
+
+
+def unparsed_configs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the documents in ``path`` that hold no choices."""
+    documents = _documents(spark, path, F.from_json("value", T.MapType(T.StringType(), T.StringType())))
+    if documents is None:
+        return spark.createDataFrame([], _UNPARSED)
+    return documents.where("NOT good").select("file", "value")
 
 
 def write_configs(saved: DataFrame, path: str) -> None:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from parley import functions as fn
 from parley import operators as op
 from parley import sources as io
-from parley.sources.manifest import MAX_DOCUMENT_ENTRIES
 
 CARD = "model STRING, dataset STRING, info STRING"
 
@@ -88,7 +87,7 @@ def test_manifest_files(spark, tmp_path):
     assert rows(read, "model", "dataset", "info") == want
 
     io.write_manifest(read, str(tmp_path / "lines"))
-    again = io.read_manifest(spark, str(tmp_path / "lines"), lines=True)
+    again = io.read_manifest(spark, str(tmp_path / "lines"))
     assert rows(again, "model", "dataset", "info") == want
 
     io.write_manifest(read, str(tmp_path / "one"), lines=False)
@@ -107,12 +106,29 @@ def test_unreadable_manifests_are_empty(spark, tmp_path):
     assert io.read_configs(spark, str(tmp_path / "none.json")).count() == 0
 
 
-def test_a_large_card_is_not_one_document(spark):
-    large = spark.range(MAX_DOCUMENT_ENTRIES + 1).select(
-        F.lit("m").alias("model"), F.col("id").cast("string").alias("dataset"), F.lit("").alias("info")
-    )
-    with pytest.raises(ValueError):
-        io.single_document(large)
+def test_manifests_in_many_forms_and_files(spark, tmp_path):
+    """Indented, in one line, in lines, and what is no card, side by side."""
+    folder = tmp_path / "cards"
+    folder.mkdir()
+    (folder / "indented.json").write_text(json.dumps({"model": {"a": {"1": ""}}}, indent=2))
+    (folder / "single.json").write_text(json.dumps({"model": {"b": {"2": "", "3": ""}}}))
+    lines = [json.dumps({"model": {f"c{i}": {"x": ""}}}) for i in range(20)]
+    (folder / "lines.json").write_text("\n".join(lines[:10]) + "\n\n")
+    (folder / "more.json").write_text("\n".join(lines[10:]))
+    (folder / "broken.json").write_text(lines[0] + "\n{")
+    (folder / "other.json").write_text('{"a": "x"}')
+    assert io.read_manifest(spark, str(folder)).count() == 24
+    unread = {(r.file.rsplit("/", 1)[-1], r.value) for r in io.unparsed_manifest(spark, str(folder)).collect()}
+    assert unread == {("broken.json", "{"), ("other.json", '{"a": "x"}')}
+    configs = tmp_path / "configs"
+    configs.mkdir()
+    for i in range(2):
+        (configs / f"{i}.json").write_text("\n".join(json.dumps({f"d{i}{j}": "c"}) for j in range(10)))
+    (configs / "indented.json").write_text(json.dumps({"e": None}, indent=2))
+    (configs / "bad.json").write_text("[")
+    assert io.read_configs(spark, str(configs)).count() == 21
+    assert [r.value for r in io.unparsed_configs(spark, str(configs)).collect()] == ["["]
+    assert io.unparsed_manifest(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_config_files(spark, tmp_path):
@@ -121,7 +137,7 @@ def test_config_files(spark, tmp_path):
     saved = io.read_configs(spark, str(path))
     assert rows(saved, "dataset", "config") == [("a", "x"), ("b/c", None)]
     io.write_configs(saved, str(tmp_path / "lines"))
-    again = io.read_configs(spark, str(tmp_path / "lines"), lines=True)
+    again = io.read_configs(spark, str(tmp_path / "lines"))
     assert rows(again, "dataset", "config") == [("a", "x"), ("b/c", None)]
 
 

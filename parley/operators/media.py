@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,15 +13,47 @@ from .skew import splittable
 PLACES = ("top", "folder", "zip")
 
 
+def _references(df: DataFrame, media_col: str) -> Column:
+    """ARRAY<STRUCT<ref, inside>> of a media column: where each medium is.
+
+    A column holds one medium or a list of them. A medium is a reference, its bytes, or a
+    struct with bytes and path; with bytes it is in the table (``inside``) and needs no file.
+    """
+    kind = df.schema[media_col].dataType
+    column = F.col(f"`{media_col}`")
+    if not isinstance(kind, T.ArrayType):
+        kind, column = T.ArrayType(kind), F.when(column.isNotNull(), F.array(column))
+    element = kind.elementType
+
+    def place(medium: Column) -> Column:
+        if isinstance(element, T.BinaryType):
+            ref, inside = F.lit(None).cast("string"), medium.isNotNull()
+        elif isinstance(element, T.StructType):
+            names = element.fieldNames()
+            ref = medium["path"] if "path" in names else F.lit(None).cast("string")
+            inside = medium["bytes"].isNotNull() if "bytes" in names else F.lit(False)
+            ref = F.when(~inside, ref)
+        else:
+            ref, inside = medium.cast("string"), F.lit(False)
+        return F.struct(ref.alias("ref"), inside.alias("inside"))
+
+    return F.transform(column, place)
+
+
+def has_media(df: DataFrame, media_col: str) -> Column:
+    """Whether a media column names or holds anything."""
+    there = F.filter(_references(df, media_col), lambda m: m["inside"] | m["ref"].isNotNull())
+    return F.coalesce(F.size(there) > 0, F.lit(False))
+
+
 def explode_media(df: DataFrame, id_cols: str | list[str], media_col: str) -> DataFrame:
-    """(ids, pos, ref): one row per reference; the column holds one or a list."""
+    """(ids, pos, ref): one row per reference; the column holds one or a list.
+
+    Media whose bytes are in the table refer to no file and have no row.
+    """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    column = F.col(f"`{media_col}`")
-    if isinstance(df.schema[media_col].dataType, T.ArrayType):
-        refs = df.select(*ids, F.posexplode(column).alias("pos", "ref"))
-    else:
-        refs = df.select(*ids, F.lit(0).alias("pos"), column.alias("ref"))
-    return refs.where(F.col("ref").isNotNull())
+    refs = df.select(*ids, F.posexplode(_references(df, media_col)).alias("pos", "_medium"))
+    return refs.select(*ids, "pos", F.col("_medium.ref").alias("ref")).where(F.col("ref").isNotNull())
 
 
 def resolve_media(refs: DataFrame, listing: DataFrame, how: str = "inner") -> DataFrame:
@@ -66,47 +98,36 @@ def keep_readable(
 ) -> DataFrame:
     """Rows with a media column that can be read.
 
-    A column can be read when ``require`` ("all" or "any") of its references name an
-    image file of the listing. Whether a file exists does not depend on which of several
-    is taken, so names are enough here. A single column of single references is one
-    semi join; lists are first decided per row on the references alone. Media whose
-    bytes are in the table need no file.
+    A column can be read when ``require`` ("all" or "any") of its media are in the table or
+    name an image file of the listing. Whether a file exists does not depend on which of
+    several is taken, so names are enough here. A single column of single references is
+    one semi join; otherwise the media of all columns are looked up together, in one pass
+    over ids and references, and decided per row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    embedded = [c for c in media_cols if isinstance(df.schema[c].dataType, T.BinaryType)]
-    if embedded:
-        inside = F.lit(False)
-        for name in embedded:
-            inside = inside | F.col(f"`{name}`").isNotNull()
-        there = df.where(inside)
-        others = [c for c in media_cols if c not in embedded]
-        if not others:
-            return there
-        found = keep_readable(df.where(~inside), ids, others, listing, require)
-        return there.unionByName(found)
-
     names = (
         listing.where(F.col("place").isin(*PLACES))
         .select(F.col("name").alias("ref"), splittable("name"))
         .distinct()
         .select("ref")
     )
-    is_list = [isinstance(df.schema[c].dataType, T.ArrayType) for c in media_cols]
-    if is_list == [False]:
+    if len(media_cols) == 1 and isinstance(df.schema[media_cols[0]].dataType, T.StringType):
         column = F.col(f"`{media_cols[0]}`")
         images = df.where(media_kind(column) == "image")
         return images.join(names, column == F.col("ref"), "left_semi")
 
-    refs = None
-    for name in media_cols:
-        part = explode_media(df, ids, name).withColumn("_column", F.lit(name))
-        refs = part if refs is None else refs.unionByName(part)
+    def of_column(name: str) -> Column:
+        return F.transform(
+            F.coalesce(_references(df, name), F.array()),
+            lambda m: F.struct(F.lit(name).alias("column"), m["ref"].alias("ref"), m["inside"].alias("inside")),
+        )
+
+    media = F.flatten(F.array(*[of_column(c) for c in media_cols]))
+    refs = df.select(*ids, F.explode(media).alias("_medium")).select(*ids, "_medium.*")
     found = refs.join(names.withColumn("_found", F.lit(True)), "ref", "left")
     is_image = F.col("_found").isNotNull() & (media_kind(F.col("ref")) == "image")
+    good = F.col("inside") | F.coalesce(is_image, F.lit(False))
     agree = F.bool_and if require == "all" else F.bool_or
-    readable = (
-        found.groupBy(*ids, "_column")
-        .agg(agree(F.coalesce(is_image, F.lit(False))).alias("_readable"))
-        .where("_readable")
-    )
-    return df.join(readable, ids, "left_semi")
+    decided = [F.coalesce(agree(F.when(F.col("column") == c, good)), F.lit(False)) for c in media_cols]
+    readable = found.groupBy(*ids).agg(F.array_contains(F.array(*decided), True).alias("_readable"))
+    return df.join(readable.where("_readable"), ids, "left_semi")

@@ -176,3 +176,39 @@ def test_listing(spark, tmp_path):
     files = io.media_listing(spark, f"file://{root}/").where("place = 'top'")
     assert "content" not in files._jdf.queryExecution().executedPlan().toString()
     assert files.count() == 2
+
+
+def test_media_inside_the_table(spark):
+    """Bytes and structs of bytes and path, single and in lists, next to references."""
+    listing = spark.createDataFrame([("top", "/m/a.jpg", "a.jpg")], "place STRING, path STRING, name STRING")
+    x = bytearray(b"x")
+    medium = "STRUCT<bytes: BINARY, path: STRING>"
+    df = spark.createDataFrame(
+        [
+            (1, (x, None), [(x, "no.jpg"), (None, "a.jpg")], [x], "no.jpg"),
+            (2, (None, "a.jpg"), [(None, "no.jpg"), (x, None)], [None], None),
+            (3, (None, "no.jpg"), [], [], "a.jpg"),
+            (4, None, None, None, None),
+        ],
+        f"id INT, one {medium}, many ARRAY<{medium}>, data ARRAY<BINARY>, name STRING",
+    )
+
+    def readable(*columns, require="all"):
+        return sorted(r.id for r in op.keep_readable(df, "id", list(columns), listing, require).collect())
+
+    assert readable("one") == [1, 2]
+    assert readable("many") == [1] and readable("many", require="any") == [1, 2]
+    assert readable("data") == [1]
+    assert readable("name") == [3] and readable("one", "name") == [1, 2, 3]
+    refs = op.explode_media(df, "id", "many").collect()
+    assert sorted((r.id, r.pos, r.ref) for r in refs) == [(1, 1, "a.jpg"), (2, 0, "no.jpg")]
+    captions = df.select("id", F.lit("c").alias("caption"), F.col("one").alias("image"))
+    prepared = op.prepare_dataset(captions, "id", listing=listing, pad="none")
+    assert sorted(r.id for r in prepared.collect()) == [1, 2]
+
+
+def test_readable_media_are_found_in_one_pass(spark):
+    df = spark.createDataFrame([(1, ["a"], ["b"])], "id INT, images ARRAY<STRING>, audios ARRAY<STRING>")
+    listing = spark.createDataFrame([("top", "p", "a")], "place STRING, path STRING, name STRING")
+    plan = op.keep_readable(df, "id", ["images", "audios"], listing)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3

@@ -12,11 +12,14 @@ from ..functions.tokens import attention_mask, mask_labels, pad_array
 from ..session import checkpointed
 from .conversations import CONVERSATIONS, _as_list, to_conversations, valid_conversations
 from .layout import detect_layout
-from .media import keep_readable
+from .media import has_media, keep_readable
 from .skew import splittable
 from .tokenizers import CodePointTokenizer
 
 
+PADS = ("max", "multiple", "none")
+
+
 class EmptyDataset(ValueError):
     """Nothing in a dataset can be trained on."""
 
@@ -95,11 +98,12 @@ def pad_to_multiple(
 
     if batch_col is None:
         return _pad(df, rounded(F.col("n_tokens")), pad_id)
-    longest = df.groupBy(batch_col, splittable(batch_col)).agg(
+    longest = df.groupBy(F.col(batch_col).alias("_batch"), splittable(batch_col)).agg(
         rounded(F.max("n_tokens")).alias("_length")
     )
-    joined = df.join(longest.drop("_follows"), batch_col)
-    return _pad(joined, F.col("_length"), pad_id).drop("_length")
+    # Rows without a batch are one batch.
+    joined = df.join(longest.drop("_follows"), F.col(batch_col).eqNullSafe(F.col("_batch")))
+    return _pad(joined, F.col("_length"), pad_id).drop("_length", "_batch")
 
 
 def has_unmasked(df: DataFrame) -> DataFrame:
@@ -111,9 +115,12 @@ def has_unmasked(df: DataFrame) -> DataFrame:
     )
 
 
-def row_counts(df: DataFrame) -> DataFrame:
+def row_counts(df: DataFrame, split_col: str, train: str = "train") -> DataFrame:
     """One row: rows of the training split, and the number of splits."""
-    return df.agg(F.count(F.lit(1)).alias("train_rows"), F.lit(1).cast("long").alias("splits"))
+    split = F.col(split_col)
+    return df.agg(
+        F.count_if(split == train).alias("train_rows"), F.count_distinct(split).alias("splits")
+    )
 
 
 def prepare_dataset(
@@ -135,6 +142,8 @@ def prepare_dataset(
     no training rows of a dataset with media, and with a media ``listing`` neither are
     rows whose media cannot be read.
     """
+    if pad not in PADS:
+        raise ValueError(f"unknown padding {pad}, expected one of {PADS}")
     ids = _as_list(id_cols)
     tokenizer = tokenizer or CodePointTokenizer()
     layout = detect_layout(df.schema, tuple(ids))
@@ -144,16 +153,15 @@ def prepare_dataset(
             raise EmptyDataset("text conversations have to be lists of messages")
 
     conversations = valid_conversations(to_conversations(df, ids))
-    limit = max_length or (fixed.MAX_MEDIA_TOKENS if media else fixed.MAX_TEXT_TOKENS)
+    limit = max_length
+    if limit is None:
+        limit = fixed.MAX_MEDIA_TOKENS if media else fixed.MAX_TEXT_TOKENS
     if media:
         if check and conversations.isEmpty():
             raise EmptyDataset("no conversation of the dataset can be rendered")
         present = F.lit(False)
         for column in media:
-            some = F.col(f"`{column}`").isNotNull()
-            if isinstance(df.schema[column].dataType, T.ArrayType):
-                some = F.size(F.col(f"`{column}`")) > 0
-            present = present | some
+            present = present | has_media(conversations, column)
         conversations = conversations.where(present)
 
     # Counted before the join with the listing, so that the longest row can be found
@@ -163,6 +171,8 @@ def prepare_dataset(
     texts = count_tokens(texts, "_text", tokenizer, limit)
     if media and listing is not None:
         texts = keep_readable(texts, ids, media, listing)
+        if check and texts.isEmpty():
+            raise EmptyDataset("no medium of the dataset can be read")
     rows = tokenize(texts, "_text", tokenizer, limit)
     outputs = ["input_ids", "attention_mask"]
     if not media:

@@ -66,6 +66,19 @@ def test_pad_to_multiple(spark):
         assert len(row.input_ids) == -(-longest // 8) * 8
 
 
+def test_rows_without_a_batch_are_one_batch(spark):
+    df = spark.createDataFrame([(1, "a" * 9, 5), (2, "b", None), (3, "c" * 17, None)], "id INT, t STRING, batch INT")
+    out = op.pad_to_multiple(op.tokenize(df, "t"), 0, batch_col="batch")
+    assert out.columns == op.pad_to_multiple(op.tokenize(df, "t"), 0).columns
+    assert {r.id: len(r.input_ids) for r in out.collect()} == {1: 16, 2: 24, 3: 24}
+
+
+def test_row_counts(spark):
+    df = spark.createDataFrame([("train",)] * 3 + [("test",)] * 2 + [(None,)], "split STRING")
+    assert tuple(op.row_counts(df, "split").first()) == (3, 2)
+    assert tuple(op.row_counts(df.limit(0), "split").first()) == (0, 0)
+
+
 def test_pad_token_follows_end_token():
     assert op.CodePointTokenizer().pad_id == 0
     assert op.CodePointTokenizer(eos_id=9).pad_id == 9

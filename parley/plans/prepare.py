@@ -2,57 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixed
-from ..functions.names import formatted_name, route_task
+from ..functions.names import route_task
+from ..operators.catalog import record_configs, resolve_config
 from ..operators.conversations import to_conversations
 from ..operators.layout import UnsupportedLayout
 from ..operators.tokenizers import CodePointTokenizer
 from ..operators.training import EmptyDataset, prepare_dataset
 from ..operators.union import TypeClash, column_set, union_datasets
-from ..sources.datasets import read_dataset, write_formatted
-
-# A card names datasets, one Spark job each; more than this is not a card.
-MAX_CARD_ENTRIES = 100_000
+from ..sources.datasets import (
+    UnreadFiles,
+    is_there,
+    output_path,
+    read_dataset,
+    remove,
+    with_row_ids,
+    write_formatted,
+)
 
 _REPORT = "model string, dataset string, status string, columns array<string>"
-_SKIPPED = (AnalysisException, UnsupportedLayout, EmptyDataset, TypeClash)
+# What a dataset may fail by. Failures of a job are among them, so that one broken file
+# costs one dataset; errors of this package are not.
+_SKIPPED = (
+    PySparkException, Py4JJavaError, UnsupportedLayout, EmptyDataset, TypeClash, UnreadFiles,
+)
 
 Source = Callable[[str, str | None], DataFrame | None]
 
 
-def directory_source(spark: SparkSession, root: str, fmt: str = "parquet") -> Source:
-    """Datasets kept as ``root/<last part of the name>[/<config>]``."""
+def directory_source(
+    spark: SparkSession,
+    root: str,
+    fmt: str = "parquet",
+    split: str | None = None,
+    details: dict[str, dict] | None = None,
+) -> Source:
+    """Datasets kept as ``root/<last part of the name>[/<config>]``.
+
+    ``details`` gives some datasets arguments of their own for ``read_dataset``: fmt,
+    options, schema or split.
+    """
 
     def load(name: str, config: str | None) -> DataFrame | None:
         path = f"{root.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
-        return read_dataset(spark, f"{path}/{config}" if config else path, fmt)
+        own = {"fmt": fmt, "split": split} | (details or {}).get(name, {})
+        return read_dataset(spark, f"{path}/{config}" if config else path, **own)
 
     return load
 
 
-def _entries(card: DataFrame, saved: DataFrame | None) -> list:
-    """Card rows in order, with the saved config of each dataset.
+def chosen_configs(
+    spark: SparkSession, catalog: DataFrame | None, saved: DataFrame | None
+) -> DataFrame:
+    """(dataset, config): the saved choice, else the first one listed in ``catalog``."""
+    if saved is None:
+        saved = spark.createDataFrame([], "dataset string, config string")
+    if catalog is None:
+        return saved.select("dataset", "config")
+    return record_configs(saved, resolve_config(catalog, saved))
+
+
+def _entries(card: DataFrame, configs: DataFrame) -> Iterator:
+    """Card rows in order, with the config of each dataset.
 
-    Only the names reach the driver, because each dataset has its own schema and so
-    its own job. Their number is checked.
+    Only names reach the driver, a part at a time, because each dataset has its own
+    schema and so its own job.
     """
-    entries = card.where(F.col("dataset").isNotNull())
-    if saved is not None:
-        entries = entries.join(saved, "dataset", "left")
-    else:
-        entries = entries.withColumn("config", F.lit(None).cast("string"))
+    entries = card.where(F.col("dataset").isNotNull()).join(configs, "dataset", "left")
     position = "position" if "position" in entries.columns else "dataset"
     rows = entries.orderBy("model", position).select("model", "dataset", "config")
-    found = rows.limit(MAX_CARD_ENTRIES + 1).collect()
-    if len(found) > MAX_CARD_ENTRIES:
-        raise ValueError(f"the card has more than {MAX_CARD_ENTRIES} entries")
-    return found
+    return rows.toLocalIterator()
 
 
 def prepare_all(
@@ -65,14 +90,19 @@ def prepare_all(
     tokenizer_for: Callable[[str], object] | None = None,
     pad: str = "max",
     listing_for: Callable[[str], DataFrame | None] | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare and write every dataset of the card; returns the training manifest.
 
     Per model the first usable dataset is written alone; each later one is written
     alone and once more together with the first, under the union name. A dataset
-    that cannot be read, recognised or trained on is skipped and the rest goes on.
-    Directories are named by dataset only, so of two models with the same dataset the
-    later one's rows stay; give each model its own ``root`` to keep both.
+    that cannot be read, recognised, computed or trained on is skipped, what it has
+    written is removed, and the rest goes on.
+    The config of a dataset is the saved one, else the first of ``catalog``
+    (``chosen_configs``, to be kept with ``write_configs``). A dataset without the id
+    columns gets an id (``with_row_ids``), as the first of them.
+    Every model has a folder of its own. Two names of one model that give one folder are
+    not both written: the second is reported as PathTaken.
     The manifest (model, dataset, status, columns) records the columns of the first
     and the current dataset together.
     """
@@ -81,34 +111,47 @@ def prepare_all(
     report = []
     first: DataFrame | None = None
     current_model = None
+    taken: set[str] = set()
 
-    for model, name, config in _entries(card, saved):
+    for model, name, config in _entries(card, chosen_configs(spark, catalog, saved)):
         if model != current_model:
-            first, current_model = None, model
+            first, current_model, taken = None, model, set()
         tokenizer = tokenizer_for(model) if tokenizer_for else CodePointTokenizer()
         listing = listing_for(name) if listing_for else None
 
         def rows(df: DataFrame) -> DataFrame:
             return prepare_dataset(df, keys, tokenizer, pad=pad, listing=listing)
 
+        paths = [output_path(root, name, union, model) for union in (False, True)]
+        if taken.intersection(paths):
+            report.append((model, name, "PathTaken", None))
+            continue
         try:
             raw = source(name, config)
             if raw is None:
                 report.append((model, name, "unreadable", None))
                 continue
+            missing = [c for c in ids if c not in raw.columns]
+            for column in missing[:1]:
+                raw = with_row_ids(raw, column)
+            for column in missing[1:]:
+                raw = raw.withColumn(column, F.lit(None).cast("string"))
             conversations = to_conversations(raw, ids)
             columns = column_set(
                 conversations.drop(*ids), *([first.drop(*keys)] if first is not None else [])
             )
             named = conversations.withColumn("dataset", F.lit(name))
-            write_formatted(rows(named), root, name)
+            write_formatted(rows(named), root, name, model=model)
             if first is None:
                 first = named
             else:
                 both = union_datasets(first, named, on_clash="string")
-                write_formatted(rows(both), root, name, union=True)
+                write_formatted(rows(both), root, name, union=True, model=model)
+            taken.update(paths)
             report.append((model, name, "prepared", columns))
         except _SKIPPED as reason:
+            for path in paths:
+                remove(spark, path)
             report.append((model, name, type(reason).__name__, None))
     return spark.createDataFrame(report, _REPORT)
 
@@ -128,23 +171,30 @@ def training_card(manifest: DataFrame) -> DataFrame:
 def training_inputs(spark: SparkSession, card: DataFrame, root: str) -> DataFrame:
     """(model, dataset, task, train_rows) of the prepared datasets of a training card.
 
-    One scan counts the rows of all prepared datasets by their directory; it reads no
-    column.
+    One scan counts the rows of the card's own datasets by file; it reads no column.
     """
     prepared = card.where(F.col("dataset").isNotNull()).select(
         "model",
         "dataset",
         route_task(F.from_json("info", "array<string>")).alias("task"),
-        formatted_name(F.col("dataset")).alias("_directory"),
     )
-    try:
-        rows = spark.read.parquet(f"{root.rstrip('/')}/*{fixed.FORMATTED_SUFFIX}")
-    except AnalysisException:  # nothing was prepared
-        return prepared.drop("_directory").withColumn("train_rows", F.lit(0).cast("long"))
+    # One path for each dataset of the card; each was written by a job of its own.
+    paths = [
+        (model, name, output_path(root, name, model=model))
+        for model, name in prepared.select("model", "dataset").distinct().toLocalIterator()
+    ]
+    there = [path for *_, path in paths if is_there(spark, path)]
+    if not there:
+        return prepared.withColumn("train_rows", F.lit(0).cast("long"))
+    folders = spark.createDataFrame(paths, "model string, dataset string, path string")
     # Spark reports file paths as URIs, where a plus sign stands for itself.
-    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    directory = F.element_at(F.split(path, "/"), -2)
-    counts = rows.groupBy(directory.alias("_directory")).agg(
-        F.count(F.lit(1)).alias("train_rows")
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    folder = F.array_join(F.slice(F.split(file, "/"), -3, 2), "/")
+    counts = (
+        spark.read.parquet(*there)
+        .groupBy(folder.alias("_folder"))
+        .agg(F.count(F.lit(1)).alias("train_rows"))
     )
-    return prepared.join(counts, "_directory", "left").drop("_directory")
+    own = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    counted = folders.withColumn("_folder", own).join(counts, "_folder", "left")
+    return prepared.join(counted.select("model", "dataset", "train_rows"), ["model", "dataset"], "left")

@@ -1,6 +1,13 @@
 """Sources and sinks: datasets, media listings, manifests."""
 
-from .datasets import read_dataset, read_formatted, write_formatted
+from .datasets import (
+    UnreadFiles,
+    output_path,
+    read_dataset,
+    read_formatted,
+    with_row_ids,
+    write_formatted,
+)
 from .listing import media_listing
 from .manifest import (
     card_documents,
@@ -8,19 +15,26 @@ from .manifest import (
     read_configs,
     read_manifest,
     single_document,
+    unparsed_configs,
+    unparsed_manifest,
     write_configs,
     write_manifest,
 )
 
 __all__ = [
+    "UnreadFiles",
     "card_documents",
     "media_listing",
+    "output_path",
     "parse_card",
     "read_configs",
     "read_dataset",
     "read_formatted",
     "read_manifest",
     "single_document",
+    "unparsed_configs",
+    "unparsed_manifest",
+    "with_row_ids",
     "write_configs",
     "write_formatted",
     "write_manifest",

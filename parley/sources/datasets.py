@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.names import formatted_path
 
-FORMATS = ("json", "csv", "parquet")
+# Endings of the files of each format.
+FORMATS = {
+    "json": "*.{json,jsonl,ndjson,json.gz,jsonl.gz,ndjson.gz}",
+    "csv": "*.{csv,csv.gz}",
+    "parquet": "*.parquet",
+}
+# The splits that are looked for, in order, and how files of a split are kept.
+SPLITS = ("train", "test")
+LAYOUTS = ("{path}/{split}", "{path}/{split}[-_.]*", "{path}/data/{split}[-_.]*")
+
+
+class UnreadFiles(ValueError):
+    """A folder has files, but none of the format that was asked for."""
 
 
 def read_dataset(
@@ -16,33 +31,102 @@ def read_dataset(
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
     schema=None,
+    split: str | None = None,
 ) -> DataFrame | None:
     """One split of a dataset; None when it cannot be read.
 
+    A split is a sub-folder of its name, or files whose names begin with it. Without
+    ``split`` the first of train and test is read; a dataset kept without splits is read
+    whole. A named split that is not there is None.
+
     Give ``schema`` for JSON and CSV of any size: without it Spark reads the files
-    once more to infer one.
+    once more to infer one. CSV files are split between tasks; texts with line breaks
+    inside quotes need the option ``multiLine``, and one JSON array over many lines too.
     """
     if fmt not in FORMATS:
-        raise ValueError(f"unknown format {fmt}, expected one of {FORMATS}")
-    reader = spark.read.format(fmt).option("pathGlobFilter", f"*.{fmt}")
-    if fmt == "csv":
-        reader = reader.options(header="true", multiLine="true", escape='"')
-    if schema is not None:
-        reader = reader.schema(schema)
+        raise ValueError(f"unknown format {fmt}, expected one of {tuple(FORMATS)}")
+
+    def load(where: str, endings: str = FORMATS[fmt]) -> DataFrame | None:
+        reader = spark.read.format(fmt).option("pathGlobFilter", endings)
+        if fmt == "csv":
+            reader = reader.options(header="true", escape='"')
+        if schema is not None:
+            reader = reader.schema(schema)
+        try:
+            return reader.options(**(options or {})).load(where)
+        except AnalysisException:
+            return None
+
+    base = path.rstrip("/")
+    for name in [split] if split else SPLITS:
+        for layout in LAYOUTS:
+            where = layout.format(path=base, split=name)
+            found = load(where)
+            if found is not None and _has_files(spark, where, FORMATS[fmt]):
+                return found
+    if split:
+        return None
+    if _has_files(spark, base, FORMATS[fmt]):
+        return load(base)
+    if _has_files(spark, base, "*"):
+        raise UnreadFiles(f"{path} has no {fmt} files ({FORMATS[fmt]})")
+    return None
+
+
+def _has_files(spark: SparkSession, where: str, endings: str) -> bool:
+    """Whether there is a file of these endings; only names are read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", endings)
     try:
-        return reader.options(**(options or {})).load(path)
+        return not reader.option("recursiveFileLookup", "true").load(where).select("path").isEmpty()
     except AnalysisException:
-        return None
+        return False
+
 
+def with_row_ids(df: DataFrame, name: str = "id") -> DataFrame:
+    """``df`` with an id made of what a row holds and the number of its copy.
 
-def write_formatted(df: DataFrame, root: str, name: str, union: bool = False) -> str:
+    The same rows get the same ids each time, whatever task reads them. Copies of one row
+    are numbered; they are alike, so it does not matter which is which.
+    """
+    content = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256).alias("_content")
+    marked = df.select("*", content)
+    copy = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    return marked.withColumn(name, F.concat_ws("-", "_content", copy)).drop("_content")
+
+
+def _root_of(root: str, model: str | None) -> str:
+    """Datasets of a model are kept in a folder of its own, which no other name gives."""
+    return root if model is None else f"{root.rstrip('/')}/{quote(model, safe='')}"
+
+
+def output_path(root: str, name: str, union: bool = False, model: str | None = None) -> str:
+    """Where a prepared dataset is kept."""
+    return formatted_path(_root_of(root, model), name, union)
+
+
+def write_formatted(
+    df: DataFrame, root: str, name: str, union: bool = False, model: str | None = None
+) -> str:
     """Write a prepared dataset under the name rule and return its path."""
-    path = formatted_path(root, name, union)
+    path = output_path(root, name, union, model)
     df.write.mode("overwrite").parquet(path)
     return path
 
 
-def read_formatted(spark: SparkSession, root: str, name: str, union: bool = False) -> DataFrame:
+def read_formatted(
+    spark: SparkSession, root: str, name: str, union: bool = False, model: str | None = None
+) -> DataFrame:
     """The prepared dataset of that name, or its union output."""
-    return spark.read.parquet(formatted_path(root, name, union))
+    return spark.read.parquet(output_path(root, name, union, model))
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what a failed job has left in ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -52,18 +52,18 @@ def test_prepare_all(spark, raw, tmp_path):
         "org/cats": ("prepared", ["conversations", "image"]),
     }
 
-    qa = {r.id: r for r in io.read_formatted(spark, root, "org/qa").collect()}
+    qa = {r.id: r for r in io.read_formatted(spark, root, "org/qa", model="m").collect()}
     assert sorted(qa) == [1, 2]
     assert ids_to_text(qa[2].input_ids) == oracle.render([("user", "q2"), ("assistant", "a2")])
 
     # A union is always of the first usable dataset and the current one.
-    both = io.read_formatted(spark, root, "org/talks", union=True).collect()
+    both = io.read_formatted(spark, root, "org/talks", union=True, model="m").collect()
     assert sorted((r.dataset, r.id) for r in both) == [
         ("org/qa", "1"), ("org/qa", "2"), ("org/talks", "7")
     ]
     assert len({len(r.input_ids) for r in both}) == 1
     # With a media column only rows that have a medium are training rows.
-    with_media = io.read_formatted(spark, root, "org/cats", union=True)
+    with_media = io.read_formatted(spark, root, "org/cats", union=True, model="m")
     assert [(r.id, r.image) for r in with_media.collect()] == [("c1", "a.jpg")]
 
     inputs = {r.dataset: (r.task, r.train_rows) for r in training_inputs(spark, training_card(manifest), root).collect()}
@@ -88,8 +88,117 @@ def test_each_model_starts_anew(spark, raw, tmp_path):
         ("m1", "cats"): ["conversations", "image"],
         ("m2", "cats"): ["conversations", "image"],
     }
-    row = io.read_formatted(spark, str(tmp_path), "cats").first()
+    row = io.read_formatted(spark, str(tmp_path), "cats", model="m2").first()
     assert len(row.input_ids) % 8 == 0 and 2 in row.input_ids
+    # The other model's rows of the same dataset are still there.
+    row = io.read_formatted(spark, str(tmp_path), "cats", model="m1").first()
+    assert 2 not in row.input_ids
+
+
+def test_names_of_one_folder_are_not_both_written(spark, tmp_path):
+    card = spark.createDataFrame([("m/1", "a/b", "", 0), ("m/1", "a_b", "", 1), ("m_1", "a_b", "", 2)], CARD)
+    first, second = (
+        spark.createDataFrame([(1, q, "a")], "id INT, question STRING, answer STRING") for q in ("one", "two")
+    )
+    root = str(tmp_path)
+    manifest = prepare_all(spark, card, root, lambda name, config: first if name == "a/b" else second)
+    got = [(r.model, r.dataset, r.status) for r in manifest.collect()]
+    assert got == [("m/1", "a/b", "prepared"), ("m/1", "a_b", "PathTaken"), ("m_1", "a_b", "prepared")]
+    assert "one" in ids_to_text(io.read_formatted(spark, root, "a/b", model="m/1").first().input_ids)
+    assert "two" in ids_to_text(io.read_formatted(spark, root, "a_b", model="m_1").first().input_ids)
+
+
+def test_a_broken_dataset_costs_itself_only(spark, tmp_path):
+    raw = tmp_path / "raw"
+    good = spark.range(2000).selectExpr("id", "repeat('q', 50) AS question", "sha2(cast(id AS string), 256) AS answer")
+    for name in ("a", "page", "z"):
+        good.coalesce(1).write.parquet(str(raw / name))
+    (raw / "footer").mkdir()
+    (raw / "footer" / "x.parquet").write_bytes(b"no parquet at all, but long enough to be looked at")
+    (file,) = (raw / "page").glob("*.parquet")
+    data = bytearray(file.read_bytes())
+    middle = len(data) // 2
+    data[middle : middle + 2000] = bytes(2000)
+    file.write_bytes(data)
+    (raw / "page" / f".{file.name}.crc").unlink()
+    (raw / "text").mkdir()
+    (raw / "text" / "x.txt").write_text("x")
+    names = ["a", "footer", "page", "text", "z"]
+    card = spark.createDataFrame([("m", n, "", i) for i, n in enumerate(names)], CARD)
+    manifest = prepare_all(spark, card, str(tmp_path / "out"), directory_source(spark, str(raw)), pad="multiple")
+    status = {r.dataset: r.status for r in manifest.collect()}
+    assert status["a"] == status["z"] == "prepared" and status["text"] == "UnreadFiles"
+    assert status["page"] not in ("prepared", "unreadable") and status["footer"] != "prepared"
+    assert io.read_formatted(spark, str(tmp_path / "out"), "z", union=True, model="m").count() == 4000
+    left = {p.name for p in (tmp_path / "out" / "m").iterdir()}
+    assert left == {"a_formatted", "z_formatted", "concat_z_formatted"}
+
+
+def test_ids_of_datasets_without_any(spark, tmp_path):
+    df = spark.createDataFrame([("q", "a"), ("q", "a"), ("r", "b"), (None, "c")], "question STRING, answer STRING")
+    one, two = (io.with_row_ids(df.repartition(n)).collect() for n in (1, 3))
+    assert sorted(r.id for r in one) == sorted(r.id for r in two) and len({r.id for r in one}) == 4
+    card = spark.createDataFrame([("m", "plain", "", 0)], CARD)
+    for folder in ("x", "y"):
+        prepare_all(spark, card, str(tmp_path / folder), lambda name, config: df)
+    first, second = (
+        sorted(r.id for r in io.read_formatted(spark, str(tmp_path / f), "plain", model="m").collect()) for f in "xy"
+    )
+    assert first == second and len(first) == 3
+
+
+def test_splits_and_configs(spark, tmp_path):
+    schema = "id INT, question STRING, answer STRING"
+    train, test = (spark.createDataFrame([(i, f"{n}{i}", "a") for i in range(k)], schema) for n, k in (("tr", 10), ("te", 4)))
+    files = tmp_path / "files"
+    files.mkdir()
+    for name, df in (("train-0", train), ("test-0", test)):
+        df.toPandas().to_parquet(files / f"{name}.parquet")
+    for where, df in (("dirs/train", train), ("dirs/test", test), ("only/test", test), ("conf/c1/train", train), ("conf/c2/train", test)):
+        df.write.parquet(str(tmp_path / where))
+    for name in ("files", "dirs"):
+        path = str(tmp_path / name)
+        assert io.read_dataset(spark, path).count() == 10
+        assert io.read_dataset(spark, path, split="test").count() == 4
+        assert io.read_dataset(spark, path, split="validation") is None
+    assert io.read_dataset(spark, str(tmp_path / "only")).count() == 4
+    catalog = spark.createDataFrame(
+        [("o/conf", "c2", 1), ("o/conf", "c1", 0), ("o/dirs", None, 0)], "dataset STRING, config STRING, position INT"
+    )
+    card = spark.createDataFrame([("m", "o/conf", "", 0), ("m", "o/dirs", "", 1)], CARD)
+    source = directory_source(spark, str(tmp_path))
+    for saved, want in ((None, 10), ([("o/conf", "c2")], 4)):
+        saved = spark.createDataFrame(saved, "dataset STRING, config STRING") if saved else None
+        root = str(tmp_path / f"out{want}")
+        prepare_all(spark, card, root, source, catalog=catalog, saved=saved)
+        assert io.read_formatted(spark, root, "o/conf", model="m").count() == want
+        assert io.read_formatted(spark, root, "o/dirs", model="m").count() == 10
+
+
+def test_formats_of_single_datasets(spark, tmp_path):
+    rows = [{"id": i, "question": "q\nq", "answer": "a"} for i in range(3)]
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "x.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "zipped").mkdir()
+    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").option("compression", "gzip").json(str(tmp_path / "zipped"))
+    source = directory_source(
+        spark, str(tmp_path), details={"array": {"fmt": "json", "options": {"multiLine": "true"}}, "zipped": {"fmt": "json"}}
+    )
+    assert source("array", None).count() == source("zipped", None).count() == 3
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.txt").write_text("x")
+    with pytest.raises(io.UnreadFiles):
+        source("odd", None)
+
+
+def test_nothing_readable_and_unknown_padding(spark):
+    df = spark.createDataFrame([(1, "a cat", "a.jpg")], "id INT, caption STRING, image STRING")
+    listing = spark.createDataFrame([("top", "/b.jpg", "b.jpg")], "place STRING, path STRING, name STRING")
+    with pytest.raises(op.EmptyDataset):
+        op.prepare_dataset(df, "id", listing=listing)
+    with pytest.raises(ValueError):
+        op.prepare_dataset(df, "id", pad="longest")
+    assert op.prepare_dataset(df, "id", max_length=0, check=False, pad="none").first().input_ids == []
 
 
 def test_reading_formats(spark, tmp_path):
@@ -100,7 +209,8 @@ def test_reading_formats(spark, tmp_path):
         assert io.read_dataset(spark, path, fmt).orderBy("id").select("id", "t").collect() == df.collect()
     path = str(tmp_path / "csv")
     df.write.csv(path, header=True, escape='"')
-    assert io.read_dataset(spark, path, "csv", schema=df.schema).orderBy("id").collect() == df.collect()
+    lines = {"multiLine": "true"}
+    assert io.read_dataset(spark, path, "csv", lines, df.schema).orderBy("id").collect() == df.collect()
     assert io.read_dataset(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError):
         io.read_dataset(spark, path, "xml")
@@ -163,14 +273,14 @@ def test_training_card(spark, raw, tmp_path):
     root = str(tmp_path / "out")
     manifest = prepare_all(spark, card, root, directory_source(spark, raw))
     io.write_manifest(training_card(manifest), str(tmp_path / "config"))
-    back = io.read_manifest(spark, str(tmp_path / "config"), lines=True)
+    back = io.read_manifest(spark, str(tmp_path / "config"))
     assert {(r.model, r.dataset): r.info for r in back.collect()} == {
         ("m", "qa"): json.dumps(["conversations"]),
         ("m2", None): None,
     }
     assert [r.train_rows for r in training_inputs(spark, back, root).collect()] == [2]
     for name in ("a b+c", "100%é"):
-        io.write_formatted(spark.range(3), root, name)
+        io.write_formatted(spark.range(3), root, name, model="m")
     odd = spark.createDataFrame([("m", "a b+c", "[]"), ("m", "100%é", "[]")], back.schema)
     assert [r.train_rows for r in training_inputs(spark, odd, root).collect()] == [3, 3]
     nothing = training_inputs(spark, back, str(tmp_path / "none")).collect()

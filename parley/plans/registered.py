@@ -60,24 +60,19 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    chat = fn.render_chat(
-        F.col(CONVERSATIONS), is_first=F.col("is_first"), is_last=F.col("is_last"), **options
-    )
-    return folded(spark, sf_dir).select("conv_id", "part", chat.alias("rendered"))
+    chat = fn.render_chat(F.col(CONVERSATIONS), **options)
+    return folded(spark, sf_dir).select("conv_id", chat.alias("rendered"))
 
 
-def head_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered first parts: all that truncated token rows can hold."""
+def token_rows(
+    spark: SparkSession, sf_dir: str, tokenizer=None, max_length: int = fixed.MAX_TEXT_TOKENS
+) -> DataFrame:
+    """Token rows of whole conversations, made from the turns that can fill a row."""
     turns = table(spark, sf_dir, "conversations")
-    heads = op.fold_turns(turns, "conv_id", "turn", "role", "text", head_only=True)
-    chat = fn.render_chat(F.col(CONVERSATIONS), is_last=F.col("is_last"))
-    return heads.select("conv_id", chat.alias("rendered"))
-
-
-def token_rows(spark: SparkSession, sf_dir: str, tokenizer=None, max_length=None) -> DataFrame:
-    return op.tokenize(
-        head_rendered(spark, sf_dir), "rendered", tokenizer, max_length or fixed.MAX_TEXT_TOKENS
-    )
+    needed = op.turns_needed(max_length, fixed.LEAST_TURN)
+    heads = op.fold_turns(turns, "conv_id", "turn", "role", "text", max_turns=needed)
+    chat = heads.select("conv_id", fn.render_chat(F.col(CONVERSATIONS)).alias("rendered"))
+    return op.tokenize(chat, "rendered", tokenizer, max_length)
 
 
 def messages_flat(df: DataFrame, *ids: str) -> DataFrame:
@@ -96,13 +91,13 @@ _OPENING = """
 _RENDERED = f"SELECT conv_id, {_OPENING} AS rendered FROM conversations GROUP BY conv_id"
 
 
-@query(f"SELECT conv_id, 0::BIGINT AS part, rendered FROM ({_RENDERED})")
+@query(_RENDERED)
 def render_chat(spark, sf_dir):
     return rendered(spark, sf_dir)
 
 
 @query(
-    "SELECT conv_id, 0::BIGINT AS part, rendered || E'<|im_start|>assistant\\n' AS rendered "
+    "SELECT conv_id, rendered || E'<|im_start|>assistant\\n' AS rendered "
     f"FROM ({_RENDERED})"
 )
 def render_generation_prompt(spark, sf_dir):
@@ -130,6 +125,20 @@ def render_images(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT conv_id, turn, E'\\n\\n\\n\\n'
+      || CASE WHEN turn = min(turn) OVER w AND role <> 'system'
+         THEN E'\\n<|im_start|>system\\nYou are a helpful assistant.<|im_end|>\\n\\n' ELSE '' END
+      || E'\\n<|im_start|>' || role || E'\\n' || text || E'<|im_end|>\\n\\n'
+      || CASE WHEN turn = max(turn) OVER w THEN E'\\n' ELSE '' END AS text
+    FROM conversations WINDOW w AS (PARTITION BY conv_id)"""
+)
+def render_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return op.render_turns(turns, "conv_id", "turn", "role", "text")
+
+
 # --- layouts -------------------------------------------------------------------
 
 
@@ -240,23 +249,23 @@ _FLAT_TURNS = """
            role, text AS content FROM conversations"""
 
 
-@query(f"SELECT conv_id, 0::BIGINT AS part, pos, role, content FROM ({_FLAT_TURNS})")
+@query(_FLAT_TURNS)
 def normalize_from_value(spark, sf_dir):
     renamed = F.transform(
         CONVERSATIONS, lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value"))
     )
-    df = folded(spark, sf_dir).select("conv_id", "part", renamed.alias("Conversation"))
-    return messages_flat(op.to_conversations(df, ["conv_id", "part"]), "conv_id", "part")
+    df = folded(spark, sf_dir).select("conv_id", renamed.alias("Conversation"))
+    return messages_flat(op.to_conversations(df, "conv_id"), "conv_id")
 
 
-@query(f"SELECT conv_id, 0::BIGINT AS part, pos, role, content FROM ({_FLAT_TURNS})")
+@query(_FLAT_TURNS)
 def normalize_map(spark, sf_dir):
     as_map = F.transform(
         CONVERSATIONS,
         lambda m: F.create_map(F.lit("from"), m["role"], F.lit("content"), m["content"]),
     )
-    df = folded(spark, sf_dir).select("conv_id", "part", as_map.alias("messages"))
-    return messages_flat(op.to_conversations(df, ["conv_id", "part"]), "conv_id", "part")
+    df = folded(spark, sf_dir).select("conv_id", as_map.alias("messages"))
+    return messages_flat(op.to_conversations(df, "conv_id"), "conv_id")
 
 
 @query("SELECT conv_id, turn, 0 AS pos, role, text AS content FROM conversations")
@@ -410,9 +419,7 @@ def conversations_of_documents(spark, sf_dir) -> DataFrame:
     )
     talks = op.fold_turns(turns, "conv_id", "turn", "role", "text")
     documents = table(spark, sf_dir, "documents").select("doc_id")
-    return documents.join(talks, documents.doc_id == talks.conv_id, "left").select(
-        "doc_id", "part", CONVERSATIONS
-    )
+    return documents.join(talks, documents.doc_id == talks.conv_id, "left").select("doc_id", CONVERSATIONS)
 
 
 _REASONS = """
@@ -434,6 +441,18 @@ def reject_rows(spark, sf_dir):
     return bad.select("doc_id", "reject_reason")
 
 
+@query(
+    """
+    SELECT conv_id, 'null role or content' AS reject_reason FROM conversations
+    GROUP BY conv_id HAVING bool_or(role = 'system')"""
+)
+def reject_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn(
+        "text", F.when(F.col("role") != "system", F.col("text"))
+    )
+    return op.reject_turns(turns, "conv_id", "role", "text")
+
+
 # --- token rows ----------------------------------------------------------------
 
 _IDS = "list_transform(string_split({0}, ''), lambda x: unicode(x))"
@@ -544,9 +563,13 @@ def has_unmasked(spark, sf_dir):
     return op.has_unmasked(op.label_tokens(rows))
 
 
-@query("SELECT count(DISTINCT conv_id) AS train_rows, 1::BIGINT AS splits FROM conversations")
+@query(
+    """
+    SELECT count(*) FILTER (WHERE source = 'src1') AS train_rows, count(DISTINCT source) AS splits
+    FROM documents"""
+)
 def row_counts(spark, sf_dir):
-    return op.row_counts(folded(spark, sf_dir).where("is_first"))
+    return op.row_counts(table(spark, sf_dir, "documents"), "source", "src1")
 
 
 @query(
@@ -784,6 +807,29 @@ def keep_readable(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+    WITH {_REFS}, {_FILES}
+    SELECT r.page_id, bool_and(p.page_id % 3 = 0 OR name IS NOT NULL) AS readable_all
+    FROM refs r JOIN pages p USING (page_id) LEFT JOIN files ON name = ref
+    GROUP BY r.page_id HAVING bool_or(p.page_id % 3 = 0 OR name IS NOT NULL)"""
+)
+def keep_embedded(spark, sf_dir):
+    """As keep_readable, but the images of every third page are in the table."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
+    links = page_links(spark, sf_dir).join(pages, "page_id")
+    inside = F.when(F.col("page_id") % 3 == 0, F.col("data"))
+    structs = F.transform("images", lambda p: F.struct(inside.alias("bytes"), p.alias("path")))
+    images = links.select("page_id", structs.alias("images"))
+    listing = page_listing(spark, sf_dir)
+    some = op.keep_readable(images, "page_id", ["images"], listing, require="any")
+    every = op.keep_readable(images, "page_id", ["images"], listing, require="all")
+    marked = every.select("page_id", F.lit(True).alias("_all"))
+    return some.join(marked, "page_id", "left").select(
+        "page_id", F.coalesce("_all", F.lit(False)).alias("readable_all")
+    )
+
+
 _CAPTION_TEXT = """
     E'\\n\\n\\n\\n\\n<|im_start|>system\\nYou are a helpful assistant.<|im_end|>\\n\\n'
     || E'\\n<|im_start|>user\\nWhat in this images?<|im_end|>\\n\\n'
@@ -1051,14 +1097,14 @@ def manifest_without_datasets(spark, sf_dir):
 def manifest_file(spark, sf_dir):
     path = scratch(spark, "manifest")
     io.write_manifest(op.upsert_manifest(*card_inputs(spark, sf_dir)), path)
-    return io.read_manifest(spark, path, lines=True)
+    return io.read_manifest(spark, path)
 
 
 @query(f"WITH {_SAVED} SELECT dataset, config FROM resolved")
 def configs_file(spark, sf_dir):
     path = scratch(spark, "configs")
     io.write_configs(op.resolve_config(*order_configs(spark, sf_dir)), path)
-    return io.read_configs(spark, path, lines=True)
+    return io.read_configs(spark, path)
 
 
 # --- files ---------------------------------------------------------------------
@@ -1070,7 +1116,7 @@ def _through(spark, sf_dir, fmt: str, **options) -> DataFrame:
     path = scratch(spark, fmt)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     documents.write.format(fmt).options(**options).save(path)
-    return io.read_dataset(spark, path, fmt, schema=documents.schema)
+    return io.read_dataset(spark, path, fmt, options, documents.schema)
 
 
 @query(_DOCUMENTS)
@@ -1085,17 +1131,39 @@ def read_json(spark, sf_dir):
 
 @query(_DOCUMENTS)
 def read_csv(spark, sf_dir):
-    return _through(spark, sf_dir, "csv", header="true", escape='"')
+    return _through(spark, sf_dir, "csv", header="true", escape='"', multiLine="true")
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE lang = 'en'")
+def read_split(spark, sf_dir):
+    """A dataset kept as train/ and test/, read without naming a split."""
+    path = scratch(spark, "split")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents.where("lang = 'en'").write.parquet(f"{path}/train")
+    documents.where("lang <> 'en'").write.parquet(f"{path}/test")
+    return io.read_dataset(spark, path, "parquet")
 
 
-@query("SELECT DISTINCT 'folder' AS place, 'source=' || source AS folder FROM documents")
+@query(
+    """
+    SELECT 'folder' AS place, 'source=' || source AS folder, 'lang=' || lang AS name,
+           1::BIGINT AS files
+    FROM documents GROUP BY source, lang"""
+)
 def media_listing(spark, sf_dir):
+    """Files in sub-folders by the names they are found by; the file's own part is cut off."""
     path = scratch(spark, "media")
-    documents = table(spark, sf_dir, "documents").select("text", "source")
-    documents.write.partitionBy("source").text(path)
+    documents = table(spark, sf_dir, "documents").select("source", "lang")
+    kinds = documents.distinct().withColumn("text", F.lit("x")).coalesce(1)
+    kinds.write.partitionBy("source", "lang").text(path)
     listing = io.media_listing(spark, path).where(F.col("name").endswith(".txt"))
-    folder = F.element_at(F.split("path", "/"), -2)
-    return listing.select("place", folder.alias("folder")).distinct()
+    inner = F.regexp_extract("name", "^(.*)/[^/]*$", 1)
+    folder = F.element_at(F.split("path", "/"), -3)
+    return (
+        listing.where(inner != "")
+        .groupBy("place", folder.alias("folder"), inner.alias("name"))
+        .agg(F.count(F.lit(1)).alias("files"))
+    )
 
 
 # --- flows ---------------------------------------------------------------------
@@ -1110,6 +1178,7 @@ def prepared(spark, sf_dir, *names: str, pad: str = "max") -> tuple[DataFrame, s
         "talks/captions": captioned_pages(spark, sf_dir).withColumnRenamed("page_id", "id"),
         "talks/parts": parts_as(spark, sf_dir, question="p_name", answer="p_type")
         .withColumnRenamed("p_partkey", "id"),
+        "talks/plain": parts_as(spark, sf_dir, question="p_name", answer="p_type").drop("p_partkey"),
         "talks/regions": table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "id"),
     }
     card = spark.createDataFrame(
@@ -1130,15 +1199,17 @@ def prepared(spark, sf_dir, *names: str, pad: str = "max") -> tuple[DataFrame, s
         (SELECT count(*) FROM ({_CAPTIONED}))),
       ('talks/parts', 'prepared', 'conversations', 'text-generation',
         (SELECT count(*) FROM part)),
+      ('talks/plain', 'prepared', 'conversations', 'text-generation',
+        (SELECT count(*) FROM part)),
       ('talks/regions', 'UnsupportedLayout', NULL, NULL, NULL),
       ('talks/none', 'unreadable', NULL, NULL, NULL)
     ) v(dataset, status, columns, task, train_rows)"""
 )
 def prepare_card(spark, sf_dir):
-    names = ["turns", "captions", "parts", "regions", "none"]
+    names = ["turns", "captions", "parts", "plain", "regions", "none"]
     manifest, root = prepared(spark, sf_dir, *[f"talks/{n}" for n in names], pad="multiple")
     io.write_manifest(training_card(manifest), f"{root}/config")
-    kept = io.read_manifest(spark, f"{root}/config", lines=True)
+    kept = io.read_manifest(spark, f"{root}/config")
     inputs = training_inputs(spark, kept, root).drop("model")
     return manifest.join(inputs, "dataset", "left").select(
         "dataset", "status", F.array_join("columns", " ").alias("columns"), "task",
@@ -1164,7 +1235,7 @@ def prepare_card(spark, sf_dir):
 )
 def formatted_union(spark, sf_dir):
     _, root = prepared(spark, sf_dir, "talks/turns", "talks/parts")
-    rows = io.read_formatted(spark, root, "talks/parts", union=True)
+    rows = io.read_formatted(spark, root, "talks/parts", union=True, model="some/model")
     return rows.select(
         "dataset", "id", text(F.col("input_ids")).alias("ids"), text(F.col("labels")).alias("labels")
     )

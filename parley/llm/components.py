@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(links)
     while state[0]:
-        both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both, "b > a")
         down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         links = written(_stars(down, "true"))
@@ -40,3 +40,18 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     tops = links.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops).distinct()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``links`` (a, b) between its nodes; a label is the smallest of what it stands for.
+
+    Only links between different labels are followed, so later calls see small graphs.
+    """
+    if links.isEmpty():
+        return labels
+    ends = [labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab"]
+    between = links.join(ends[0], "a").join(ends[1], "b").filter("label_a <> label_b")
+    tops = components(between.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    tops = written(tops.select(F.col("node").alias("label"), "component"))
+    joined = labels.join(tops, "label", "left")
+    return written(joined.select("node", F.coalesce("component", "label").alias("label")))

@@ -10,17 +10,20 @@ Signatures of few elements say little and are shared by chance. There are some m
 many as a set may have poor ones; so poor signatures can be left out unless a set has too many of them. Nothing is lost.
 
 Sets that are equal are one class, found by a grouping. Classes that share a signature form a group. No group is
-expanded into all its pairs: in each round every member is compared with one other member of another component, the
-links found are joined into components, and only members of different components can meet again. Pairs left after
-``ROUNDS`` rounds, of members that share a signature but no component, are compared all.
+expanded into all its pairs: first every member is compared with the group's first one, then, for some rounds, with one
+member of another component, and the links found are joined into components. Members of one component never meet
+again. At last all pairs are compared that share a signature but no component, and whose sketches allow similarity: a
+sketch holds parities, and sets differ in at least as many elements as their sketches in bits. So a pair left out is
+never similar, and nearly every pair that is sent on is.
 
 An empty or null text has an empty set and no link; a text shorter than a run is one element. Rows of one id are
-different documents that share a name. A null id comes last. Hashes of elements have 64 bits, of classes 128.
+different documents that share a name. A null id comes last. Hashes of elements, and of
+classes in links, have 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import contains, seen
-from parley.llm.common import LAST_ID, doc_id, keyed, mixed, texts_of, written
-from parley.llm.components import components
+from parley.llm.common import LAST_ID, doc_id, keyed, mixed, sliced, texts_of, written
+from parley.llm.components import relabelled
 from parley.llm.words import WordHashes, lower_words, ngram_hashes
 
 #: Fine parts of a part; signatures leave one of them out.
@@ -43,7 +46,11 @@ BAND = 1.35
 #: Signatures that are compared together, about, and characters of text that make one.
 BUCKET_SIGNATURES = 2_000_000
 #: Rounds of one comparison for each member of a group.
-ROUNDS = 2
+ROUNDS = 3
+#: Words of sketches that are compared at once.
+COMPARED = 4_000_000
+#: Documents whose sets a task holds at once.
+AT_ONCE = 2000
 
 
 def element_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -104,95 +111,155 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _bucketed(
-    at: np.ndarray, sizes: np.ndarray, sigs: list[np.ndarray], buckets: int
-) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Signatures of many sets dealt to buckets: (bucket, set, packed signatures)."""
+def sketch_words(size: int, percent: int) -> int:
+    """64-bit words of a sketch, a power of two: some eight bits for each element in which similar sets may differ."""
+    return 1 << max(0, int(16 * size * (100 - percent) // (100 + percent) // 64).bit_length())
+
+
+def sketch(elements: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the elements in each place: two sets differ in at least as many elements as their sketches in bits."""
+    words = sketch_words(len(elements), percent)
+    place = mixed(elements + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * words - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that the same set has with fewer words."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def _dealt(
+    nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: list[np.ndarray], sketches: list[np.ndarray], buckets: int
+) -> pa.RecordBatch:
+    """One row per bucket: its sets with node, size, component and sketch, and their signatures there."""
     lengths = np.array([len(s) for s in sigs], np.int64)
     flat = np.concatenate([np.empty(0, np.uint64), *sigs])
     owner = np.repeat(np.arange(len(sigs)), lengths)
     bucket = (mixed(flat) % np.uint64(buckets)).astype(np.int64)
-    key = owner * buckets + bucket
-    order = np.argsort(key, kind="stable")
-    key, flat = key[order], flat[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    end = np.append(begin[1:], len(key)) if len(begin) else begin
-    return key[begin] % buckets, key[begin] // buckets, [flat[a:b].tobytes() for a, b in zip(begin, end)]
-
-
-_DEALT = "bucket int, node long, size int, component long, packed binary"
+    order = np.argsort(bucket * len(sigs) + owner, kind="stable")
+    bucket, owner, flat = bucket[order], owner[order], flat[order]
+    rows: dict[str, list] = {n: [] for n in ("bucket", "nodes", "sizes", "labels", "counts", "sigs", "sketches")}
+    for number in np.unique(bucket):
+        part = slice(*np.searchsorted(bucket, [number, number + 1]))
+        own, counts = np.unique(owner[part], return_counts=True)
+        rows["bucket"].append(number)
+        rows["nodes"].append(nodes[own].astype(np.int64).tobytes())
+        rows["sizes"].append(sizes[own].astype(np.int32).tobytes())
+        rows["labels"].append(labels[own].astype(np.int64).tobytes())
+        rows["counts"].append(counts.astype(np.int32).tobytes())
+        rows["sigs"].append(flat[part].tobytes())
+        rows["sketches"].append(b"".join(sketches[k].tobytes() for k in own) if sketches else b"")
+    kinds = {n: pa.int32() if n == "bucket" else pa.binary() for n in rows}
+    return pa.record_batch({n: pa.array(v, kinds[n]) for n, v in rows.items()})
+
+
+_ROWS = "bucket int, nodes binary, sizes binary, labels binary, counts binary, sigs binary, sketches binary"
 _PAIRS = "a long, b long"
 
 
-def _members(group: pa.Table) -> tuple[np.ndarray, ...]:
-    """signature, node, size, component of all members of a bucket, each once, sorted by signature."""
-    packed = [np.frombuffer(x, np.uint64) for x in group.column("packed").to_pylist()]
-    lengths = [len(x) for x in packed]
-    sig = np.concatenate(packed)
-    node, size, component = (np.repeat(group.column(n).to_numpy(), lengths) for n in ("node", "size", "component"))
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-    return sig[new], node[new], size[order][new], component[order][new]
-
-
-def _unique_pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> pa.Table:
-    """Pairs whose sizes allow similarity, each once, the smaller node first."""
-    fits = (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (a != b)
-    low, high = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, bool)
-    return pa.table({"a": low[new], "b": high[new]})
-
-
-def _star_pairs(group: pa.Table, percent: int, seed: int) -> pa.Table:
-    """Each member of a signature's group with one member of another component: the group's first, or the first other."""
-    sig, node, size, component = _members(group)
-    order = np.lexsort((mixed(node.view(np.uint64) + np.uint64(seed)), sig))
-    sig, node, size, component = sig[order], node[order], size[order], component[order]
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-    group_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(sig))))
-    first = begin[group_of]
-    other = component != component[first]
-    second = np.full(len(begin), -1)
-    at = np.flatnonzero(other)[::-1]
-    second[group_of[at]] = at  # the last one written is the group's first
-    partner = np.where(other, first, second[group_of])
-    held = partner >= 0
-    a, b = np.flatnonzero(held), partner[held]
-    return _unique_pairs(node[a], node[b], size[a], size[b], percent)
-
-
-def _all_pairs(group: pa.Table, percent: int) -> pa.Table:
-    """All pairs of members of one group and two components."""
-    sig, node, size, component = _members(group)
-    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-    end = np.append(begin[1:], len(sig))
-    out = [_unique_pairs(node[:0], node[:0], size[:0], size[:0], percent)]
-    for x, y in zip(begin.tolist(), end.tolist()):
-        if y - x > 1 and (component[x:y] != component[x]).any():
-            for i in range(x, y - 1):
-                j = i + 1 + np.flatnonzero(component[i + 1 : y] != component[i])
-                out.append(_unique_pairs(np.full(len(j), node[i]), node[j], np.full(len(j), size[i]), size[j], percent))
-    table = pa.concat_tables(out)
-    return table.group_by(["a", "b"]).aggregate([])
+class Members:
+    """The sets of a bucket, each once, and the groups of those that share a signature."""
+
+    def __init__(self, group: pa.Table, percent: int) -> None:
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+        nodes, sizes, labels = joined("nodes", np.int64), joined("sizes", np.int32), joined("labels", np.int64)
+        self.node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
+        self.size, self.label, self.percent = sizes[first].astype(np.int64), labels[first], percent
+        bits = joined("sketches", np.uint64)
+        self.sketches: list[np.ndarray] = []
+        if len(bits):
+            ends = np.cumsum([sketch_words(n, percent) for n in sizes.tolist()])
+            self.sketches = [bits[e - sketch_words(n, percent) : e] for e, n in zip(ends[first], self.size.tolist())]
+        sig, owner = joined("sigs", np.uint64), np.repeat(at, joined("counts", np.int32))
+        order = np.lexsort((owner, sig))
+        sig, owner = sig[order], owner[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+        sig, self.owner = sig[new], owner[new]
+        begin = np.ones(len(sig), bool)
+        begin[1:] = sig[1:] != sig[:-1]
+        self.begin = np.flatnonzero(begin)
+        self.end = np.append(self.begin[1:], len(sig))
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
+        """Pairs of sets whose sizes allow similarity, each once, the smaller node first."""
+        low, high = np.minimum(a, b), np.maximum(a, b)  # sets are in the order of their nodes
+        less, more = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        kept = np.unique((low * len(self.node) + high)[(100 * less >= self.percent * more) & (a != b)])
+        return pa.table({"a": self.node[kept // len(self.node)], "b": self.node[kept % len(self.node)]})
+
+    def with_first(self) -> pa.Table:
+        """Every member of a group with the group's first one."""
+        return self.pairs(np.repeat(self.owner[self.begin], self.end - self.begin), self.owner)
+
+    def across(self, seed: int | None) -> pa.Table:
+        """Members of one group and two components whose sketches allow similarity: all pairs, or one for each member."""
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x, y in zip(self.begin.tolist(), self.end.tolist()):
+            own = self.owner[x:y]
+            if y - x < 2 or (self.label[own] == self.label[own[0]]).all():
+                continue
+            if seed is not None:
+                own = own[np.argsort(mixed(self.node[own].view(np.uint64) + np.uint64(seed)))]
+            labels, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
+            words = min(len(self.sketches[k]) for k in own)
+            bits = np.stack([folded(self.sketches[k], words) for k in own])
+            sizes = self.size[own]
+            rows = np.flatnonzero(at != counts.argmax())  # the largest component is met from the others
+            step = max(1, COMPARED // (len(own) * words))
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                differ = np.bitwise_count(bits[part][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
+                near = differ * (100 + self.percent) <= (sizes[part][:, None] + sizes[None]) * (100 - self.percent)
+                near &= at[part][:, None] != at[None]
+                near &= 100 * np.minimum(sizes[part][:, None], sizes) >= self.percent * np.maximum(sizes[part][:, None], sizes)
+                if seed is None:
+                    i, j = np.nonzero(near)
+                else:
+                    i = np.flatnonzero(near.any(axis=1))
+                    j = near[i].argmax(axis=1)
+                found_a.append(own[part[i]])
+                found_b.append(own[j])
+        return self.pairs(np.concatenate(found_a), np.concatenate(found_b))
+
+
+def _across(percent: int, seed: int | None) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: Members(group, percent).across(seed)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b (smallest documents) of the pairs of nodes that are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("elements").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("elements").alias("set_b"))
+    """The pairs of nodes whose sets are similar: first by the sketches, which are small, then by the sets."""
+
+    def sides(column: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(sets.select(F.col("node").alias(n), "size", F.col(column).alias(f"x_{n}")).withColumnRenamed("size", f"n_{n}") for n in "ab")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x_a", "x_b", "n_a", "n_b"))):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(one), len(two))
+                differ = int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum())
+                good.append(differ * (100 + percent) <= (n + m) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
-            at = pa.array(np.flatnonzero(good))
-            yield pa.record_batch({"a": batch.column("doc_a").take(at), "b": batch.column("doc_b").take(at)})
+            good = [
+                similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                for x, y in zip(batch.column("x_a").to_pylist(), batch.column("x_b").to_pylist())
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("doc_a", "doc_b", "set_a", "set_b")
-    return joined.mapInArrow(compared, _PAIRS)
+    left, right = sides("sketch")
+    possible = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x_a", "x_b", "n_a", "n_b").mapInArrow(near, _PAIRS))
+    left, right = sides("elements")
+    return possible.join(left, "a").join(right, "b").select("a", "b", "x_a", "x_b").mapInArrow(compared, _PAIRS)
 
 
 def similar_documents(
@@ -204,10 +271,11 @@ def similar_documents(
     rounds: int = ROUNDS,
     bucket_signatures: int = BUCKET_SIGNATURES,
 ) -> DataFrame:
-    """doc_id, text_hash (of the text, with ``xxhash64``), n_shingles, component_id: one row per input row.
+    """doc_id, text_hash (of the text, with ``xxhash64``), n_shingles, component_id, is_first: one row per input row.
 
     Two documents are linked if their sets of runs of ``words`` words have ``percent`` hundredths of their union in
-    common. The component is the smallest id that links reach; of an empty set, the document's own id.
+    common. The component is the smallest id that links reach; of an empty set, the document's own id. The first row of
+    a component has the smallest id, and of rows of that id the smallest hash; equal rows are all first.
     """
     rows, ends = keyed(docs, id_col, text_col), band_ends(percent)
     n_chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -217,7 +285,7 @@ def similar_documents(
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             sets = [element_set(hashes.of(lower_words(t)), words) for t in texts_of(batch.column("text"))]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.record_batch(
@@ -234,12 +302,12 @@ def similar_documents(
         rows.select("doc", "text_hash", "text").mapInArrow(classed, "doc long, text_hash long, key binary, node long, n long")
     )
     classes = written(
-        members.filter("n > 0").groupBy("key", "node").agg(F.min("doc").alias("doc"))
+        members.filter("n > 0").groupBy("key", "node").agg(F.min(F.struct("doc", "text_hash")).alias("first"))
     )
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), set()
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             nodes, sizes, sigs = [], [], []
             for text in texts_of(batch.column("text")):
                 own = element_set(hashes.of(lower_words(text)), words)
@@ -251,34 +319,20 @@ def similar_documents(
                 nodes.append(int.from_bytes(node, "little", signed=True))
                 sizes.append(len(own))
                 sigs.append(signatures(own, percent, ends))
-            yield _dealt(np.array(nodes, np.int64), np.array(sizes), np.array(nodes, np.int64), sigs)
-
-    def _dealt(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sigs: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, at, packed = _bucketed(nodes, sizes, sigs, buckets)
-        return pa.record_batch(
-            {
-                "bucket": bucket.astype(np.int32),
-                "node": nodes[at],
-                "size": sizes[at].astype(np.int32),
-                "component": comps[at],
-                "packed": pa.array(packed, pa.binary()),
-            }
-        )
-
-    def paired(dealt: DataFrame, seed: int) -> DataFrame:
-        found = dealt.groupBy("bucket").applyInArrow(lambda group: _star_pairs(group, percent, seed), _PAIRS)
-        return written(found.distinct())
-
-    pairs = paired(rows.select("text").mapInArrow(signed_sets, _DEALT), 0)
+            nodes = np.array(nodes, np.int64)
+            yield _dealt(nodes, np.array(sizes), nodes, sigs, [], buckets)
+
+    dealt = rows.select("text").mapInArrow(signed_sets, _ROWS).groupBy("bucket")
+    pairs = written(dealt.applyInArrow(lambda group: Members(group, percent).with_first(), _PAIRS).distinct())
 
     # the sets of classes in pairs: of their smallest document, found by a filter of bounded size and then exactly
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = written(classes.join(wanted, "node", "left_semi").select("doc", "key", "node"))
+    chosen = written(classes.join(wanted, "node", "left_semi").select("first.doc", "key", "node"))
     named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)))
 
     def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             held = pa.array(contains(named.value, mixed(batch.column("doc").to_numpy().view(np.uint64))))
             batch = batch.filter(held)
             sets = [element_set(hashes.of(lower_words(t)), words) for t in texts_of(batch.column("text"))]
@@ -286,44 +340,55 @@ def similar_documents(
                 {
                     "doc": batch.column("doc"),
                     "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    "size": pa.array([len(s) for s in sets], pa.int32()),
                     "elements": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "sketch": pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()),
                 }
             )
 
-    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, key binary, elements binary")
-    sets = written(found.join(chosen, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "node", "elements"))
+    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, key binary, size int, elements binary, sketch binary")
+    sets = written(found.join(chosen, ["doc", "key"]).dropDuplicates(["key"]).select("node", "size", "elements", "sketch"))
 
-    links = written(_verified(pairs, sets, percent))
+    labels = written(sets.select("node", F.col("node").alias("label")).distinct())
+    labels = relabelled(labels, written(_verified(pairs, sets, percent)))
     done = pairs
 
+    n_sets = sets.count()
+
     def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             own = [np.frombuffer(x, np.uint64) for x in batch.column("elements").to_pylist()]
             sizes = np.array([len(s) for s in own], np.int64)
-            nodes, labels = batch.column("node").to_numpy(), batch.column("component").to_numpy()
-            yield _dealt(nodes, sizes, labels, [signatures(s, percent, ends) for s in own])
+            nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+            sigs = [signatures(s, percent, ends) for s in own]
+            yield _dealt(nodes, sizes, labels, sigs, [sketch(s, percent) for s in own], fewer)
 
+    fewer = max(1, buckets * n_sets // max(1, members.count()) + 1)
     for step in range(1, rounds + 1):
-        labels = components(links).withColumnRenamed("node", "doc")
-        labelled = sets.join(labels, "doc", "left").select(
-            "node", "elements", F.coalesce("component", "doc").alias("component")
-        )
-        dealt = labelled.mapInArrow(dealt_again, _DEALT)
-        if step < rounds:
-            more = paired(dealt, step)
-        else:
-            more = dealt.groupBy("bucket").applyInArrow(lambda group: _all_pairs(group, percent), _PAIRS).distinct()
+        labelled = sets.join(labels, "node").select("node", "elements", "label")
+        seed = step if step < rounds else None
+        dealt = labelled.mapInArrow(dealt_again, _ROWS).groupBy("bucket")
+        more = written(dealt.applyInArrow(_across(percent, seed), _PAIRS).distinct())
+        if more.isEmpty():
+            break  # no two components are left that could meet
         fresh = written(more.join(done, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            done = done.unionByName(fresh)
-            links = written(links.unionByName(_verified(fresh, sets, percent)))
-
-    first = classes.select("key", F.col("doc").alias("first"))
-    labels = components(links).withColumnRenamed("node", "first")
-    labelled = written(first.join(labels, "first", "left").select("key", F.coalesce("component", "first").alias("component")))
-    return members.join(labelled, "key", "left").select(
+        if fresh.isEmpty():
+            continue  # other choices of partners may still find some
+        done = done.unionByName(fresh)
+        labels = relabelled(labels, written(_verified(fresh, sets, percent)))
+
+    # the smallest row of each component; groupings and joins by class or component meet hot keys only in fresh shuffles
+    labelled = written(classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")))
+    least = written(labelled.groupBy("label").agg(F.min("first").alias("least")))
+    least = written(labelled.join(least, "label").select("key", "least"))
+    some, none = members.filter("n > 0"), members.filter("n = 0")
+    own = F.struct("doc", "text_hash")
+    found = some.join(least, "key").select(*some.columns, F.col("least.doc").alias("component"), (F.col("least") == own).alias("is_first"))
+    found = found.unionByName(none.select(*none.columns, F.col("doc").alias("component"), F.lit(True).alias("is_first")))
+    return found.select(
         doc_id(),
         "text_hash",
         F.col("n").alias("n_shingles"),
-        F.when(F.coalesce("component", "doc") != LAST_ID, F.coalesce("component", "doc")).alias("component_id"),
+        F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"),
+        "is_first",
     )

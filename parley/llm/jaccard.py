@@ -10,8 +10,8 @@ Signatures of few elements say little and are shared by chance. There are some m
 many as a set may have poor ones; so poor signatures can be left out unless a set has too many of them. Nothing is lost.
 
 Sets that are equal are one class, found by a grouping. Classes that share a signature form a group. No group is
-expanded into all its pairs: first every member is compared with the group's first one, then, for some rounds, with one
-member of another component, and the links found are joined into components. Members of one component never meet
+expanded into all its pairs: first every member is compared with the group's smallest one, then, for some rounds, with
+one member of another component, and the links found are joined into components. Members of one component never meet
 again. At last all pairs are compared that share a signature but no component, and whose sketches allow similarity: a
 sketch holds parities, and sets differ in at least as many elements as their sketches in bits. So a pair left out is
 never similar, and nearly every pair that is sent on is.
@@ -80,7 +80,7 @@ def parts_of(end: int, percent: int) -> tuple[int, int]:
 def _band_signatures(elements: np.ndarray, band: int, parts: int, spare: int) -> np.ndarray:
     fine = parts * FINE
     at = (mixed(elements ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(fine)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if fine < 1 << 16 else at, kind="stable")  # short keys are sorted by radix
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(elements)[order], dtype=np.uint64)])
     ends = np.searchsorted(at[order], np.arange(fine + 1))
     prints = np.diff(sums[ends]).reshape(parts, FINE)
@@ -194,17 +194,25 @@ class Members:
         kept = np.unique((low * len(self.node) + high)[(100 * less >= self.percent * more) & (a != b)])
         return pa.table({"a": self.node[kept // len(self.node)], "b": self.node[kept % len(self.node)]})
 
-    def with_first(self) -> pa.Table:
-        """Every member of a group with the group's first one."""
-        return self.pairs(np.repeat(self.owner[self.begin], self.end - self.begin), self.owner)
+    def with_smallest(self) -> pa.Table:
+        """Every member of a group with the smallest one, or, if that is too small for it, with the next smaller one.
+
+        So every member that has any partner of fitting size is in a pair.
+        """
+        group = np.repeat(np.arange(len(self.begin)), self.end - self.begin)
+        order = np.lexsort((self.owner, self.size[self.owner], group))
+        owner, first = self.owner[order], np.repeat(self.begin, self.end - self.begin)
+        before = np.maximum(np.arange(len(owner)) - 1, first)
+        fits = 100 * self.size[owner[first]] >= self.percent * self.size[owner]
+        return self.pairs(owner[np.where(fits, first, before)], owner)
 
     def across(self, seed: int | None) -> pa.Table:
         """Members of one group and two components whose sketches allow similarity: all pairs, or one for each member."""
         found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x, y in zip(self.begin.tolist(), self.end.tolist()):
             own = self.owner[x:y]
-            if y - x < 2 or (self.label[own] == self.label[own[0]]).all():
-                continue
+            if y - x < 3 or (self.label[own] == self.label[own[0]]).all():
+                continue  # two members of fitting size have been compared at first
             if seed is not None:
                 own = own[np.argsort(mixed(self.node[own].view(np.uint64) + np.uint64(seed)))]
             labels, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
@@ -323,7 +331,7 @@ def similar_documents(
             yield _dealt(nodes, np.array(sizes), nodes, sigs, [], buckets)
 
     dealt = rows.select("text").mapInArrow(signed_sets, _ROWS).groupBy("bucket")
-    pairs = written(dealt.applyInArrow(lambda group: Members(group, percent).with_first(), _PAIRS).distinct())
+    pairs = written(dealt.applyInArrow(lambda group: Members(group, percent).with_smallest(), _PAIRS).distinct())
 
     # the sets of classes in pairs: of their smallest document, found by a filter of bounded size and then exactly
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -353,17 +361,14 @@ def similar_documents(
     labels = relabelled(labels, written(_verified(pairs, sets, percent)))
     done = pairs
 
-    n_sets = sets.count()
-
     def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, AT_ONCE):
             own = [np.frombuffer(x, np.uint64) for x in batch.column("elements").to_pylist()]
             sizes = np.array([len(s) for s in own], np.int64)
             nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
             sigs = [signatures(s, percent, ends) for s in own]
-            yield _dealt(nodes, sizes, labels, sigs, [sketch(s, percent) for s in own], fewer)
+            yield _dealt(nodes, sizes, labels, sigs, [sketch(s, percent) for s in own], buckets)
 
-    fewer = max(1, buckets * n_sets // max(1, members.count()) + 1)
     for step in range(1, rounds + 1):
         labelled = sets.join(labels, "node").select("node", "elements", "label")
         seed = step if step < rounds else None

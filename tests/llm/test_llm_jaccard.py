@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from parley.llm.components import components
-from parley.llm.jaccard import band_ends, element_set, folded, signatures, similar, similar_documents, sketch
+from parley.llm.jaccard import Members, _dealt, band_ends, element_set, folded, signatures, similar, similar_documents, sketch
 from parley.llm.words import WordHashes, lower_words
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,6 +80,29 @@ def test_signatures_lose_no_similar_pair():
                 assert len(np.intersect1d(signatures(a, percent, ends), signatures(b, percent, ends)))
 
 
+def test_first_pairs_reach_every_member_with_a_partner():
+    """Also where the smallest of a group fits neither; and a pair that remains of a group was among the first."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 25))
+        sizes, nodes = rng.integers(50, 90, n), rng.choice(10**6, n, replace=False) - 5 * 10**5
+        sigs = [rng.choice(12, int(rng.integers(0, 5)), replace=False).astype(np.uint64) for _ in range(n)]
+        dealt = _dealt(nodes, sizes, nodes, sigs, [], 1)
+        found = Members(pa.Table.from_batches([dealt]), 90).with_smallest()
+        pairs = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+        groups = defaultdict(list)
+        for i in range(n):
+            for s in sigs[i].tolist():
+                groups[s].append(i)
+        fits = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 90 * max(sizes[i], sizes[j])
+        want = {int(nodes[i]) for g in groups.values() for i in g for j in g if i != j and fits(i, j)}
+        assert {x for p in pairs for x in p} == want
+        for g in groups.values():
+            left = [i for i in g if int(nodes[i]) in want]
+            if len(left) == 2 and fits(*left):
+                assert tuple(sorted(int(nodes[i]) for i in left)) in pairs
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 5000}x{i}" for i in range(20_000))
     rows = [(4, "a b c d e"), (2, "A B C D E"), (2, "A B C D E"), (None, "a b c d e"), (None, None), (6, ""), (6, " \t"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.session import shared_dir
+from parley.session import written
+
+__all__ = [
+    "LAST_ID", "LOWER", "SPACE", "doc_id", "keyed", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
+    "texts_of", "typed", "written",
+]
 
 #: Stands for a null id where ids are compared: a null id sorts after all others.
 LAST_ID = (1 << 63) - 1
@@ -24,14 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and there if an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rest_of_row(df: DataFrame, text_col: str) -> Column:
     """The columns of ``df`` besides the text as one struct, so that none can clash with an operator's own."""
     return F.struct(*[df[f"`{name}`"] for name in df.columns if name != text_col]).alias("row")

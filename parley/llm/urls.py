@@ -7,8 +7,8 @@ T(context)), where ``shorter`` is its probability behind the context without its
 difference of the log-likelihoods divided by the length, and its threshold is the one that parts best a fifth of the
 labelled URLs, chosen by hash, that the models have not learned from.
 
-Counts cover all labelled URLs and are summed by Spark. A model keeps the ``GRAMS`` most frequent runs of characters;
-runs that it lacks are judged by shorter ones. A URL without text behind the scheme has score 0. If one kind of labelled
+Counts cover all labelled URLs and are summed by Spark. A model keeps the most frequent runs of characters, ``GRAMS`` at
+most; runs that it lacks are judged by shorter ones. A URL without text behind the scheme has score 0. If one kind of labelled
 URL is missing, the score is 0 everywhere and the threshold 0, so URLs without a rule are allowed. A null URL, or one
 without ``://``, has an empty host and path, no rule, and its text as it is for the models.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import mixed, signed, typed
+from parley.llm.common import mixed, signed, typed, written
 
 #: The longest context in characters.
 ORDER = 5
@@ -112,8 +112,20 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
 
 
 def _table(df: DataFrame, key: str, size: int) -> list[np.ndarray]:
-    """The ``size`` most frequent rows as columns sorted by key."""
-    got = df.orderBy(F.desc("n"), key).limit(size).toArrow()
+    """The most frequent rows, ``size`` at most, as columns sorted by key.
+
+    How many rows are so frequent is counted in steps of an eighth of an octave first, so no
+    more than these are ever brought together.
+    """
+    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    rows = df.withColumn("step", step)
+    least, total = 0, 0
+    for at, count in sorted(rows.groupBy("step").count().collect(), reverse=True):  # some 500 steps at most
+        total += count
+        if total > size:
+            least = at + 1
+            break
+    got = rows.filter(F.col("step") >= least).drop("step").toArrow()
     order = np.argsort(got.column(key).to_numpy())
     return [got.column(c).to_numpy()[order] for c in got.column_names]
 
@@ -123,12 +135,10 @@ def learned(labelled: DataFrame, order: int = ORDER, size: int = GRAMS) -> list[
 
     ``labelled``: text, verdict.
     """
-    counts = (
-        labelled.select("text", "verdict")
-        .mapInArrow(lambda b: _counted(b, order), "verdict string, context long, gram long, n long")
-        .groupBy("verdict", "context", "gram")
-        .agg(F.sum("n").alias("n"))
+    counted = labelled.select("text", "verdict").mapInArrow(
+        lambda b: _counted(b, order), "verdict string, context long, gram long, n long"
     )
+    counts = written(counted.groupBy("verdict", "context", "gram").agg(F.sum("n").alias("n")))
     models = []
     for verdict in ("allow", "block"):
         own = counts.filter(F.col("verdict") == verdict)

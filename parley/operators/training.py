@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.prompts import render_chat
 from ..functions.tokens import attention_mask, mask_labels, pad_array
-from ..session import checkpointed
+from ..session import written
 from .conversations import CONVERSATIONS, _as_list, to_conversations, valid_conversations
 from .layout import detect_layout
 from .media import has_media, keep_readable
@@ -180,7 +180,7 @@ def prepare_dataset(
         outputs.append("labels")
     # Tokens that cost much and are read twice are kept.
     if pad == "max" and tokenizer.count(F.lit(""), limit) is None:
-        rows = checkpointed(rows)
+        rows = written(rows)
     if not media and check:
         if tokenizer.count(F.lit(""), limit) is None:
             counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)

@@ -10,11 +10,11 @@ Signatures of few elements say little and are shared by chance. There are some m
 many as a set may have poor ones; so poor signatures can be left out unless a set has too many of them. Nothing is lost.
 
 Sets that are equal are one class, found by a grouping. Classes that share a signature form a group. No group is
-expanded into all its pairs: first every member is compared with the group's smallest one, then, for some rounds, with
-one member of another component, and the links found are joined into components. Members of one component never meet
-again. At last all pairs are compared that share a signature but no component, and whose sketches allow similarity: a
-sketch holds parities, and sets differ in at least as many elements as their sketches in bits. So a pair left out is
-never similar, and nearly every pair that is sent on is.
+expanded into all its pairs. Members are compared by sketches, which travel with the signatures: a sketch holds parities,
+and sets differ in at least as many elements as their sketches in bits, so a pair that the sketches exclude is never
+similar, and nearly every other one is. First every member goes on with one possible partner, then, for some rounds, with
+one of another component; exact comparisons of sets give links, and links components, whose members never meet again.
+At last all pairs are compared that share a signature but no component and that the sketches allow.
 
 An empty or null text has an empty set and no link; a text shorter than a run is one element. Rows of one id are
 different documents that share a name. A null id comes last. Hashes of elements, and of
@@ -44,7 +44,7 @@ SPARE = 0.12
 #: A band's largest size by its smallest.
 BAND = 1.35
 #: Signatures that are compared together, about, and characters of text that make one.
-BUCKET_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 4_000_000
 #: Rounds of one comparison for each member of a group.
 ROUNDS = 3
 #: Words of sketches that are compared at once.
@@ -112,8 +112,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch_words(size: int, percent: int) -> int:
-    """64-bit words of a sketch, a power of two: some eight bits for each element in which similar sets may differ."""
-    return 1 << max(0, int(16 * size * (100 - percent) // (100 + percent) // 64).bit_length())
+    """64-bit words of a sketch, a power of two: some four bits for each element in which similar sets may differ."""
+    return 1 << (8 * size * (100 - percent) // (100 + percent) // 64).bit_length()
 
 
 def sketch(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -135,11 +135,16 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 def _dealt(
     nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: list[np.ndarray], sketches: list[np.ndarray], buckets: int
 ) -> pa.RecordBatch:
-    """One row per bucket: its sets with node, size, component and sketch, and their signatures there."""
+    """One row per bucket: its sets with node, size, component and sketch, and their signatures there.
+
+    Half of a signature chooses the bucket. The other half is enough inside, as a bucket's size is bounded: equal halves
+    of different signatures are rare and cost a comparison.
+    """
     lengths = np.array([len(s) for s in sigs], np.int64)
-    flat = np.concatenate([np.empty(0, np.uint64), *sigs])
+    flat = mixed(np.concatenate([np.empty(0, np.uint64), *sigs]))
     owner = np.repeat(np.arange(len(sigs)), lengths)
-    bucket = (mixed(flat) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    flat = flat.astype(np.uint32)
     order = np.argsort(bucket * len(sigs) + owner, kind="stable")
     bucket, owner, flat = bucket[order], owner[order], flat[order]
     rows: dict[str, list] = {n: [] for n in ("bucket", "nodes", "sizes", "labels", "counts", "sigs", "sketches")}
@@ -152,7 +157,7 @@ def _dealt(
         rows["labels"].append(labels[own].astype(np.int64).tobytes())
         rows["counts"].append(counts.astype(np.int32).tobytes())
         rows["sigs"].append(flat[part].tobytes())
-        rows["sketches"].append(b"".join(sketches[k].tobytes() for k in own) if sketches else b"")
+        rows["sketches"].append(b"".join(sketches[k].tobytes() for k in own))
     kinds = {n: pa.int32() if n == "bucket" else pa.binary() for n in rows}
     return pa.record_batch({n: pa.array(v, kinds[n]) for n, v in rows.items()})
 
@@ -172,16 +177,11 @@ class Members:
         self.node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
         self.size, self.label, self.percent = sizes[first].astype(np.int64), labels[first], percent
         bits = joined("sketches", np.uint64)
-        self.sketches: list[np.ndarray] = []
-        if len(bits):
-            ends = np.cumsum([sketch_words(n, percent) for n in sizes.tolist()])
-            self.sketches = [bits[e - sketch_words(n, percent) : e] for e, n in zip(ends[first], self.size.tolist())]
-        sig, owner = joined("sigs", np.uint64), np.repeat(at, joined("counts", np.int32))
-        order = np.lexsort((owner, sig))
-        sig, owner = sig[order], owner[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-        sig, self.owner = sig[new], owner[new]
+        ends = np.cumsum([sketch_words(n, percent) for n in sizes.tolist()])
+        self.sketches = [bits[e - sketch_words(n, percent) : e] for e, n in zip(ends[first].tolist(), self.size.tolist())]
+        owner = np.repeat(at, joined("counts", np.int32)).astype(np.uint64)
+        both = np.unique(joined("sigs", np.uint32).astype(np.uint64) << np.uint64(32) | owner)
+        sig, self.owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begin = np.ones(len(sig), bool)
         begin[1:] = sig[1:] != sig[:-1]
         self.begin = np.flatnonzero(begin)
@@ -194,32 +194,37 @@ class Members:
         kept = np.unique((low * len(self.node) + high)[(100 * less >= self.percent * more) & (a != b)])
         return pa.table({"a": self.node[kept // len(self.node)], "b": self.node[kept % len(self.node)]})
 
-    def with_smallest(self) -> pa.Table:
-        """Every member of a group with the smallest one, or, if that is too small for it, with the next smaller one.
+    def _near(self, a: int, b: int) -> bool:
+        """Whether size and sketch allow that two sets are similar."""
+        n, m = int(self.size[a]), int(self.size[b])
+        if self.label[a] == self.label[b] or 100 * min(n, m) < self.percent * max(n, m):
+            return False
+        x, y = self.sketches[a], self.sketches[b]
+        words = min(len(x), len(y))
+        differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+        return differ * (100 + self.percent) <= (n + m) * (100 - self.percent)
+
+    def across(self, seed: int | None, everyone: bool = False) -> pa.Table:
+        """Members of one group and two components whose size and sketch allow similarity.
 
-        So every member that has any partner of fitting size is in a pair.
+        All such pairs; or with ``seed`` one for each member, outside the largest component unless ``everyone``.
         """
-        group = np.repeat(np.arange(len(self.begin)), self.end - self.begin)
-        order = np.lexsort((self.owner, self.size[self.owner], group))
-        owner, first = self.owner[order], np.repeat(self.begin, self.end - self.begin)
-        before = np.maximum(np.arange(len(owner)) - 1, first)
-        fits = 100 * self.size[owner[first]] >= self.percent * self.size[owner]
-        return self.pairs(owner[np.where(fits, first, before)], owner)
-
-    def across(self, seed: int | None) -> pa.Table:
-        """Members of one group and two components whose sketches allow similarity: all pairs, or one for each member."""
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found_a, found_b = [], []
         for x, y in zip(self.begin.tolist(), self.end.tolist()):
             own = self.owner[x:y]
+            if y - x == 2 and self._near(own[0], own[1]):
+                found_a.append(own[:1])
+                found_b.append(own[1:])
             if y - x < 3 or (self.label[own] == self.label[own[0]]).all():
-                continue  # two members of fitting size have been compared at first
+                continue
             if seed is not None:
                 own = own[np.argsort(mixed(self.node[own].view(np.uint64) + np.uint64(seed)))]
-            labels, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
+            _, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
             words = min(len(self.sketches[k]) for k in own)
             bits = np.stack([folded(self.sketches[k], words) for k in own])
             sizes = self.size[own]
-            rows = np.flatnonzero(at != counts.argmax())  # the largest component is met from the others
+            # the largest component is met from the others
+            rows = np.arange(len(own)) if everyone else np.flatnonzero(at != counts.argmax())
             step = max(1, COMPARED // (len(own) * words))
             for part in (rows[i : i + step] for i in range(0, len(rows), step)):
                 differ = np.bitwise_count(bits[part][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
@@ -233,41 +238,28 @@ class Members:
                     j = near[i].argmax(axis=1)
                 found_a.append(own[part[i]])
                 found_b.append(own[j])
-        return self.pairs(np.concatenate(found_a), np.concatenate(found_b))
+        none = np.empty(0, np.int64)
+        return self.pairs(np.concatenate([none, *found_a]), np.concatenate([none, *found_b]))
 
 
-def _across(percent: int, seed: int | None) -> Callable[[pa.Table], pa.Table]:
-    return lambda group: Members(group, percent).across(seed)
+def _across(percent: int, seed: int | None, everyone: bool = False) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: Members(group, percent).across(seed, everyone)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar: first by the sketches, which are small, then by the sets."""
-
-    def sides(column: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(sets.select(F.col("node").alias(n), "size", F.col(column).alias(f"x_{n}")).withColumnRenamed("size", f"n_{n}") for n in "ab")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x_a", "x_b", "n_a", "n_b"))):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                words = min(len(one), len(two))
-                differ = int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum())
-                good.append(differ * (100 + percent) <= (n + m) * (100 - percent))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    """The pairs of nodes whose sets are similar."""
+    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             good = [
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(batch.column("x_a").to_pylist(), batch.column("x_b").to_pylist())
+                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = sides("sketch")
-    possible = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x_a", "x_b", "n_a", "n_b").mapInArrow(near, _PAIRS))
-    left, right = sides("elements")
-    return possible.join(left, "a").join(right, "b").select("a", "b", "x_a", "x_b").mapInArrow(compared, _PAIRS)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, _PAIRS)
 
 
 def similar_documents(
@@ -316,7 +308,7 @@ def similar_documents(
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), set()
         for batch in sliced(batches, AT_ONCE):
-            nodes, sizes, sigs = [], [], []
+            nodes, sizes, sigs, sketches = [], [], [], []
             for text in texts_of(batch.column("text")):
                 own = element_set(hashes.of(lower_words(text)), words)
                 node = xxhash.xxh3_128_digest(own.tobytes())[:8]
@@ -327,11 +319,12 @@ def similar_documents(
                 nodes.append(int.from_bytes(node, "little", signed=True))
                 sizes.append(len(own))
                 sigs.append(signatures(own, percent, ends))
+                sketches.append(sketch(own, percent))
             nodes = np.array(nodes, np.int64)
-            yield _dealt(nodes, np.array(sizes), nodes, sigs, [], buckets)
+            yield _dealt(nodes, np.array(sizes), nodes, sigs, sketches, buckets)
 
     dealt = rows.select("text").mapInArrow(signed_sets, _ROWS).groupBy("bucket")
-    pairs = written(dealt.applyInArrow(lambda group: Members(group, percent).with_smallest(), _PAIRS).distinct())
+    pairs = written(dealt.applyInArrow(_across(percent, 0, everyone=True), _PAIRS).distinct())
 
     # the sets of classes in pairs: of their smallest document, found by a filter of bounded size and then exactly
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -348,14 +341,12 @@ def similar_documents(
                 {
                     "doc": batch.column("doc"),
                     "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    "size": pa.array([len(s) for s in sets], pa.int32()),
                     "elements": pa.array([s.tobytes() for s in sets], pa.binary()),
-                    "sketch": pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()),
                 }
             )
 
-    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, key binary, size int, elements binary, sketch binary")
-    sets = written(found.join(chosen, ["doc", "key"]).dropDuplicates(["key"]).select("node", "size", "elements", "sketch"))
+    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, key binary, elements binary")
+    sets = written(found.join(chosen, ["doc", "key"]).dropDuplicates(["key"]).select("node", "elements"))
 
     labels = written(sets.select("node", F.col("node").alias("label")).distinct())
     labels = relabelled(labels, written(_verified(pairs, sets, percent)))

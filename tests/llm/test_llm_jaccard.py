@@ -81,26 +81,32 @@ def test_signatures_lose_no_similar_pair():
 
 
 def test_first_pairs_reach_every_member_with_a_partner():
-    """Also where the smallest of a group fits neither; and a pair that remains of a group was among the first."""
+    """Every set that a similar one shares a signature with is in a pair, whoever else is in the group."""
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        n = int(rng.integers(1, 25))
-        sizes, nodes = rng.integers(50, 90, n), rng.choice(10**6, n, replace=False) - 5 * 10**5
-        sigs = [rng.choice(12, int(rng.integers(0, 5)), replace=False).astype(np.uint64) for _ in range(n)]
-        dealt = _dealt(nodes, sizes, nodes, sigs, [], 1)
-        found = Members(pa.Table.from_batches([dealt]), 90).with_smallest()
-        pairs = set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
-        groups = defaultdict(list)
-        for i in range(n):
-            for s in sigs[i].tolist():
-                groups[s].append(i)
-        fits = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 90 * max(sizes[i], sizes[j])
-        want = {int(nodes[i]) for g in groups.values() for i in g for j in g if i != j and fits(i, j)}
-        assert {x for p in pairs for x in p} == want
-        for g in groups.values():
-            left = [i for i in g if int(nodes[i]) in want]
-            if len(left) == 2 and fits(*left):
-                assert tuple(sorted(int(nodes[i]) for i in left)) in pairs
+    for _ in range(150):
+        base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+        sets = []
+        for _ in range(int(rng.integers(1, 20))):
+            start = int(rng.integers(0, 120))
+            keep = base[start : start + int(rng.integers(40, 100))]
+            sets.append(np.unique(keep[rng.random(len(keep)) > rng.choice([0, 0.03, 0.1])]))
+        n = len(sets)
+        sizes, nodes = np.array([len(s) for s in sets]), rng.choice(10**6, n, replace=False) - 5 * 10**5
+        sigs = [rng.choice(6, int(rng.integers(0, 4)), replace=False).astype(np.uint64) for _ in range(n)]
+        dealt = _dealt(nodes, sizes, nodes, sigs, [sketch(s, 90) for s in sets], 1)
+        members = Members(pa.Table.from_batches([dealt]), 90)
+        one, every = (
+            set(zip(t.column("a").to_pylist(), t.column("b").to_pylist()))
+            for t in (members.across(3, everyone=True), members.across(None))
+        )
+        want = {
+            tuple(sorted((int(nodes[i]), int(nodes[j]))))
+            for i in range(n)
+            for j in range(i)
+            if np.intersect1d(sigs[i], sigs[j]).size and similar(sets[i], sets[j], 90)
+        }
+        assert want <= every and one <= every
+        assert {x for p in every for x in p} == {x for p in one for x in p}
 
 
 def test_odd_rows(spark):

@@ -43,8 +43,8 @@ POOR = 2
 SPARE = 0.12
 #: A band's largest size by its smallest.
 BAND = 1.35
-#: Signatures that are compared together, about, and characters of text that make one.
-BUCKET_SIGNATURES = 4_000_000
+#: Signatures that are compared together, about.
+BUCKET_SIGNATURES = 1_500_000
 #: Rounds of one comparison for each member of a group.
 ROUNDS = 3
 #: Words of sketches that are compared at once.
@@ -179,8 +179,9 @@ class Members:
         bits = joined("sketches", np.uint64)
         ends = np.cumsum([sketch_words(n, percent) for n in sizes.tolist()])
         self.sketches = [bits[e - sketch_words(n, percent) : e] for e, n in zip(ends[first].tolist(), self.size.tolist())]
-        owner = np.repeat(at, joined("counts", np.int32)).astype(np.uint64)
-        both = np.unique(joined("sigs", np.uint32).astype(np.uint64) << np.uint64(32) | owner)
+        both = joined("sigs", np.uint32).astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(at.astype(np.uint32), joined("counts", np.int32))
+        both = np.unique(both)
         sig, self.owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begin = np.ones(len(sig), bool)
         begin[1:] = sig[1:] != sig[:-1]

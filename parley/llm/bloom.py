@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-#: Words of 64 bits in a filter, as a power of two: 32 MB, for some 20 million keys at 12 bits each.
-WORD_BITS = 22
+from parley.llm.common import sliced
+
+#: Words of 64 bits in a filter, as a power of two: 16 MB, for some 10 million keys at 12 bits each.
+WORD_BITS = 21
 #: Words that travel in one row, as a power of two.
 PIECE_BITS = 14
+#: Rows that a task hashes at once.
+AT_ONCE = 1000
 #: Bits that a key sets in its word.
 KEY_BITS = 4
 
@@ -91,7 +95,7 @@ def seen_twice(
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(word_bits)
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             pair.add(hashes_of(batch))
         used = np.flatnonzero(pair.once)
         for piece in np.unique(used >> piece_bits):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from parley.llm.common import mixed, texts_of, typed
+from parley.llm.common import mixed, sliced, texts_of, typed
 from parley.llm.words import WordHashes, lower_words
 
 SIMILARITY = 0.8
@@ -39,6 +39,8 @@ WALKS = ((0, 2, 4, 6, 8, 10), (0, 2, 4, 7, 9, 12), (0, 1, 3, 5, 7, 9))
 #: Items in one pass, and words of documents that are walked at once.
 ITEMS = 20_000
 AT_ONCE = 200_000
+#: Documents that a task holds at once.
+ROWS = 1000
 #: Bits of the table that holds back positions without a hit.
 SIEVE = 20
 
@@ -233,7 +235,7 @@ def contaminated(
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, hashes = Items(shared.value, similarity), CoreHashes()
             arrow_type = to_arrow_type(item_type)
-            for batch in batches:
+            for batch in sliced(batches, ROWS):
                 found = list(block.found(texts_of(batch.column("text")), hashes))
                 yield pa.record_batch(
                     {
@@ -263,7 +265,7 @@ def decontaminated(
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, hashes = Items(shared.value, similarity), CoreHashes()
-            for batch in batches:
+            for batch in sliced(batches, ROWS):
                 stays = np.ones(batch.num_rows, bool)
                 texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
                 stays[[row for row, *_ in block.found(texts, hashes)]] = False

@@ -44,13 +44,13 @@ SPARE = 0.12
 #: A band's largest size by its smallest.
 BAND = 1.35
 #: Signatures that are compared together, about.
-BUCKET_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 2_000_000
 #: Rounds of one comparison for each member of a group.
 ROUNDS = 3
 #: Words of sketches that are compared at once.
-COMPARED = 4_000_000
+COMPARED = 1_000_000
 #: Documents whose sets a task holds at once.
-AT_ONCE = 2000
+AT_ONCE = 1000
 
 
 def element_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -176,9 +176,9 @@ class Members:
         nodes, sizes, labels = joined("nodes", np.int64), joined("sizes", np.int32), joined("labels", np.int64)
         self.node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
         self.size, self.label, self.percent = sizes[first].astype(np.int64), labels[first], percent
-        bits = joined("sketches", np.uint64)
-        ends = np.cumsum([sketch_words(n, percent) for n in sizes.tolist()])
-        self.sketches = [bits[e - sketch_words(n, percent) : e] for e, n in zip(ends[first].tolist(), self.size.tolist())]
+        self.bits = joined("sketches", np.uint64)
+        lengths = np.array([sketch_words(n, percent) for n in range(int(sizes.max(initial=0)) + 1)])[sizes]
+        self.sketch_end, self.sketch_size = np.cumsum(lengths)[first], lengths[first]
         both = joined("sigs", np.uint32).astype(np.uint64) << np.uint64(32)
         both |= np.repeat(at.astype(np.uint32), joined("counts", np.int32))
         both = np.unique(both)
@@ -188,6 +188,11 @@ class Members:
         self.begin = np.flatnonzero(begin)
         self.end = np.append(self.begin[1:], len(sig))
 
+    def sketch(self, k: int, words: int) -> np.ndarray:
+        """The sketch of a set in so many words."""
+        end = self.sketch_end[k]
+        return folded(self.bits[end - self.sketch_size[k] : end], words)
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
         """Pairs of sets whose sizes allow similarity, each once, the smaller node first."""
         low, high = np.minimum(a, b), np.maximum(a, b)  # sets are in the order of their nodes
@@ -200,9 +205,8 @@ class Members:
         n, m = int(self.size[a]), int(self.size[b])
         if self.label[a] == self.label[b] or 100 * min(n, m) < self.percent * max(n, m):
             return False
-        x, y = self.sketches[a], self.sketches[b]
-        words = min(len(x), len(y))
-        differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+        words = min(self.sketch_size[a], self.sketch_size[b])
+        differ = int(np.bitwise_count(self.sketch(a, words) ^ self.sketch(b, words)).sum())
         return differ * (100 + self.percent) <= (n + m) * (100 - self.percent)
 
     def across(self, seed: int | None, everyone: bool = False) -> pa.Table:
@@ -221,8 +225,8 @@ class Members:
             if seed is not None:
                 own = own[np.argsort(mixed(self.node[own].view(np.uint64) + np.uint64(seed)))]
             _, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
-            words = min(len(self.sketches[k]) for k in own)
-            bits = np.stack([folded(self.sketches[k], words) for k in own])
+            words = int(self.sketch_size[own].min())
+            bits = np.stack([self.sketch(k, words) for k in own])
             sizes = self.size[own]
             # the largest component is met from the others
             rows = np.arange(len(own)) if everyone else np.flatnonzero(at != counts.argmax())

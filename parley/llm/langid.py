@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import rest_of_row, typed
+from parley.llm.common import rest_of_row, sliced, typed
 
 #: The bounds of the sample, and of a dictionary in bytes.
 SAMPLE_DOCS = 400
@@ -34,6 +34,8 @@ LEVEL = 6
 #: Texts whose second best language needs less than so large a share more are rejected.
 MARGIN = 0.004
 UNDETERMINED = "und"
+#: Documents that a task holds at once.
+AT_ONCE = 500
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -109,7 +111,7 @@ def identify(
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(learned.value)
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             found = [classifier.judge(text) for text in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 {

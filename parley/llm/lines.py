@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import WORD_BITS, contains, seen_twice
-from parley.llm.common import LOWER, SPACE, doc_id, keyed, texts_of, typed, written
+from parley.llm.common import LOWER, SPACE, doc_id, keyed, sliced, texts_of, typed, written
 
 #: Shorter keys, in code points, are never dropped.
 MIN_KEY = 10
+#: Documents that a task holds at once.
+AT_ONCE = 1000
 
 
 def key_of(line: bytes) -> bytes:
@@ -56,7 +58,7 @@ def dedup_lines(
     twice = seen_twice(rows.select("text"), occurrences, word_bits)
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             keys, at = [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 own = _keys(text, min_key)
@@ -89,7 +91,7 @@ def dedup_lines(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(texts_of(batch.column("text")), batch.column("drop").to_pylist()):
                 lines = (text or b"").split(b"\n")

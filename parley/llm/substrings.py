@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import WORD_BITS, contains, seen_twice
-from parley.llm.common import doc_id, keyed, mixed, signed, texts_of, typed, written
+from parley.llm.common import doc_id, keyed, mixed, signed, sliced, texts_of, typed, written
 from parley.llm.words import WordHashes, ngram_hashes, sliding
 
 WINDOW = 35
 #: Words of a minimiser.
 GRAM = 8
+#: Documents that a task holds at once.
+AT_ONCE = 1000
 #: Bytes of strings that are sorted together, about, and bytes from which on one minimiser is taken apart.
 BUCKET_BYTES = 8 << 20
 HEAVY_BYTES = 2 << 20
@@ -180,7 +182,7 @@ def dedup_substrings(
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             at, start, minimiser, packed = [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 words = (text or b"").split()
@@ -222,7 +224,7 @@ def dedup_substrings(
     )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             texts, n_words, n_removed = [], [], []
             for text, gone in zip(texts_of(batch.column("text")), batch.column("gone").to_pylist()):
                 words = (text or b"").split()

@@ -1,8 +1,10 @@
 """Language identification by compression.
 
-Every language has a raw-content dictionary: text of a bounded sample of its labelled documents. A text is compressed
-whole with each dictionary, and the language whose dictionary leaves the fewest bytes is chosen. The score is how much
-more the second best needs, as a share; a narrow margin rejects the text.
+Every language has a raw-content dictionary: text of a bounded sample of its labelled documents. The whole text is
+compressed with each dictionary, and the language whose dictionary leaves the fewest bytes is chosen. The score is how
+much more the second best needs, as a share; a narrow margin rejects the text. A dictionary helps only near the start of
+what is compressed, so a text is taken in pieces of ``PIECE`` bytes, each compressed from the dictionary alone, and their
+sizes are summed: the margin does not depend on how long a text is.
 
 The dictionaries come from at most ``SAMPLE_DOCS`` documents a language, chosen by a hash of their id, with at most
 ``SAMPLE_CHARS`` characters of each. All dictionaries together have at most ``ALL_BYTES`` bytes.
@@ -31,6 +33,8 @@ DICTIONARY = 1 << 16
 ALL_BYTES = 1 << 26
 #: zstandard's level; it decides how well matches in the dictionary are found.
 LEVEL = 6
+#: Bytes of a text that are compressed together.
+PIECE = 1 << 14
 #: Texts whose second best language needs less than so large a share more are rejected.
 MARGIN = 0.004
 UNDETERMINED = "und"
@@ -89,7 +93,8 @@ class Classifier:
         if text is None or not self.names or not _LETTER.search(text):
             return UNDETERMINED, 0.0
         data = text.lower().encode("utf-8", "replace")
-        sizes = [len(c.compress(data)) for c in self.compressors]
+        pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+        sizes = [sum(len(c.compress(piece)) for piece in pieces) for c in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 1.0

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parley.llm.langid import held_out, identify
+from parley.llm.langid import MARGIN, Classifier, dictionaries, held_out, identify
 
 
 def test_held_out_accuracy(spark):
@@ -46,3 +46,19 @@ def test_nothing_learned(spark):
     assert identify(df, none).first().lang_pred == "und"
     assert identify(none, df).count() == 0
     assert identify(df, df).first().lang_pred == "en"
+
+
+def test_long_texts_are_accepted(spark):
+    """The margin of a text of several megabytes is that of its parts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    classifier = Classifier(dictionaries(docs.filter(~held_out())))
+    texts = {}
+    for r in docs.filter(held_out()).select("lang", "text").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    assert len(texts) > 1
+    for lang, own in texts.items():
+        whole = "\n".join(own)
+        whole *= 1 + 3_000_000 // len(whole)
+        for size in (1 << 14, 300_000, 3_000_000):
+            found, score = classifier.judge(whole[:size])
+            assert found == lang and score > 2 * MARGIN, (lang, size, score)

@@ -4,7 +4,8 @@ A tree is built with the tags that HTML leaves out: paragraphs, list items, tabl
 rows and sections of tables open where cells need them, and end tags close what is open inside their scope. Hidden
 subtrees are dropped (by element, ``hidden``, ``display: none``, ``visibility: hidden``, closed ``details``). Text is
 laid out in blocks: white space collapses outside ``pre``, blocks begin lines, paragraphs are parted by one blank line,
-list items have bullets or numbers and are indented, and the cells of a table are aligned in columns.
+list items have bullets or numbers and are indented, and the cells of a table are aligned in columns. What stands in a
+table beside its rows comes before them; rows inside another element are rows of the table.
 
 A null or empty page has an empty text. Broken markup never fails: what cannot be a tag is text, what is not closed
 ends with the page. Elements nested deeper than ``DEPTH`` are taken as neighbours of their parents, with all their
@@ -87,10 +88,11 @@ _ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "x
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "rows")
 
     def __init__(self, name: str, attrs: dict[str, str]) -> None:
         self.name, self.attrs = name, attrs
+        self.rows = False  # whether it holds rows of the table around it
         self.children: list[Node | str] = []
 
 
@@ -138,6 +140,11 @@ class TreeBuilder:
         else:  # a neighbour of the deepest open element
             self.open[-2].children.append(node)
             self.open[-1] = node
+        if name == "tr":
+            for around in reversed(self.open[:-1]):
+                if around.name == "table" or around.rows:
+                    break
+                around.rows = True
 
     def start(self, name: str, attrs: dict[str, str]) -> None:
         top = self.open[-1].name
@@ -420,30 +427,35 @@ class Renderer:
             if lines:
                 canvas.block(lines, " " * len(mark), mark)
 
-    def _rows(self, node: Node, sight: bool) -> Iterator[tuple[Node, bool]]:
+    def _rows(self, node: Node, before: Canvas, sight: bool, depth: int) -> list[tuple[Node, bool]]:
+        """The rows in a table or a part of one; captions, and what stands beside rows by mistake, go to ``before``."""
+        rows: list[tuple[Node, bool]] = []
         for child in node.children:
-            if isinstance(child, Node) and _shown(child):
-                if child.name == "tr":
-                    yield child, sight
-                elif child.name in SECTIONS:
-                    yield from self._rows(child, sight)
-
-    def _table(self, table: Node, sight: bool, depth: int) -> list[str]:
-        before, cells, busy, row = Canvas(), [], {}, 0
-        for child in table.children:  # captions, and what stands in a table by mistake
             if isinstance(child, str):
                 before.words(child) if sight else None
-            elif child.name != "tr" and child.name not in SECTIONS and _shown(child):
+            elif not _shown(child):
+                continue
+            elif child.name == "tr":
+                rows.append((child, sight))
+            elif child.name in SECTIONS:
+                rows += self._rows(child, before, sight, depth)
+            elif child.rows and (child.name != "details" or "open" in child.attrs):
+                style = child.attrs.get("style")
+                seen = (sight and not _NO_SIGHT.search(style)) or bool(_SIGHT.search(style)) if style else sight
+                before.flush()
+                rows += self._rows(child, before, seen, depth)
+                before.flush()
+            else:
                 before.flush()
                 self._element(child, before, False, sight, depth)
                 before.flush()
-        for section in table.children:
-            if isinstance(section, Node) and section.name in SECTIONS:
-                for stray in section.children:
-                    if isinstance(stray, str):
-                        before.words(stray) if sight else None
+        return rows
+
+    def _table(self, table: Node, sight: bool, depth: int) -> list[str]:
+        before, cells, busy, row = Canvas(), [], {}, 0
+        rows = self._rows(table, before, sight, depth)
         before.flush()
-        for tr, seen in self._rows(table, sight):
+        for tr, seen in rows:
             column = 0
             for cell in tr.children:
                 if isinstance(cell, str):

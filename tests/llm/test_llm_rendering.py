@@ -73,3 +73,47 @@ def test_words_of_real_pages_are_kept(spark):
         want = html.unescape(re.sub(r"<[^>]+>", " ", body)).split()
         got = [w for w in rendered(r.html).split() if w != "*"]
         assert "".join(got) == "".join(w for w in want if w != "*")
+
+
+STRAY = {
+    "form around rows": ("<table><tbody><form><tr><td>a<td>b<tr><td>c</form></table>", "a  b\nc"),
+    "div behind a row": ("<table><tr><td>a</td></tr><div>note</div></table>", "note\na"),
+    "link in a section": ("<table><thead><a href=x>l</a><tr><td>a<td>b</table>", "l\na  b"),
+    "text and rows in an element": ("<table><tbody><div>n <b>m</b><tr><td>a<td>b</tr>o</div></table>", "n\nm\no\na  b"),
+    "list in a section": ("<table><tbody><ul><li>x</ul><tr><td>a</table>", "* x\na"),
+    "table in a section": ("<table><tr><td>a</tr><table><tr><td>x<td>y</table></table>", "x  y\na"),
+    "hidden in a section": ("<table><tbody><div hidden><tr><td>x</tr></div><script>y</script><tr><td>a</table>", "a"),
+    "unseen in a section": ("<table><tbody><div style='visibility:hidden'>n<tr><td>x</tr></div><tr><td>a</table>", "a"),
+}
+
+
+@pytest.mark.parametrize("name", list(STRAY))
+def test_what_stands_in_a_table_is_kept(name):
+    page, want = STRAY[name]
+    assert rendered(page) == want
+
+
+@pytest.mark.parametrize("outer", ["<table><tr><td>", "<table>", "<div>", "<table><tbody><form>", "<ul><li>", "<table><tbody><tr><td><div>"])
+@pytest.mark.parametrize("more", [0, 1, 2, 3, 4])
+def test_text_of_deep_pages_is_whole(outer, more):
+    inner = "w0<table> w1<tr><td> w2<td> w3<tr><th> w4</table> w5<p> w6<table><tbody><form><tr><td> w7</td></tr> w8</form></table> w9"
+    for times in (30, 49, 50, 66, 67, 99, 100, 198, 199, 200, 1000):
+        got = rendered("<div>" * more + outer * times + inner)
+        assert sorted(w for w in got.split() if w != "*") == [f"w{i}" for i in range(10)], times
+
+
+def test_text_of_random_tables_is_whole():
+    import random
+
+    rng = random.Random(5)
+    tags = "table table tbody thead tr tr td td th form div a b p ul li caption span".split()
+    for _ in range(3000):
+        words, page = 0, "<div>" * rng.choice([0, 0, 180, 195])
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(tags)
+            page += rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>"])
+            if rng.random() < 0.7:
+                page += f" w{words} "
+                words += 1
+        got = [w for w in rendered(page).replace("*", " ").split()]
+        assert sorted(got) == sorted(f"w{i}" for i in range(words)), page

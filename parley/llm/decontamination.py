@@ -1,16 +1,9 @@
-"""Benchmark decontamination by the CGK embedding and bit sampling.
+"""Benchmark decontamination by exact runs of words and edit distances.
 
-The embedding walks over a word sequence: at each step it emits the word under the pointer, and a random bit of that
-word decides whether the pointer moves on. Sequences with a small edit distance fall back into step, so the distance
-becomes a Hamming distance of the emitted words. A few sampled steps of the walk form a hash, which similar sequences
-share with good probability.
-
-A window of an item's size is compared with the item at all its anchors: the walk that starts at an anchor of the item
-must give the hash of the walk that starts at the same place of the window. The walk of a position is computed once for
-all windows that contain it, and backwards, for all positions at once: the hash from step j on follows from that of
-step j + 1, either here or one word further. ``WALKS`` walks with their own random bits, times the anchors of an item,
-are the repetitions that bring the recall near one; a test measures it. Every hit is verified by the exact edit
-distance of the item to the best window there.
+An item that may have k edits is cut into k + 1 pieces of nearly equal length. An edit changes one piece at most, so a
+window within k edits holds at least one piece unchanged: looking up the pieces, of up to ``RUN`` words of each, misses
+nothing, whatever the length of an item and wherever its edits are. The hashes of all runs of a length are computed for
+many documents at once. Where a piece is found, the exact edit distance of the item to the best window there decides.
 
 A document is contaminated by an item if a window of it is within ``1 - SIMILARITY`` of the item's words. Words are
 runs without ASCII white space, A-Z in lower case, without punctuation at both ends; words of punctuation alone do not
@@ -34,9 +27,9 @@ from parley.llm.common import mixed, sliced, texts_of, typed
 from parley.llm.words import WordHashes, lower_words
 
 SIMILARITY = 0.8
-#: Sampled steps of each walk.
-WALKS = ((0, 2, 4, 6, 8, 10), (0, 2, 4, 7, 9, 12), (0, 1, 3, 5, 7, 9))
-#: Items in one pass, and words of documents that are walked at once.
+#: Words of a piece that are looked up at most.
+RUN = 6
+#: Items in one pass, and words of documents that are looked up at once.
 ITEMS = 20_000
 AT_ONCE = 200_000
 #: Documents that a task holds at once.
@@ -65,18 +58,20 @@ def words_of(text: bytes | None, hashes: CoreHashes) -> np.ndarray:
     return found[found != 0]
 
 
-def walk_hashes(words: np.ndarray, walk: int) -> np.ndarray:
-    """For every position the hash of the sampled steps of the walk that starts there."""
-    steps = WALKS[walk]
-    bits = mixed(words + np.uint64(walk + 1))
-    now = np.full(len(words) + 1, np.uint64(walk + 1))
-    for j in range(steps[-1], -1, -1):
-        moves = (bits & np.uint64(1 << j)).astype(bool)
-        now[:-1] = np.where(moves, now[1:], now[:-1])
-        if j in steps:
-            now[:-1] ^= words
-            now[:-1] *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed(now[:-1])
+def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For 1 to ``longest`` words: their number, and for every position the hash of the run that starts there."""
+    now = words
+    for length in range(1, min(longest, len(words)) + 1):
+        if length > 1:
+            now = mixed(now[:-1]) + words[length - 1 :]
+        yield length, now
+
+
+def pieces(length: int, edits: int) -> list[tuple[int, int]]:
+    """Begin and looked up length of the pieces of an item."""
+    count = min(edits + 1, length)
+    cuts = [i * length // count for i in range(count + 1)]
+    return [(a, min(b - a, RUN)) for a, b in zip(cuts, cuts[1:])]
 
 
 def allowed(length: int, similarity: float) -> int:
@@ -105,7 +100,7 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """The hashes of all anchors of a block of items."""
+    """The hashes of all pieces of a block of items."""
 
     def __init__(self, items: list[tuple[object, bytes]], similarity: float) -> None:
         hashes = CoreHashes()
@@ -118,53 +113,48 @@ class Items:
         self.edits = [allowed(len(w), similarity) for w in self.words]
         self.lists = [w.tolist() for w in self.words]
         self.sorted = [np.unique(w) for w in self.words]
-        self.tables = []
-        for walk in range(len(WALKS)):
-            keys, item, anchor = [np.empty(0, np.uint64)], [], []
-            for k, own in enumerate(self.words):
-                padded = np.append(own, np.full(WALKS[walk][-1] + 1, _PAD))
-                # a walk that leaves the item says nothing about it, unless the item is shorter than any walk
-                whole = max(1, len(own) - (WALKS[walk][-1] + 1) // 2)
-                keys.append(walk_hashes(padded, walk)[:whole])
-                item += [k] * whole
-                anchor += range(whole)
-            flat = np.concatenate(keys)
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        for k, own in enumerate(self.words):
+            cut = pieces(len(own), self.edits[k])
+            runs = dict(run_hashes(own, max(length for _, length in cut)))
+            for begin, length in cut:
+                places.setdefault(length, []).append((int(runs[length][begin]), k, begin))
+        self.tables = {}
+        for length, found in places.items():
+            flat = np.array([x[0] for x in found], np.uint64)
+            item, begin = np.array([x[1:] for x in found], np.int64).T
             order = np.argsort(flat, kind="stable")
             sieve = np.zeros(1 << SIEVE, bool)
             sieve[(flat >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-            self.tables.append((flat[order], np.array(item, np.int64)[order], np.array(anchor, np.int64)[order], sieve))
-        # items shorter than the shortest walk are looked for by their first word
-        self.short = {}
-        for k, own in enumerate(self.words):
-            if len(own) <= max(s[-1] for s in WALKS) // 2 + 1:
-                self.short.setdefault(int(own[0]), []).append(k)
+            self.tables[length] = (flat[order], item[order], begin[order], sieve)
 
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Rows of (item, position where it would start), each once."""
-        found = [np.empty((0, 2), np.int64)]
-        for walk, (keys, item, anchor, sieve) in enumerate(self.tables):
-            if not len(keys):
+    def _hits(self, words: np.ndarray) -> np.ndarray:
+        """Rows of (item, position where it would start, position of the piece)."""
+        found = [np.empty((0, 3), np.int64)]
+        for length, own in run_hashes(words, max(self.tables, default=0)):
+            if length not in self.tables:
                 continue
-            own = walk_hashes(words, walk)
+            keys, item, begin, sieve = self.tables[length]
             at = np.flatnonzero(sieve[(own >> np.uint64(64 - SIEVE)).astype(np.int64)])
             low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
             count = high - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
             which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([item[which], np.repeat(at, count) - anchor[which]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            place = np.repeat(at, count)
+            found.append(np.stack([item[which], place - begin[which], place], axis=1))
+        return np.concatenate(found)
+
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Rows of (item, position where it would start), each once, in order."""
+        return np.unique(self._hits(words)[:, :2], axis=0)
 
     def matches(self, words: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int]]:
-        """(distance, end) of the best window by item, of those that are near enough."""
+        """(distance, end) of the best window by item, of those that are near enough; ``hits`` are in order."""
         best: dict[int, tuple[int, int]] = {}
         done: dict[int, int] = {}
-        candidates = hits.tolist()
-        if self.short:
-            for p, word in enumerate(words.tolist()):
-                candidates += [[k, p] for k in self.short.get(word, ())]
-        for k, start in candidates:
+        for k, start in hits.tolist():
             edits, size = self.edits[k], len(self.lists[k])
-            if start <= done.get(k, -1 << 60):
+            if start <= done.get(k, -1 << 60) or (k in best and best[k][0] == 0):
                 continue
             begin = max(0, start - edits)
             end = start + size + 2 * edits + 1  # also serves the starts that follow closely
@@ -177,9 +167,8 @@ class Items:
                 best[k] = (distance, begin + at)
         return best
 
-
     def found(self, texts: list[bytes | None], hashes: CoreHashes) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, distance, end) of all matches; many texts are walked at once."""
+        """(text, item, distance, end) of all matches; many texts are looked up at once."""
         held: list[tuple[int, np.ndarray]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -190,13 +179,13 @@ class Items:
                 continue
             flat = np.concatenate([x for _, words in held for x in (words, np.array([_PAD]))])
             ends = np.cumsum([len(words) + 1 for _, words in held])
-            hits = self.hits(flat)
-            owner = np.searchsorted(ends, np.maximum(hits[:, 1], 0), "right")
+            hits = self._hits(flat)
+            owner = np.searchsorted(ends, hits[:, 2], "right")  # an item may start before the text that holds the piece
             order = np.lexsort((hits[:, 1], hits[:, 0], owner))
-            hits, owner = hits[order], owner[order]
+            hits, owner = hits[order, :2], owner[order]
             for n, (row, words) in enumerate(held):
                 a, b = np.searchsorted(owner, [n, n + 1])
-                if a == b and not self.short:
+                if a == b:
                     continue
                 mine = hits[a:b] - np.array([0, ends[n] - len(words) - 1])
                 for k, (edits, behind) in sorted(self.matches(words, mine).items()):

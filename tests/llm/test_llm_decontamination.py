@@ -82,3 +82,33 @@ def test_odd_rows(spark):
     assert stays.columns == docs.columns and {r.doc_id for r in stays.collect()} == {2, 3, 6}
     assert decontaminated(docs, benchmark.limit(0)).count() == len(rows)
     assert contaminated(docs.limit(0), benchmark).count() == 0 and contaminated(docs, benchmark.limit(0)).count() == 0
+
+
+def test_every_length_is_found_at_the_largest_distance():
+    """Also at the very begin and end of a text, and with edits of any kind at any places."""
+    rng = random.Random(3)
+    for size in range(1, 41):
+        items = [[f"i{n}w{p}" for p in range(size)] for n in range(8)]
+        block, hashes = Items([(n, " ".join(w).encode()) for n, w in enumerate(items)], 0.8), CoreHashes()
+        k = block.edits[0]
+        texts, want = [b"some other text"], []
+        for n, item in enumerate(items):
+            for spread in (True, False):
+                places = [int((i + 0.5) * size / k) for i in range(k)] if spread else rng.sample(range(size), k)
+                for kinds in ("c", "d", "i", "cdi"):
+                    w = list(item)
+                    for p in sorted(places, reverse=True):
+                        w[p : p + 1] = {"c": ["x"], "d": [], "i": [w[p], "x"]}[rng.choice(kinds)]
+                    before, behind = (["z"] * rng.choice([0, 0, 3, 40]) for _ in range(2))
+                    if distance(block.lists[n], words_of(" ".join(before + w + behind).encode(), hashes).tolist()) <= k:
+                        want.append((len(texts), n))
+                    texts.append(" ".join(before + w + behind).encode())
+        found = [x[:2] for x in block.found(texts, hashes)]
+        assert found == want and len(want) == 64, size
+
+
+def test_short_item_found_behind_a_near_miss():
+    item = "aa bb cc dd ee"
+    block, hashes = Items([(0, item.encode())], 0.8), CoreHashes()
+    for text in ("zz bb cc dd ee", "bb cc dd ee", "aa q q q q q q aa bb cc xx ee", "aa bb cc dd ee " * 2, "aa bb q q q q zz bb cc dd ee aa q q"):
+        assert [x[1] for x in block.found([b"q", text.encode()], hashes)] == [0], text

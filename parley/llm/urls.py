@@ -7,8 +7,10 @@ T(context)), where ``shorter`` is its probability behind the context without its
 difference of the log-likelihoods divided by the length, and its threshold is the one that parts best a fifth of the
 labelled URLs, chosen by hash, that the models have not learned from.
 
-Counts cover all labelled URLs and are summed by Spark. A model keeps the most frequent runs of characters, ``GRAMS`` at
-most; runs that it lacks are judged by shorter ones. A URL without text behind the scheme has score 0. If one kind of labelled
+Counts cover all labelled URLs. They stay a Spark table of all runs of characters, of all lengths, that learned or judged
+URLs have, whatever their number; every probability is computed there from the one of the run without its first
+character. A URL's characters take theirs from the longest runs. Each task holds the ``GRAMS`` most frequent of these; the
+rest, none of them frequent, are joined, so the result does not depend on ``GRAMS``. A URL without text behind the scheme has score 0. If one kind of labelled
 URL is missing, the score is 0 everywhere and the threshold 0, so URLs without a rule are allowed. A null URL, or one
 without ``://``, has an empty host and path, no rule, and its text as it is for the models.
 """
@@ -20,15 +22,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import mixed, signed, typed, written
+from parley.llm.common import mixed, signed, sliced, typed, written
 
 #: The longest context in characters.
 ORDER = 5
-#: Runs of characters that a model keeps at most.
+#: Longest runs whose probabilities a task holds at most; the others are joined.
 GRAMS = 1_000_000
+#: URLs that a task holds at once.
+AT_ONCE = 2000
 #: Characters that are taken as possible; stands under the shortest context.
 ALPHABET = 256
 #: One of so many labelled URLs is kept to calibrate the threshold.
@@ -94,19 +98,25 @@ def contexts(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (verdict, context, context with character) of each batch."""
-    for batch in batches:
-        verdicts = np.array(batch.column("verdict").to_pylist())
+    """For each batch the runs with their length, context, the run without the first character, and counts.
+
+    ``n`` counts all URLs, ``allow`` and ``block`` those that are learned from.
+    """
+    for batch in (part for whole in batches for part in sliced([whole], AT_ONCE)):
+        verdicts = np.array(batch.column("verdict").fill_null("").to_pylist(), dtype=str)
         owner, before, grams = contexts(batch.column("text").to_pylist(), order)
-        for verdict in np.unique(verdicts):
-            own = verdicts[owner] == verdict
-            gram, first, count = np.unique(grams[:, own].ravel(), return_index=True, return_counts=True)
+        allow, block = (verdicts[owner] == v for v in ("allow", "block"))
+        for k in range(order + 1):
+            gram, first, at, count = np.unique(grams[k], return_index=True, return_inverse=True, return_counts=True)
             yield pa.record_batch(
                 {
-                    "verdict": pa.array([str(verdict)] * len(gram), pa.string()),
-                    "context": signed(before[:, own].ravel()[first]),
+                    "k": np.full(len(gram), k, np.int32),
+                    "context": signed(before[k][first]),
                     "gram": signed(gram),
+                    "shorter": signed(grams[max(k - 1, 0)][first]),
                     "n": count.astype(np.int64),
+                    "allow": np.bincount(at, weights=allow, minlength=len(gram)).astype(np.int64),
+                    "block": np.bincount(at, weights=block, minlength=len(gram)).astype(np.int64),
                 }
             )
 
@@ -130,50 +140,104 @@ def _table(df: DataFrame, key: str, size: int) -> list[np.ndarray]:
     return [got.column(c).to_numpy()[order] for c in got.column_names]
 
 
-def learned(labelled: DataFrame, order: int = ORDER, size: int = GRAMS) -> list[list[list[np.ndarray]]]:
-    """For allowed and blocked URLs: runs with counts, and contexts with counts and different followers.
+def ratios(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n, ratio: the longest runs of all URLs, how often they occur, and log-probability allowed to blocked.
 
-    ``labelled``: text, verdict.
+    ``urls``: text, verdict (allow or block of those that are learned from).
     """
-    counted = labelled.select("text", "verdict").mapInArrow(
-        lambda b: _counted(b, order), "verdict string, context long, gram long, n long"
+    counted = urls.select("text", "verdict").mapInArrow(
+        lambda b: _counted(b, order), "k int, context long, gram long, shorter long, n long, allow long, block long"
     )
-    counts = written(counted.groupBy("verdict", "context", "gram").agg(F.sum("n").alias("n")))
-    models = []
+    sums = [F.sum(name).alias(name) for name in ("n", "allow", "block")]
+    runs = counted.groupBy("k", "context", "gram", "shorter").agg(*sums)
+    behind = Window.partitionBy("k", "context")  # as many rows as there are different characters, at most
     for verdict in ("allow", "block"):
-        own = counts.filter(F.col("verdict") == verdict)
-        behind = own.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("followers"))
-        models.append([_table(own.select("gram", "n"), "gram", size), _table(behind, "context", size)])
-    return models
-
+        runs = runs.withColumns(
+            {
+                f"{verdict}_here": F.sum(verdict).over(behind),
+                f"{verdict}_kinds": F.count(F.when(F.col(verdict) > 0, 1)).over(behind),
+            }
+        )
+    runs = written(runs)
+    found = None
+    for k in range(order + 1):
+        own = runs.filter(F.col("k") == k)
+        if found is None:
+            own = own.withColumns({"allow_p": F.lit(1 / ALPHABET), "block_p": F.lit(1 / ALPHABET)})
+        else:
+            own = own.join(found, "shorter")
+        smoothed = {}
+        for verdict in ("allow", "block"):
+            here, kinds, p = (F.col(f"{verdict}_{name}") for name in ("here", "kinds", "p"))
+            smoothed[f"{verdict}_p"] = F.when(here > 0, (F.col(verdict) + kinds * p) / (here + kinds)).otherwise(p)
+        own = own.withColumns(smoothed)
+        found = own.select(F.col("gram").alias("shorter"), "allow_p", "block_p")
+    return written(own.select("gram", "n", (F.log("allow_p") - F.log("block_p")).alias("ratio")))
+
+
+def with_scores(rows: DataFrame, order: int = ORDER, size: int = GRAMS) -> DataFrame:
+    """``rows`` (text, verdict, learn, other columns) with ``score``; models learn from the verdicts where ``learn``."""
+    kinds = [r[0] for r in rows.filter(F.col("learn") & F.col("verdict").isNotNull()).select("verdict").distinct().collect()]
+    if len(kinds) < 2:  # allow and block are all there are
+        return rows.withColumn("score", F.lit(0.0))
+    every = ratios(rows.select("text", F.when(F.col("learn"), F.col("verdict")).alias("verdict")), order)
+    gram, _, ratio = _table(every.select("gram", "n", "ratio"), "gram", size)
+    shared = rows.sparkSession.sparkContext.broadcast((gram, ratio))
+
+    def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, longest run, whether it is held here, and its ratio then, for each character."""
+        keys, values = shared.value
+        owner, _, grams = contexts(texts, order)
+        wanted = signed(grams[order])
+        if not len(keys):
+            return owner, wanted, np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        held = keys[at] == wanted
+        return owner, wanted, held, np.where(held, values[at], 0.0)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced([whole], AT_ONCE)):
+            owner, wanted, held, _ = places(batch.column("text").to_pylist())
+            runs = {"gram": wanted[~held]}
+            yield pa.record_batch({n: batch.column(n).take(pa.array(owner[~held])) for n in ("h1", "h2")} | runs)
+
+    def held_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced([whole], AT_ONCE)):
+            texts = batch.column("text").to_pylist()
+            owner, _, _, ratio = places(texts)
+            total = np.bincount(owner, weights=ratio, minlength=len(texts))
+            length = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+            yield pa.record_batch(
+                {n: batch.column(n) for n in names} | {"held": total, "places": length}
+            )
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0).astype(float)
+    # a text is known by 128 bits of hashes
+    keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
+    names = keyed.columns
+    schema = typed("", **{f.name: f.dataType for f in keyed.schema.fields}).add("held", "double").add("places", "long")
+    out = keyed.mapInArrow(held_sums, schema)
+    if len(gram) < every.count():  # the same sums, the rest of them by a join
+        left = keyed.select("text", "h1", "h2").dropDuplicates(["h1", "h2"])
+        joined = left.mapInArrow(rest, "h1 long, h2 long, gram long").join(every.select("gram", "ratio"), "gram")
+        out = out.join(joined.groupBy("h1", "h2").agg(F.sum("ratio").alias("joined")), ["h1", "h2"], "left")
+    else:
+        out = out.withColumn("joined", F.lit(0.0))
+    score = (F.col("held") + F.coalesce("joined", F.lit(0.0))) / F.col("places")
+    return out.withColumn("score", F.when(F.col("text") != "", score).otherwise(0.0)).select(*rows.columns, "score")
 
 
-def likelihood(model: list[list[np.ndarray]], before: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Log-probability of each character."""
-    (gram, n), (context, total, followers) = model
-    p = np.full(before.shape[1], 1 / ALPHABET)
-    for k in range(len(before)):
-        here, kinds = (_found(context, v, signed(before[k])) for v in (total, followers))
-        seen = _found(gram, n, signed(grams[k]))
-        p = np.where(here > 0, (np.minimum(seen, here) + kinds * p) / np.maximum(here + kinds, 1), p)
-    return np.log(p)
+def learned(labelled: DataFrame, order: int = ORDER, size: int = GRAMS) -> tuple[DataFrame, int]:
+    """What ``scores`` learns from (text, verdict), and the longest runs that a task holds then."""
+    return labelled.select("text", "verdict"), size
 
 
-def scores(models: list[list[list[np.ndarray]]], texts: list[str], order: int) -> np.ndarray:
+def scores(models: tuple[DataFrame, int], texts: list[str], order: int) -> list[float]:
     """Log-likelihood ratio of allowed to blocked for each text, by its length."""
-    if any(not len(model[1][0]) for model in models) or not texts:
-        return np.zeros(len(texts))
-    owner, before, grams = contexts(texts, order)
-    ratio = likelihood(models[0], before, grams) - likelihood(models[1], before, grams)
-    lengths = np.bincount(owner, minlength=len(texts))
-    total = np.bincount(owner, weights=ratio, minlength=len(texts)) / np.maximum(lengths, 1)
-    return np.where(np.array([bool(t) for t in texts]), total, 0.0)
+    labelled, size = models
+    asked = labelled.sparkSession.createDataFrame(list(enumerate(texts)), "at int, text string")
+    rows = asked.withColumns({"verdict": F.lit(None).cast("string"), "learn": F.lit(False)})
+    rows = rows.unionByName(labelled.withColumns({"at": F.lit(-1), "learn": F.lit(True)}))
+    return [r.score for r in with_scores(rows, order, size).filter("at >= 0").orderBy("at").collect()]
 
 
 def threshold(counts: list[tuple[int, str, int]]) -> float:
@@ -204,25 +268,12 @@ def filter_urls(
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
     held = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    labelled = rows.filter(F.col("verdict").isNotNull())
-    models = learned(labelled.filter(~held), order, size)
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = scores(shared.value, batch.column("text").to_pylist(), order)
-            yield pa.record_batch(
-                {n: batch.column(n) for n in ("page_id", "host", "path", "rule", "verdict")} | {"score": own}
-            )
-
-    schema = typed("", page_id=rows.schema["page_id"].dataType)
-    for name in ("host", "path", "rule", "verdict"):
-        schema = schema.add(name, "string")
-    schema = schema.add("score", "double")
+    scored = written(with_scores(rows.withColumn("learn", F.col("verdict").isNotNull() & ~held), order, size))
+    calibrating = scored.filter(F.col("verdict").isNotNull() & ~F.col("learn"))
     step = F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), "score")) / STEP).cast("int")
-    counts = labelled.filter(held).mapInArrow(scored, schema).groupBy(step.alias("step"), "verdict").count().collect()
+    counts = calibrating.groupBy(step.alias("step"), "verdict").count().collect()
     limit = threshold([(r[0], r[1], r[2]) for r in counts])  # one row per step and verdict at most
     judged = F.coalesce("verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))
-    return rows.mapInArrow(scored, schema).select(
+    return scored.select(
         "page_id", "host", "path", "rule", judged.alias("verdict"), "score", F.lit(limit).alias("threshold")
     )

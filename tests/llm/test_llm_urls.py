@@ -101,3 +101,14 @@ def test_filter(spark):
     assert filter_urls(pages.limit(0), RULES).count() == 0
     alone = filter_urls(pages.filter("page_id < 0"), ()).collect()  # nothing to learn from
     assert {r.verdict for r in alone} == {"allow"}
+
+
+def test_no_run_is_left_out(spark):
+    """Scores and verdicts are those of all runs, however few of them a task holds."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = {r.page_id: r for r in filter_urls(pages, RULES).collect()}
+    assert len(whole) > 100 and any(r.score for r in whole.values())
+    for size in (0, 50):
+        for r in filter_urls(pages, RULES, size=size).collect():
+            assert math.isclose(r.score, whole[r.page_id].score, abs_tol=1e-9)
+            assert (r.verdict, r.threshold) == (whole[r.page_id].verdict, whole[r.page_id].threshold)

@@ -1151,17 +1151,21 @@ def read_split(spark, sf_dir):
     FROM documents GROUP BY source, lang"""
 )
 def media_listing(spark, sf_dir):
-    """Files in sub-folders by the names they are found by; the file's own part is cut off."""
+    """Files of all documents, in sub-folders by the names they are found by.
+
+    A file's own part is cut off, and what tasks wrote under one name counts once.
+    """
     path = scratch(spark, "media")
-    documents = table(spark, sf_dir, "documents").select("source", "lang")
-    kinds = documents.distinct().withColumn("text", F.lit("x")).coalesce(1)
-    kinds.write.partitionBy("source", "lang").text(path)
+    documents = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    documents.write.partitionBy("source", "lang").text(path)
     listing = io.media_listing(spark, path).where(F.col("name").endswith(".txt"))
     inner = F.regexp_extract("name", "^(.*)/[^/]*$", 1)
     folder = F.element_at(F.split("path", "/"), -3)
     return (
         listing.where(inner != "")
-        .groupBy("place", folder.alias("folder"), inner.alias("name"))
+        .select("place", folder.alias("folder"), inner.alias("name"))
+        .distinct()
+        .groupBy("place", "folder", "name")
         .agg(F.count(F.lit(1)).alias("files"))
     )
 

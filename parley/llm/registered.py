@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.codes import codebooks_digest, compressed
 from parley.llm.common import table
 from parley.llm.decontamination import contaminated
 from parley.llm.jaccard import similar_documents
@@ -15,13 +16,17 @@ from parley.llm.langid import held_out, identify
 from parley.llm.lines import dedup_lines
 from parley.llm.neighbours import nearest_neighbours
 from parley.llm.packing import pack_documents
+from parley.llm.pieces import encode_texts
 from parley.llm.rendering import extract_text
+from parley.llm.spelling import spelling_variants
 from parley.llm.substrings import dedup_substrings
 from parley.llm.tokens import length_histogram, suffix_sums
 from parley.llm.urls import Rule, filter_urls
 
 #: The vocabulary that token counts and packing use.
 VOCABULARY = "word_bpe_49k.json"
+#: The model whose pieces texts are encoded in.
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +188,78 @@ least AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+
+@query
+def op11_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, public_tokenizers.path(PIECES))
+    return encoded.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_memoised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = compressed(vectors)
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.lit(codebooks_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Common table expressions near0, book1, near1, ... of the rounds of the codebooks."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, label, p, any_value(v) AS v, min(16 * d + e) % 16 AS e, min(16 * d + e) // 16 AS d
+  FROM (
+    SELECT a.*, e, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))::BIGINT AS d
+    FROM cut a JOIN book{k} b USING (p)
+  ) GROUP BY vec_id, label, p
+)""")
+        if k < rounds:
+            out.append(f"""
+mean{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n
+    FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY p, e, i
+  ) GROUP BY p, e
+),
+book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m USING (p, e)
+)""")
+    return ",".join(out)
+
+
+ORACLES["op12_memoised_cells"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v
+  FROM (SELECT *, unnest(range(8)) AS p FROM kept)
+),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM cut QUALIFY e < 16
+),{_rounds_sql(6)},
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near6 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book6) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))

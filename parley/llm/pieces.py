@@ -46,8 +46,10 @@ MARKER = "▁".encode()
 #: Bytes of texts in a block, about, and of texts whose chunks meet in one bucket.
 BLOCK_BYTES = 24 << 20
 BUCKET_TEXT = 32 << 20
-#: Chunks of a block that get small numbers.
-FREQUENT = 4096
+#: Chunks of a block that get numbers of one or two bytes.
+FREQUENT = 1 << 14
+#: How hard what is sent is compressed.
+LEVEL = 9
 #: Documents that a task takes at once.
 AT_ONCE = 256
 #: A byte that no UTF-8 text has.
@@ -109,14 +111,26 @@ def worker_model(model: bytes) -> Model:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    """Integers below 2**28, seven bits a byte, low ones first; all bytes but the last of a number have the high bit."""
+    out = []
+    for part in np.array_split(numbers.astype(np.uint32), len(numbers) // 500_000 + 1):
+        rest = part[:, None] >> np.array([0, 7, 14, 21], np.uint32)
+        longer = np.zeros(rest.shape, bool)
+        longer[:, :-1] = rest[:, 1:] > 0
+        used = np.concatenate([np.ones((len(rest), 1), bool), longer[:, :-1]], axis=1)
+        out.append(((rest & 127) | np.where(longer, 128, 0)).astype(np.uint8)[used].tobytes())
+    return zstandard.compress(b"".join(out), LEVEL)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    ends = np.flatnonzero(data < 128)
+    begin = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[: len(ends)]
+    out = (data[begin] & 127).astype(np.int64)
+    for k in range(1, 4):
+        more = np.flatnonzero(begin + k <= ends)
+        out[more] += (data[begin[more] + k] & 127).astype(np.int64) << (7 * k)
+    return out
 
 
 class _Numbers(dict):
@@ -143,8 +157,8 @@ class Block:
     def written(self, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
         """Its own row, and one row for each bucket that some of its chunks fall in.
 
-        Chunks are in the order of (bucket, chunk). Codes 0 to ``FREQUENT`` stand for the most frequent ones, others
-        follow behind in that order.
+        Chunks are in the order of (bucket, chunk). The first codes, at most ``FREQUENT``, stand for the most
+        frequent ones; all follow behind in that order.
         """
         chunks = list(self.numbers)
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(c) % buckets for c in chunks), np.int64, len(chunks))
@@ -152,7 +166,7 @@ class Block:
         codes = np.concatenate([np.empty(0, np.uint32), *self.codes])
         counts = np.bincount(codes, minlength=len(chunks))[order]
         top = np.argsort(-counts, kind="stable")[:FREQUENT]
-        code = np.arange(len(chunks)) + FREQUENT
+        code = np.arange(len(chunks)) + len(top)
         code[top] = np.arange(len(top))
         of_number = np.empty(len(chunks), np.int64)
         of_number[order] = code
@@ -168,7 +182,7 @@ class Block:
         ends = np.append(np.flatnonzero(np.diff(sorted_buckets)) + 1, len(order)) if len(order) else []
         begin = 0
         for end in ends:
-            packed = zstandard.ZstdCompressor(level=3).compress(_BETWEEN.join(chunks[k] for k in order[begin:end]))
+            packed = zstandard.compress(_BETWEEN.join(chunks[k] for k in order[begin:end]), LEVEL)
             nothing = {n: pa.nulls(1, kind) for n, kind in kinds.items()}
             yield _row(number, [int(sorted_buckets[begin])], nothing | {"chunks": pa.array([packed], pa.binary())})
             begin = end
@@ -178,6 +192,12 @@ def _row(block: int, bucket: list[int | None], columns: dict[str, pa.Array]) ->
     return pa.record_batch({"block": pa.array([block], pa.int64()), "bucket": pa.array(bucket, pa.int32()), **columns})
 
 
+def _texts(ids: list[np.ndarray], decoded: list[str], rows: pa.Array) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+    return pa.record_batch({"ids": lists, "decoded": pa.array(decoded, pa.string()), "row": rows})
+
+
 _IDS = "block long, bucket int, counts binary, ids binary"
 
 
@@ -192,6 +212,7 @@ def encode_texts(
     model = Path(model_path).read_bytes()
     pattern = chunks_of(cuts(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    width = "<u2" if SentencePieceProcessor(model_proto=model).vocab_size() <= 1 << 16 else "<u4"
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), rest_of_row(docs, text_col))
     row_type = texts.schema["row"].dataType
     arrow_row = to_arrow_type(row_type)
@@ -215,13 +236,12 @@ def encode_texts(
 
     def segmented(group: pa.Table) -> pa.Table:
         """The ids of all chunks in a bucket; each distinct one is segmented once."""
-        unpack = zstandard.ZstdDecompressor().decompress
-        lists = [unpack(x).split(_BETWEEN) for x in group.column("chunks").to_pylist()]
+        lists = [zstandard.decompress(x).split(_BETWEEN) for x in group.column("chunks").to_pylist()]
         known = sorted(set().union(*lists))
         ids = dict(zip(known, worker_model(shared.value).segment(known)))
         own = [[ids[c] for c in chunks] for chunks in lists]
         counts = [_packed(np.array([len(x) for x in found])) for found in own]
-        flat = [_packed(np.array([i for x in found for i in x], np.int64)) for found in own]
+        flat = [zstandard.compress(np.array([i for x in found for i in x], width).tobytes(), LEVEL) for found in own]
         return pa.table(
             {
                 "block": group.column("block"),
@@ -238,36 +258,27 @@ def encode_texts(
     def joined(block: pa.Table, found: pa.Table) -> pa.Table:
         """The rows of a block, with ids by the numbers of their chunks."""
         found = found.sort_by("bucket")
-        none = np.empty(0, np.uint32)
-        counts = np.concatenate([none, *map(_unpacked, found.column("counts").to_pylist())]).astype(np.int64)
-        flat = np.concatenate([none, *map(_unpacked, found.column("ids").to_pylist())])
+        none = np.empty(0, np.int64)
+        counts = np.concatenate([none, *map(_unpacked, found.column("counts").to_pylist())])
+        flat = b"".join(map(zstandard.decompress, found.column("ids").to_pylist()))
+        flat = np.frombuffer(flat, width).astype(np.int32)
         first = np.cumsum(counts) - counts
-        rows, ids, sizes, decoded = [], [none], [], []
-        model = worker_model(shared.value)
-        for row, lengths, codes, top in zip(*(block.column(n) for n in ("rows", "lengths", "codes", "top"))):
-            rows.append(row.values)
-            codes, top = _unpacked(codes.as_py()).astype(np.int64), _unpacked(top.as_py()).astype(np.int64)
-            frequent = codes < FREQUENT
-            at = np.where(frequent, 0, codes - FREQUENT)
-            at[frequent] = top[codes[frequent]]
-            end = 0
-            for n in _unpacked(lengths.as_py()).tolist():
-                own, end = at[end : end + n], end + n
+        model, out = worker_model(shared.value), []
+        for rows, lengths, codes, top in zip(*(block.column(n) for n in ("rows", "lengths", "codes", "top"))):
+            codes, top = _unpacked(codes.as_py()), _unpacked(top.as_py())
+            at = np.where(codes < len(top), np.append(top, 0)[np.minimum(codes, len(top))], codes - len(top))
+            end, begin, ids, decoded = 0, 0, [], []
+            ends = np.cumsum(_unpacked(lengths.as_py())).tolist()
+            for k, last in enumerate(ends):
+                own, end = at[end:last], last
                 many = counts[own]
-                total = int(many.sum())
-                places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(total)
+                places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
                 ids.append(flat[places])
-                sizes.append(total)
                 decoded.append(model.decode(ids[-1].tolist()))
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        values = pa.array(np.concatenate(ids).astype(np.int32))
-        return pa.table(
-            {
-                "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values),
-                "decoded": pa.array(decoded, pa.string()),
-                "row": pa.concat_arrays(rows) if rows else pa.array([], arrow_row),
-            }
-        )
+                if k + 1 - begin == AT_ONCE or k + 1 == len(ends):
+                    out.append(_texts(ids, decoded, rows.values.slice(begin, len(ids))))
+                    begin, ids, decoded = k + 1, [], []
+        return pa.Table.from_batches(out, pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("row", arrow_row)]))
 
     own = blocks.filter("bucket IS NULL").select("block", "rows", "lengths", "codes", "top")
     return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(joined, out)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from parley.session import written
 
 __all__ = [
-    "LAST_ID", "LOWER", "SPACE", "doc_id", "keyed", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
+    "LAST_ID", "LOWER", "SPACE", "by_size", "doc_id", "keyed", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
     "texts_of", "typed", "written",
 ]
 
@@ -68,6 +69,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(begin, rows)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes in ``column``, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(sizes.astype(np.int64) + 64), 0  # a row is never nothing
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + n_bytes, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of an Arrow column."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -9,16 +9,19 @@ for each part, one for every choice of the fine parts that are kept, and similar
 Signatures of few elements say little and are shared by chance. There are some more parts than the bound asks for, as
 many as a set may have poor ones; so poor signatures can be left out unless a set has too many of them. Nothing is lost.
 
-Sets that are equal are one class, found by a grouping. Classes that share a signature form a group. No group is
-expanded into all its pairs. Members are compared by sketches, which travel with the signatures: a sketch holds parities,
-and sets differ in at least as many elements as their sketches in bits, so a pair that the sketches exclude is never
-similar, and nearly every other one is. First every member goes on with one possible partner, then, for some rounds, with
-one of another component; exact comparisons of sets give links, and links components, whose members never meet again.
-At last all pairs are compared that share a signature but no component and that the sketches allow.
-
-An empty or null text has an empty set and no link; a text shorter than a run is one element. Rows of one id are
-different documents that share a name. A null id comes last. Hashes of elements, and of
-classes in links, have 64 bits.
+Sets that are equal are one class, named by a 128-bit hash. Signatures travel with names only; classes that share one form
+a group, and equal groups are one. Groups of more than ``BLOCK`` classes become blocks and pairs of blocks, so no task has
+to compare a large group alone. No group is expanded into all its pairs: members are compared by sketches, and each sketch
+goes once to a bucket of groups that need it. A sketch holds parities, and sets differ in at least as many elements as
+their sketches in bits, so a pair that the sketches exclude is never similar, and nearly every other one is. First every
+member goes on with one possible partner, then, for some rounds, with one of another component; exact comparisons of sets
+give links, and links components, whose members never meet again: groups inside one component are left out. At last all
+pairs are compared that share a signature but no component and that the sketches allow.
+
+An empty or null text has an empty set and no link; a text shorter than a run is one element; texts of any length are
+taken whole. Rows of one id are different documents that share a name, and equal rows are equal. A null id comes last. An
+empty table has an empty result. Hashes of elements have 64 bits. The names of all classes that share a signature are
+listed in one task, 16 bytes each.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import contains, seen
-from parley.llm.common import LAST_ID, doc_id, keyed, mixed, sliced, texts_of, written
+from parley.llm.common import LAST_ID, by_size, doc_id, keyed, mixed, texts_of, written
 from parley.llm.components import relabelled
 from parley.llm.words import WordHashes, lower_words, ngram_hashes
 
@@ -49,8 +52,13 @@ BUCKET_SIGNATURES = 2_000_000
 ROUNDS = 3
 #: Words of sketches that are compared at once.
 COMPARED = 1_000_000
-#: Documents whose sets a task holds at once.
-AT_ONCE = 1000
+#: Classes of a block, and members of groups that are compared together, about.
+BLOCK = 512
+BUCKET_MEMBERS = 50_000
+#: Bytes of texts, or of sets, that a task takes at once, about.
+AT_ONCE = 2 << 20
+#: Bytes of a class's name.
+NAME = 16
 
 
 def element_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -132,10 +140,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _dealt(
-    nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: list[np.ndarray], sketches: list[np.ndarray], buckets: int
-) -> pa.RecordBatch:
-    """One row per bucket: its sets with node, size, component and sketch, and their signatures there.
+def _dealt(nodes: list[bytes], sigs: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row per bucket: the names of the sets with signatures there, how many each has, and the signatures.
 
     Half of a signature chooses the bucket. The other half is enough inside, as a bucket's size is bounded: equal halves
     of different signatures are rare and cost a comparison.
@@ -147,117 +153,150 @@ def _dealt(
     flat = flat.astype(np.uint32)
     order = np.argsort(bucket * len(sigs) + owner, kind="stable")
     bucket, owner, flat = bucket[order], owner[order], flat[order]
-    rows: dict[str, list] = {n: [] for n in ("bucket", "nodes", "sizes", "labels", "counts", "sigs", "sketches")}
+    rows: dict[str, list] = {n: [] for n in ("bucket", "nodes", "counts", "sigs")}
     for number in np.unique(bucket):
         part = slice(*np.searchsorted(bucket, [number, number + 1]))
         own, counts = np.unique(owner[part], return_counts=True)
         rows["bucket"].append(number)
-        rows["nodes"].append(nodes[own].astype(np.int64).tobytes())
-        rows["sizes"].append(sizes[own].astype(np.int32).tobytes())
-        rows["labels"].append(labels[own].astype(np.int64).tobytes())
+        rows["nodes"].append(b"".join(nodes[k] for k in own))
         rows["counts"].append(counts.astype(np.int32).tobytes())
         rows["sigs"].append(flat[part].tobytes())
-        rows["sketches"].append(b"".join(sketches[k].tobytes() for k in own))
     kinds = {n: pa.int32() if n == "bucket" else pa.binary() for n in rows}
     return pa.record_batch({n: pa.array(v, kinds[n]) for n, v in rows.items()})
 
 
-_ROWS = "bucket int, nodes binary, sizes binary, labels binary, counts binary, sigs binary, sketches binary"
-_PAIRS = "a long, b long"
+_ROWS = "bucket int, nodes binary, counts binary, sigs binary"
+_GROUPS = "key binary, other boolean, a binary, b binary"
+_PAIRS = "a binary, b binary"
+
+
+def _named(names: bytes) -> np.ndarray:
+    return np.frombuffer(names, np.dtype((np.void, NAME)))
+
+
+def groups_of(bucket: pa.Table, block: int) -> pa.Table:
+    """The distinct groups of classes that share a signature, in blocks of ``block``; ``other`` marks pairs of blocks.
+
+    Names of a block are one behind the other; ``b`` is empty if the classes of ``a`` meet each other.
+    """
+    names = _named(b"".join(bucket.column("nodes").to_pylist()))
+    counts = np.frombuffer(b"".join(bucket.column("counts").to_pylist()), np.int32)
+    sigs = np.frombuffer(b"".join(bucket.column("sigs").to_pylist()), np.uint32)
+    node, at = np.unique(names, return_inverse=True)
+    both = np.unique(sigs.astype(np.uint64) << np.uint64(32) | np.repeat(at.astype(np.uint64), counts))
+    sig, owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+    end = np.append(begin[1:], len(sig))
+    shared = np.flatnonzero(end - begin > 1)
+    rows, known = [], set()
+    for x, y in zip(begin[shared].tolist(), end[shared].tolist()):
+        own = node[owner[x:y]].tobytes()
+        key = xxhash.xxh3_128_digest(own)
+        if key in known:
+            continue
+        known.add(key)
+        parts = [own[k : k + block * NAME] for k in range(0, len(own), block * NAME)]
+        for i, a in enumerate(parts):
+            for b in [b"", *parts[i + 1 :]]:
+                if b or len(a) > NAME:
+                    rows.append((xxhash.xxh3_128_digest(a + b"|" + b), bool(b), a, b))
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.binary(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "other", "a", "b"), columns, kinds)})
 
 
 class Members:
-    """The sets of a bucket, each once, and the groups of those that share a signature."""
-
-    def __init__(self, group: pa.Table, percent: int) -> None:
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-
-        nodes, sizes, labels = joined("nodes", np.int64), joined("sizes", np.int32), joined("labels", np.int64)
-        self.node, first, at = np.unique(nodes, return_index=True, return_inverse=True)
-        self.size, self.label, self.percent = sizes[first].astype(np.int64), labels[first], percent
-        self.bits = joined("sketches", np.uint64)
-        lengths = np.array([sketch_words(n, percent) for n in range(int(sizes.max(initial=0)) + 1)])[sizes]
-        self.sketch_end, self.sketch_size = np.cumsum(lengths)[first], lengths[first]
-        both = joined("sigs", np.uint32).astype(np.uint64) << np.uint64(32)
-        both |= np.repeat(at.astype(np.uint32), joined("counts", np.int32))
-        both = np.unique(both)
-        sig, self.owner = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begin = np.ones(len(sig), bool)
-        begin[1:] = sig[1:] != sig[:-1]
-        self.begin = np.flatnonzero(begin)
-        self.end = np.append(self.begin[1:], len(sig))
-
-    def sketch(self, k: int, words: int) -> np.ndarray:
-        """The sketch of a set in so many words."""
-        end = self.sketch_end[k]
-        return folded(self.bits[end - self.sketch_size[k] : end], words)
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        """Pairs of sets whose sizes allow similarity, each once, the smaller node first."""
-        low, high = np.minimum(a, b), np.maximum(a, b)  # sets are in the order of their nodes
-        less, more = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
-        kept = np.unique((low * len(self.node) + high)[(100 * less >= self.percent * more) & (a != b)])
-        return pa.table({"a": self.node[kept // len(self.node)], "b": self.node[kept % len(self.node)]})
-
-    def _near(self, a: int, b: int) -> bool:
-        """Whether size and sketch allow that two sets are similar."""
-        n, m = int(self.size[a]), int(self.size[b])
-        if self.label[a] == self.label[b] or 100 * min(n, m) < self.percent * max(n, m):
-            return False
-        words = min(self.sketch_size[a], self.sketch_size[b])
-        differ = int(np.bitwise_count(self.sketch(a, words) ^ self.sketch(b, words)).sum())
-        return differ * (100 + self.percent) <= (n + m) * (100 - self.percent)
-
-    def across(self, seed: int | None, everyone: bool = False) -> pa.Table:
-        """Members of one group and two components whose size and sketch allow similarity.
-
-        All such pairs; or with ``seed`` one for each member, outside the largest component unless ``everyone``.
+    """The classes of a bucket of groups: name (binary), n, label, sketch."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        self.percent = percent
+        self.at = {name: k for k, name in enumerate(table.column("node").to_pylist())}
+        self.names = list(self.at)
+        self.size = table.column("n").to_numpy().astype(np.int64)
+        labels: dict[bytes, int] = {}
+        self.label = np.array([labels.setdefault(x, len(labels)) for x in table.column("label").to_pylist()], np.int64)
+        self.bits = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        self.words = np.array([len(x) for x in self.bits], np.int64)
+        self.random = np.array([int.from_bytes(x[:8], "little") for x in self.names], np.uint64)
+
+    def rows(self, names: bytes) -> np.ndarray:
+        return np.array([self.at[names[k : k + NAME]] for k in range(0, len(names), NAME)], np.int64)
+
+    def _near(self, a: np.ndarray, b: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some of ``a`` at a time, which of ``b`` have another label and a size and sketch that allow similarity."""
+        theirs = np.stack([folded(self.bits[k], words) for k in b])
+        step, size = max(1, COMPARED // (len(b) * words)), self.size[b]
+        for part in (a[k : k + step] for k in range(0, len(a), step)):
+            own, mine = np.stack([folded(self.bits[k], words) for k in part]), self.size[part][:, None]
+            differ = np.bitwise_count(own[:, None, :] ^ theirs[None]).sum(axis=2, dtype=np.int64)
+            near = differ * (100 + self.percent) <= (mine + size) * (100 - self.percent)
+            near &= self.label[part][:, None] != self.label[b]
+            yield part, near & (100 * np.minimum(mine, size) >= self.percent * np.maximum(mine, size))
+
+    def across(self, first: bytes, second: bytes, seed: int | None, everyone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Classes of a group and two components that may be similar: all pairs, or with ``seed`` one partner for each.
+
+        Then the largest component is met from the others only, unless ``everyone``.
         """
-        found_a, found_b = [], []
-        for x, y in zip(self.begin.tolist(), self.end.tolist()):
-            own = self.owner[x:y]
-            if y - x == 2 and self._near(own[0], own[1]):
-                found_a.append(own[:1])
-                found_b.append(own[1:])
-            if y - x < 3 or (self.label[own] == self.label[own[0]]).all():
-                continue
+        a, b = self.rows(first), self.rows(second)
+        sides = [(a, b), (b, a)] if len(b) and seed is not None else [(a, b if len(b) else a)]
+        if len(np.unique(self.label[np.concatenate([a, b])])) == 1:
+            return
+        words = int(self.words[np.concatenate([a, b])].min())
+        for own, others in sides:
             if seed is not None:
-                own = own[np.argsort(mixed(self.node[own].view(np.uint64) + np.uint64(seed)))]
-            _, at, counts = np.unique(self.label[own], return_inverse=True, return_counts=True)
-            words = int(self.sketch_size[own].min())
-            bits = np.stack([self.sketch(k, words) for k in own])
-            sizes = self.size[own]
-            # the largest component is met from the others
-            rows = np.arange(len(own)) if everyone else np.flatnonzero(at != counts.argmax())
-            step = max(1, COMPARED // (len(own) * words))
-            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-                differ = np.bitwise_count(bits[part][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
-                near = differ * (100 + self.percent) <= (sizes[part][:, None] + sizes[None]) * (100 - self.percent)
-                near &= at[part][:, None] != at[None]
-                near &= 100 * np.minimum(sizes[part][:, None], sizes) >= self.percent * np.maximum(sizes[part][:, None], sizes)
-                if seed is None:
-                    i, j = np.nonzero(near)
-                else:
+                others = others[np.argsort(mixed(self.random[others] + np.uint64(seed)))]
+                if not everyone and not len(b):
+                    labels, counts = np.unique(self.label[own], return_counts=True)
+                    own = own[self.label[own] != labels[counts.argmax()]]
+            if not len(own):
+                continue
+            for part, near in self._near(own, others, words):
+                i, j = np.nonzero(near)
+                if seed is not None:
                     i = np.flatnonzero(near.any(axis=1))
                     j = near[i].argmax(axis=1)
-                found_a.append(own[part[i]])
-                found_b.append(own[j])
-        none = np.empty(0, np.int64)
-        return self.pairs(np.concatenate([none, *found_a]), np.concatenate([none, *found_b]))
+                yield part[i], others[j]
+
+    def pairs(self, groups: pa.Table, seed: int | None, everyone: bool = False) -> pa.Table:
+        """The names of all pairs that ``across`` finds in ``groups``, each once, the smaller name first."""
+        found = [np.empty(0, np.int64)]
+        n = len(self.names)
+        for first, second in zip(groups.column("a").to_pylist(), groups.column("b").to_pylist()):
+            for x, y in self.across(first, second, seed, everyone):
+                found.append(np.unique(np.minimum(x, y) * n + np.maximum(x, y)))
+            if len(found) > 1000:
+                found = [np.unique(np.concatenate(found))]
+        out = [sorted((self.names[k // n], self.names[k % n])) for k in np.unique(np.concatenate(found)).tolist()]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def _names(groups: DataFrame) -> DataFrame:
+    """bucket, key, node: the classes of all groups."""
+    both = F.concat("a", "b")
+    count = (F.octet_length(both) / NAME).cast("int")
+    name = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(both, k * NAME + 1, F.lit(NAME)))
+    return groups.select("bucket", "key", F.explode(name).alias("node"))
+
+
+def _compared(groups: DataFrame, labelled: DataFrame, percent: int, seed: int | None, everyone: bool = False) -> DataFrame:
+    """Distinct pairs of classes of ``groups`` that sketches allow; ``labelled``: node, n, sketch, label."""
 
+    def compared(own: pa.Table, members: pa.Table) -> pa.Table:
+        return Members(members, percent).pairs(own, seed, everyone)
 
-def _across(percent: int, seed: int | None, everyone: bool = False) -> Callable[[pa.Table], pa.Table]:
-    return lambda group: Members(group, percent).across(seed, everyone)
+    needed = _names(groups).select(F.col("bucket").alias("at"), "node").distinct().join(labelled, "node")
+    found = groups.groupBy("bucket").cogroup(needed.groupBy("at")).applyInArrow(compared, _PAIRS)
+    return written(found.distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes whose sets are similar."""
+    """The pairs of classes whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("set_b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, AT_ONCE):
+        for batch in by_size(batches, "set_a", AT_ONCE):
             good = [
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                 for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
@@ -267,6 +306,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, _PAIRS)
 
 
+def _sets(
+    pairs: DataFrame,
+    sets: DataFrame | None,
+    classes: DataFrame,
+    rows: DataFrame,
+    sets_of: Callable[[pa.RecordBatch, WordHashes], tuple[list[np.ndarray], list[bytes]]],
+) -> DataFrame:
+    """node, elements of all classes in ``pairs``, besides those in ``sets``.
+
+    They are sets of the smallest document of each class, found by a filter of bounded size and then exactly.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("node"), "node", "left_anti")
+    chosen = written(classes.join(wanted, "node", "left_semi").select("first.doc", "node"))
+    if sets is not None and chosen.isEmpty():
+        return sets
+    named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)))
+
+    def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in by_size(batches, "text", AT_ONCE):
+            held = pa.array(contains(named.value, mixed(batch.column("doc").to_numpy().view(np.uint64))))
+            batch = batch.filter(held)
+            own, names = sets_of(batch, hashes)
+            yield pa.record_batch(
+                {
+                    "doc": batch.column("doc"),
+                    "node": pa.array(names, pa.binary()),
+                    "elements": pa.array([s.tobytes() for s in own], pa.binary()),
+                }
+            )
+
+    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, node binary, elements binary")
+    found = written(found.join(chosen, ["doc", "node"]).dropDuplicates(["node"]).select("node", "elements"))
+    return found if sets is None else sets.unionByName(found)
+
+
 def similar_documents(
     docs: DataFrame,
     percent: int,
@@ -275,6 +352,8 @@ def similar_documents(
     text_col: str = "text",
     rounds: int = ROUNDS,
     bucket_signatures: int = BUCKET_SIGNATURES,
+    block: int = BLOCK,
+    bucket_members: int = BUCKET_MEMBERS,
 ) -> DataFrame:
     """doc_id, text_hash (of the text, with ``xxhash64``), n_shingles, component_id, is_first: one row per input row.
 
@@ -288,103 +367,83 @@ def similar_documents(
     total = n_chars / 6 * FINE * (100 - percent) / (100 + percent) * 1.8
     buckets = max(1, int(total // bucket_signatures) + 1)
 
+    def sets_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[list[np.ndarray], list[bytes]]:
+        sets = [element_set(hashes.of(lower_words(t)), words) for t in texts_of(batch.column("text"))]
+        return sets, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in sliced(batches, AT_ONCE):
-            sets = [element_set(hashes.of(lower_words(t)), words) for t in texts_of(batch.column("text"))]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        for batch in by_size(batches, "text", AT_ONCE):
+            sets, names = sets_of(batch, hashes)
             yield pa.record_batch(
                 {
                     "doc": batch.column("doc"),
                     "text_hash": batch.column("text_hash"),
-                    "key": pa.array(digests, pa.binary()),
-                    "node": pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
+                    "node": pa.array(names, pa.binary()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "sketch": pa.array([sketch(s, percent).tobytes() for s in sets], pa.binary()),
                 }
             )
 
     members = written(
-        rows.select("doc", "text_hash", "text").mapInArrow(classed, "doc long, text_hash long, key binary, node long, n long")
-    )
-    classes = written(
-        members.filter("n > 0").groupBy("key", "node").agg(F.min(F.struct("doc", "text_hash")).alias("first"))
+        rows.select("doc", "text_hash", "text").mapInArrow(
+            classed, "doc long, text_hash long, node binary, n long, sketch binary"
+        )
     )
+    classes = written(members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("first")))
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), set()
-        for batch in sliced(batches, AT_ONCE):
-            nodes, sizes, sigs, sketches = [], [], [], []
-            for text in texts_of(batch.column("text")):
-                own = element_set(hashes.of(lower_words(text)), words)
-                node = xxhash.xxh3_128_digest(own.tobytes())[:8]
-                if not len(own) or node in known:
+        for batch in by_size(batches, "text", AT_ONCE):
+            names, sigs = [], []
+            for own, name in zip(*sets_of(batch, hashes)):
+                if not len(own) or name in known:
                     continue
                 if len(known) < 1 << 18:  # copies in one task are dealt once
-                    known.add(node)
-                nodes.append(int.from_bytes(node, "little", signed=True))
-                sizes.append(len(own))
+                    known.add(name)
+                names.append(name)
                 sigs.append(signatures(own, percent, ends))
-                sketches.append(sketch(own, percent))
-            nodes = np.array(nodes, np.int64)
-            yield _dealt(nodes, np.array(sizes), nodes, sigs, sketches, buckets)
+            yield _dealt(names, sigs, buckets)
 
     dealt = rows.select("text").mapInArrow(signed_sets, _ROWS).groupBy("bucket")
-    pairs = written(dealt.applyInArrow(_across(percent, 0, everyone=True), _PAIRS).distinct())
-
-    # the sets of classes in pairs: of their smallest document, found by a filter of bounded size and then exactly
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = written(classes.join(wanted, "node", "left_semi").select("first.doc", "key", "node"))
-    named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)))
-
-    def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in sliced(batches, AT_ONCE):
-            held = pa.array(contains(named.value, mixed(batch.column("doc").to_numpy().view(np.uint64))))
-            batch = batch.filter(held)
-            sets = [element_set(hashes.of(lower_words(t)), words) for t in texts_of(batch.column("text"))]
-            yield pa.record_batch(
-                {
-                    "doc": batch.column("doc"),
-                    "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    "elements": pa.array([s.tobytes() for s in sets], pa.binary()),
-                }
-            )
-
-    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, key binary, elements binary")
-    sets = written(found.join(chosen, ["doc", "key"]).dropDuplicates(["key"]).select("node", "elements"))
-
-    labels = written(sets.select("node", F.col("node").alias("label")).distinct())
+    listed = dealt.applyInArrow(lambda bucket: groups_of(bucket, block), _GROUPS).dropDuplicates(["key"])
+    listed = written(listed)
+    n_members = listed.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
+    # groups that begin with one class are compared in one bucket, as they often have the others in common too
+    bucket = F.pmod(F.xxhash64(F.when(F.col("other"), F.col("key")).otherwise(F.substring("a", 1, NAME))), F.lit(n_members // NAME // bucket_members + 1))
+    groups = listed.withColumn("bucket", bucket)
+    sketches = members.filter("n > 0").select("node", "n", "sketch").join(_names(groups).select("node").distinct(), "node", "left_semi")
+    sketches = written(sketches.dropDuplicates(["node"]))
+    labels = written(sketches.select("node", F.col("node").alias("label")))
+    labelled = sketches.withColumn("label", F.col("node"))
+    pairs = _compared(groups.filter("NOT other"), labelled, percent, 0, everyone=True)
+    sets = _sets(pairs, None, classes, rows, sets_of)
     labels = relabelled(labels, written(_verified(pairs, sets, percent)))
     done = pairs
-
-    def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, AT_ONCE):
-            own = [np.frombuffer(x, np.uint64) for x in batch.column("elements").to_pylist()]
-            sizes = np.array([len(s) for s in own], np.int64)
-            nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
-            sigs = [signatures(s, percent, ends) for s in own]
-            yield _dealt(nodes, sizes, labels, sigs, [sketch(s, percent) for s in own], buckets)
-
     for step in range(1, rounds + 1):
-        labelled = sets.join(labels, "node").select("node", "elements", "label")
-        seed = step if step < rounds else None
-        dealt = labelled.mapInArrow(dealt_again, _ROWS).groupBy("bucket")
-        more = written(dealt.applyInArrow(_across(percent, seed), _PAIRS).distinct())
+        # groups that lie in one component are done
+        ranges = _names(groups).join(labels, "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        open_groups = written(groups.join(ranges.filter("low <> high").select("key"), "key", "left_semi"))
+        if open_groups.isEmpty():
+            break
+        more = _compared(open_groups, sketches.join(labels, "node"), percent, step if step < rounds else None)
         if more.isEmpty():
             break  # no two components are left that could meet
         fresh = written(more.join(done, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue  # other choices of partners may still find some
-        done = done.unionByName(fresh)
+        done, groups = done.unionByName(fresh), open_groups
+        sets = _sets(fresh, sets, classes, rows, sets_of)
         labels = relabelled(labels, written(_verified(fresh, sets, percent)))
 
     # the smallest row of each component; groupings and joins by class or component meet hot keys only in fresh shuffles
-    labelled = written(classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")))
+    labelled = written(classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = written(labelled.groupBy("label").agg(F.min("first").alias("least")))
-    least = written(labelled.join(least, "label").select("key", "least"))
+    least = written(labelled.join(least, "label").select("node", "least"))
+    members = members.drop("sketch")
     some, none = members.filter("n > 0"), members.filter("n = 0")
     own = F.struct("doc", "text_hash")
-    found = some.join(least, "key").select(*some.columns, F.col("least.doc").alias("component"), (F.col("least") == own).alias("is_first"))
+    found = some.join(least, "node").select(*some.columns, F.col("least.doc").alias("component"), (F.col("least") == own).alias("is_first"))
     found = found.unionByName(none.select(*none.columns, F.col("doc").alias("component"), F.lit(True).alias("is_first")))
     return found.select(
         doc_id(),

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 from parley.llm.components import components
-from parley.llm.jaccard import Members, _dealt, band_ends, element_set, folded, signatures, similar, similar_documents, sketch
+from parley.llm.jaccard import (
+    Members, _dealt, band_ends, element_set, folded, groups_of, signatures, similar, similar_documents, sketch,
+)
 from parley.llm.words import WordHashes, lower_words
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,7 +62,7 @@ def test_random_texts(spark):
         rows.append((i, " ".join(w) if rng.random() > 0.03 else None))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df, 90, 3) == brute(rows, 90, 3)
-    assert got(df, 80, 5, rounds=1, bucket_signatures=500) == brute(rows, 80, 5)
+    assert got(df, 80, 5, rounds=1, bucket_signatures=500, block=3, bucket_members=50) == brute(rows, 80, 5)
 
 
 def test_signatures_lose_no_similar_pair():
@@ -91,16 +93,17 @@ def test_first_pairs_reach_every_member_with_a_partner():
             keep = base[start : start + int(rng.integers(40, 100))]
             sets.append(np.unique(keep[rng.random(len(keep)) > rng.choice([0, 0.03, 0.1])]))
         n = len(sets)
-        sizes, nodes = np.array([len(s) for s in sets]), rng.choice(10**6, n, replace=False) - 5 * 10**5
+        nodes = [int(x).to_bytes(16, "little") for x in rng.choice(10**6, n, replace=False)]
         sigs = [rng.choice(6, int(rng.integers(0, 4)), replace=False).astype(np.uint64) for _ in range(n)]
-        dealt = _dealt(nodes, sizes, nodes, sigs, [sketch(s, 90) for s in sets], 1)
-        members = Members(pa.Table.from_batches([dealt]), 90)
+        groups = groups_of(pa.Table.from_batches([_dealt(nodes, sigs, 1)]), int(rng.choice([2, 5, 100])))
+        columns = {"node": nodes, "n": [len(s) for s in sets], "label": nodes, "sketch": [sketch(s, 90).tobytes() for s in sets]}
+        members = Members(pa.table(columns), 90)
         one, every = (
             set(zip(t.column("a").to_pylist(), t.column("b").to_pylist()))
-            for t in (members.across(3, everyone=True), members.across(None))
+            for t in (members.pairs(groups, 3, everyone=True), members.pairs(groups, None))
         )
         want = {
-            tuple(sorted((int(nodes[i]), int(nodes[j]))))
+            tuple(sorted((nodes[i], nodes[j])))
             for i in range(n)
             for j in range(i)
             if np.intersect1d(sigs[i], sigs[j]).size and similar(sets[i], sets[j], 90)
@@ -126,6 +129,27 @@ def test_odd_rows(spark):
     assert by[9] == {(19_998, 9, True)} and by[10] == {(19_999, 9, False)}
 
 
+def test_dealt_bytes_grow_with_the_text():
+    """Signatures and names only: a long text in many buckets costs some bytes for each signature."""
+    rng, ends = np.random.default_rng(1), band_ends(80)
+    for size in (20_000, 200_000):
+        own = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        sigs = signatures(own, 80, ends)
+        dealt = _dealt([b"x" * 16], [sigs], len(sigs))
+        assert sum(len(x.as_py()) for n in ("nodes", "counts", "sigs") for x in dealt.column(n)) <= 24 * len(sigs)
+        assert len(sigs) < 1.1 * size
+
+
+def test_a_family_of_many_blocks(spark):
+    """Near copies that all share signatures, in more blocks than rounds; a stranger that shares a passage."""
+    rng = random.Random(8)
+    base = [f"w{j}" for j in range(120)]
+    rows = [(i, " ".join([*base[: 40 + i % 60], f"x{i}", f"y{i}"])) for i in range(150)]
+    rows += [(900, " ".join(base[:40] + [f"q{rng.random()}" for _ in range(60)])), (901, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 80, 3, rounds=2, block=8, bucket_members=100) == brute(rows, 80, 3)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, node long, key string, component int")
     assert similar_documents(df, 90, 3).count() == 0

@@ -1,18 +1,26 @@
-"""Benchmark decontamination by exact runs of words and edit distances.
-
-An item that may have k edits is cut into k + 1 pieces of nearly equal length. An edit changes one piece at most, so a
-window within k edits holds at least one piece unchanged: looking up the pieces, of up to ``RUN`` words of each, misses
-nothing, whatever the length of an item and wherever its edits are. The hashes of all runs of a length are computed for
-many documents at once. Where a piece is found, the exact edit distance of the item to the best window there decides.
-
-A document is contaminated by an item if a window of it is within ``1 - SIMILARITY`` of the item's words. Words are
-runs without ASCII white space, A-Z in lower case, without punctuation at both ends; words of punctuation alone do not
-count. Items are taken in blocks of bounded size, one pass over the documents for each. Items without words match
-nothing. Null texts have no words. Rows of one id are judged each; a null id is kept as null.
+"""Benchmark decontamination by CGK random walks, bit sampling and exact edit distances.
+
+A walk stands on a word and, at each step, stays or moves on by one, as a random bit of (walk, step, word) says. The words
+under its steps are an embedding in which texts of small edit distance differ in few places. A signature is a hash of
+sampled steps. Walks start at every word of a document and, for the item, at every word of it, so an equal signature says
+where a window of the item's size would start; the exact edit distance of the item to the best window there decides.
+
+How many walks, and how many steps of each, follow from an item's length and the edits it may have (``walks_for``): edits
+cut an item into runs of unchanged words, and a walk that stays in a run gives equal signatures. The chance that it does,
+while it also moves far enough to say something, is a sum of binomial terms; walks are added until ``RECALL`` is reached
+for edits that are spread evenly, which is the worst case. Items that may have no edit (up to four words) are looked up
+whole, as a walk that always moves, and are always found.
+
+A document is contaminated by an item if a window of it is within ``1 - SIMILARITY`` of the item's words. Words are runs
+without ASCII white space, A-Z in lower case, without punctuation at both ends; words of punctuation alone do not count.
+Items are taken in blocks of bounded size, one pass over the documents for each. Items that are null or without words
+match nothing, equal items match each. Null or empty texts have no words; texts of any length are taken whole. Rows of one
+id are judged each; a null id is kept as null. Without documents, or without items, nothing matches.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -27,10 +35,14 @@ from parley.llm.common import mixed, sliced, texts_of, typed
 from parley.llm.words import WordHashes, lower_words
 
 SIMILARITY = 0.8
-#: Words of a piece that are looked up at most.
-RUN = 6
-#: Items in one pass, and words of documents that are looked up at once.
+#: The share of windows at the largest distance that walks find at least, as computed, and walks that should do.
+RECALL = 0.999
+WALKS = 6
+#: Moves of a walk that say enough.
+MOVES = 2
+#: Items, and bytes of items, in one pass, about, and words of documents that are looked up at once.
 ITEMS = 20_000
+ITEM_BYTES = 16 << 20
 AT_ONCE = 200_000
 #: Documents that a task holds at once.
 ROWS = 1000
@@ -40,6 +52,7 @@ SIEVE = 20
 _MARKS = string.punctuation.encode()
 #: Stands behind the last word.
 _PAD = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class CoreHashes(WordHashes):
@@ -58,20 +71,48 @@ def words_of(text: bytes | None, hashes: CoreHashes) -> np.ndarray:
     return found[found != 0]
 
 
-def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For 1 to ``longest`` words: their number, and for every position the hash of the run that starts there."""
-    now = words
-    for length in range(1, min(longest, len(words)) + 1):
-        if length > 1:
-            now = mixed(now[:-1]) + words[length - 1 :]
-        yield length, now
-
-
-def pieces(length: int, edits: int) -> list[tuple[int, int]]:
-    """Begin and looked up length of the pieces of an item."""
-    count = min(edits + 1, length)
-    cuts = [i * length // count for i in range(count + 1)]
-    return [(a, min(b - a, RUN)) for a, b in zip(cuts, cuts[1:])]
+def walks_for(length: int, edits: int) -> tuple[int, int, int]:
+    """Walks, steps of each and least moves for items of so many words that may have so many edits.
+
+    Without edits: one walk that always moves.
+    """
+    if not edits:
+        return 1, length - 1, length - 1
+    clean, runs = max(0, length - edits), edits + 1
+    sizes = [clean // runs + (i < clean % runs) for i in range(runs)]
+    for least in range(max(0, min(MOVES, sizes[0] - 1)), -1, -1):
+        steps = max(0, min(least + sizes[0] - 1, 2 * least + 1))
+        # of each start in a run: the chance that its walk moves enough and does not leave the run
+        missed = 0.0
+        for size in sizes:
+            for room in range(size):
+                ways = sum(math.comb(steps, m) for m in range(least, min(room, steps) + 1))
+                missed += math.log(max(1 - ways / 2**steps, 1e-12))
+        walks = math.ceil(math.log(1 - RECALL) / missed) if missed else WALKS
+        if walks <= WALKS:
+            break
+    return max(1, walks), steps, least
+
+
+def walked(words: np.ndarray, walk: int | None, steps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """After every step up to ``steps``: its number, the signatures and the moves of the walks from all words.
+
+    A walk samples its first and last step and three of four others. ``None`` is the walk that always moves.
+    """
+    n, number = len(words), 0 if walk is None else walk + 1
+    pad = np.full(steps + 1, _PAD)
+    there = np.concatenate([words, pad])
+    bits = mixed(there + np.uint64(number)) if number else None
+    sampled = int(mixed(np.array([number], np.uint64))[0]) if number else -1
+    start = np.arange(n)
+    at, now = start, (words ^ np.uint64(number)) * _FACTOR
+    yield 0, now, at - start
+    for step in range(1, steps + 1):
+        at = at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64) if number else at + 1
+        with_this = (now ^ (now >> np.uint64(32)) ^ there[at]) * _FACTOR
+        yield step, with_this, at - start
+        if (sampled >> (2 * step)) & 3:
+            now = with_this
 
 
 def allowed(length: int, similarity: float) -> int:
@@ -100,7 +141,7 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """The hashes of all pieces of a block of items."""
+    """The signatures of a block of items."""
 
     def __init__(self, items: list[tuple[object, bytes]], similarity: float) -> None:
         hashes = CoreHashes()
@@ -113,35 +154,41 @@ class Items:
         self.edits = [allowed(len(w), similarity) for w in self.words]
         self.lists = [w.tolist() for w in self.words]
         self.sorted = [np.unique(w) for w in self.words]
-        places: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int | None, dict[int, list[tuple[np.ndarray, int, np.ndarray]]]] = {}
         for k, own in enumerate(self.words):
-            cut = pieces(len(own), self.edits[k])
-            runs = dict(run_hashes(own, max(length for _, length in cut)))
-            for begin, length in cut:
-                places.setdefault(length, []).append((int(runs[length][begin]), k, begin))
-        self.tables = {}
-        for length, found in places.items():
-            flat = np.array([x[0] for x in found], np.uint64)
-            item, begin = np.array([x[1:] for x in found], np.int64).T
-            order = np.argsort(flat, kind="stable")
-            sieve = np.zeros(1 << SIEVE, bool)
-            sieve[(flat >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-            self.tables[length] = (flat[order], item[order], begin[order], sieve)
+            walks, steps, least = walks_for(len(own), self.edits[k])
+            for walk in range(walks) if self.edits[k] else [None]:
+                *_, (_, signature, moves) = walked(own, walk, steps)
+                # a walk that leaves the item says nothing about it
+                stays = np.flatnonzero((moves >= least) & (np.arange(len(own)) + moves < len(own)))
+                found.setdefault(walk, {}).setdefault(steps, []).append((signature[stays], k, stays))
+        #: By walk and steps: signatures in order, their items and starts, and what holds back positions without a hit.
+        self.tables: dict[int | None, dict[int, tuple[np.ndarray, ...]]] = {}
+        for walk, by_steps in found.items():
+            for steps, lists in by_steps.items():
+                flat = np.concatenate([x[0] for x in lists])
+                item = np.concatenate([np.full(len(x[0]), x[1]) for x in lists])
+                begin = np.concatenate([x[2] for x in lists])
+                order = np.argsort(flat, kind="stable")
+                sieve = np.zeros(1 << SIEVE, bool)
+                sieve[(flat >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+                self.tables.setdefault(walk, {})[steps] = flat[order], item[order], begin[order], sieve
 
     def _hits(self, words: np.ndarray) -> np.ndarray:
-        """Rows of (item, position where it would start, position of the piece)."""
+        """Rows of (item, position where it would start, position of the walk's start)."""
         found = [np.empty((0, 3), np.int64)]
-        for length, own in run_hashes(words, max(self.tables, default=0)):
-            if length not in self.tables:
-                continue
-            keys, item, begin, sieve = self.tables[length]
-            at = np.flatnonzero(sieve[(own >> np.uint64(64 - SIEVE)).astype(np.int64)])
-            low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-            count = high - low
-            at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(at, count)
-            found.append(np.stack([item[which], place - begin[which], place], axis=1))
+        for walk, by_steps in self.tables.items():
+            for steps, own, _ in walked(words, walk, max(by_steps)):
+                if steps not in by_steps:
+                    continue
+                keys, item, begin, sieve = by_steps[steps]
+                at = np.flatnonzero(sieve[(own >> np.uint64(64 - SIEVE)).astype(np.int64)])
+                low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
+                count = high - low
+                at, low, count = at[count > 0], low[count > 0], count[count > 0]
+                which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                place = np.repeat(at, count)
+                found.append(np.stack([item[which], place - begin[which], place], axis=1))
         return np.concatenate(found)
 
     def hits(self, words: np.ndarray) -> np.ndarray:
@@ -180,7 +227,7 @@ class Items:
             flat = np.concatenate([x for _, words in held for x in (words, np.array([_PAD]))])
             ends = np.cumsum([len(words) + 1 for _, words in held])
             hits = self._hits(flat)
-            owner = np.searchsorted(ends, hits[:, 2], "right")  # an item may start before the text that holds the piece
+            owner = np.searchsorted(ends, hits[:, 2], "right")  # an item may start before the text that holds the walk
             order = np.lexsort((hits[:, 1], hits[:, 0], owner))
             hits, owner = hits[order, :2], owner[order]
             for n, (row, words) in enumerate(held):
@@ -194,9 +241,10 @@ class Items:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in blocks of about ``size``, one after the other on the driver."""
+    """The items in blocks of about ``size`` items and ``ITEM_BYTES``, one after the other on the driver."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // size))
+    count, n_bytes = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-count // size), -(-(n_bytes or 0) // ITEM_BYTES))
     for number in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         yield [(r.item_id, r.text.encode("utf-8", "replace")) for r in own.collect()]

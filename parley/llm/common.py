@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 from parley.session import written
 
 __all__ = [
-    "LAST_ID", "LOWER", "SPACE", "by_size", "doc_id", "keyed", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
+    "LAST_ID", "LOWER", "SPACE", "by_size", "doc_id", "keyed", "lean", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
     "texts_of", "typed", "written",
 ]
 
@@ -81,6 +84,19 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int) -> Ite
             begin = end
 
 
+def lean() -> None:
+    """Gives back what earlier tasks of this worker process remember or have left unused.
+
+    Workers outlive their tasks, and so do encoders that are kept for tasks to come.
+    """
+    if kept := sys.modules.get("_parley_worker"):
+        kept.__dict__.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of an Arrow column."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.bloom import contains, seen
-from parley.llm.common import LAST_ID, by_size, doc_id, keyed, mixed, texts_of, written
+from parley.llm.bloom import WORD_BITS, contains, seen
+from parley.llm.common import LAST_ID, by_size, doc_id, keyed, lean, mixed, texts_of, written
 from parley.llm.components import relabelled
 from parley.llm.words import WordHashes, lower_words, ngram_hashes
 
@@ -323,9 +323,11 @@ def _sets(
     chosen = written(classes.join(wanted, "node", "left_semi").select("first.doc", "node"))
     if sets is not None and chosen.isEmpty():
         return sets
-    named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)))
+    bits = min(WORD_BITS, chosen.count().bit_length())
+    named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)), bits)
 
     def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hashes = WordHashes()
         for batch in by_size(batches, "text", AT_ONCE):
             held = pa.array(contains(named.value, mixed(batch.column("doc").to_numpy().view(np.uint64))))
@@ -341,6 +343,7 @@ def _sets(
 
     found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, node binary, elements binary")
     found = written(found.join(chosen, ["doc", "node"]).dropDuplicates(["node"]).select("node", "elements"))
+    named.unpersist()
     return found if sets is None else sets.unionByName(found)
 
 
@@ -372,6 +375,7 @@ def similar_documents(
         return sets, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hashes = WordHashes()
         for batch in by_size(batches, "text", AT_ONCE):
             sets, names = sets_of(batch, hashes)
@@ -393,6 +397,7 @@ def similar_documents(
     classes = written(members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("first")))
 
     def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hashes, known = WordHashes(), set()
         for batch in by_size(batches, "text", AT_ONCE):
             names, sigs = [], []

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,7 @@ from .layout import detect_layout
 from .media import has_media, keep_readable
 from .skew import splittable
 from .tokenizers import CodePointTokenizer
+from .union import union_datasets
 
 
 PADS = ("max", "multiple", "none")
@@ -123,27 +126,19 @@ def row_counts(df: DataFrame, split_col: str, train: str = "train") -> DataFrame
     )
 
 
-def prepare_dataset(
+def token_rows(
     df: DataFrame,
     id_cols: str | list[str],
     tokenizer=None,
     max_length: int | None = None,
-    pad: str = "max",
     check: bool = True,
     listing: DataFrame | None = None,
 ) -> DataFrame:
-    """Any supported layout as training rows.
+    """Any supported layout as rows of tokens that are not padded: ids, input_ids, n_tokens,
 
-    Text datasets give input_ids, attention_mask and labels; datasets with media
-    give input_ids, attention_mask and the media columns, without labels. ``pad`` is
-    "max" (longest row of the dataset), "multiple" (each row for itself, the choice
-    for large data) or "none". ``check`` raises ``EmptyDataset`` when no row or no
-    label is left; it stops at the first row that has one. Rows without a medium are
-    no training rows of a dataset with media, and with a media ``listing`` neither are
-    rows whose media cannot be read.
+    labels (of text datasets) and the media columns. ``check`` raises ``EmptyDataset`` as
+    soon as no row can be left; it looks for the first row only.
     """
-    if pad not in PADS:
-        raise ValueError(f"unknown padding {pad}, expected one of {PADS}")
     ids = _as_list(id_cols)
     tokenizer = tokenizer or CodePointTokenizer()
     layout = detect_layout(df.schema, tuple(ids))
@@ -174,25 +169,106 @@ def prepare_dataset(
         if check and texts.isEmpty():
             raise EmptyDataset("no medium of the dataset can be read")
     rows = tokenize(texts, "_text", tokenizer, limit)
-    outputs = ["input_ids", "attention_mask"]
+    outputs = ["input_ids", "n_tokens"]
     if not media:
         rows = label_tokens(rows, tokenizer.marks_special)
         outputs.append("labels")
+    return rows.select(*ids, *outputs, *media)
+
+
+def padded_rows(
+    rows: DataFrame, tokenizer, pad: str = "max", longest: int | None = None
+) -> DataFrame:
+    """``token_rows`` with attention_mask, padded and without n_tokens.
+
+    ``longest`` is the longest row if that is known; else it is looked up once.
+    """
+    if pad not in PADS:
+        raise ValueError(f"unknown padding {pad}, expected one of {PADS}")
+    if pad == "max" and longest is not None:
+        out = _pad(rows, F.lit(longest), tokenizer.pad_id)
+    elif pad == "max":
+        out = pad_to_max(rows, tokenizer.pad_id)
+    elif pad == "multiple":
+        out = pad_to_multiple(rows, tokenizer.pad_id)
+    else:
+        out = rows.withColumn("attention_mask", attention_mask(F.col("input_ids")))
+    names = [c for c in rows.columns if c != "n_tokens"]
+    names.insert(names.index("input_ids") + 1, "attention_mask")
+    return out.select(*names)
+
+
+@dataclass(frozen=True)
+class Measured:
+    """Token rows that are written, and what was observed while they were."""
+
+    rows: DataFrame
+    n_rows: int
+    longest: int
+    any_label: bool
+    media: tuple[str, ...]
+
+
+def measured(rows: DataFrame, media: tuple[str, ...] = ()) -> Measured:
+    """Write ``token_rows`` once; count them, find the longest and look for labels in the same pass."""
+    observation = Observation()
+    counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL) if "labels" in rows.columns else F.lit(False)
+    kept = written(
+        rows.observe(
+            observation,
+            F.count(F.lit(1)).alias("n_rows"),
+            F.max("n_tokens").alias("longest"),
+            F.coalesce(F.bool_or(counts), F.lit(False)).alias("any_label"),
+        )
+    )
+    found = observation.get
+    return Measured(kept, found["n_rows"], found["longest"] or 0, found["any_label"], media)
+
+
+def united(first: Measured, second: Measured) -> DataFrame:
+    """The token rows of two datasets.
+
+    If only one has media the union has, and rows without media are none of its rows.
+    """
+    if bool(first.media) != bool(second.media):
+        return (first if first.media else second).rows
+    return union_datasets(first.rows, second.rows, on_clash="string")
+
+
+def prepare_dataset(
+    df: DataFrame,
+    id_cols: str | list[str],
+    tokenizer=None,
+    max_length: int | None = None,
+    pad: str = "max",
+    check: bool = True,
+    listing: DataFrame | None = None,
+) -> DataFrame:
+    """Any supported layout as training rows.
+
+    Text datasets give input_ids, attention_mask and labels; datasets with media
+    give input_ids, attention_mask and the media columns, without labels. ``pad`` is
+    "max" (longest row of the dataset), "multiple" (each row for itself, the choice
+    for large data) or "none". ``check`` raises ``EmptyDataset`` when no row or no
+    label is left; it stops at the first row that has one. Rows without a medium are
+    no training rows of a dataset with media, and with a media ``listing`` neither are
+    rows whose media cannot be read.
+    """
+    if pad not in PADS:
+        raise ValueError(f"unknown padding {pad}, expected one of {PADS}")
+    tokenizer = tokenizer or CodePointTokenizer()
+    rows = token_rows(df, id_cols, tokenizer, max_length, check, listing)
     # Tokens that cost much and are read twice are kept.
-    if pad == "max" and tokenizer.count(F.lit(""), limit) is None:
+    costly = tokenizer.count(F.lit(""), max_length) is None
+    if pad == "max" and costly:
         rows = written(rows)
-    if not media and check:
-        if tokenizer.count(F.lit(""), limit) is None:
-            counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
-        else:  # the same, without building a token
-            counts = F.col("n_tokens") > tokenizer.n_special
+    if "labels" in rows.columns and check:
+        # Without building a token, if the tokenizer can count.
+        counts = (
+            F.exists("labels", lambda x: x != fixed.IGNORED_LABEL)
+            if costly
+            else F.col("n_tokens") > tokenizer.n_special
+        )
         if rows.where(counts).isEmpty():
             raise EmptyDataset("no label of the dataset counts")
-
-    if pad == "max":
-        rows = pad_to_max(rows, tokenizer.pad_id)
-    elif pad == "multiple":
-        rows = pad_to_multiple(rows, tokenizer.pad_id)
-    else:
-        rows = rows.withColumn("attention_mask", attention_mask(F.col("input_ids")))
-    return rows.select(*ids, *outputs, *media)
+    return padded_rows(rows, tokenizer, pad)

@@ -12,25 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.names import route_task
 from ..operators.catalog import record_configs, resolve_config
 from ..operators.conversations import to_conversations
-from ..operators.layout import UnsupportedLayout
+from ..operators.layout import UnsupportedLayout, detect_layout
 from ..operators.tokenizers import CodePointTokenizer
-from ..operators.training import EmptyDataset, prepare_dataset
-from ..operators.union import TypeClash, column_set, union_datasets
+from ..operators.training import EmptyDataset, Measured, measured, padded_rows, token_rows, united
+from ..operators.union import TypeClash, column_set
 from ..sources.datasets import (
     UnreadFiles,
     is_there,
     output_path,
+    publish,
     read_dataset,
-    remove,
+    stage_formatted,
     with_row_ids,
-    write_formatted,
+    withdraw,
 )
 
-_REPORT = "model string, dataset string, status string, columns array<string>"
+_REPORT = "model string, dataset string, status string, columns array<string>, path string, n_rows long"
 # What a dataset may fail by. Failures of a job are among them, so that one broken file
 # costs one dataset; errors of this package are not.
 _SKIPPED = (
-    PySparkException, Py4JJavaError, UnsupportedLayout, EmptyDataset, TypeClash, UnreadFiles,
+    PySparkException, Py4JJavaError, UnsupportedLayout, EmptyDataset, TypeClash, UnreadFiles, OSError,
 )
 
 Source = Callable[[str, str | None], DataFrame | None]
@@ -42,16 +43,17 @@ def directory_source(
     fmt: str = "parquet",
     split: str | None = None,
     details: dict[str, dict] | None = None,
+    row_id: str | None = None,
 ) -> Source:
     """Datasets kept as ``root/<last part of the name>[/<config>]``.
 
     ``details`` gives some datasets arguments of their own for ``read_dataset``: fmt,
-    options, schema or split.
+    options, schema, split or row_id.
     """
 
     def load(name: str, config: str | None) -> DataFrame | None:
         path = f"{root.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
-        own = {"fmt": fmt, "split": split} | (details or {}).get(name, {})
+        own = {"fmt": fmt, "split": split, "row_id": row_id} | (details or {}).get(name, {})
         return read_dataset(spark, f"{path}/{config}" if config else path, **own)
 
     return load
@@ -95,41 +97,49 @@ def prepare_all(
     """Prepare and write every dataset of the card; returns the training manifest.
 
     Per model the first usable dataset is written alone; each later one is written
-    alone and once more together with the first, under the union name. A dataset
-    that cannot be read, recognised, computed or trained on is skipped, what it has
-    written is removed, and the rest goes on.
+    alone and once more together with the first, under the union name. Every dataset is
+    read, rendered and tokenised once: its token rows are kept, without padding, and the
+    number of rows, the longest and whether a label counts are observed on the way.
+    A dataset that cannot be read, recognised, computed or trained on is skipped, and the
+    rest goes on. Its outputs are published together once all of them are written, so what
+    an earlier run has published stays readable until then, and for good if this run fails.
     The config of a dataset is the saved one, else the first of ``catalog``
     (``chosen_configs``, to be kept with ``write_configs``). A dataset without the id
     columns gets an id (``with_row_ids``), as the first of them.
     Every model has a folder of its own. Two names of one model that give one folder are
     not both written: the second is reported as PathTaken.
-    The manifest (model, dataset, status, columns) records the columns of the first
-    and the current dataset together.
+    The manifest (model, dataset, status, columns, path, n_rows) records the columns of
+    the first and the current dataset together, where the rows of the dataset are (also
+    those of an earlier run, if this one has failed), and how many this run has published.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     keys = ["dataset", *ids]
     report = []
-    first: DataFrame | None = None
+    first: Measured | None = None
+    first_columns: list[str] = []
     current_model = None
     taken: set[str] = set()
 
     for model, name, config in _entries(card, chosen_configs(spark, catalog, saved)):
         if model != current_model:
-            first, current_model, taken = None, model, set()
+            first, first_columns, current_model, taken = None, [], model, set()
         tokenizer = tokenizer_for(model) if tokenizer_for else CodePointTokenizer()
         listing = listing_for(name) if listing_for else None
 
-        def rows(df: DataFrame) -> DataFrame:
-            return prepare_dataset(df, keys, tokenizer, pad=pad, listing=listing)
-
         paths = [output_path(root, name, union, model) for union in (False, True)]
+
+        def failed(status: str, own: bool = True) -> tuple:
+            there = own and is_there(spark, paths[0])
+            return model, name, status, None, paths[0] if there else None, None
+
         if taken.intersection(paths):
-            report.append((model, name, "PathTaken", None))
+            report.append(failed("PathTaken", own=False))
             continue
+        staged = []
         try:
             raw = source(name, config)
             if raw is None:
-                report.append((model, name, "unreadable", None))
+                report.append(failed("unreadable"))
                 continue
             missing = [c for c in ids if c not in raw.columns]
             for column in missing[:1]:
@@ -137,22 +147,28 @@ def prepare_all(
             for column in missing[1:]:
                 raw = raw.withColumn(column, F.lit(None).cast("string"))
             conversations = to_conversations(raw, ids)
-            columns = column_set(
-                conversations.drop(*ids), *([first.drop(*keys)] if first is not None else [])
-            )
+            columns = sorted({*column_set(conversations.drop(*ids)), *first_columns})
             named = conversations.withColumn("dataset", F.lit(name))
-            write_formatted(rows(named), root, name, model=model)
+            media = tuple(detect_layout(named.schema, tuple(keys)).media)
+            own = measured(token_rows(named, keys, tokenizer, check=False, listing=listing), media)
+            if not own.n_rows or not (media or own.any_label):
+                raise EmptyDataset("no row, or no label, of the dataset counts")
+            staged.append(
+                stage_formatted(padded_rows(own.rows, tokenizer, pad, own.longest), root, name, model=model)
+            )
+            if first is not None:
+                both, longest = united(first, own), max(first.longest, own.longest)
+                staged.append(
+                    stage_formatted(padded_rows(both, tokenizer, pad, longest), root, name, union=True, model=model)
+                )
+            publish(spark, *staged)
             if first is None:
-                first = named
-            else:
-                both = union_datasets(first, named, on_clash="string")
-                write_formatted(rows(both), root, name, union=True, model=model)
+                first, first_columns = own, column_set(conversations.drop(*ids))
             taken.update(paths)
-            report.append((model, name, "prepared", columns))
+            report.append((model, name, "prepared", columns, paths[0], own.n_rows))
         except _SKIPPED as reason:
-            for path in paths:
-                remove(spark, path)
-            report.append((model, name, type(reason).__name__, None))
+            withdraw(spark, *staged)
+            report.append(failed(type(reason).__name__))
     return spark.createDataFrame(report, _REPORT)
 
 

@@ -1170,6 +1170,41 @@ def media_listing(spark, sf_dir):
     )
 
 
+_LINE = 'printf(\'{"doc_id": %d, "lang": "%s", "n_chars": %d}\', doc_id, lang, n_chars)'
+#: What becomes of a document's line: cut in the middle, a number that is none, or whole.
+_BROKEN = "CASE WHEN doc_id % 11 = 3 THEN 'cut' WHEN doc_id % 11 = 7 THEN 'typed' ELSE 'whole' END"
+_LINES = f"""
+    SELECT doc_id, lang, n_chars, {_BROKEN} AS kind, CASE {_BROKEN}
+      WHEN 'cut' THEN left({_LINE}, 30) WHEN 'typed' THEN regexp_replace({_LINE}, '[0-9]+}}$', '"x"}}')
+      ELSE {_LINE} END AS line
+    FROM documents"""
+
+
+@query(
+    f"""
+    SELECT doc_id::VARCHAR AS doc_id, lang, n_chars::VARCHAR AS n_chars, NULL AS line, NULL AS reason
+    FROM ({_LINES}) WHERE kind = 'whole'
+    UNION ALL
+    SELECT NULL, NULL, NULL, line, 'unparsed, values: ' || CASE kind WHEN 'cut' THEN 0 ELSE 2 END
+    FROM ({_LINES}) WHERE kind <> 'whole'"""
+)
+def reject_unreadable(spark, sf_dir):
+    """A JSON line of each document, some of them cut or of a wrong type: all are accounted for."""
+    path = scratch(spark, "lines")
+    fields = [F.lit('{"doc_id": '), F.col("doc_id"), F.lit(', "lang": "'), F.col("lang"), F.lit('", "n_chars": ')]
+    last = F.when(F.col("doc_id") % 11 == 7, F.lit('"x"')).otherwise(F.col("n_chars").cast("string"))
+    line = F.concat(*fields, last, F.lit("}"))
+    lines = table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 11 == 3, F.left(line, F.lit(30))).otherwise(line).alias("value")
+    )
+    lines.write.text(path)
+    good, bad = io.read_with_rejects(
+        spark, path, "json", "doc_id bigint, lang string, n_chars bigint", {"pathGlobFilter": "*.txt"}
+    )
+    good = good.withColumns({c: F.col(c).cast("string") for c in ("doc_id", "n_chars")})
+    return good.unionByName(bad.where("line IS NOT NULL").drop("file"), allowMissingColumns=True)
+
+
 # --- flows ---------------------------------------------------------------------
 
 

@@ -147,6 +147,103 @@ def test_ids_of_datasets_without_any(spark, tmp_path):
     assert first == second and len(first) == 3
 
 
+def test_positions_are_ids(spark, tmp_path):
+    df = spark.range(500).selectExpr("concat('q', id % 7) AS question", "'a' AS answer")
+    for fmt in ("parquet", "json", "csv"):
+        path = str(tmp_path / fmt)
+        writer = df.repartition(3).write.format(fmt)
+        (writer.option("header", "true") if fmt == "csv" else writer).save(path)
+        schema = None if fmt == "parquet" else df.schema
+        rows = io.read_dataset(spark, path, fmt, schema=schema, row_id="id")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+        one, two = ({r.id: r.question for r in df.collect()} for df in (rows, rows.select("id", "question")))
+        assert len(one) == 500 and one == two
+    parquet = io.with_row_ids(io.read_dataset(spark, str(tmp_path / "parquet")))
+    assert "Exchange" not in parquet._jdf.queryExecution().executedPlan().toString()
+    assert parquet.select("id").distinct().count() == 500
+    kept = io.read_dataset(spark, str(tmp_path / "parquet"), row_id="answer")
+    assert kept.columns == ["question", "answer"]
+
+
+def test_rows_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    lines = ['{"id": 1, "q": "a"}', '{"id": 2, "q":', "", '{"id": "x", "q": "b"}', '{"id": 3}', "null", "[1]", '{"id": 4, "q": null, "z": 1}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "in" / "b.jsonl").write_text('{"id": 9, "q": "z"}\nno document\n')
+    (tmp_path / "notes.txt").write_text("x")
+    good, bad = io.read_with_rejects(spark, str(tmp_path), "json", "id int, q string")
+    want = {(1, "a"), (3, None), (4, None), (9, "z")}
+    assert {tuple(r) for r in good.collect()} >= want and good.count() == len(good.collect())
+    # whichever columns are wanted, the same rows are good
+    assert good.select("q").count() == good.select("id").count() == good.count()
+    found = {(r.file.rsplit("/", 1)[1], r.line, r.reason) for r in bad.collect()}
+    assert ("b.jsonl", "no document", "unparsed, values: 0") in found and ("notes.txt", None, "other format") in found
+    assert ("a.jsonl", '{"id": "x", "q": "b"}', "unparsed, values: 1") in found
+    assert ("a.jsonl", '{"id": 2, "q":', "unparsed, values: 0") in found
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "c.csv").write_text('id,q\n1,a\nx,b\n2,"c, d"\n3\n')
+    good, bad = io.read_with_rejects(spark, str(tmp_path / "csv"), "csv", "id int, q string")
+    assert {tuple(r) for r in good.collect()} == {(1, "a"), (2, "c, d")} and good.count() == 2
+    assert {r.line for r in bad.collect()} == {"x,b", "3"}
+    with pytest.raises(ValueError):
+        io.read_with_rejects(spark, str(tmp_path), "parquet", "id int")
+
+
+def test_a_failed_rerun_keeps_the_earlier_rows(spark, tmp_path):
+    schema = "id INT, question STRING, answer STRING"
+    good = {"a": spark.createDataFrame([(1, "q", "a")], schema), "b": spark.createDataFrame([(2, "q2", "a2")], schema)}
+    card = spark.createDataFrame([("m", "a", "", 0), ("m", "b", "", 1)], CARD)
+    root = str(tmp_path / "out")
+    first = prepare_all(spark, card, root, lambda name, config: good[name]).collect()
+    assert [(r.status, r.n_rows) for r in first] == [("prepared", 1), ("prepared", 1)]
+    stop = F.udf(lambda q: 1 // 0, "string")
+    broken = {
+        "layout": spark.createDataFrame([(1, "x")], "id INT, foo STRING"),
+        "empty": good["b"].limit(0),
+        "job": good["b"].withColumn("answer", stop("question")),
+    }
+    for kind, df in broken.items():
+        again = {r.dataset: r for r in prepare_all(spark, card, root, lambda n, c: good[n] if n == "a" else df).collect()}
+        assert again["a"].status == "prepared" and again["b"].status not in ("prepared", "unreadable"), kind
+        assert again["b"].path.endswith("b_formatted") and again["b"].n_rows is None
+        assert [r.id for r in io.read_formatted(spark, root, "b", model="m").collect()] == [2]
+        assert io.read_formatted(spark, root, "b", union=True, model="m").count() == 2
+    assert {p.name for p in (tmp_path / "out" / "m").iterdir()} == {"a_formatted", "b_formatted", "concat_b_formatted"}
+    new = {"a": good["a"], "b": spark.createDataFrame([(5, "q", "a"), (6, "q", "a")], schema)}
+    assert prepare_all(spark, card, root, lambda n, c: new[n]).where("dataset = 'b'").first().n_rows == 2
+    assert {r.id for r in io.read_formatted(spark, root, "b", model="m").collect()} == {5, 6}
+    # between the renames: the earlier rows are read, and the next run repairs the place
+    (tmp_path / "out" / "m" / "b_formatted").rename(tmp_path / "out" / "m" / "_previous-b_formatted")
+    assert io.read_formatted(spark, root, "b", model="m").count() == 2
+    io.write_formatted(spark.range(3), root, "b", model="m")
+    assert io.read_formatted(spark, root, "b", model="m").count() == 3
+
+
+def test_every_source_is_read_once(spark, tmp_path):
+    """Whatever the number of datasets, and with counts, the longest row and labels known."""
+    schema = "id INT, question STRING, answer STRING"
+    reads = {name: spark.sparkContext.accumulator(0) for name in "abc"}
+
+    def source(name, config):
+        count = reads[name]
+
+        def counted(batches):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+
+        df = spark.createDataFrame([(i, f"{name}{i}", "x" * i) for i in range(1, 21)], schema)
+        return df.mapInArrow(counted, df.schema)
+
+    card = spark.createDataFrame([("m", n, "", i) for i, n in enumerate("abc")], CARD)
+    manifest = prepare_all(spark, card, str(tmp_path), source).collect()
+    assert [(r.status, r.n_rows) for r in manifest] == [("prepared", 20)] * 3
+    assert {n: c.value for n, c in reads.items()} == {"a": 20, "b": 20, "c": 20}
+    union = io.read_formatted(spark, str(tmp_path), "c", union=True, model="m")
+    assert union.count() == 40 and union.selectExpr("size(input_ids) n").distinct().count() == 1
+
+
 def test_splits_and_configs(spark, tmp_path):
     schema = "id INT, question STRING, answer STRING"
     train, test = (spark.createDataFrame([(i, f"{n}{i}", "a") for i in range(k)], schema) for n, k in (("tr", 10), ("te", 4)))

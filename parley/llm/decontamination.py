@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from parley.llm.common import mixed, sliced, texts_of, typed
+from parley.llm.common import lean, mixed, sliced, texts_of, typed
 from parley.llm.words import WordHashes, lower_words
 
 SIMILARITY = 0.8
@@ -45,7 +45,7 @@ ITEMS = 20_000
 ITEM_BYTES = 16 << 20
 AT_ONCE = 200_000
 #: Documents that a task holds at once.
-ROWS = 1000
+ROWS = 256
 #: Bits of the table that holds back positions without a hit.
 SIEVE = 20
 
@@ -270,6 +270,7 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lean()
             block, hashes = Items(shared.value, similarity), CoreHashes()
             arrow_type = to_arrow_type(item_type)
             for batch in sliced(batches, ROWS):
@@ -282,6 +283,8 @@ def contaminated(
                         "end_word": pa.array([x[3] for x in found], pa.int32()),
                     }
                 )
+            del block, hashes
+            lean()
 
         out = out.unionByName(rows.mapInArrow(matched, schema))
     return out
@@ -301,12 +304,15 @@ def decontaminated(
         shared = docs.sparkSession.sparkContext.broadcast(own)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lean()
             block, hashes = Items(shared.value, similarity), CoreHashes()
             for batch in sliced(batches, ROWS):
                 stays = np.ones(batch.num_rows, bool)
                 texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
                 stays[[row for row, *_ in block.found(texts, hashes)]] = False
                 yield batch.filter(pa.array(stays))
+            del block, hashes
+            lean()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

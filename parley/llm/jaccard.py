@@ -12,11 +12,11 @@ many as a set may have poor ones; so poor signatures can be left out unless a se
 Sets that are equal are one class, named by a 128-bit hash. Signatures travel with names only; classes that share one form
 a group, and equal groups are one. Groups of more than ``BLOCK`` classes become blocks and pairs of blocks, so no task has
 to compare a large group alone. No group is expanded into all its pairs: members are compared by sketches, and each sketch
-goes once to a bucket of groups that need it. A sketch holds parities, and sets differ in at least as many elements as
+goes once to each bucket of groups that need it. A sketch holds parities, and sets differ in at least as many elements as
 their sketches in bits, so a pair that the sketches exclude is never similar, and nearly every other one is. First every
-member goes on with one possible partner, then, for some rounds, with one of another component; exact comparisons of sets
-give links, and links components, whose members never meet again: groups inside one component are left out. At last all
-pairs are compared that share a signature but no component and that the sketches allow.
+member goes on with one possible partner (then, for some rounds if asked, with one of another component); exact comparisons
+of sets give links, and links components, whose members never meet again. At last all pairs are compared that share a
+signature but no component and that the sketches allow.
 
 An empty or null text has an empty set and no link; a text shorter than a run is one element; texts of any length are
 taken whole. Rows of one id are different documents that share a name, and equal rows are equal. A null id comes last. An
@@ -48,13 +48,13 @@ SPARE = 0.12
 BAND = 1.35
 #: Signatures that are compared together, about.
 BUCKET_SIGNATURES = 2_000_000
-#: Rounds of one comparison for each member of a group.
-ROUNDS = 3
+#: Rounds after the first; in the last one all pairs are compared that are left.
+ROUNDS = 1
 #: Words of sketches that are compared at once.
 COMPARED = 1_000_000
 #: Classes of a block, and members of groups that are compared together, about.
 BLOCK = 512
-BUCKET_MEMBERS = 50_000
+BUCKET_MEMBERS = 200_000
 #: Bytes of texts, or of sets, that a task takes at once, about.
 AT_ONCE = 2 << 20
 #: Bytes of a class's name.
@@ -426,18 +426,13 @@ def similar_documents(
     labels = relabelled(labels, written(_verified(pairs, sets, percent)))
     done = pairs
     for step in range(1, rounds + 1):
-        # groups that lie in one component are done
-        ranges = _names(groups).join(labels, "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        open_groups = written(groups.join(ranges.filter("low <> high").select("key"), "key", "left_semi"))
-        if open_groups.isEmpty():
-            break
-        more = _compared(open_groups, sketches.join(labels, "node"), percent, step if step < rounds else None)
+        more = _compared(groups, sketches.join(labels, "node"), percent, step if step < rounds else None)
         if more.isEmpty():
             break  # no two components are left that could meet
         fresh = written(more.join(done, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue  # other choices of partners may still find some
-        done, groups = done.unionByName(fresh), open_groups
+        done = done.unionByName(fresh)
         sets = _sets(fresh, sets, classes, rows, sets_of)
         labels = relabelled(labels, written(_verified(fresh, sets, percent)))
 

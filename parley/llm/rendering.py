@@ -7,16 +7,24 @@ laid out in blocks: white space collapses outside ``pre``, blocks begin lines, p
 list items have bullets or numbers and are indented, and the cells of a table are aligned in columns. What stands in a
 table beside its rows comes before them; rows inside another element are rows of the table.
 
-A null or empty page has an empty text. Broken markup never fails: what cannot be a tag is text, what is not closed
-ends with the page. Elements nested deeper than ``DEPTH`` are taken as neighbours of their parents, with all their
-text. Rows are rendered each, repeated ones too; equal pages have equal texts.
+Blanks have a bound, so that a text is never much longer than its page: lines of a cell longer than ``WIDEST`` do not
+widen their column, what would begin beyond ``ALIGNED`` follows two blanks after the cell before, and blocks are not
+indented beyond ``INDENT``. Text itself is never cut or wrapped.
+
+A null or empty page has an empty text, an empty table of pages an empty result. Broken markup never fails: what cannot
+be a tag is text, what is not closed ends with the page. A page is read once, whatever it holds: where a tag has no end
+because of its quotes, it and all later tags end at their first ``>``, and without any ``>`` they are text. Elements
+nested deeper than ``DEPTH`` are taken as neighbours of their parents, with all their text. Rows are rendered each,
+repeated ones too; equal pages have equal texts. Columns other than id and page are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +35,10 @@ from parley.llm.common import typed
 DEPTH = 200
 #: Columns and rows that one cell may span at most, as browsers have it.
 SPAN = 1000
+#: Longest line of a cell that widens its column, last place of a line where a cell is put by blanks, deepest indentation.
+WIDEST = 80
+ALIGNED = 160
+INDENT = 60
 
 # Fixed values of HTML: names of elements by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,11 +85,22 @@ SCOPE = {"table", "td", "th", "caption", "html", "template", "object", "button"}
 _MARKUP = re.compile(
     r"""<(?:
         !--(?P<comment>.*?)(?:--!?>|\Z)
-      | (?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|(?<!=)["']|(?<==)"[^"]*+"|(?<==)'[^']*+'|(?<==)["'])*+)>
+      | (?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)>
       | [!?/][^>]*+(?:>|\Z)
     )""",
     re.S | re.X,
 )
+#: The same where quotes hide no end of a tag.
+_PLAIN_MARKUP = re.compile(
+    r"""<(?:
+        !--(?P<comment>.*?)(?:--!?>|\Z)
+      | (?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>
+      | [!?/][^>]*+(?:>|\Z)
+    )""",
+    re.S | re.X,
+)
+_TAG_LIKE = re.compile(r"<[a-zA-Z]")
+_NO_TAG = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -195,16 +218,28 @@ class TreeBuilder:
 
 
 def parsed(page: str) -> Node:
-    builder, at = TreeBuilder(), 0
-    size = len(page)
+    builder, at, markup = TreeBuilder(), 0, _MARKUP
+    size, found = len(page), 0  # at: where text begins; found: where the next tag is looked for
     while at < size:
-        tag = _MARKUP.search(page, at)
+        found = page.find("<", found)
+        tag = markup.match(page, found) if found >= 0 else None
+        if tag is None and found >= 0:
+            if _TAG_LIKE.match(page, found):
+                if markup is _MARKUP:
+                    markup = _PLAIN_MARKUP
+                    continue
+                hidden = _NO_TAG.search(page, found)  # there is no > ahead, so this one runs to the end
+                size = hidden.start() if hidden else size
+                found = -1
+            else:
+                found += 1
+                continue
         if tag is None:
-            builder.text(_unescaped(page[at:]))
+            builder.text(_unescaped(page[at:size]))
             break
-        if tag.start() > at:
-            builder.text(_unescaped(page[at : tag.start()]))
-        at = tag.end()
+        if found > at:
+            builder.text(_unescaped(page[at:found]))
+        at = found = tag.end()
         name = tag["name"]
         if name is None:
             continue
@@ -218,7 +253,7 @@ def parsed(page: str) -> Node:
             raw = page[at : end.start() if end else size]
             if name not in HIDDEN:
                 builder.text(_unescaped(raw) if name == "textarea" else raw)
-            at = end.start() if end else size
+            at = found = end.start() if end else size
             if not end:
                 break
         elif name == "plaintext":
@@ -240,6 +275,9 @@ def _shown(node: Node) -> bool:
     return not (style and _NO_DISPLAY.search(style))
 
 
+_DEEPEST = " " * INDENT
+
+
 class Canvas:
     """Lines of a block under construction."""
 
@@ -289,7 +327,8 @@ class Canvas:
     def block(self, lines: list[str], indent: str = "", first: str | None = None) -> None:
         self.flush()
         for i, line in enumerate(lines):
-            lead = first if first is not None and i == 0 else indent
+            deep = line.startswith(_DEEPEST)
+            lead = first if first is not None and i == 0 else "" if deep else indent
             self._line((lead + line).rstrip() if line else "")
 
 
@@ -452,11 +491,13 @@ class Renderer:
         return rows
 
     def _table(self, table: Node, sight: bool, depth: int) -> list[str]:
-        before, cells, busy, row = Canvas(), [], {}, 0
+        before, cells, busy, row = Canvas(), [], [], 0  # busy: (row behind it, columns) of cells that span rows
         rows = self._rows(table, before, sight, depth)
         before.flush()
         for tr, seen in rows:
             column = 0
+            busy = [b for b in busy if b[0] > row] if tr.children else busy
+            taken, passed = sorted((b[1], b[2]) for b in busy) if tr.children else [], 0
             for cell in tr.children:
                 if isinstance(cell, str):
                     if cell.strip() and seen:
@@ -465,8 +506,9 @@ class Renderer:
                     continue
                 if not _shown(cell):
                     continue
-                while busy.get(column, 0) > row:
-                    column += 1
+                while passed < len(taken) and taken[passed][0] <= column:
+                    column = max(column, taken[passed][1])
+                    passed += 1
                 inner = Canvas()
                 holder = Node("div", cell.attrs)
                 holder.children = cell.children if cell.name in CELLS else [cell]
@@ -476,40 +518,47 @@ class Renderer:
                 high = min(max(1, _int(cell.attrs.get("rowspan"), 1)), SPAN)
                 align = cell.attrs.get("align", "left").lower()
                 cells.append((row, column, wide, _trimmed(inner.lines), align))
-                for c in range(column, column + wide):
-                    busy[c] = max(busy.get(c, 0), row + high)
+                if high > 1:
+                    busy.append((row + high, column, column + wide))
                 column += wide
             row += 1
         widths: dict[int, int] = {}
-        for _, column, wide, lines, _ in cells:
+        needs = [max((n for n in map(len, c[3]) if n <= WIDEST), default=0) for c in cells]
+        for (_, column, wide, _, _), need in zip(cells, needs):
             if wide == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-        for _, column, wide, lines, _ in cells:
-            if wide > 1:  # the last column of a span takes what is missing
-                has = sum(widths.get(c, 0) for c in range(column, column + wide)) + 2 * (wide - 1)
+                widths[column] = max(widths.get(column, 0), need)
+        for (_, column, wide, _, _), need in zip(cells, needs):
+            if wide > 1:  # the last column of a span takes what is missing; a very wide span has enough
                 last = column + wide - 1
-                widths[last] = widths.get(last, 0) + max(0, max(map(len, lines), default=0) - has)
+                widths.setdefault(last, 0)
+                if 2 * (wide - 1) < need:
+                    has = sum(widths.get(c, 0) for c in range(column, column + wide)) + 2 * (wide - 1)
+                    widths[last] += max(0, need - has)
         used = sorted(widths)
-        left, place = {}, 0
-        for column in used:
-            left[column] = place
-            place += widths[column] + (2 if widths[column] else 0)
+        ends = [0, *accumulate(widths[c] + (2 if widths[c] else 0) for c in used)]
         out = _trimmed(before.lines)
         by_row: dict[int, list] = {}
-        for cell in cells:
-            by_row.setdefault(cell[0], []).append(cell)
+        for r, column, wide, lines, align in cells:
+            room = 0
+            if align in ("right", "center"):
+                first, behind = bisect_left(used, column), bisect_left(used, column + wide)
+                room = min(ends[behind] - ends[first] - 2, ALIGNED)
+            by_row.setdefault(r, []).append((ends[bisect_left(used, column)], lines, align, room))
         for r in range(row):
-            own = by_row.get(r, [])
-            for k in range(max((len(c[3]) for c in own), default=0)):
-                line = ""
-                for _, column, wide, lines, align in own:
-                    if k < len(lines) and lines[k]:
-                        span = [c for c in range(column, column + wide) if c in widths]
-                        room = sum(widths[c] for c in span) + 2 * (sum(bool(widths[c]) for c in span) - 1)
+            own, k = by_row.get(r, []), 0
+            while own := [c for c in own if len(c[1]) > k]:
+                parts, length = [], 0
+                for begin, lines, align, room in own:
+                    if lines[k]:
                         text = lines[k].rjust(room) if align == "right" else lines[k]
                         text = lines[k].center(room) if align == "center" else text
-                        line = line.ljust(left.get(column, len(line))) + text
-                out.append(line.rstrip())
+                        gap = 2 if length else 0
+                        if length + gap <= begin <= ALIGNED:
+                            gap = begin - length
+                        parts += (" " * gap, text)
+                        length += gap + len(text)
+                out.append("".join(parts).rstrip())
+                k += 1
         return _trimmed(out)
 
 

@@ -117,3 +117,58 @@ def test_text_of_random_tables_is_whole():
                 words += 1
         got = [w for w in rendered(page).replace("*", " ").split()]
         assert sorted(got) == sorted(f"w{i}" for i in range(words)), page
+
+
+QUOTED = {
+    "blanks around =": ('<a title = "x > y">link</a>', "link"),
+    "single quotes and blanks": ("<a title =\n'x > y' b= \"p>q\">link</a>", "link"),
+    "a quote that never ends": ('<p title="x>one</p><p>two', "one\n\ntwo"),
+    "a tag that never ends": ("a <b>c</b> <d e", "a c <d e"),
+    "quotes without an end of the tag": ("<i>a</i> <b c=\"x <i>y</i>\" z", "a y\" z"),
+    "a comment behind it": ("one <a two <!-- three", "one <a two"),
+    "no tag": ("1 < 2 <3 <", "1 < 2 <3 <"),
+    "a span beside a cell": ("<table><tr><td>a<td colspan=2>wide<tr><td>b<td colspan=2>c</table>", "a  wide\nb  c"),
+    "rows spanned twice": ("<table><tr><td rowspan=3>a<td rowspan=2>b<td>c<tr><td>d<tr><td>e<td>f</table>", "a  b  c\n      d\n   e  f"),
+}
+
+
+@pytest.mark.parametrize("name", list(QUOTED))
+def test_tags_and_spans(name):
+    page, want = QUOTED[name]
+    assert rendered(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 100_000, '<a b="c ' * 100_000, "<a b='c " * 100_001, "<a b = " * 100_000, "<a b=\" c=' " * 60_000, "</a " * 100_000, "<!" * 100_000,
+     "<!-- " * 50_000, "<a" * 100_000, "<i>x</i> <a b=\"" * 20_000, "<textarea>" * 30_000, "<a" + " " * 200_000 + "b>x",
+     "<table>" + ("<tr>" + "<td colspan=1000>x" * 20) * 100, "<table><tr>" + "<td rowspan=1000>x" * 2000 + "<tr><td>y" * 900,
+     "<table><tr>" + "<td>x" * 20_000, "<table><tr><td>" + "<br>a" * 10_000 + "<td>b" * 5000],
+)
+def test_time_and_length_follow_the_page(page):
+    start = time.perf_counter()
+    got = rendered(page)
+    assert time.perf_counter() - start < 4 and len(got) < 10 * len(page)
+
+
+def test_blanks_are_bounded():
+    long = "long words " * 9000
+    page = f"<table><tr><td>{long}<td>b" + "<tr><td>short<td>c" * 500 + "</table>"
+    got = rendered(page).split("\n")
+    assert got[0] == long + " b" and got[1:] == ["short  c"] * 500
+    wide = "<table><tr>" + "".join(f"<td>{'x' * 70}{i}" for i in range(50)) + ("<tr><td colspan=40>l<td>m" + "<tr><td align=right colspan=45>r") * 400
+    assert len(rendered(wide)) < 10 * len(wide)
+    deep = "<blockquote>" * 190 + "a<br>" * 20_000
+    assert len(rendered(deep)) < 20 * len(deep) and rendered(deep).split() == ["a"] * 20_000
+
+
+def test_table_against_a_plain_renderer():
+    """Tables of words without spans: columns as wide as their widest word, two blanks between them."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        rows = [["".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 8))]
+        width = [max((len(r[c]) for r in rows if c < len(r)), default=0) for c in range(6)]
+        want = "\n".join("  ".join(w.ljust(width[c]) for c, w in enumerate(r)).rstrip() for r in rows)
+        assert rendered("<table>" + "".join("<tr>" + "".join(f"<td>{w}" for w in r) for r in rows)) == want

@@ -6,8 +6,10 @@ much more the second best needs, as a share; a narrow margin rejects the text. A
 what is compressed, so a text is taken in pieces of ``PIECE`` bytes, each compressed from the dictionary alone, and their
 sizes are summed: the margin does not depend on how long a text is.
 
-The dictionaries come from at most ``SAMPLE_DOCS`` documents a language, chosen by a hash of their id, with at most
-``SAMPLE_CHARS`` characters of each. All dictionaries together have at most ``ALL_BYTES`` bytes.
+The dictionaries come from a sample whose bounds are parameters: at most ``SAMPLE_DOCS`` documents a language, drawn by a
+hash of id and text, with a piece of at most ``SAMPLE_CHARS`` characters of each, at a place that the hash names too, so
+that no part of a text is left out as such. There are at most ``LANGUAGES`` labels (more are refused), so all dictionaries
+together have at most ``LANGUAGES * DICTIONARY`` bytes. Counts of labels cover all labelled rows.
 
 A null text, or one without a letter, is undetermined (``und``, score 0, rejected). Equal sizes go to the language with
 more labelled documents, then to the smaller name. Without any labelled text everything is undetermined. A null id
@@ -30,7 +32,7 @@ from parley.llm.common import rest_of_row, sliced, typed
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1500
 DICTIONARY = 1 << 16
-ALL_BYTES = 1 << 26
+LANGUAGES = 1 << 10
 #: zstandard's level; it decides how well matches in the dictionary are found.
 LEVEL = 6
 #: Bytes of a text that are compressed together.
@@ -51,29 +53,40 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list:
     """(language, dictionary) of the languages in ``labelled``, the most frequent first."""
-    usable = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(label_col).cast("string")).count().collect()}
-    rank = F.row_number().over(
-        Window.partitionBy("label").orderBy(F.xxhash64(F.lit("sample"), "id"), "id", F.xxhash64("snippet"))
+    scale = 1 << 30
+    usable = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(label_col).cast("string").alias("label"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)).alias("drawn"),
     )
-    sample = (
-        usable.select(
-            F.col(label_col).cast("string").alias("label"),
-            F.col(id_col).alias("id"),
-            F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("snippet"),
-        )
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= SAMPLE_DOCS)
-        .orderBy("label", "rank")
+    counted = usable.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("drawn").alias("different"))
+    counts = counted.limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    if not counts:
+        return []
+    # twice as many as are wanted pass a threshold, so that a task sends on few rows whatever their label is
+    shares = labelled.sparkSession.createDataFrame(
+        [(r.label, int(scale * min(1.0, 2 * SAMPLE_DOCS / r.different))) for r in counts], "label string, below long"
     )
-    room = max(1024, min(DICTIONARY, ALL_BYTES // max(1, len(counts))))
+    place = F.pmod(F.xxhash64(F.lit("place"), "drawn"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    snippets = (
+        usable.join(F.broadcast(shares), "label")  # LANGUAGES rows at most
+        .filter(F.pmod("drawn", F.lit(scale)) < F.col("below"))
+        .select("label", "drawn", F.substring("text", place.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("snippet"))
+        .distinct()
+    )
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("drawn", F.lit(scale)), "drawn", "snippet"))
+    sample = snippets.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).orderBy("label", "rank")
     content: dict[str, bytearray] = {}
     for row in sample.toLocalIterator():
         own = content.setdefault(row.label, bytearray())
-        if len(own) < room:
+        if len(own) < DICTIONARY:
             own += row.snippet.lower().encode("utf-8", "replace") + b"\n"
-    order = sorted(content, key=lambda name: (-counts[name], name))
-    return [(name, bytes(content[name][:room])) for name in order]
+    n_docs = {r.label: r.n for r in counts}
+    order = sorted(content, key=lambda name: (-n_docs[name], name))
+    return [(name, bytes(content[name][:DICTIONARY])) for name in order]
 
 
 class Classifier:

@@ -1,7 +1,9 @@
 """Language identification: held-out accuracy and odd cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from parley.llm import langid
 from parley.llm.langid import MARGIN, Classifier, dictionaries, held_out, identify
 
 
@@ -62,3 +64,40 @@ def test_long_texts_are_accepted(spark):
         for size in (1 << 14, 300_000, 3_000_000):
             found, score = classifier.judge(whole[:size])
             assert found == lang and score > 2 * MARGIN, (lang, size, score)
+
+
+def test_against_plain_compression(spark):
+    """The language whose dictionary leaves the fewest bytes over all pieces of a text, and by how much."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = dictionaries(docs.filter(~held_out()))
+    assert len(learned) > 1 and all(len(content) == langid.DICTIONARY for _, content in learned)
+    found = identify(docs, docs.filter(~held_out())).filter("doc_id % 9 = 0").select("text", "lang_pred", "score").collect()
+    assert len(found) > 50
+    for r in found:
+        data, sizes = r.text.lower().encode(), []
+        for k, (name, content) in enumerate(learned):
+            book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            book.precompute_compress(level=langid.LEVEL)
+            how = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(how.compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE)), k, name))
+        sizes.sort()
+        if r.lang_pred != langid.UNDETERMINED:
+            assert r.lang_pred == sizes[0][2] and r.score == (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+
+
+def test_sample_reads_all_parts_of_texts_and_copies_are_one(spark):
+    texts = [(i, "a" * 5000 + f" ende {i} " * 800, "x") for i in range(60)] + [(7, "copy of one text", "y")] * 3000
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(4)
+    by = dict(dictionaries(docs))
+    assert b"ende" in by["x"] and by["y"] == b"copy of one text\n"
+    assert list(by) == ["y", "x"]  # by labelled rows
+
+
+def test_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        dictionaries(docs)
+    assert len(dictionaries(docs.filter("doc_id < 3"))) == 3

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import LAST_ID, keyed, restored, table, written
+from parley.llm.common import keyed, ordered_id, restored, table, written
 from parley.llm.decontamination import decontaminated
 from parley.llm.jaccard import similar_documents
 from parley.llm.langid import held_out, identify
@@ -32,8 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one with the smallest id stays; of equal rows of one id, one."""
     found = similar_documents(docs.select("doc_id", "text"), PERCENT, WORDS)
-    id_or_last = F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc")
-    stays = found.filter("is_first").select(id_or_last, "text_hash").distinct()
+    stays = found.filter("is_first").select(ordered_id(), "text_hash").distinct()
     joined = keyed(docs).join(stays, ["doc", "text_hash"], "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc", "text_hash").orderBy("doc"))
     return restored(joined.withColumn("copy", copy).filter("copy = 1"), docs, text=F.col("text"))

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from parley.session import written
 
 __all__ = [
-    "LAST_ID", "LOWER", "SPACE", "by_size", "doc_id", "keyed", "lean", "mixed", "rest_of_row", "restored", "signed", "sliced", "table",
-    "texts_of", "typed", "written",
+    "ID", "LAST_ID", "LOWER", "SPACE", "by_size", "doc_id", "keyed", "lean", "mixed", "ordered_id", "rest_of_row", "restored", "signed",
+    "sliced", "table", "texts_of", "typed", "written",
 ]
 
-#: Stands for a null id where ids are compared: a null id sorts after all others.
-LAST_ID = (1 << 63) - 1
+#: Ids where they are compared: a null id is 2^63, which no long is, and so sorts after all others.
+ID = "decimal(20,0)"
+LAST_ID = 1 << 63
 #: ASCII white space and A-Z, as bytes.
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -50,19 +51,24 @@ def typed(columns: str, **more: T.DataType) -> T.StructType:
     return schema
 
 
+def ordered_id(id_col: str = "doc_id") -> Column:
+    """An id that is never null and sorts as ids do, a null one last."""
+    return F.coalesce(F.col(id_col).cast("long").cast(ID), F.lit(str(LAST_ID)).cast(ID)).alias("doc")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc (the id, null as the last), text_hash (tells apart rows of one id), text, row (all other columns)."""
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"),
+        ordered_id(id_col),
         F.xxhash64(text_col).alias("text_hash"),
         F.col(text_col).alias("text"),
         rest_of_row(docs, text_col),
     )
 
 
-def doc_id() -> Column:
-    """The id that ``keyed`` replaced."""
-    return F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
+def doc_id(doc: str = "doc") -> Column:
+    """The id that ``keyed`` replaced; 2^63 is no long, so it is null again."""
+    return F.col(doc).try_cast("long").alias("doc_id")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import WORD_BITS, contains, seen
-from parley.llm.common import LAST_ID, by_size, doc_id, keyed, lean, mixed, texts_of, written
+from parley.llm.common import ID, by_size, doc_id, keyed, lean, mixed, texts_of, written
 from parley.llm.components import relabelled
 from parley.llm.words import WordHashes, lower_words, ngram_hashes
 
@@ -324,13 +324,13 @@ def _sets(
     if sets is not None and chosen.isEmpty():
         return sets
     bits = min(WORD_BITS, chosen.count().bit_length())
-    named = seen(chosen.select("doc"), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)), bits)
+    named = seen(chosen.select(F.xxhash64("doc")), lambda batch: mixed(batch.column(0).to_numpy().view(np.uint64)), bits)
 
     def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         hashes = WordHashes()
         for batch in by_size(batches, "text", AT_ONCE):
-            held = pa.array(contains(named.value, mixed(batch.column("doc").to_numpy().view(np.uint64))))
+            held = pa.array(contains(named.value, mixed(batch.column("hash").to_numpy().view(np.uint64))))
             batch = batch.filter(held)
             own, names = sets_of(batch, hashes)
             yield pa.record_batch(
@@ -341,7 +341,7 @@ def _sets(
                 }
             )
 
-    found = rows.select("doc", "text").mapInArrow(chosen_sets, "doc long, node binary, elements binary")
+    found = rows.select("doc", "text", F.xxhash64("doc").alias("hash")).mapInArrow(chosen_sets, f"doc {ID}, node binary, elements binary")
     found = written(found.join(chosen, ["doc", "node"]).dropDuplicates(["node"]).select("node", "elements"))
     named.unpersist()
     return found if sets is None else sets.unionByName(found)
@@ -391,7 +391,7 @@ def similar_documents(
 
     members = written(
         rows.select("doc", "text_hash", "text").mapInArrow(
-            classed, "doc long, text_hash long, node binary, n long, sketch binary"
+            classed, f"doc {ID}, text_hash long, node binary, n long, sketch binary"
         )
     )
     classes = written(members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("first")))
@@ -449,6 +449,6 @@ def similar_documents(
         doc_id(),
         "text_hash",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"),
+        doc_id("component").alias("component_id"),
         "is_first",
     )

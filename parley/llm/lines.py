@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import WORD_BITS, contains, seen_twice
-from parley.llm.common import LOWER, SPACE, doc_id, keyed, sliced, texts_of, typed, written
+from parley.llm.common import ID, LOWER, SPACE, doc_id, keyed, sliced, texts_of, typed, written
 
 #: Shorter keys, in code points, are never dropped.
 MIN_KEY = 10
@@ -75,7 +75,7 @@ def dedup_lines(
             )
 
     suspects = written(
-        rows.select("doc", "text_hash", "text").mapInArrow(suspected, "doc long, text_hash long, key binary")
+        rows.select("doc", "text_hash", "text").mapInArrow(suspected, f"doc {ID}, text_hash long, key binary")
     )
     repeated = written(
         suspects.groupBy("key")
@@ -111,5 +111,5 @@ def dedup_lines(
             )
 
     joined = rows.join(drops, ["doc", "text_hash"], "left").select("doc", "text", "drop", "row")
-    schema = typed("doc long, text string, n_lines long, n_dropped long", row=rows.schema["row"].dataType)
+    schema = typed(f"doc {ID}, text string, n_lines long, n_dropped long", row=rows.schema["row"].dataType)
     return joined.mapInArrow(cut, schema).select(doc_id(), "text", "n_lines", "n_dropped", "row")

@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences of a fixed length, improved by a swap-based local search.
 
 Texts are encoded once, cut into pieces only where they are longer than a sequence, and dealt by a hash of the piece
-into groups of bounded size. A group is packed on its own: best fit in decreasing order, then a local search between
-the sequences that are not full. It moves a document, exchanges one for one, or two for one, whenever that increases
-the sum of the squared fills, which drains the emptiest sequences until some have nothing left. A group wastes less
+into groups of bounded size; the hash has the copy's place too, so repeated rows do not meet in one group. A group is packed on its own: best fit in decreasing order, then a local search between
+the sequences that are not full. It moves a document, exchanges one for one, or two for one (pairs of a sequence's 16 longest), whenever that
+increases the sum of the squared fills, which drains the emptiest sequences until some have nothing left. It ends where
+a bound shows that there can be no fewer. A group wastes less
 than one sequence if the search succeeds, so the whole needs about one sequence a group more than the tokens do.
 
 A null text is an empty document: the end token alone. Rows with one id are packed each on its own. An empty table
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import doc_id, keyed, sliced, texts_of
+from parley.llm.common import ID, doc_id, keyed, sliced, texts_of
 from parley.llm.tokens import vocabulary, worker_encoder
 
 #: Tokens of a sequence; the id that ends a document.
@@ -59,6 +61,13 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: list[int], size: int) -> int:
+    """As few bins as there may be: by the sum, and by items of which less than k fit into one."""
+    ordered = np.sort(np.asarray(lengths, np.int64))
+    by_sum = -(-int(ordered.sum()) // size)
+    return max(by_sum, *(-(-(len(ordered) - int(np.searchsorted(ordered, size / k, "right"))) // (k - 1)) for k in range(2, 9)))
+
+
 class Search:
     """Local search over the bins that are not full."""
 
@@ -125,7 +134,7 @@ class Search:
         return any(self._exchanged(a, pair) for pair in pairs)
 
     def run(self, passes: int) -> list[list[int]]:
-        least = -(-sum(self.fill) // self.size)
+        least = least_bins(self.lengths, self.size)
         used = sum(1 for b in self.bins if b)
         for _ in range(passes):
             better = False
@@ -146,7 +155,7 @@ class Search:
 def pack(lengths: np.ndarray, size: int = SEQUENCE, passes: int = PASSES) -> list[list[int]]:
     """Bins of at most ``size``, as few as can be found: the positions of their items in ``lengths``."""
     bins = best_fit(lengths, size)
-    if len(bins) > -(-int(lengths.sum()) // size):
+    if len(bins) > least_bins(lengths, size):
         bins = Search(lengths.tolist(), bins, size).run(passes)
     return bins
 
@@ -166,19 +175,23 @@ def pack_documents(
     """
     spark = docs.sparkSession
     rows = keyed(docs.select(id_col, text_col), id_col, text_col).select("doc", "text_hash", "text")
-    n_chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    rows = rows.withColumn("task", F.spark_partition_id())
+    n_chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     n_groups = max(1, -(-n_chars // group_chars))
     shared = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value)
+        encoder, seen = worker_encoder(shared.value), Counter()
         for batch in sliced(batches, AT_ONCE):
-            at, piece, start, ids = [], [], [], []
-            for i, text in enumerate(texts_of(batch.column("text"))):
+            at, copy, piece, start, ids = [], [], [], [], []
+            names = zip(batch.column("doc").to_pylist(), batch.column("text_hash").to_pylist())
+            for i, (text, name) in enumerate(zip(texts_of(batch.column("text")), names)):
                 own = encoder.ids(text) + end
+                seen[hash(name)] += 1
                 for k, begin in enumerate(range(0, len(own), 4 * size)):
                     at.append(i)
+                    copy.append(seen[hash(name)])
                     piece.append(k)
                     start.append(begin // 4)
                     ids.append(own[begin : begin + 4 * size])
@@ -187,14 +200,18 @@ def pack_documents(
                 {
                     "doc": batch.column("doc").take(at),
                     "text_hash": batch.column("text_hash").take(at),
+                    "task": batch.column("task").take(at),
+                    "copy": pa.array(copy, pa.int64()),
                     "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()),
                     "ids": pa.array(ids, pa.binary()),
                 }
             )
 
-    pieces = rows.mapInArrow(cut, "doc long, text_hash long, piece int, start long, ids binary")
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc", "text_hash", "piece"), F.lit(n_groups)))
+    pieces = rows.mapInArrow(cut, f"doc {ID}, text_hash long, task int, copy long, piece int, start long, ids binary")
+    # a task that runs again sees the same rows, so the same copies of a row go to the same groups
+    part = F.pmod(F.xxhash64("doc", "text_hash", "piece", "task", "copy"), F.lit(n_groups))
+    dealt = pieces.withColumn("part", part).drop("task", "copy")
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc", "ascending"), ("text_hash", "ascending"), ("piece", "ascending")])
@@ -216,7 +233,7 @@ def pack_documents(
             }
         )
 
-    schema = "doc long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+    schema = f"doc {ID}, piece int, start long, length long, ids binary, sequence_id long, offset long"
     return (
         dealt.groupBy("part")
         .applyInArrow(packed, schema)

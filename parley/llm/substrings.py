@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.bloom import WORD_BITS, contains, seen_twice
-from parley.llm.common import doc_id, keyed, mixed, signed, sliced, texts_of, typed, written
+from parley.llm.common import ID, doc_id, keyed, mixed, signed, sliced, texts_of, typed, written
 from parley.llm.words import WordHashes, ngram_hashes, sliding
 
 WINDOW = 35
@@ -210,7 +210,7 @@ def dedup_substrings(
 
     strings = written(
         rows.select("doc", "text_hash", "text").mapInArrow(
-            cut_up, "doc long, text_hash long, start int, minimiser long, key binary, packed binary"
+            cut_up, f"doc {ID}, text_hash long, start int, minimiser long, key binary, packed binary"
         )
     )
     distinct = written(strings.groupBy("minimiser", "packed").agg(F.count("*").alias("n")))
@@ -247,5 +247,5 @@ def dedup_substrings(
             )
 
     joined = rows.join(removed, ["doc", "text_hash"], "left").select("doc", "text", "gone", "row")
-    schema = typed("doc long, text string, n_words long, n_removed long", row=rows.schema["row"].dataType)
+    schema = typed(f"doc {ID}, text string, n_words long, n_removed long", row=rows.schema["row"].dataType)
     return joined.mapInArrow(kept, schema).select(doc_id(), "text", "n_words", "n_removed", "row")

@@ -18,7 +18,7 @@ from .conversations import (
     valid_conversations,
 )
 from .layout import Layout, UnsupportedLayout, detect_layout
-from .media import explode_media, keep_readable, pair_media, resolve_media
+from .media import explode_media, keep_readable, pair_media, pair_media_grouped, resolve_media
 from .tokenizers import CodePointTokenizer, LibraryTokenizer
 from .training import (
     EmptyDataset,
@@ -31,7 +31,7 @@ from .training import (
     row_counts,
     tokenize,
 )
-from .union import TypeClash, column_set, union_datasets
+from .union import TypeClash, column_set, common_type, union_datasets
 
 __all__ = [
     "CodePointTokenizer",
@@ -41,6 +41,7 @@ __all__ = [
     "TypeClash",
     "UnsupportedLayout",
     "column_set",
+    "common_type",
     "detect_layout",
     "explode_media",
     "filter_files",
@@ -56,6 +57,7 @@ __all__ = [
     "pad_to_max",
     "pad_to_multiple",
     "pair_media",
+    "pair_media_grouped",
     "prepare_dataset",
     "record_configs",
     "resolve_config",

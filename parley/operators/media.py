@@ -89,6 +89,50 @@ def pair_media(df: DataFrame, id_cols: str | list[str], resolved: DataFrame) ->
     return df.join(images, ids)
 
 
+def pair_media_grouped(
+    df: DataFrame,
+    id_cols: str | list[str],
+    resolved: DataFrame,
+    message_col: str | None = None,
+    messages: str = "conversations",
+) -> DataFrame:
+    """Conversations next to their readable images, one row per conversation.
+
+    ``images`` has one array for each message, in order of ``pos``: what ``render_chat``
+    takes. ``message_col`` of ``resolved`` names the message (from 0) an image belongs to;
+    without it, where it is null and where there is no such message, that is the first
+    message of the user, or the first one. Images come together before the join, so a
+    conversation moves once; all that meet in a row came out of one row. Conversations
+    without a readable image are dropped, as by ``pair_media``.
+    """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    message = F.lit(None) if message_col is None else F.col(f"`{message_col}`")
+    images = resolved.where(F.col("kind") == "image").select(
+        *ids, message.cast("int").alias("_message"), F.struct("pos", F.col("path").alias("image")).alias("_image")
+    )
+    of_message = images.groupBy(*ids, "_message").agg(F.collect_list("_image").alias("_images"))
+    grouped = of_message.groupBy(*ids, splittable(*ids)).agg(
+        F.collect_list(F.struct("_message", "_images")).alias("_media")
+    )
+    talk = F.col(f"`{messages}`")
+    user = F.array_position(F.transform(talk, lambda m: m["role"]), "user").cast("int") - 1
+    asked = F.when(user >= 0, user).otherwise(0)
+
+    def of(position: Column) -> Column:
+        there = F.col("_media._message")
+        own = F.filter(
+            "_media",
+            lambda g: F.when(g["_message"].between(0, F.size(talk) - 1), g["_message"]).otherwise(F.col("_asked"))
+            == position,
+        )
+        some = F.array_contains(F.transform(there, lambda m: F.coalesce(m, F.lit(-1))), position)
+        listed = F.transform(F.array_sort(F.flatten(own["_images"])), lambda i: i["image"])
+        return F.when(some | (position == F.col("_asked")), listed).otherwise(F.array().cast("array<string>"))
+
+    joined = df.join(grouped.drop("_follows"), ids).withColumn("_asked", asked)
+    return joined.withColumn("images", F.transform(talk, lambda m, i: of(i))).drop("_media", "_asked")
+
+
 def keep_readable(
     df: DataFrame,
     id_cols: str | list[str],

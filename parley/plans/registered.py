@@ -790,6 +790,30 @@ def pair_media(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+    WITH {_REFS}, {_FILES},
+      found AS (SELECT page_id, count(*) AS n, string_agg('<images>' || path || '</images>', '' ORDER BY pos) AS tags
+        FROM refs JOIN files ON name = ref WHERE path LIKE '%.jpg' GROUP BY page_id)
+    SELECT page_id, n::INT AS n_images, 2 AS n_messages,
+      E'\\n\\n\\n\\n\\n<|im_start|>system\\nYou are a helpful assistant.<|im_end|>\\n\\n'
+      || E'\\n<|im_start|>user\\n{fixed.IMAGE_QUESTION}' || tags || E'<|im_end|>\\n\\n'
+      || E'\\n\\n\\n\\n\\n<|im_start|>assistant\\n' || html || E'<|im_end|>\\n\\n\\n' AS rendered
+    FROM found JOIN pages USING (page_id)"""
+)
+def pair_media_grouped(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("caption"))
+    talks = op.to_conversations(pages, "page_id")
+    refs = op.explode_media(page_links(spark, sf_dir), "page_id", "images")
+    resolved = op.resolve_media(refs, page_listing(spark, sf_dir))
+    return op.pair_media_grouped(talks, "page_id", resolved).select(
+        "page_id",
+        F.size(F.flatten("images")).alias("n_images"),
+        F.size("images").alias("n_messages"),
+        fn.render_chat(CONVERSATIONS, images=F.col("images")).alias("rendered"),
+    )
+
+
 @query(
     f"""
     WITH {_REFS}, {_FILES}
@@ -885,6 +909,30 @@ def union_clash_string(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT doc_id, lang, n, source, sizes, 'bigint' AS kind FROM (
+      SELECT doc_id, lang, n_chars AS n, NULL AS source, (n_chars % 7)::DOUBLE AS sizes FROM documents
+      UNION ALL SELECT doc_id, lang, n_chars * 5000000000, source, n_chars / 4.0 FROM documents)"""
+)
+def union_widened(spark, sf_dir):
+    """Of int and bigint, nested structs with an extra field, and arrays of int and double."""
+    documents = table(spark, sf_dir, "documents")
+    n, lang = F.col("n_chars").cast("int"), F.col("lang")
+    narrow = documents.select(
+        F.col("doc_id").cast("int").alias("doc_id"), F.struct(lang, n.alias("n")).alias("meta"), F.array(n % 7).alias("sizes")
+    )
+    wide = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(F.col("source"), (n.cast("long") * 5_000_000_000).alias("n"), lang).alias("meta"),
+        F.array(n / F.lit(4.0)).alias("sizes"),
+    )
+    both = op.union_datasets(narrow, wide, on_clash="widen")
+    return both.select(
+        "doc_id", "meta.lang", "meta.n", "meta.source", F.col("sizes")[0].alias("sizes"), F.typeof("meta.n").alias("kind")
+    )
+
+
 @query(
     """
     SELECT c_custkey, array_to_string(list_sort(list_distinct(

@@ -212,3 +212,35 @@ def test_readable_media_are_found_in_one_pass(spark):
     listing = spark.createDataFrame([("top", "p", "a")], "place STRING, path STRING, name STRING")
     plan = op.keep_readable(df, "id", ["images", "audios"], listing)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
+
+
+def test_images_next_to_their_messages(spark):
+    talks = spark.createDataFrame(
+        [(1, [("system", "s"), ("user", "a"), ("user", "b")]), (2, [("assistant", "c")]), (3, [("user", "d")]), (4, [])],
+        "id INT, conversations ARRAY<STRUCT<role: STRING, content: STRING>>",
+    )
+    rows = [(1, 3, 2, "x.png"), (1, 1, 2, "z.png"), (1, 0, None, "y.png"), (1, 2, 9, "w.png"), (2, 0, None, "v.png"), (4, 0, 0, "u.png")]
+    resolved = spark.createDataFrame(
+        [(i, pos, m, "top", p, "image") for i, pos, m, p in rows] + [(3, 0, None, "top", "s.wav", "audio")],
+        "id INT, pos INT, turn INT, place STRING, path STRING, kind STRING",
+    )
+    got = {r.id: r.images for r in op.pair_media_grouped(talks, "id", resolved, "turn").collect()}
+    assert got == {1: [[], ["y.png", "w.png"], ["z.png", "x.png"]], 2: [["v.png"]], 4: []}
+    got = {r.id: r.images for r in op.pair_media_grouped(talks, "id", resolved).collect()}
+    assert got == {1: [[], ["y.png", "z.png", "w.png", "x.png"], []], 2: [["v.png"]], 4: []}
+    text = op.pair_media_grouped(talks, "id", resolved, "turn").where("id = 1")
+    text = text.select(fn.render_chat(F.col("conversations"), images=F.col("images"))).first()[0]
+    assert "b<images>z.png</images><images>x.png</images>" in text
+
+
+def test_a_conversation_of_many_images_is_one_row(spark):
+    talks = spark.range(50).select(
+        "id", F.array(F.struct(F.lit("user").alias("role"), F.lit("t").alias("content"))).alias("conversations")
+    )
+    resolved = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("id"), F.col("id").cast("int").alias("pos"),
+        F.lit("image").alias("kind"), F.lit("top").alias("place"), F.concat(F.col("id"), F.lit(".png")).alias("path"),
+    )
+    got = {r.id: r.images for r in op.pair_media_grouped(talks, "id", resolved).collect()}
+    assert len(got) == 50 and sum(len(i[0]) for i in got.values()) == 40_000 and len(got[7][0]) > 13_000
+    assert all([int(p[:-4]) for p in i[0]] == sorted(int(p[:-4]) for p in i[0]) for i in got.values())

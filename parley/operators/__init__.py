@@ -22,6 +22,7 @@ from .media import explode_media, keep_readable, pair_media, pair_media_grouped,
 from .tokenizers import CodePointTokenizer, LibraryTokenizer
 from .training import (
     EmptyDataset,
+    batch_by_length,
     has_unmasked,
     label_tokens,
     max_tokens,
@@ -40,6 +41,7 @@ __all__ = [
     "LibraryTokenizer",
     "TypeClash",
     "UnsupportedLayout",
+    "batch_by_length",
     "column_set",
     "common_type",
     "detect_layout",

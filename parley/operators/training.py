@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -109,6 +110,44 @@ def pad_to_multiple(
     return _pad(joined, F.col("_length"), pad_id).drop("_length", "_batch")
 
 
+def batch_by_length(
+    df: DataFrame, batch_size: int, order_cols: str | list[str], batch_col: str = "batch"
+) -> DataFrame:
+    """Number batches of ``batch_size`` rows in order of n_tokens, so that little is padded.
+
+    Rows of one length follow ``order_cols``; where these repeat too, any of the equal rows
+    comes first. Rows without a length stand in front, the last batch may be smaller, and an
+    empty frame has no batch. Rows are sorted by ranges of length and ``order_cols``, so a
+    length that many rows have is split, and written: the ranges come from a sample and may
+    not be drawn anew for a lost task. Only the number of rows of each range, one a task,
+    passes through the driver.
+    """
+    if batch_size < 1:
+        raise ValueError(f"a batch needs at least one row, not {batch_size}")
+    if batch_col in df.columns:
+        raise ValueError(f"there is a column {batch_col} already")
+    keys = ["n_tokens", *_as_list(order_cols)]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The lower 33 bits of that id are the place of a row in its partition.
+    placed = written(
+        ranges.withColumns(
+            {
+                "_range": F.spark_partition_id(),
+                "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+            }
+        )
+    )
+    sizes = sorted(placed.groupBy("_range").count().collect())
+    starts = accumulate((size for _, size in sizes), initial=0)
+    before = df.sparkSession.createDataFrame(
+        [(part, start) for (part, _), start in zip(sizes, starts)], "_range INT, _before LONG"
+    )
+    number = F.col("_before") + F.col("_place")
+    return placed.join(F.broadcast(before), "_range").select(
+        *(F.col(f"`{c}`") for c in df.columns), ((number - F.pmod(number, F.lit(batch_size))) / batch_size).cast("long").alias(batch_col)
+    )
+
+
 def has_unmasked(df: DataFrame) -> DataFrame:
     """One row: does any label count? A dataset without one is not worth training on."""
     return df.agg(

@@ -669,6 +669,24 @@ def pad_batch_8(spark, sf_dir):
     return _padded(op.pad_to_multiple(rows, pad_id=0, batch_col="conv_id"))
 
 
+@query(
+    f"""
+    WITH t AS ({_TURN_IDS}),
+         n AS (SELECT *, (row_number() OVER (ORDER BY len(ids), conv_id, turn) - 1) // 32 AS batch FROM t),
+         b AS (SELECT batch, CAST(ceil(max(len(ids)) / 8.0) * 8 AS BIGINT) AS mx FROM n GROUP BY batch)
+    SELECT n.conv_id, turn, CAST(n.batch AS BIGINT) AS batch, {_padded_sql('mx')}
+    FROM n JOIN b ON n.batch = b.batch"""
+)
+def batch_by_length(spark, sf_dir):
+    rows = op.label_tokens(turn_tokens(spark, sf_dir), marks_special=False)
+    batches = op.batch_by_length(rows, 32, ["conv_id", "turn"])
+    padded = op.pad_to_multiple(batches, pad_id=0, batch_col="batch")
+    return padded.select(
+        "conv_id", "turn", "batch", text(F.col("input_ids")).alias("ids"),
+        text(F.col("labels")).alias("labels"), text(F.col("attention_mask")).alias("mask"),
+    )
+
+
 # --- whole preparations --------------------------------------------------------
 
 

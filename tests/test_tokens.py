@@ -201,3 +201,48 @@ def test_only_special_tokens_are_nothing_to_train_on(spark):
         op.prepare_dataset(df, "id", tokenizer, max_length=2)
     row = op.prepare_dataset(df, "id", tokenizer, max_length=3).first()
     assert row.labels == [-100, 10, -100]
+
+
+def lengths(spark, values):
+    rows = [(i, n, [7] * (n or 0)) for i, n in enumerate(values)]
+    return spark.createDataFrame(rows, "id INT, n_tokens INT, input_ids ARRAY<INT>")
+
+
+@pytest.mark.parametrize("size", [1, 8, 1000])
+def test_batches_by_length(spark, size):
+    # A third of the rows have one length; some have none.
+    values = [9 if i % 3 == 0 else (i * 37) % 101 for i in range(600)] + [None, None]
+    out = op.batch_by_length(lengths(spark, values), size, "id").collect()
+    order = sorted(range(len(values)), key=lambda i: (-1 if values[i] is None else values[i], i))
+    assert {r.id: r.batch for r in out} == {i: at // size for at, i in enumerate(order)}
+    assert len(out) == len(values)
+
+
+def test_batches_by_length_pad_less(spark):
+    df = lengths(spark, [(i * 37) % 101 for i in range(600)])
+    by_length = op.batch_by_length(df, 8, "id")
+    as_they_come = df.withColumn("batch", F.floor(F.col("id") / 8))
+
+    def padding(rows):
+        padded = op.pad_to_multiple(rows, 0, batch_col="batch")
+        total, real = padded.agg(F.sum(F.size("input_ids")), F.sum("n_tokens")).first()
+        return 1 - real / total
+
+    assert padding(by_length) < 0.1 < 0.3 < padding(as_they_come)
+
+
+def test_batches_by_length_plan(spark):
+    df = lengths(spark, [3, 1, 2])
+    plan = op.batch_by_length(df, 2, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_batches_by_length_bounds(spark):
+    df = lengths(spark, [3, 3])
+    assert op.batch_by_length(df.limit(0), 4, "id").collect() == []
+    twice = op.batch_by_length(df.unionAll(df), 3, "id").collect()
+    assert sorted(r.batch for r in twice) == [0, 0, 0, 1]
+    with pytest.raises(ValueError):
+        op.batch_by_length(df, 0, "id")
+    with pytest.raises(ValueError):
+        op.batch_by_length(df, 2, "id", batch_col="n_tokens")

@@ -278,6 +278,11 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of rows, if it is there."""
     files, where = _file_system(spark, path)

@@ -1,5 +1,5 @@
 """The same preparation on a stream."""
 
-from .rows import training_stream, write_stream
+from .rows import parquet_stream, training_stream, write_stream
 
-__all__ = ["training_stream", "write_stream"]
+__all__ = ["parquet_stream", "training_stream", "write_stream"]

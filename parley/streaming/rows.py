@@ -7,9 +7,23 @@ that some label counts need the whole dataset and exist for batches only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..operators.training import prepare_dataset
+from ..sources.datasets import is_folder
+
+
+def parquet_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a Parquet table as a stream, be the table one file or a folder of them.
+
+    A stream cannot be told one file, only its folder and the name to look for there.
+    """
+    files = spark.readStream.schema(schema)
+    if is_folder(spark, path):
+        return files.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return files.option("pathGlobFilter", name).parquet(folder)
 
 
 def training_stream(

@@ -338,6 +338,20 @@ def test_stream_gives_the_batch_rows(spark, turns, tmp_path):
     assert old.exceptAll(batch).count() == batch.exceptAll(old).count() == 0
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_of_a_table_kept_as_a_folder(spark, turns, tmp_path, files):
+    """A table may be one file or a folder of files; an empty folder of files has no rows."""
+    from parley.plans.registered import QUERIES
+
+    kept = turns.repartition(files) if files else turns.limit(0)
+    kept.write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["stream_training_rows"](spark, str(tmp_path))
+    want = QUERIES["stream_training_rows"](spark, "/root/testdata/sf0.001").where(F.lit(files > 0))
+    assert got.count() == (turns.count() if files else 0)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_streaming_expressions(spark, turns, tmp_path):
     """Prompts, vectors and image slots also need no state."""
     source = str(tmp_path / "in")

@@ -70,3 +70,7 @@ WHITESPACE_CLASS = (
 
 # Characters of a rendered turn besides its role and content.
 LEAST_TURN = 30
+
+# Rows of one file of token rows. Files are dealt to tasks by bytes, and padding, which is most
+# of the work, takes hardly any: many small files are dealt evenly, whatever they hold.
+FILE_ROWS = 10_000

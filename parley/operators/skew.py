@@ -1,8 +1,8 @@
-"""Joins with the result of an aggregate, when the other side may have a hot key."""
+"""Uneven work: joins with an aggregate when the other side has a hot key, and rows of few files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,12 @@ def splittable(*keys: str | Column) -> Column:
     shuffled for the join and the hot key can be split.
     """
     return F.xxhash64(*keys).alias("_follows")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to three tasks for each core; a task holds none of them together.
+
+    Files are dealt to tasks by bytes, and a part of a file no smaller than a row group: a
+    million short rows may be one task, however much has to be made of each.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)

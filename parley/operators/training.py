@@ -258,7 +258,8 @@ def measured(rows: DataFrame, media: tuple[str, ...] = ()) -> Measured:
             F.count(F.lit(1)).alias("n_rows"),
             F.max("n_tokens").alias("longest"),
             F.coalesce(F.bool_or(counts), F.lit(False)).alias("any_label"),
-        )
+        ),
+        fixed.FILE_ROWS,
     )
     found = observation.get
     return Measured(kept, found["n_rows"], found["longest"] or 0, found["any_label"], media)

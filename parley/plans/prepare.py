@@ -13,6 +13,7 @@ from ..functions.names import route_task
 from ..operators.catalog import record_configs, resolve_config
 from ..operators.conversations import to_conversations
 from ..operators.layout import UnsupportedLayout, detect_layout
+from ..operators.skew import spread
 from ..operators.tokenizers import CodePointTokenizer
 from ..operators.training import EmptyDataset, Measured, measured, padded_rows, token_rows, united
 from ..operators.union import TypeClash, column_set
@@ -99,7 +100,8 @@ def prepare_all(
     Per model the first usable dataset is written alone; each later one is written
     alone and once more together with the first, under the union name. Every dataset is
     read, rendered and tokenised once: its token rows are kept, without padding, and the
-    number of rows, the longest and whether a label counts are observed on the way.
+    number of rows, the longest and whether a label counts are observed on the way. Its
+    rows are dealt evenly to tasks first (``spread``), and files have ``FILE_ROWS`` at most.
     A dataset that cannot be read, recognised, computed or trained on is skipped, and the
     rest goes on. Its outputs are published together once all of them are written, so what
     an earlier run has published stays readable until then, and for good if this run fails.
@@ -150,7 +152,8 @@ def prepare_all(
             columns = sorted({*column_set(conversations.drop(*ids)), *first_columns})
             named = conversations.withColumn("dataset", F.lit(name))
             media = tuple(detect_layout(named.schema, tuple(keys)).media)
-            own = measured(token_rows(named, keys, tokenizer, check=False, listing=listing), media)
+            rows = token_rows(spread(named), keys, tokenizer, check=False, listing=listing)
+            own = measured(rows, media)
             if not own.n_rows or not (media or own.any_label):
                 raise EmptyDataset("no row, or no label, of the dataset counts")
             staged.append(

@@ -41,8 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
+def written(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of at most ``file_rows`` rows a file, if given.
 
     It is computed once, later steps read only the columns they need, and a lost executor
     loses none of it. ``clear_written`` removes such tables when results are kept elsewhere.
@@ -50,7 +50,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import fixed
 from ..functions.names import formatted_path
 
 # Endings of the files of each format.
@@ -199,7 +200,7 @@ def stage_formatted(
     path = output_path(root, name, union, model)
     staged = Staged(f"{_folder_of(path)}/_staging-{uuid.uuid4().hex}", path)
     try:
-        df.write.parquet(staged.folder)
+        df.write.option("maxRecordsPerFile", fixed.FILE_ROWS).parquet(staged.folder)
     except Exception:
         remove(df.sparkSession, staged.folder)
         raise

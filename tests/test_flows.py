@@ -321,6 +321,25 @@ def test_saved_names(spark, tmp_path):
     assert io.read_formatted(spark, str(tmp_path), "a/b").count() == 3
 
 
+def test_rows_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """Short rows of one row group are no single task, alone, in a union or when read again."""
+    monkeypatch.setattr("parley.fixed.FILE_ROWS", 5, raising=False)
+    rows = spark.range(200).select("id", F.lit("q").alias("question"), F.col("id").cast("string").alias("answer"))
+    long = rows.limit(3).withColumn("answer", F.repeat(F.lit("a"), F.lit(900)))
+    for name, df in (("long", long), ("short", rows.unionByName(rows))):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    card = spark.createDataFrame([("m", "long", "", 0), ("m", "short", "", 1)], CARD)
+    root = str(tmp_path / "out")
+    manifest = prepare_all(spark, card, root, directory_source(spark, str(tmp_path)))
+    assert [r.n_rows for r in manifest.orderBy("n_rows").collect()] == [3, 400]
+    for union in (False, True):
+        kept = io.read_formatted(spark, root, "short", union=union, model="m").where("dataset = 'short'")
+        files = kept.groupBy("_metadata.file_path").count().collect()
+        assert sum(f["count"] for f in files) == 400 and max(f["count"] for f in files) <= 5
+        dealt = kept.groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) >= 4 and max(d["count"] for d in dealt) <= 200
+
+
 def test_stream_gives_the_batch_rows(spark, turns, tmp_path):
     source = tmp_path / "in"
     turns.repartition(3).write.parquet(str(source))

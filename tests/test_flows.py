@@ -340,6 +340,20 @@ def test_rows_of_one_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
         assert len(dealt) >= 4 and max(d["count"] for d in dealt) <= 200
 
 
+def test_rows_without_ids_are_dealt_to_tasks(spark, tmp_path):
+    """Rows padded for themselves, and those that get their place as id, are dealt out as well."""
+    rows = spark.range(0, 200, 1, 1).select(F.lit("q").alias("question"), F.col("id").cast("string").alias("answer"))
+    rows.write.parquet(str(tmp_path / "plain"))
+    card = spark.createDataFrame([("m", "plain", "", 0)], CARD)
+    root = str(tmp_path / "out")
+    manifest = prepare_all(spark, card, root, directory_source(spark, str(tmp_path)), pad="multiple")
+    assert [r.n_rows for r in manifest.collect()] == [200]
+    kept = io.read_formatted(spark, root, "plain", model="m")
+    assert kept.select("id").distinct().count() == 200
+    files = kept.groupBy("_metadata.file_path").count().collect()
+    assert len(files) >= 4 and max(f["count"] for f in files) <= 100
+
+
 def test_stream_gives_the_batch_rows(spark, turns, tmp_path):
     source = tmp_path / "in"
     turns.repartition(3).write.parquet(str(source))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -248,19 +249,22 @@ class Measured:
     media: tuple[str, ...]
 
 
-def measured(rows: DataFrame, media: tuple[str, ...] = ()) -> Measured:
-    """Write ``token_rows`` once; count them, find the longest and look for labels in the same pass."""
+def measured(
+    rows: DataFrame, media: tuple[str, ...] = (), write: Callable[[DataFrame], DataFrame] | None = None
+) -> Measured:
+    """Write ``token_rows`` once; count them, find the longest and look for labels in the same pass.
+
+    ``write`` writes them and returns what it wrote; without it they are kept as they are.
+    """
     observation = Observation()
     counts = F.exists("labels", lambda x: x != fixed.IGNORED_LABEL) if "labels" in rows.columns else F.lit(False)
-    kept = written(
-        rows.observe(
-            observation,
-            F.count(F.lit(1)).alias("n_rows"),
-            F.max("n_tokens").alias("longest"),
-            F.coalesce(F.bool_or(counts), F.lit(False)).alias("any_label"),
-        ),
-        fixed.FILE_ROWS,
+    observed = rows.observe(
+        observation,
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max("n_tokens").alias("longest"),
+        F.coalesce(F.bool_or(counts), F.lit(False)).alias("any_label"),
     )
+    kept = write(observed) if write else written(observed, fixed.FILE_ROWS)
     found = observation.get
     return Measured(kept, found["n_rows"], found["longest"] or 0, found["any_label"], media)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -99,8 +100,10 @@ def prepare_all(
 
     Per model the first usable dataset is written alone; each later one is written
     alone and once more together with the first, under the union name. Every dataset is
-    read, rendered and tokenised once: its token rows are kept, without padding, and the
-    number of rows, the longest and whether a label counts are observed on the way. Its
+    read, rendered and tokenised once; the number of rows, the longest and whether a label
+    counts are observed on the way. Where all rows get the length of the longest, token rows
+    are kept without padding first. Otherwise a row has its length from itself: it is padded
+    and written at once, and the union is made of padded rows. Its
     rows are dealt evenly to tasks first (``spread``), and files have ``FILE_ROWS`` at most.
     A dataset that cannot be read, recognised, computed or trained on is skipped, and the
     rest goes on. Its outputs are published together once all of them are written, so what
@@ -153,20 +156,26 @@ def prepare_all(
             named = conversations.withColumn("dataset", F.lit(name))
             media = tuple(detect_layout(named.schema, tuple(keys)).media)
             rows = token_rows(spread(named), keys, tokenizer, check=False, listing=listing)
-            own = measured(rows, media)
+
+            def stage(rows: DataFrame, union: bool = False) -> DataFrame:
+                staged.append(stage_formatted(rows, root, name, union=union, model=model))
+                return spark.read.schema(rows.schema).parquet(staged[-1].folder)
+
+            own = measured(rows, media, None if pad == "max" else lambda df: stage(padded_rows(df, tokenizer, pad)))
             if not own.n_rows or not (media or own.any_label):
                 raise EmptyDataset("no row, or no label, of the dataset counts")
-            staged.append(
-                stage_formatted(padded_rows(own.rows, tokenizer, pad, own.longest), root, name, model=model)
-            )
+            if pad == "max":
+                stage(padded_rows(own.rows, tokenizer, pad, own.longest))
             if first is not None:
-                both, longest = united(first, own), max(first.longest, own.longest)
-                staged.append(
-                    stage_formatted(padded_rows(both, tokenizer, pad, longest), root, name, union=True, model=model)
-                )
+                both = united(first, own)
+                if pad == "max":
+                    both = padded_rows(both, tokenizer, pad, max(first.longest, own.longest))
+                stage(both, union=True)
             publish(spark, *staged)
             if first is None:
                 first, first_columns = own, column_set(conversations.drop(*ids))
+                if pad != "max":  # they are in their place now
+                    first = replace(own, rows=spark.read.schema(own.rows.schema).parquet(paths[0]))
             taken.update(paths)
             report.append((model, name, "prepared", columns, paths[0], own.n_rows))
         except _SKIPPED as reason:

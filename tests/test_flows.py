@@ -429,3 +429,38 @@ def test_training_card(spark, raw, tmp_path):
     assert [r.train_rows for r in training_inputs(spark, odd, root).collect()] == [3, 3]
     nothing = training_inputs(spark, back, str(tmp_path / "none")).collect()
     assert [r.train_rows for r in nothing] == [0]
+
+
+@pytest.mark.parametrize("pad", ["multiple", "none"])
+def test_rows_of_their_own_length_are_written_once(spark, tmp_path, monkeypatch, pad):
+    """No unpadded rows are kept beside the prepared ones, and the union holds the rows of both."""
+    from parley.operators import training
+
+    def kept(*_):
+        raise OSError("token rows are kept")
+
+    monkeypatch.setattr(training, "written", kept)
+    good = {
+        "a": spark.createDataFrame([(1, "q" * 3, "x"), (2, "r", "y" * 20)], "id long, question string, answer string"),
+        "b": spark.createDataFrame([("7", "s", "z"), ("7", "s", "z"), (None, "t", None)], "id string, question string, answer string"),
+        "c": spark.createDataFrame([("1", "long " * 9, "p.jpg")], "id string, caption string, image string"),
+        "d": spark.createDataFrame([("1", "s", None)], "id string, question string, answer string"),
+    }
+    card = spark.createDataFrame([("m", n, "", i) for i, n in enumerate("abcd")], "model string, dataset string, info string, position int")
+    root = str(tmp_path / "out")
+    manifest = prepare_all(spark, card, root, lambda name, config: good[name], pad=pad).collect()
+    assert [(r.status, r.n_rows) for r in manifest] == [("prepared", 2), ("prepared", 2), ("prepared", 1), ("EmptyDataset", None)]
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    tokenizer = training.CodePointTokenizer()
+    tokens = {n: training.token_rows(df.selectExpr(f"'{n}' dataset", "*"), ["dataset", "id"], check=False) for n, df in good.items()}
+    for name in "abc":
+        alone = io.read_formatted(spark, root, name, model="m")
+        assert rows(alone) == rows(training.padded_rows(tokens[name], tokenizer, pad))
+        assert alone.columns == training.padded_rows(tokens[name], tokenizer, pad).columns
+    both = training.union_datasets(tokens["a"], tokens["b"], on_clash="string")
+    assert rows(io.read_formatted(spark, root, "b", union=True, model="m")) == rows(training.padded_rows(both, tokenizer, pad))
+    assert rows(io.read_formatted(spark, root, "c", union=True, model="m")) == rows(io.read_formatted(spark, root, "c", model="m"))
+    assert not list((tmp_path / "out" / "m").glob("_*"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import ID, doc_id, keyed, sliced, texts_of
+from parley.llm.common import ID, doc_id, keyed, lean, sliced, texts_of
 from parley.llm.tokens import vocabulary, worker_encoder
 
 #: Tokens of a sequence; the id that ends a document.
@@ -214,6 +214,7 @@ def pack_documents(
     dealt = pieces.withColumn("part", part).drop("task", "copy")
 
     def packed(group: pa.Table) -> pa.Table:
+        lean()  # all texts are encoded, and encoders are large
         group = group.sort_by([("doc", "ascending"), ("text_hash", "ascending"), ("piece", "ascending")])
         lengths = pc.binary_length(group.column("ids")).to_numpy().astype(np.int64) // 4
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)

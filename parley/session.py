@@ -38,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Bytes that Spark hands to a Python worker at once; its own bounds are 10,000 rows or 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of ``BATCH_BYTES``, unless the session says how large they are.
+
+    A batch is held by the executor and by the worker, of each task that runs there.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 _written: list[str] = []
 
 

@@ -101,3 +101,70 @@ def test_too_many_labels(spark, monkeypatch):
     with pytest.raises(ValueError):
         dictionaries(docs)
     assert len(dictionaries(docs.filter("doc_id < 3"))) == 3
+
+
+def test_workers_give_back_encoders(spark):
+    """Encoders that earlier tasks of a worker keep are gone after packing, and where languages were identified."""
+    import time
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from parley.llm.packing import pack_documents
+    from parley.llm.tokens import length_histogram
+
+    def kept(batches):
+        import os
+        import sys
+
+        for _ in batches:
+            time.sleep(0.02)
+            own = "encoder" in getattr(sys.modules.get("_parley_worker"), "__dict__", {})
+            yield pa.record_batch({"pid": pa.array([os.getpid()], pa.int64()), "own": pa.array([own])})
+
+    def owners():
+        found = spark.range(0, 96, 1, 96).mapInArrow(kept, "pid long, own boolean").collect()
+        return {r.pid for r in found if r.own}
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(i, f"text of row {i} " * 20, "en") for i in range(960)], schema).repartition(96)
+    length_histogram(docs, path).collect()
+    assert owners()
+    identify(docs, docs.coalesce(1)).collect()
+    assert not owners()
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:  # groups for every worker
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        pack_documents(docs, path, group_chars=200).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not owners()
+
+
+def test_stages_bound_batches(spark):
+    """Texts go to workers a few megabytes at a time, unless the session has a bound of its own."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from parley import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": pa.array([batch.nbytes], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('some words ', 600) text", "'en' lang")
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, docs, "")
+        found = [r.size for r in docs.select("text").mapInArrow(sizes, "size long").collect()]
+        assert len(found) > 3 and max(found) < 2 * session.BATCH_BYTES
+        spark.conf.set(key, "1g")
+        corpus_pipeline.language_id(spark, docs, "")
+        assert spark.conf.get(key) == "1g"
+    finally:
+        spark.conf.unset(key)

@@ -207,7 +207,8 @@ def next_codebooks(vectors: DataFrame, books: Codebooks) -> Codebooks:
     )
     totals: dict[tuple[int, int, int], int] = {}
     counts: dict[tuple[int, int], int] = {}
-    for r in found.toLocalIterator():  # parts x entries x width rows, and a few more limbs for huge components
+    # parts x entries x width rows, and a few more limbs for huge components; an iterator would run a job a partition
+    for r in found.collect():
         at = r.part, r.entry, r.pos
         totals[at] = totals.get(at, 0) + (int(r.total) << (LIMB * r.limb))
         if r.limb == 0:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from parley.llm.codes import CELL_BITS, Nearest, codebooks_digest, compressed, exact_nearest, integers
+from parley.llm.codes import CELL_BITS, Nearest, codebooks_digest, compressed, exact_nearest, integers, next_codebooks
 
 
 def brute(rows, parts, entries, rounds):
@@ -79,3 +79,25 @@ def test_few_and_odd_vectors(spark):
     df = spark.createDataFrame([(1, [1.0] * 8, "x")], "vec_id long, embedding array<float>, code string")
     coded, _ = compressed(df, label_col=None)
     assert coded.select("row.code", "label_error").first() == ("x", 0)
+
+
+def test_round_needs_no_job_for_each_partition(spark):
+    rng = random.Random(7)
+    rows = [([rng.gauss(0, 1) for _ in range(4)],) for _ in range(50)]
+    vectors = spark.createDataFrame(rows, "vector array<double>").repartition(3)
+    books = [[integers(np.array(v[p : p + 2])) for (v,) in rows[:5]] for p in (0, 2)]
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("round", "one round of the codebooks")
+        found = next_codebooks(vectors, books)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == brute([(i, v, 1) for i, (v,) in enumerate(rows)], 2, 5, 1)[1]
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("round")) < 10  # one for each shuffle and one for the rows
